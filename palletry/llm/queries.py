@@ -30,6 +30,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from palletry.llm import bpe_lexicon
+
+    out = bpe_lexicon.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palletry.llm import chat_format
 
@@ -38,7 +47,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [op2_sharding, op3_mixing, op6_exact_dedup, op8_chat_format]
+    names = [op2_sharding, op3_mixing, op6_exact_dedup, op7_bpe_lexicon, op8_chat_format]
     return {f.__name__: f for f in names}
 
 
