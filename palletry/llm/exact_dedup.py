@@ -35,7 +35,8 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def frequent(d: DataFrame, top_k: int = TOP_K, tracked: int = TRACKED) -> DataFrame:
     """At most `top_k` digests that may be frequent: sketches by lane, then one merge of `LANES` sketches."""
     lanes = d.groupBy((F.spark_partition_id() % LANES).alias("lane")).agg(F.expr(f"approx_top_k_accumulate(hex(digest), {tracked}) AS sketch"))
-    merged = lanes.agg(F.expr(f"approx_top_k_combine(sketch, {tracked}) AS sketch"))
+    one = F.floor(F.col("lane") / LANES)  # a group key, as a partition without rows would have no sketch to combine
+    merged = lanes.groupBy(one.alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked}) AS sketch"))
     return merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {top_k})")).alias("t")).select(F.unhex("t.item").alias("digest"))
 
 
