@@ -3,9 +3,9 @@
 Tokenizer: byte-level BPE whose words end in a suffix, as read from a `tokenizers` JSON file (NFC, white space runs to
 one space, lower case; the word pattern and the vocabulary come from the file). Frequent words of the corpus are
 encoded once on the driver and compiled into a minimal acyclic transducer: states with the same continuations are
-shared, and the numbers on the arcs add up to a word's index in a flat table of ids. The file is shipped with
-`addFile`, so every executor, also one that joins later, memory-maps its own copy. Pieces of a slice of documents walk
-the automaton together. Words it doesn't hold are merged exactly by rank.
+shared, and the numbers on the arcs add up to a word's index in a flat table of ids. Its bytes, of bounded size, are
+broadcast; each worker, also one that joins later, memory-maps them from an unnamed file of its own. Pieces of a slice
+of documents walk the automaton together. Words it doesn't hold are merged exactly by rank.
 
 The lexicon changes speed, not results. It holds at most `LEXICON_WORDS` words; the counts behind it cover all texts
 (a word may be counted short by one in each partition, where it occurred once).
@@ -28,7 +28,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from palletry.llm.common import prefix_hash, span_hash
@@ -48,9 +47,8 @@ def byte_chars() -> list[str]:
 class Model:
     """Vocabulary, merges and text rules of a tokenizer file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, source: bytes):
+        spec = json.loads(source)
         bpe = spec["model"]
         self.vocab: dict[str, int] = dict(bpe["vocab"])
         self.end = bpe["end_of_word_suffix"]
@@ -97,7 +95,7 @@ class Lexicon:
     NAMES = ("arc_key", "arc_to", "arc_out", "final", "offset", "ids")
 
     @staticmethod
-    def compiled(entries: dict[bytes, tuple[int, ...]], path: str) -> None:
+    def compiled(entries: dict[bytes, tuple[int, ...]]) -> bytes:
         """Add words in order; a branch that no later word can extend is replaced by its equal, if one exists."""
         register: dict[tuple, int] = {}
         arcs: list[dict[int, int]] = [{}]
@@ -158,13 +156,14 @@ class Lexicon:
             "offset": np.cumsum([0, *map(len, lists)]).astype(np.int32),
             "ids": np.array([i for x in lists for i in x], np.int32),
         }
-        with open(path, "wb") as f:
-            f.write(np.array([len(parts[n]) for n in Lexicon.NAMES], np.int64).tobytes())
-            for n in Lexicon.NAMES:
-                f.write(parts[n].tobytes() + b"\0" * (-parts[n].nbytes % 8))
-
-    def __init__(self, path: str):
-        raw = np.memmap(path, np.uint8, "r")
+        head = np.array([len(parts[n]) for n in Lexicon.NAMES], np.int64).tobytes()
+        return head + b"".join(parts[n].tobytes() + b"\0" * (-parts[n].nbytes % 8) for n in Lexicon.NAMES)
+
+    def __init__(self, compiled: bytes):
+        with tempfile.TemporaryFile() as f:  # unnamed; the mapping outlives it
+            f.write(compiled)
+            f.flush()
+            raw = np.memmap(f, np.uint8, "r")
         at = 8 * len(self.NAMES)
         for n, size, kind in zip(self.NAMES, raw[:at].view(np.int64), ("<i8", "<i4", "<i4", "u1", "<i4", "<i4")):
             width = int(size) * np.dtype(kind).itemsize
@@ -230,16 +229,16 @@ class Encoder:
                 yield [i for ids in map(get, chunks) for i in ids]
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(model_file: str, lexicon_file: str | None) -> Encoder:
-    key = (model_file, lexicon_file)
-    if key not in _ENCODERS:
+def _encoder(shipped) -> Encoder:
+    """This worker's encoder for what was broadcast; one is kept, with its cache, across tasks."""
+    name, source, lexicon = shipped.value
+    if name not in _ENCODERS:
         _ENCODERS.clear()
-        model = Model(SparkFiles.get(model_file))
-        _ENCODERS[key] = Encoder(model, Lexicon(SparkFiles.get(lexicon_file)) if lexicon_file else None)
-    return _ENCODERS[key]
+        _ENCODERS[name] = Encoder(Model(source), Lexicon(lexicon) if lexicon else None)
+    return _ENCODERS[name]
 
 
 _LETTER = np.zeros(256, bool)
@@ -277,29 +276,26 @@ def frequent_words(df: DataFrame, text_col: str = "text", most: int = LEXICON_WO
     return [bytes(r.word) for r in top.collect()]
 
 
-def shipped(df: DataFrame, model_path: str, text_col: str = "text", most: int = LEXICON_WORDS) -> tuple[str, str]:
-    """Compiles the lexicon for a table and ships it and the tokenizer file; returns their names."""
-    context = df.sparkSession.sparkContext
-    model = Model(model_path)
-    entries = {}
-    for word in frequent_words(df, text_col, most):
-        text = model.normal(word.decode("utf-8", "ignore"))
-        for piece in model.pieces(text):
-            entries.setdefault(piece.encode(), model.merged(piece.encode()))
-    name = f"lexicon-{uuid.uuid4().hex}"
-    with tempfile.TemporaryDirectory() as own:  # the driver's copy; executors fetch theirs from the driver
-        Lexicon.compiled(entries, os.path.join(own, name))
-        context.addFile(os.path.join(own, name))
-    context.addFile(model_path)
-    return os.path.basename(model_path), name
+def _shipped(df: DataFrame, model_path: str, text_col: str | None, most: int = LEXICON_WORDS):
+    """Broadcasts the tokenizer file and, if a text column is given, the lexicon compiled for it."""
+    with open(model_path, "rb") as f:
+        source = f.read()
+    lexicon = b""
+    if text_col:
+        model, entries = Model(source), {}
+        for word in frequent_words(df, text_col, most):
+            for piece in model.pieces(model.normal(word.decode("utf-8", "ignore"))):
+                entries.setdefault(piece.encode(), model.merged(piece.encode()))
+        lexicon = Lexicon.compiled(entries)
+    return df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, source, lexicon))
 
 
 def encoded(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the token ids of every whole text."""
-    files = shipped(df, model_path, text_col)
+    files = _shipped(df, model_path, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(*files)
+        encoder = _encoder(files)
         for batch in batches:
             ids = list(encoder.encode([t or "" for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
@@ -310,11 +306,10 @@ def encoded(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
 
 def decoded(df: DataFrame, model_path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """(id, text): ids decoded with special tokens shown; a null list gives the empty text."""
-    df.sparkSession.sparkContext.addFile(model_path)
-    name = os.path.basename(model_path)
+    files = _shipped(df, model_path, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _encoder(name, None).model
+        model = _encoder(files).model
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
@@ -323,10 +318,10 @@ def decoded(df: DataFrame, model_path: str, id_col: str = "id", ids_col: str = "
 
 def round_trip_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes every whole text in one pass."""
-    files = shipped(df, model_path, text_col)
+    files = _shipped(df, model_path, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(*files)
+        encoder = _encoder(files)
         decimal, decode = encoder.model.decimal.__getitem__, encoder.model.decode
         hexed = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
