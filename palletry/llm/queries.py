@@ -46,8 +46,14 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(turns.unionByName(chat_format.probe(spark)))
 
 
+def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palletry.llm import hnsw
+
+    return hnsw.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    names = [op2_sharding, op3_mixing, op6_exact_dedup, op7_bpe_lexicon, op8_chat_format]
+    names = [op2_sharding, op3_mixing, op6_exact_dedup, op7_bpe_lexicon, op8_chat_format, op10_hnsw]
     return {f.__name__: f for f in names}
 
 
