@@ -9,6 +9,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document; a token belongs to the line of its first byte."""
+    import public_tokenizers
+
+    from palletry.llm import token_counts
+
+    out = token_counts.section_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select(F.col("id").alias("doc_id"), "section", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("n_tokens").cast("long").alias("n_tokens"), "doc_tokens")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palletry.llm import sharding
 
@@ -53,7 +63,7 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [op2_sharding, op3_mixing, op6_exact_dedup, op7_bpe_lexicon, op8_chat_format, op10_hnsw]
+    names = [op1_token_counts, op2_sharding, op3_mixing, op6_exact_dedup, op7_bpe_lexicon, op8_chat_format, op10_hnsw]
     return {f.__name__: f for f in names}
 
 
