@@ -56,6 +56,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(turns.unionByName(chat_format.probe(spark)))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palletry.llm import suffix_dedup
+
+    return suffix_dedup.removed(_table(spark, sf_dir, "documents")).drop("kept").withColumnRenamed("id", "doc_id")
+
+
 def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palletry.llm import hnsw
 
@@ -63,7 +69,7 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [op1_token_counts, op2_sharding, op3_mixing, op6_exact_dedup, op7_bpe_lexicon, op8_chat_format, op10_hnsw]
+    names = [op1_token_counts, op2_sharding, op3_mixing, op6_exact_dedup, op7_bpe_lexicon, op8_chat_format, op9_suffix_dedup, op10_hnsw]
     return {f.__name__: f for f in names}
 
 
