@@ -18,12 +18,14 @@ rows of their own, any id is passed through, an empty table gives an empty resul
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import tempfile
 import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from palletry.llm.common import prefix_hash, span_hash
 
-LEXICON_WORDS, CACHED_CHUNKS, SLICE = 65_536, 300_000, 64
+LEXICON_WORDS, CACHED_CHUNKS, SLICE, SHORT = 196_608, 300_000, 256, 48
+NONE = np.int64(1 << 40)
 #: White space for `str.split`, but not for the tokenizer's pattern.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
@@ -61,23 +64,92 @@ class Model:
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in bpe["merges"]):
             self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
         chars = byte_chars()
-        self.inner = [self.vocab[c] for c in chars]
-        self.last = [self.vocab[c + self.end] for c in chars]
+        self.inner = np.array([self.vocab[c] for c in chars], np.int64)
+        self.last = np.array([self.vocab[c + self.end] for c in chars], np.int64)
+        pairs = sorted((a * len(self.tokens) + b, rank, new) for (a, b), (rank, new) in self.merges.items())
+        self.pair_keys, self.pair_ranks, self.pair_ids = np.array(pairs or [(-1, 0, 0)], np.int64).T.copy()
         words = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(words["pattern"]["Regex"]).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
-    def merged(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one piece: the pair of least rank merges first, leftmost among equals."""
-        ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
-        pairs = self.merges
-        while len(ids) > 1:
-            best = min(((pairs[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in pairs), default=None)
-            if best is None:
-                break
-            k = best[1]
-            ids[k : k + 2] = [pairs[ids[k], ids[k + 1]][1]]
-        return tuple(ids)
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (or NONE) and results of merging neighbours."""
+        key = a * len(self.tokens) + b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE), self.pair_ids[at]
+
+    def merged(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of pieces: the pair of least rank merges first, leftmost among equals; all short pieces a round together."""
+        out: list = [None] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        for i in set(range(len(words))).difference(short):
+            out[i] = self._merged_long(words[i])
+        if not short:
+            return out
+        size = np.array([len(words[i]) for i in short])
+        raw = np.frombuffer(b"".join(words[i] for i in short), np.uint8)
+        ids = self.inner[raw]
+        ends = np.cumsum(size) - 1
+        ids[ends] = self.last[raw[ends]]
+        owner = np.repeat(np.arange(len(short)), size)
+        rank, result = np.full(len(ids), NONE), np.zeros(len(ids), np.int64)
+        rank[:-1], result[:-1] = self._pairs(ids[:-1], ids[1:])
+        rank[ends] = NONE
+        live = np.ones(len(short), bool)
+        done_ids, done_owner = [], []
+        while len(ids):
+            start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            least = np.minimum.reduceat(rank, start)
+            over = least == NONE
+            if over.any():
+                live[owner[start[over]]] = False
+                stay = live[owner]
+                done_ids.append(ids[~stay])
+                done_owner.append(owner[~stay])
+                ids, owner, rank, result = ids[stay], owner[stay], rank[stay], result[stay]
+                if not len(ids):
+                    break
+                start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                least = least[~over]
+            hits = np.flatnonzero(rank == np.repeat(least, np.diff(np.r_[start, len(ids)])))
+            at = hits[np.r_[True, owner[hits[1:]] != owner[hits[:-1]]]]
+            ids[at] = result[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, owner, rank, result = ids[keep], owner[keep], rank[keep], result[keep]
+            at -= np.arange(len(at))
+            for k in (at, at[at > 0] - 1):
+                k = k[k + 1 < len(ids)]
+                rank[k], result[k] = self._pairs(ids[k], ids[k + 1])
+                rank[k[owner[k] != owner[k + 1]]] = NONE
+            rank[-1] = NONE
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        ids = ids[np.argsort(owner, kind="stable")].tolist()
+        bounds = np.cumsum(np.bincount(owner, minlength=len(short))).tolist()
+        for i, lo, hi in zip(short, [0, *bounds], bounds):
+            out[i] = tuple(ids[lo:hi])
+        return out
+
+    def _merged_long(self, word: bytes) -> tuple[int, ...]:
+        """The same for one long piece, with a heap of pairs over a linked list."""
+        ids = self.inner[np.frombuffer(word, np.uint8)].tolist()
+        ids[-1] = int(self.last[word[-1]])
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap = [(*self.merges[p], k) for k, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
+        heap = [(rank, k, new) for rank, new, k in heap]
+        heapq.heapify(heap)
+        while heap:
+            rank, k, new = heapq.heappop(heap)
+            n = after[k]
+            if ids[k] < 0 or n >= len(ids) or self.merges.get((ids[k], ids[n])) != (rank, new):
+                continue
+            ids[k], ids[n], after[k] = new, -1, after[n]
+            if after[k] < len(ids):
+                before[after[k]] = k
+            for left in (before[k], k):
+                if left >= 0 and after[left] < len(ids) and (pair := self.merges.get((ids[left], ids[after[left]]))):
+                    heapq.heappush(heap, (pair[0], left, pair[1]))
+        return tuple(i for i in ids if i >= 0)
 
     def normal(self, text: str) -> str:
         """NFC and lower case character by character (no final sigma)."""
@@ -163,7 +235,7 @@ class Lexicon:
         with tempfile.TemporaryFile() as f:  # unnamed; the mapping outlives it
             f.write(compiled)
             f.flush()
-            raw = np.memmap(f, np.uint8, "r")
+            raw = np.asarray(np.memmap(f, np.uint8, "r"))
         at = 8 * len(self.NAMES)
         for n, size, kind in zip(self.NAMES, raw[:at].view(np.int64), ("<i8", "<i4", "<i4", "u1", "<i4", "<i4")):
             width = int(size) * np.dtype(kind).itemsize
@@ -187,8 +259,15 @@ class Lexicon:
             state[alive] = self.arc_to[arc]
             index[alive] += self.arc_out[arc]
         known = (state >= 0) & (self.final[np.maximum(state, 0)] == 1)
-        offset, ids = self.offset, self.ids
-        return [tuple(ids[offset[i] : offset[i + 1]].tolist()) if k else None for i, k in zip(index.tolist(), known.tolist())]
+        row = index[known]
+        begin = self.offset[row].astype(np.int64)
+        count = self.offset[row + 1] - begin
+        bounds = np.cumsum(count)
+        ids = self.ids[np.repeat(begin - bounds + count, count) + np.arange(bounds[-1] if len(bounds) else 0)].tolist()
+        out: list = [None] * len(words)
+        for i, lo, hi in zip(np.flatnonzero(known).tolist(), [0, *bounds.tolist()], bounds.tolist()):
+            out[i] = tuple(ids[lo:hi])
+        return out
 
 
 class Encoder:
@@ -213,7 +292,9 @@ class Encoder:
         pieces = [[p.encode() for p in self.model.pieces(c)] for c in new]
         distinct = list({p for ps in pieces for p in ps})
         found = self.lexicon.lookup(distinct) if self.lexicon else [None] * len(distinct)
-        ids = {p: f or self.model.merged(p) for p, f in zip(distinct, found)}
+        ids = dict(zip(distinct, found))
+        unseen = [p for p, f in ids.items() if f is None]
+        ids.update(zip(unseen, self.model.merged(unseen)))
         for c, ps in zip(new, pieces):
             self.cache[c] = ids[ps[0]] if len(ps) == 1 else tuple(i for p in ps for i in ids[p])
         self.cache.update({c: (c,) for c in chunks if isinstance(c, int)})
@@ -226,7 +307,7 @@ class Encoder:
             self._learn(set().union(*split) - self.cache.keys())
             get = self.cache.__getitem__
             for chunks in split:
-                yield [i for ids in map(get, chunks) for i in ids]
+                yield list(chain.from_iterable(map(get, chunks)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -250,21 +331,30 @@ _LOWER[65:91] += 32
 def _letter_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of a partition's letter runs that occur twice or more."""
     words: dict[int, bytes] = {}
-    hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        if not parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        h, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return h, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
     for batch in batches:
         texts = [t.encode() for t in batch.column(0).to_pylist() if t]
-        for i in range(0, len(texts), 256):
-            b = _LOWER[np.frombuffer(b"\n".join(texts[i : i + 256]), np.uint8)]
+        for i in range(0, len(texts), 1024):
+            b = _LOWER[np.frombuffer(b"\n".join(texts[i : i + 1024]), np.uint8)]
             inside = np.r_[False, _LETTER[b], False]
             edge = np.flatnonzero(inside[1:] != inside[:-1])
             start, end = edge[::2], edge[1::2]
             h, first, n = np.unique(span_hash(prefix_hash(b), start, end), return_index=True, return_counts=True)
+            parts.append((h, n))
+            if len(parts) == 32:
+                parts[:] = [summed()]
             raw = b.tobytes()
-            fresh = ~np.isin(h, hashes)
-            for k, s, e in zip(h[fresh].tolist(), start[first[fresh]].tolist(), end[first[fresh]].tolist()):
-                words[k] = raw[s:e]
-            hashes, where = np.unique(np.r_[hashes, h], return_inverse=True)
-            counts = np.bincount(where, weights=np.r_[counts, n], minlength=len(hashes)).astype(np.int64)
+            for k, s, e in zip(h.tolist(), start[first].tolist(), end[first].tolist()):
+                if k not in words:
+                    words[k] = raw[s:e]
+    hashes, counts = summed()
     keep = counts > 1
     yield pa.RecordBatch.from_arrays([pa.array([words[h] for h in hashes[keep].tolist()], pa.binary()), pa.array(counts[keep], pa.int64())], ["word", "n"])
 
@@ -282,11 +372,10 @@ def _shipped(df: DataFrame, model_path: str, text_col: str | None, most: int = L
         source = f.read()
     lexicon = b""
     if text_col:
-        model, entries = Model(source), {}
-        for word in frequent_words(df, text_col, most):
-            for piece in model.pieces(model.normal(word.decode("utf-8", "ignore"))):
-                entries.setdefault(piece.encode(), model.merged(piece.encode()))
-        lexicon = Lexicon.compiled(entries)
+        model = Model(source)
+        words = " ".join(w.decode("utf-8", "ignore") for w in frequent_words(df, text_col, most))
+        pieces = list({p.encode(): None for p in model.pieces(model.normal(words))})
+        lexicon = Lexicon.compiled(dict(zip(pieces, model.merged(pieces))))
     return df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, source, lexicon))
 
 
