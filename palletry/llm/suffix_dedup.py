@@ -11,8 +11,9 @@ Every byte that a `LENGTH`-byte string covers which also starts anywhere else (a
    multikey quicksort on 8-byte symbols to a shallow depth, then a blind trie for each class that still agrees.
    With both orders and their common prefix lengths, windows at offset o are equal if they agree in o bytes to the
    left and LENGTH-o to the right; the least and largest such o bound the bytes to remove.
-5. Grams that occur more often than `HOT` send a hash of each window instead, which an aggregation with map-side
-   combining counts, so no task holds a hot group.
+5. Grams that occur more often than `HOT` have their equal contexts combined first, in the mappers and then by an
+   aggregation. Windows of the distinct ones are counted by hash, and each occurrence looks its context's offsets up:
+   no task holds a hot group.
 
 Equal texts are found by their hashes beforehand; a mapper sends each text once. Defined results: null is the empty
 text; texts shorter than LENGTH lose nothing; equal texts of LENGTH bytes or more, repeated rows too, lose everything;
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from palletry.llm.common import mixed, prefix_hash, span_hash, written
 
-LENGTH, GRAM, SHALLOW, HOT, HOT_GRAMS, MAP_BITS = 200, 64, 3, 200_000, 1024, 27
+LENGTH, GRAM, SHALLOW, HOT, HOT_GRAMS, MAP_BITS = 200, 64, 3, 50_000, 1024, 26
+SLICE_BYTES, GROUP_ROWS = 1_000_000, 20_000
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -214,7 +216,7 @@ def _anchor_batches(batches, length, gram):
         at = 0
         while at < len(fresh):
             part, total = [], 0
-            while at < len(fresh) and (not part or total + len(raw[fresh[at]]) < 4_000_000):
+            while at < len(fresh) and (not part or total + len(raw[fresh[at]]) < SLICE_BYTES):
                 part.append(fresh[at])
                 total += len(raw[fresh[at]])
                 at += 1
@@ -232,36 +234,86 @@ def _gram_rows(length, gram):
     return run
 
 
-def _context_rows(length, gram, bits, hot, want_hot):
-    """Contexts of anchors whose gram is marked; or, for hot grams, the hashes of the windows that name them."""
-    reach = length - gram
+def _marked(batches, length, gram, marks, often, hot):
+    """Slices of texts with the anchors whose gram is marked, either the hot ones or the others."""
+    mask = np.uint64(len(marks) * 64 - 1)
+    for a, b, texts, doc, pos, h, _ in _anchor_batches(batches, length, gram):
+        slot = h & mask
+        keep = (marks[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+        keep &= np.isin(h, often) == hot
+        doc, pos, h = doc[keep], pos[keep], h[keep]
+        around = [texts[d][max(0, p - length + gram) : p + length] for d, p in zip(doc.tolist(), pos.tolist())]
+        yield a[doc], b[doc], pos, h, around
+
 
+def _context_rows(length, gram, bits, often):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, often = bits.value, hot.value
-        mask = np.uint64(len(marks) * 64 - 1)
-        for a, b, texts, doc, pos, h, prefix in _anchor_batches(batches, length, gram):
-            slot = h & mask
-            keep = (marks[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-            keep &= np.isin(h, often) == want_hot
-            doc, pos, h = doc[keep], pos[keep], h[keep]
-            size = np.fromiter(map(len, texts), np.int64, len(texts))
-            base = np.cumsum(size) - size
-            if want_hot:
-                start = (pos[:, None] - np.arange(reach + 1)).ravel()
-                owner = np.repeat(doc, reach + 1)
-                fits = (start >= 0) & (start + length <= size[owner])
-                start, owner = start[fits], owner[fits]
-                hashed = span_hash(prefix, base[owner] + start, base[owner] + start + length)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashed.view(np.int64), a[owner], b[owner], start.astype(np.int32))], ["w", "a", "b", "start"])
-                continue
-            context = [texts[d][max(0, p - reach) : p + length] for d, p in zip(doc.tolist(), pos.tolist())]
+        for a, b, pos, h, around in _marked(batches, length, gram, bits.value, often.value, False):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(a), pa.array(b), pa.array(pos.astype(np.int32)), pa.array(around, pa.binary())], ["g", "a", "b", "pos", "context"])
+
+    return run
+
+
+def _context_key(context: bytes, left: int) -> bytes:
+    return hashlib.blake2b(context, digest_size=16, salt=left.to_bytes(4, "little")).digest()
+
+
+def _hot_occurrences(length, gram, bits, often):
+    """(k, a, b, pos): where the contexts of hot grams stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, pos, _, around in _marked(batches, length, gram, bits.value, often.value, True):
+            keys = [_context_key(c, min(p, length - gram)) for c, p in zip(around, pos.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(a), pa.array(b), pa.array(pos.astype(np.int32))], ["k", "a", "b", "pos"])
+
+    return run
+
+
+def _hot_contexts(length, gram, bits, often):
+    """(k, left, context, n): the distinct contexts of hot grams in a slice, and how often they stand there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, pos, _, around in _marked(batches, length, gram, bits.value, often.value, True):
+            found: dict[tuple[bytes, int], int] = {}
+            for c, p in zip(around, pos.tolist()):
+                found[c, min(p, length - gram)] = found.get((c, min(p, length - gram)), 0) + 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(a[doc]), pa.array(b[doc]), pa.array(pos.astype(np.int32)), pa.array(context, pa.binary())], ["g", "a", "b", "pos", "context"]
+                [pa.array([_context_key(*x) for x in found], pa.binary()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[0] for x in found], pa.binary()), pa.array(list(found.values()), pa.int64())], ["k", "left", "context", "n"]
             )
 
     return run
 
 
+def _hot_windows(length, gram):
+    """(w, k, o, n): hashes of the windows of each distinct context by their offset."""
+    reach = np.arange(length - gram + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                k, left, context, n = (batch.column(j).slice(i, 500) for j in range(4))
+                raw = context.to_pylist()
+                size = np.fromiter(map(len, raw), np.int64, len(raw))
+                base = np.cumsum(size) - size
+                start = left.to_numpy()[:, None] - reach
+                row, o = np.nonzero((start >= 0) & (start + length <= size[:, None]))
+                at = base[row] + start[row, o]
+                w = span_hash(prefix_hash(np.frombuffer(b"".join(raw), np.uint8)), at, at + length)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), k.take(pa.array(row)), pa.array(o.astype(np.int32)), pa.array(n.to_numpy()[row])], ["w", "k", "o", "n"])
+
+    return run
+
+
+def _hot_spans(texts: DataFrame, length: int, gram: int, marks, often) -> DataFrame:
+    contexts = texts.mapInArrow(_hot_contexts(length, gram, marks, often), "k binary, left int, context binary, n long")
+    contexts = written(contexts.groupBy("k", "left", "context").agg(F.sum("n").alias("n")), "contexts")
+    windows = contexts.mapInArrow(_hot_windows(length, gram), "w long, k binary, o int, n long")
+    twice = windows.groupBy("w", "o").agg(F.sum("n").alias("n")).where("n > 1").select("w", "o")  # o: a place counts once for each gram
+    offsets = written(windows.join(twice, ["w", "o"]).groupBy("k").agg(F.min("o").alias("low"), F.max("o").alias("high")), "offsets")
+    here = texts.mapInArrow(_hot_occurrences(length, gram, marks, often), "k binary, a long, b int, pos int").join(offsets, "k")
+    return here.select("a", "b", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))
+
+
 def _compared(length, gram):
     """(a, b, start, end) to remove, from context rows sorted by gram; complete groups are taken together."""
     reach = length - gram
@@ -278,8 +330,11 @@ def _compared(length, gram):
         _, once = np.unique(np.rec.fromarrays([g, a, b, pos]), return_index=True)
         g, a, b, pos, n_left, n_right, home = (x[once] for x in (g, a, b, pos, n_left, n_right, home))
         back, on = np.arange(1, reach + 1), np.arange(length)
-        left = np.where(back <= n_left[:, None], raw[np.maximum(home[:, None] - back, 0)], 0)
-        right = np.where(on < n_right[:, None], raw[np.minimum(home[:, None] + on, len(raw) - 1)], 0)
+        left, right = np.zeros((len(g), reach), np.uint8), np.zeros((len(g), length), np.uint8)
+        for i in range(0, len(g), 4096):
+            h, part = home[i : i + 4096, None], slice(i, i + 4096)
+            left[part] = np.where(back <= n_left[part, None], raw[np.maximum(h - back, 0)], 0)
+            right[part] = np.where(on < n_right[part, None], raw[np.minimum(h + on, len(raw) - 1)], 0)
         low, high = repeated_offsets(g, left, n_left, right, n_right, length)
         hit = low <= high
         return pa.RecordBatch.from_arrays([pa.array(a[hit]), pa.array(b[hit]), pa.array((pos - high)[hit].astype(np.int32)), pa.array((pos - low + length)[hit].astype(np.int32))], ["a", "b", "start", "end"])
@@ -288,7 +343,7 @@ def _compared(length, gram):
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(x.num_rows for x in held) < 20_000:
+            if sum(x.num_rows for x in held) < GROUP_ROWS:
                 continue
             table = pa.Table.from_batches(held)
             g = table.column(0).to_numpy()
@@ -337,14 +392,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     often = grams.where(F.col("n") > hot).orderBy(F.desc("n"), "g").limit(HOT_GRAMS).select("g").toArrow().column(0).to_numpy().view(np.uint64)
     marks, often = spark.sparkContext.broadcast(marks), spark.sparkContext.broadcast(often)
 
-    contexts = texts.mapInArrow(_context_rows(length, gram, marks, often, False), "g long, a long, b int, pos int, context binary")
+    contexts = texts.mapInArrow(_context_rows(length, gram, marks, often), "g long, a long, b int, pos int, context binary")
     compared = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(length, gram), "a long, b int, start int, end int")
     if len(often.value):
-        windows = texts.mapInArrow(_context_rows(length, gram, marks, often, True), "w long, a long, b int, start int")
-        occurrence = F.xxhash64("a", "b", "start")
-        twice = windows.groupBy("w").agg(F.min(occurrence).alias("x"), F.max(occurrence).alias("y")).where("x <> y").select("w")
-        more = windows.join(twice, "w").select("a", "b", "start", (F.col("start") + length).alias("end"))
-        compared = compared.unionByName(more)
+        compared = compared.unionByName(_hot_spans(texts, length, gram, marks, often))
     copies = docs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.octet_length("raw")).alias("end")).where((F.col("n") > 1) & (F.col("end") >= length))
     return compared.unionByName(copies.select("a", "b", F.lit(0).alias("start"), F.col("end").cast("int").alias("end")))
 
