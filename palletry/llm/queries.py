@@ -33,6 +33,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.orderBy("position", "id").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palletry.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palletry.llm import trie_join
 
@@ -74,9 +82,15 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    names = [op1_token_counts, op2_sharding, op3_mixing, op5_trie_join, op6_exact_dedup, op7_bpe_lexicon, op8_chat_format, op9_suffix_dedup, op10_hnsw]
-    return {f.__name__: f for f in names}
+    names = [op1_token_counts, op2_sharding, op3_mixing, op4_toxicity, op5_trie_join, op6_exact_dedup, op7_bpe_lexicon, op8_chat_format, op9_suffix_dedup, op10_hnsw]
+    return {f.__name__: f for f in names} | {"pipeline": pipeline}
 
 
 _SIZES = r"SELECT doc_id, source, COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, MD5(COALESCE(doc_id::VARCHAR, '')) AS key FROM documents"
