@@ -64,7 +64,9 @@ def targets(sizes: DataFrame, curriculum=CURRICULUM, share: float = 1.5, max_epo
         }
     )
     level = F.col("left") / F.col("weights_left")
-    s = s.withColumn("level", F.min(F.when(level * F.col("weight") <= F.col("cap"), level)).over(everything))
+    s = s.withColumn("place", F.row_number().over(order))
+    first = F.min(F.when(level * F.col("weight") <= F.col("cap"), F.struct("place", level.alias("level")))).over(everything)
+    s = s.withColumn("level", first["level"])
     s = s.withColumn("target", F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))))
     return s.select("source", "nth", "n_rows", "source_size", "target")
 

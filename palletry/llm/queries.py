@@ -100,14 +100,15 @@ WITH d AS ({_SIZES}),
 s AS (SELECT source, SUM(size)::BIGINT AS source_size, ROW_NUMBER() OVER (ORDER BY source ASC NULLS LAST) - 1 AS nth FROM d GROUP BY source),
 w AS (SELECT *, CASE nth % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 2 AS cap FROM s),
 r AS (SELECT *, (SUM(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - COALESCE(SUM(cap) OVER (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest,
-  SUM(weight) OVER (ORDER BY cap / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM w),
-t AS (SELECT *, LEAST(cap::DOUBLE, (SELECT MIN(rest / weights) FROM r WHERE rest / weights * weight <= cap) * weight) AS target FROM r),
+  SUM(weight) OVER (ORDER BY cap / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights,
+  ROW_NUMBER() OVER (ORDER BY cap / weight, nth) AS place FROM w),
+t AS (SELECT *, LEAST(cap::DOUBLE, (SELECT ARG_MIN(rest / weights, place) FROM r WHERE rest / weights * weight <= cap) * weight) AS target FROM r),
 p AS (SELECT d.*, t.nth, t.source_size, t.target, COALESCE(SUM(size) OVER (PARTITION BY t.nth ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, (GREATEST(0, LEAST(size, ROUND(target)::BIGINT - ahead)) + GREATEST(0, LEAST(size, ROUND(target)::BIGINT - ahead - source_size)))::BIGINT AS taken, ahead::DOUBLE / target AS part FROM p)
 SELECT doc_id, size, source_size, target, taken,
   CASE WHEN taken > 0 THEN ROUND(CASE nth % 3
-    WHEN 0 THEN CASE WHEN part <= 1 THEN (SQRT(GREATEST(2.25::DOUBLE - 2 * part, 0)) - 1.5::DOUBLE) / -1 ELSE 1 END
+    WHEN 0 THEN CASE WHEN part <= 1 THEN 0.0::DOUBLE + (SQRT(GREATEST(2.25::DOUBLE - 2 * part, 0)) - 1.5::DOUBLE) / -1 ELSE 1 END
     WHEN 1 THEN part
     ELSE CASE WHEN part <= 0.375 THEN SQRT(0.25::DOUBLE + 2 * part) - 0.5::DOUBLE ELSE 0.5::DOUBLE + SQRT(1 + 2 * (part - 0.375::DOUBLE)) - 1 END END, 6) END AS position
 FROM q
