@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -100,3 +100,44 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     for i in range(k):
         h = mixed(h + w[i : len(w) - k + 1 + i] + np.uint64(k))
     return np.unique(h)
+
+
+def shingle_sets(texts: list[bytes], k: int, slice_bytes: int = 500_000):
+    """`shingle_set` of each text in turn; hashes are computed for slices of texts together."""
+    at = 0
+    while at < len(texts):
+        part, total = [], 0
+        while at < len(texts) and (not part or total + len(texts[at]) < slice_bytes):
+            part.append(texts[at])
+            total += len(texts[at])
+            at += 1
+        size = np.fromiter(map(len, part), np.int64, len(part))
+        b = _LOWER[np.frombuffer(b"\n".join(part), np.uint8)]
+        start, end = word_spans(b)
+        w = span_hash(prefix_hash(b), start, end)
+        edge = np.searchsorted(start, np.r_[0, np.cumsum(size + 1)])
+        n = max(0, len(w) - k + 1)
+        h = np.zeros(n, np.uint64)
+        for i in range(k if n else 0):
+            h = mixed(h + w[i : n + i] + np.uint64(k))
+        for t, lo, hi in zip(part, edge[:-1].tolist(), edge[1:].tolist()):
+            if hi - lo < k:
+                yield shingle_set(t, k)
+            else:
+                own = np.sort(h[lo : hi - k + 1])
+                yield own[np.r_[True, own[1:] != own[:-1]]]
+
+
+def bit_map(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """2**bits bits as 64-bit words, set at a column's values modulo their number; fixed size, whatever the rows."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    one = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    words = df.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    marks = np.zeros(1 << (bits - 6), np.uint64)
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return marks
+
+
+def is_marked(marks: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = values.view(np.uint64) & np.uint64(len(marks) * 64 - 1)
+    return (marks[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palletry.llm.common import mixed, prefix_hash, span_hash, written
+from palletry.llm.common import bit_map, is_marked, mixed, prefix_hash, span_hash, written
 
 LENGTH, GRAM, SHALLOW, HOT, HOT_GRAMS, MAP_BITS = 200, 64, 3, 50_000, 1024, 26
 SLICE_BYTES, GROUP_ROWS = 1_000_000, 20_000
@@ -236,11 +236,8 @@ def _gram_rows(length, gram):
 
 def _marked(batches, length, gram, marks, often, hot):
     """Slices of texts with the anchors whose gram is marked, either the hot ones or the others."""
-    mask = np.uint64(len(marks) * 64 - 1)
     for a, b, texts, doc, pos, h, _ in _anchor_batches(batches, length, gram):
-        slot = h & mask
-        keep = (marks[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-        keep &= np.isin(h, often) == hot
+        keep = is_marked(marks, h) & (np.isin(h, often) == hot)
         doc, pos, h = doc[keep], pos[keep], h[keep]
         around = [texts[d][max(0, p - length + gram) : p + length] for d, p in zip(doc.tolist(), pos.tolist())]
         yield a[doc], b[doc], pos, h, around
@@ -384,11 +381,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     grams = texts.mapInArrow(_gram_rows(length, gram), "g long, occurrence long")
     grams = grams.groupBy("g").agg(F.min("occurrence").alias("x"), F.max("occurrence").alias("y"), F.count("*").alias("n")).where("x <> y")
     grams = written(grams.select("g", "n"), "grams")
-    slot = F.col("g").bitwiseAND(F.lit((1 << map_bits) - 1))
-    one = F.expr("shiftleft(1L, cast(slot & 63 as int))")
-    words = grams.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
-    marks = np.zeros(1 << (map_bits - 6), np.uint64)
-    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    marks = bit_map(grams, "g", map_bits)
     often = grams.where(F.col("n") > hot).orderBy(F.desc("n"), "g").limit(HOT_GRAMS).select("g").toArrow().column(0).to_numpy().view(np.uint64)
     marks, often = spark.sparkContext.broadcast(marks), spark.sparkContext.broadcast(often)
 

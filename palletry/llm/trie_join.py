@@ -2,14 +2,15 @@
 
 1. Each text becomes the sorted set of its K-word shingles' hashes; equal sets form a class with one representative.
 2. Sets have one global order: shingles that a bounded list of frequent ones doesn't hold come first, by hash, then the
-   listed ones from rare to frequent. Linked sets share a shingle among the first n - ceil(PERCENT n / 100) + 1. The
-   order steers the work only; any order gives the same links.
-3. Classes that share such a shingle are chained in order of set size (a link can't skip a chain's gap, sizes beyond the
-   bound break it). Components of the chains are the blocks; no pairs are listed.
+   listed ones from rare to frequent. Linked sets share k shingles among the first n - ceil(PERCENT n / 100) + k; here k
+   is a `COMMON`th of n. The order steers the work only; any order gives the same links.
+3. Where up to `FEW` classes share such a shingle, those that share k of them are joined by an edge. Where more do, they
+   are chained in order of set size (a link can't skip a chain's gap, as only sizes beyond the bound break it), so no
+   group lists its pairs. The components of the edges are the blocks.
 4. The texts of a block's classes meet in one task. Their sets, common shingles first, form a trie that near copies share
    for long. Each set walks it a few levels at a time with the overlaps so far; rows that the rest of their length
    can't lift to the bound, and rows already in the same group, are dead, and subtrees of dead rows are skipped.
-5. Blocks over `BLOCK` classes are cut along set size first and joined piece by piece; what their links leave apart
+5. Blocks of more than `BLOCK` shingles are cut along set size first and joined piece by piece; what their links leave apart
    forms new, smaller blocks. If one of these is still too large, all pairs of its pieces are joined.
 
 Defined results: null and empty texts have no shingles and are alone; a text of fewer than K words is one shingle; rows
@@ -26,10 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from palletry.llm.common import shingle_set, written
+from palletry.llm.common import bit_map, is_marked, shingle_set, shingle_sets, written
 from palletry.llm.components import components
 
-K, PERCENT, FREQUENT, BLOCK, CHUNK = 5, 80, 1 << 17, 4096, 2_000_000
+K, PERCENT, FREQUENT, BLOCK, CHUNK, MAP_BITS = 5, 80, 1 << 20, 1_000_000, 2_000_000, 26
+FEW, COMMON = 16, 20
+
+
+_CLASS = ["id", "a", "b", "d", "c", "n", "s"]
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,56 +46,55 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _class_rows(k):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, k) for t in batch.column(3).to_pylist()]
-            keys = [digest(s) if len(s) else None for s in sets]
-            short = [int.from_bytes(d[:8], "little", signed=True) if d else None for d in keys]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(keys, pa.binary()), pa.array(short, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["id", "a", "b", "d", "c", "n"])
+def _fresh(sets: Iterator[np.ndarray], seen: set[bytes]) -> Iterator[tuple[np.ndarray, bytes | None, bool]]:
+    """Each set with its digest, and whether the partition meets it for the first time."""
+    for s in sets:
+        d = digest(s) if len(s) else None
+        yield s, d, d is not None and d not in seen
+        if d:
+            seen.add(d)
 
-    return run
 
+def _class_rows(k):
+    """One row (id, a, b, d, c, n) for each text, and rows (s, n) of shingles that occur in two or more sets of a chunk
+    of the partition."""
 
-def _distinct_sets(batches, k) -> Iterator[np.ndarray]:
-    """The sets of a partition, each once."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        for t in batch.column(0).to_pylist():
-            s = shingle_set(t, k)
-            if len(s) and (d := digest(s)) not in seen:
-                seen.add(d)
-                yield s
-
-
-def _repeated_rows(k):
-    """(s, n): shingles found in two or more sets of a chunk of the partition."""
-
-    def counted(held):
+    def counted(held, kind):
         s, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(s[n > 1].view(np.int64)), pa.array(n[n > 1])], ["s", "n"])
+        s, n = s[n > 1], n[n > 1]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(s), t) for t in (kind, pa.int64(), pa.int32(), pa.binary(), pa.int64())), pa.array(n), pa.array(s.view(np.int64))], _CLASS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-        for s in _distinct_sets(batches, k):
-            held.append(s)
-            total += len(s)
-            if total > CHUNK:
-                yield counted(held)
-                held, total = [], 0
+        seen, held, total, kind = set(), [], 0, None
+        for batch in batches:
+            keys, sizes, kind = [], [], batch.schema.types[0]
+            for s, d, fresh in _fresh(shingle_sets(batch.column(3).to_pylist(), k), seen):
+                keys.append(d)
+                sizes.append(len(s))
+                if fresh:
+                    held.append(s)
+                    total += len(s)
+                    if total > CHUNK:
+                        yield counted(held, kind)
+                        held, total = [], 0
+            short = [int.from_bytes(d[:8], "little", signed=True) if d else None for d in keys]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(keys, pa.binary()), pa.array(short, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(keys), pa.int64())], _CLASS)
         if held:
-            yield counted(held)
+            yield counted(held, kind)
 
     return run
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n + (-percent * n) // 100 + 1
+    return n + (-percent * n) // 100 - -n // COMMON
 
 
 def _prefix_rows(k, percent, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, rank = frequent.value
+        hint = np.zeros(1 << 23, bool)
+        hint[(listed >> np.uint64(41)).astype(np.int64)] = True
+        seen: set[bytes] = set()
         held: list[tuple[np.ndarray, bytes, int]] = []
 
         def flushed():
@@ -100,24 +104,44 @@ def _prefix_rows(k, percent, frequent):
                 [pa.array(np.concatenate([p for p, _, _ in held]).view(np.int64)), pa.array(np.repeat(short, size)), pa.array(np.repeat(np.array([n for _, _, n in held], np.int32), size))], ["s", "c", "n"]
             )
 
-        for s in _distinct_sets(batches, k):
-            at = np.minimum(np.searchsorted(listed, s), max(len(listed) - 1, 0))
-            order = np.argsort(np.where(listed[at] == s, rank[at], 0), kind="stable") if len(listed) else np.arange(len(s))
-            held.append((s[order[: prefix_length(len(s), percent)]], digest(s), len(s)))
-            if len(held) == 2000:
-                yield flushed()
-                held.clear()
+        def ordered(s: np.ndarray) -> np.ndarray:
+            maybe = np.flatnonzero(hint[(s >> np.uint64(41)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(listed, s[maybe]), len(listed) - 1)
+            found = listed[at] == s[maybe]
+            if not found.any():
+                return s
+            late = np.zeros(len(s), rank.dtype)
+            late[maybe[found]] = rank[at[found]]
+            return s[np.argsort(late, kind="stable")]
+
+        for batch in batches:
+            for s, d, fresh in _fresh(shingle_sets(batch.column(0).to_pylist(), k), seen):
+                if fresh:
+                    held.append(((ordered(s) if len(listed) else s)[: prefix_length(len(s), percent)], d, len(s)))
+                    if len(held) == 2000:
+                        yield flushed()
+                        held.clear()
         if held:
             yield flushed()
 
     return run
 
 
-def chained(shared: DataFrame, percent: int) -> DataFrame:
-    """Edges between neighbours, in order of size, among the classes that share a prefix shingle."""
+def candidate_edges(shared: DataFrame, percent: int) -> DataFrame:
+    """Edges (x, y) whose components hold all links, from rows (s, c, n, m) of prefix shingles and their m classes.
+
+    Where at most `FEW` classes share a shingle, each is paired with the others of fitting size, and pairs that share
+    too few shingles of their prefixes go. Where more do, neighbours in order of size are chained instead.
+    """
+    few = shared.where(F.col("m") <= FEW)
+    a, b = few.select("s", F.col("c").alias("x"), F.col("n").alias("nx")), few.select("s", F.col("c").alias("y"), F.col("n").alias("ny"))
+    fit = (F.col("x") < F.col("y")) & (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
+    pairs = a.join(b, "s").where(fit).groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.least("nx", "ny")).alias("least"))
+    pairs = pairs.where(F.col("n") >= F.ceil(F.col("least") / COMMON)).select("x", "y")
     order = Window.partitionBy("s").orderBy("n", "c")
-    e = shared.select("c", "n", F.lag("c").over(order).alias("x"), F.lag("n").over(order).alias("m"))
-    return e.where((F.col("x") != F.col("c")) & (F.col("m") * 100 >= F.col("n") * percent)).select("x", F.col("c").alias("y")).distinct()
+    e = shared.where(F.col("m") > FEW).select("c", "n", F.lag("c").over(order).alias("x"), F.lag("n").over(order).alias("k"))
+    chain = e.where((F.col("x") != F.col("c")) & (F.col("k") * 100 >= F.col("n") * percent)).select("x", F.col("c").alias("y")).distinct()
+    return pairs.unionByName(chain)
 
 
 class Forest:
@@ -241,20 +265,35 @@ def _linked_rows(k, percent):
     return run
 
 
-def _links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (x, y) of class digests inside blocks (c, block): texts of the representatives are sent to their blocks."""
-    wanted = blocks.join(classes, "c").select("rep", "block", "d")
-    wanted = wanted.select(F.col("rep.id").alias("_id"), F.col("rep.a").alias("_a"), F.col("rep.b").alias("_b"), "block", "d")
+def candidates(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(c, d, raw): the representatives' texts of the classes in `blocks`, as a written table.
+
+    A bit map of their text hashes, of fixed size, spares most other texts the shuffle of the join.
+    """
+    wanted = written(blocks.select("c").distinct().join(classes, "c").select("c", "d", "rep.*"), "wanted")
+    marks = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "a", MAP_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(is_marked(marks.value, batch.column(1).to_numpy())))
+
+    some = docs.mapInArrow(run, docs.schema)
+    w = wanted.select("c", "d", F.col("id").alias("_id"), F.col("a").alias("_a"), F.col("b").alias("_b"))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
-    rows = docs.join(wanted.hint("shuffle_hash"), same).select("block", "d", "raw")
+    return written(some.join(w, same).select("c", "d", "raw"), "candidates")
+
+
+def _links(texts: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (x, y) of class digests inside blocks (c, block), to whose tasks the texts are sent."""
+    rows = texts.join(blocks, "c").select("block", "d", "raw")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_linked_rows(k, percent), "x binary, y binary")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, block: int, frequent: int) -> DataFrame:
+def class_links(docs: DataFrame, classes: DataFrame, repeated: DataFrame, k: int, percent: int, block: int, frequent: int) -> DataFrame:
     """Links (x, y) whose components are the groups of linked classes."""
     spark = docs.sparkSession
     raw = docs.select("raw")
-    top = raw.mapInArrow(_repeated_rows(k), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(frequent).toArrow()
+    top = repeated.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(frequent).toArrow()
     listed = top.column("s").to_numpy().view(np.uint64)
     rank = np.arange(len(listed), 0, -1)
     by_hash = np.argsort(listed)
@@ -262,43 +301,45 @@ def class_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, block
     prefixes = raw.mapInArrow(_prefix_rows(k, percent, shipped), "s long, c long, n int").repartition("s")
     same = Window.partitionBy("s")
     shared = prefixes.withColumns({"lo": F.min("c").over(same), "hi": F.max("c").over(same)}).where("lo <> hi").select("s", "c", "n").distinct()
-    shared = written(shared, "prefixes")
+    shared = written(shared.withColumn("m", F.count("*").over(same)), "prefixes")
 
     def blocks_of(part: DataFrame) -> DataFrame:
-        found = components(chained(part, percent))
-        sizes = found.groupBy("root").agg(F.count("*").alias("members"))
-        return written(found.join(sizes, "root").select(F.col("node").alias("c"), "root", "members"), "blocks")
+        found = components(candidate_edges(part, percent)).withColumnRenamed("node", "c").join(first, "c")
+        sizes = found.groupBy("root").agg(F.sum("n").alias("total"))
+        return written(found.join(sizes, "root").select("c", "root", "n", "s", "total"), "blocks")
 
+    first = shared.groupBy("c").agg(F.min("s").alias("s"), F.first("n").alias("n"))
     blocks = blocks_of(shared)
-    fits = blocks.where(F.col("members") <= block).select("c", F.concat_ws(":", F.lit("0"), "root").alias("block"))
-    links = _links(docs, classes, fits, k, percent)
-    large = blocks.where(F.col("members") > block)
+    texts = candidates(docs, classes, blocks)
+    fits = blocks.where(F.col("total") <= block).select("c", F.concat_ws(":", F.lit("0"), "root").alias("block"))
+    links = _links(texts, fits, k, percent)
+    large = blocks.where(F.col("total") > block)
     if large.isEmpty():
         return links
-    nth = F.row_number().over(Window.partitionBy("root").orderBy("n", "s"))
-    first = shared.groupBy("c").agg(F.min("s").alias("s"), F.first("n").alias("n"))
-    pieces = large.join(first, "c").select("c", F.concat_ws(":", F.lit("1"), "root", F.floor((nth - 1) / block)).alias("block"))
-    links = written(links.unionByName(_links(docs, classes, pieces, k, percent)), "links")
+    ahead = F.sum("n").over(Window.partitionBy("root").orderBy("n", "s", "c").rowsBetween(Window.unboundedPreceding, -1))
+    piece = F.floor(F.coalesce(ahead, F.lit(0)) / block)
+    pieces = large.select("c", F.concat_ws(":", F.lit("1"), "root", piece).alias("block"))
+    links = written(links.unionByName(_links(texts, pieces, k, percent)), "links")
     labels = components(links)
     label = classes.join(labels, F.col("d") == F.col("node"), "left").select("c", F.coalesce("root", "d").alias("label"))
     apart = shared.join(large.select("c"), "c", "left_semi").join(label, "c")
-    apart = apart.withColumns({"lo": F.min("label").over(same), "hi": F.max("label").over(same)}).where("lo <> hi").select("s", "c", "n").distinct()
+    apart = apart.withColumns({"lo": F.min("label").over(same), "hi": F.max("label").over(same)}).where("lo <> hi").select("s", "c", "n", "m").distinct()
     rest = blocks_of(written(apart, "apart"))
-    parts = F.greatest(F.ceil(F.col("members") * 2 / block), F.lit(1)).cast("int")
-    parts = F.when(F.col("members") <= block, 1).otherwise(parts)
+    parts = F.when(F.col("total") <= block, 1).otherwise(F.ceil(F.col("total") * 2 / block)).cast("int")
     rest = rest.withColumns({"parts": parts, "part": F.pmod(F.hash("c"), parts)})
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     name = F.concat_ws(":", F.lit("2"), "root", F.least("part", "other"), F.greatest("part", "other"))
-    return links.unionByName(_links(docs, classes, rest.select("c", name.alias("block")), k, percent))
+    return links.unionByName(_links(texts, rest.select("c", name.alias("block")), k, percent))
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, block: int = BLOCK, frequent: int = FREQUENT) -> DataFrame:
     """(id, a, b, n_shingles, group, component_id): one row for each input row; `group` is null for texts without words."""
     docs = keyed(df, id_col, text_col)
     kind = dict(df.dtypes)[id_col]
-    rows = written(docs.mapInArrow(_class_rows(k), f"id {kind}, a long, b int, d binary, c long, n long"), "classes")
+    told = written(docs.mapInArrow(_class_rows(k), f"id {kind}, a long, b int, d binary, c long, n long, s long"), "classes")
+    rows, repeated = told.where("s is null").drop("s"), told.where("s is not null").select("s", "n")
     classes = written(rows.where("n > 0").groupBy("d").agg(F.min("c").alias("c"), F.min(F.struct("id", "a", "b")).alias("rep"), F.min("id").alias("least")), "class")
-    labels = written(components(class_links(docs, classes, k, percent, block, frequent)), "labels")
+    labels = written(components(class_links(docs, classes, repeated, k, percent, block, frequent)), "labels")
     named = classes.join(labels.withColumnRenamed("node", "d"), "d", "left").select("d", F.coalesce("root", "d").alias("group"), "least")
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
     named = named.join(least, "group").select("d", "group", "component_id")
