@@ -1,0 +1,68 @@
+"""Placement of decoupling capacitors: impedance reduction, validity of placements and a genetic search, in numpy.
+
+These kernels work on one small impedance cube (frequency, port, port); many cubes run as groups of a DataFrame.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def reduced(z: np.ndarray, decap: np.ndarray, ports: list[int]) -> np.ndarray:
+    """The cube after capacitors of impedance `decap` (frequency) close some ports; their rows and columns go."""
+    if not len(ports):
+        return z
+    rest = np.setdiff1d(np.arange(z.shape[1]), ports)
+    eye = np.eye(len(ports))
+    load = z[:, ports][:, :, ports] + decap[:, None, None] * eye
+    return z[:, rest][:, :, rest] - z[:, rest][:, :, ports] @ np.linalg.solve(load, z[:, ports][:, :, rest])
+
+
+def reward(before: np.ndarray, after: np.ndarray, frequency: np.ndarray) -> float:
+    """Weighted mean fall of a probe's impedance; low frequencies count more."""
+    return float(((np.abs(before) - np.abs(after)) / frequency).sum() / (1 / frequency).sum())
+
+
+def feasible(ports: np.ndarray, n: int, keep_out: set[int], probe: int) -> bool:
+    return len(set(ports.tolist())) == len(ports) and not set(ports.tolist()) & (keep_out | {probe}) and bool((ports < n).all())
+
+
+def repaired(ports: np.ndarray, n: int, keep_out: set[int], probe: int, rng) -> np.ndarray:
+    """A placement whose second occurrences and forbidden ports are replaced by free ones."""
+    bad = keep_out | {probe}
+    out, used = ports.copy(), set()
+    for i, p in enumerate(ports.tolist()):
+        if p in used or p in bad:
+            free = np.array(sorted(set(range(n)) - used - bad - set(ports.tolist())))
+            p = out[i] = int(rng.choice(free))
+        used.add(p)
+    return out
+
+
+def crossed(a: np.ndarray, b: np.ndarray, rng) -> np.ndarray:
+    cut = int(rng.integers(1, len(a)))
+    return np.r_[a[:cut], b[cut:]]
+
+
+def genetic(z: np.ndarray, decap: np.ndarray, frequency: np.ndarray, probe: int, keep_out: set[int], k: int, rng, size: int = 20, rounds: int = 10, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """The best placement of k capacitors and its reward: better half, elites, crossover, mutation, repair."""
+    n = z.shape[1]
+    free = np.array(sorted(set(range(n)) - keep_out - {probe}))
+
+    def value(ports):
+        after = reduced(z, decap, ports.tolist())
+        at = int(np.searchsorted(np.setdiff1d(np.arange(n), ports), probe))
+        return reward(z[:, probe, probe], after[:, at, at], frequency)
+
+    people = [rng.choice(free, k, replace=False) for _ in range(size)]
+    for _ in range(rounds):
+        people.sort(key=value, reverse=True)
+        parents = people[: max(2, size // 2)]
+        children = []
+        while len(children) < size - 2:
+            child = crossed(*(parents[i] for i in rng.choice(len(parents), 2, replace=False)), rng)
+            child = np.where(rng.random(k) < rate, rng.choice(free, k), child)
+            children.append(repaired(child, n, keep_out, probe, rng))
+        people = people[:2] + children
+    best = max(people, key=value)
+    return best, value(best)
