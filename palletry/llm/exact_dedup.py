@@ -64,8 +64,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows that an equal text with a larger id (or, at the same id, one equal row) replaces."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
-    tagged = docs.withColumn("_key", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    found = tagged.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")), "left_semi")
-    first = Window.partitionBy(id_col, "_key").orderBy(F.lit(0))
-    return found.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    kept = exact_groups(docs, id_col, text_col).where("kept").select("id", "digest")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))  # so no column can clash
+    text = F.coalesce(F.col("doc")[text_col], F.lit(""))
+    tagged = rows.select("doc", F.col("doc")[id_col].alias("doc_key"), F.unhex(F.sha2(text, 256)).alias("text_key"))
+    found = tagged.join(kept, F.col("doc_key").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("digest")), "left_semi")
+    first = Window.partitionBy("doc_key", "text_key").orderBy(F.lit(0))
+    return found.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("doc.*")

@@ -129,7 +129,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     p = p.select(F.col("key").alias("_key"), "_nth", "target", "nth", F.explode(uses).alias("_at"))
     when = F.coalesce(time_of(F.least(F.col("_at") / F.nullif(F.col("target"), F.lit(0.0)), F.lit(1.0)), F.col("nth"), curriculum), F.lit(1.0))
     p = p.select("_key", "_nth", when.alias("_position"))
-    rows = docs.withColumn("_key", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))  # so no column can clash
+    rows = rows.withColumn("_key", F.md5(F.coalesce(F.col("doc")[id_col].cast("string"), F.lit(""))))
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
     mix = rows.join(p, ["_key", "_nth"])
-    return mix.orderBy("_position", "_key", "_nth").select(*docs.columns)
+    return mix.orderBy("_position", "_key", "_nth").select("doc.*")

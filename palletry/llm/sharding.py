@@ -53,5 +53,6 @@ def place(df: DataFrame, key_col: str, shards: list[str], slots: int = SLOTS, sl
     table = spark.range(1).select(F.posexplode(F.split(F.lit(claims), ",")).alias("_slot", "_claim"))
     names = F.split(F.lit("\n".join(shards)), "\n")
     table = table.select(F.col("_slot").cast("long"), F.element_at(names, F.col("_claim").cast("int") + 1).alias("_name"))
-    placed = df.withColumn("_at", slot_of(F.col(key_col), slots)).join(F.broadcast(table), F.col("_at") == F.col("_slot"))
-    return placed.select(*df.columns, F.col("_at").alias(slot_name), F.col("_name").alias(shard_name))
+    rows = df.select(F.struct(*df.columns).alias("row"))  # so no column can clash
+    placed = rows.withColumn("_at", slot_of(F.col("row")[key_col], slots)).join(F.broadcast(table), F.col("_at") == F.col("_slot"))
+    return placed.select("row.*", F.col("_at").alias(slot_name), F.col("_name").alias(shard_name))

@@ -375,13 +375,14 @@ _SCORERS: dict[int, Scorer] = {}
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """`docs` with a column `score`, 0 to 1."""
+    """`docs` with a column `score`, 0 to 1, in place of any that has this name."""
     model = fitted(docs, labels, id_col, text_col, label_col)
+    kept = [c for c in docs.columns if c != "score"]
     if isinstance(model, float):
-        return docs.withColumn("score", F.lit(model))
+        return docs.select(*kept, F.lit(model).alias("score"))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.withColumn("score", F.lit(0.0)).schema
-    at = docs.columns.index(text_col)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    schema = rows.select("doc", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = id(shipped.value)
@@ -389,7 +390,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(shipped.value)
         for batch in batches:
-            values = list(_SCORERS[key].scores([str(t) if t is not None else "" for t in batch.column(at).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "score"])
+            values = list(_SCORERS[key].scores([t or "" for t in batch.column(1).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*[F.col("doc")[c].alias(c) for c in kept], "score")

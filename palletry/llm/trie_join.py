@@ -352,10 +352,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(grouped(docs, id_col, text_col, **options), "groups")
     keep = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "a", "b")).alias("k"))
     keep = keep.select(F.col("k.id").alias("_i"), F.col("k.a").alias("_a"), F.col("k.b").alias("_b"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    tagged = docs.withColumns({"_x": F.xxhash64(text), "_y": F.hash(text)})
-    found = tagged.join(keep, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")))
-    first = Window.partitionBy(id_col, "_x", "_y").orderBy(F.lit(0))
-    found = found.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    docs_ = docs.select(F.struct(*docs.columns).alias("doc"))  # so no column can clash
+    text = F.coalesce(F.col("doc")[text_col].cast("string"), F.lit(""))
+    tagged = docs_.select("doc", F.col("doc")[id_col].alias("_id"), F.xxhash64(text).alias("_x"), F.hash(text).alias("_y"))
+    found = tagged.join(keep, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")))
+    first = Window.partitionBy("_id", "_x", "_y").orderBy(F.lit(0))
+    found = found.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select("doc.*")
     wordless = docs.where(~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return found.unionByName(wordless)
