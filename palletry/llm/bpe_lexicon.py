@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from palletry.llm.common import prefix_hash, span_hash
 
-LEXICON_WORDS, CACHED_CHUNKS, SLICE, SHORT = 196_608, 300_000, 256, 48
+LEXICON_WORDS, CACHED_CHUNKS, SLICE, SHORT = 196_608, 200_000, 256, 48
 NONE = np.int64(1 << 40)
 #: White space for `str.split`, but not for the tokenizer's pattern.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -314,11 +314,12 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(shipped) -> Encoder:
-    """This worker's encoder for what was broadcast; one is kept, with its cache, across tasks."""
+    """This worker's encoder for what was broadcast; one is kept across tasks, each of which fills a cache of its own."""
     name, source, lexicon = shipped.value
     if name not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[name] = Encoder(Model(source), Lexicon(lexicon) if lexicon else None)
+    _ENCODERS[name].cache = {}
     return _ENCODERS[name]
 
 

@@ -29,7 +29,7 @@ from palletry.llm.common import mixed
 WINDOW, STRIDE, HIDDEN, WORD_SIZE, CHAR_SIZE, ATTENTION = 64, 48, 8, 8, 8, 8
 VOCABULARY, TRIGRAMS, TRAIN_ROWS, TRAIN_WINDOWS = 50_000, 1 << 13, 4_000, 48
 ROUNDS, STEPS, BATCH, RATE, EMBEDDING_RATE = 5, 50, 192, 0.01, 0.02
-CACHED_WORDS, SLICE_WINDOWS = 200_000, 2048
+CACHED_WORDS, SLICE_WINDOWS = 120_000, 1024
 EDGES = ".,;:!?|\"'`´()[]{}<>*&$%#@~^=+-_/\\…“”„«»¡¿"
 
 
@@ -261,7 +261,7 @@ class Scorer:
         at = 0
         while at < len(texts):
             part, total = [], 0
-            while at < len(texts) and (not part or total < 250_000):
+            while at < len(texts) and (not part or total < 200_000):
                 part.append(texts[at])
                 total += len(texts[at])
                 at += 1
@@ -371,9 +371,6 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return trained([t or "" for t in sample.column("_text").to_pylist()], y)
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """`docs` with a column `score`, 0 to 1, in place of any that has this name."""
     model = fitted(docs, labels, id_col, text_col, label_col)
@@ -385,12 +382,9 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     schema = rows.select("doc", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shipped.value)
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shipped.value)
+        scorer = Scorer(shipped.value)
         for batch in batches:
-            values = list(_SCORERS[key].scores([t or "" for t in batch.column(1).to_pylist()]))
+            values = list(scorer.scores([t or "" for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc", "score"])
 
     return rows.mapInArrow(run, schema).select(*[F.col("doc")[c].alias(c) for c in kept], "score")
