@@ -67,7 +67,8 @@ def error_report(judged: DataFrame, gt: str = "gt") -> DataFrame:
 def typical_errors(judged: DataFrame, order: str = "dispatch_id", gt: str = "gt", n: int = 2) -> DataFrame:
     """The n most typical errors of each kind: frequent reason, high fill, many items, many types, small id."""
     e = judged.where((F.col(gt) == 1) != F.col("feasible")).withColumn("kind", F.when(F.col(gt) == 1, "FN").otherwise("FP"))
-    e = e.withColumn("reason_n", F.count("*").over(Window.partitionBy("kind", "reason")))
+    counts = e.groupBy("kind", "reason").agg(F.count("*").alias("reason_n"))
+    e = e.join(F.broadcast(counts), ["kind", "reason"])  # two kinds of eight reasons
     by = [F.desc("reason_n"), F.desc(F.round("fill_ratio", 9)), F.desc("item_count"), F.desc("distinct_types"), F.col(order)]
     e = e.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(*by)))
     return e.where(F.col("rank") <= n).select("kind", "rank", order, "reason", "reason_n", "fill_ratio", "item_count", "distinct_types")
