@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -21,11 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _tidy() -> None:
+    """At the end of the process the tables it wrote go, if the session still lives; results read from them must not."""
+    for spark, path in _TABLES:
+        with contextlib.suppress(Exception):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: lineage is cut and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palletry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

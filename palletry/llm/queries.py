@@ -114,6 +114,19 @@ SELECT doc_id, size, source_size, target, taken,
 FROM q
 """
 
+OP2_SQL = """
+WITH RECURSIVE s AS (SELECT i, ('0x' || SUBSTR(MD5('offset:' || name), 1, 15))::BIGINT % 8191 AS off, ('0x' || SUBSTR(MD5('skip:' || name), 1, 15))::BIGINT % 8190 + 1 AS skip
+  FROM (SELECT i, 'shard-' || LPAD(i::VARCHAR, 3, '0') AS name FROM RANGE(64) r(i))),
+fill AS (SELECT 0::BIGINT AS turn, (SELECT LIST(-1::SMALLINT) FROM RANGE(8191)) AS t
+  UNION ALL
+  SELECT turn + 1, t[:slot] || [i::SMALLINT] || t[slot + 2:] FROM (
+    SELECT turn, t, i, (off + LIST_POSITION(LIST_TRANSFORM(RANGE(8191), lambda j: t[(off + j * skip) % 8191 + 1]), -1) * skip - skip) % 8191 AS slot
+    FROM fill JOIN s ON s.i = turn % 64 WHERE turn < 8191)),
+lookup AS (SELECT UNNEST(RANGE(8191)) AS slot, UNNEST(t) AS claim FROM fill WHERE turn = 8191),
+d AS (SELECT doc_id, ('0x' || SUBSTR(MD5(COALESCE(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 8191 AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || LPAD(claim::VARCHAR, 3, '0') AS shard FROM d JOIN lookup USING (slot)
+"""
+
 OP6_SQL = """
 WITH d AS (SELECT doc_id, COALESCE(text, '') AS text FROM documents)
 SELECT doc_id, MAX(doc_id) OVER (PARTITION BY text) AS keep_id, COUNT(*) OVER (PARTITION BY text) AS group_size,
@@ -135,4 +148,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL}
+    return {"op2_sharding": OP2_SQL, "op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL}
