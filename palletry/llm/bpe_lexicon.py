@@ -32,10 +32,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from palletry.llm.common import prefix_hash, span_hash
+from palletry.llm.common import prefix_hash, slices, span_hash
 
-LEXICON_WORDS, CACHED_CHUNKS, SLICE, SHORT = 196_608, 200_000, 256, 48
+LEXICON_WORDS, CACHED_CHUNKS, SLICE, SHORT = 196_608, 150_000, 256, 48
 NONE = np.int64(1 << 40)
+MARKS = frozenset(".,;:!?")
 #: White space for `str.split`, but not for the tokenizer's pattern.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
@@ -171,7 +172,7 @@ class Lexicon:
         """Add words in order; a branch that no later word can extend is replaced by its equal, if one exists."""
         register: dict[tuple, int] = {}
         arcs: list[dict[int, int]] = [{}]
-        final = [False]
+        final, free = [False], []
         spine: list[tuple[int, int, int]] = []  # (state, byte, next state) along the last word
 
         def close(depth: int) -> None:
@@ -179,6 +180,9 @@ class Lexicon:
                 state, byte, to = spine.pop()
                 twin = register.setdefault((final[to], tuple(arcs[to].items())), to)
                 arcs[state][byte] = twin
+                if twin != to:
+                    arcs[to] = {}
+                    free.append(to)
 
         before = b""
         for word in sorted(entries):
@@ -186,11 +190,16 @@ class Lexicon:
             close(shared)
             state = spine[-1][2] if spine else 0
             for byte in word[shared:]:
-                arcs.append({})
-                final.append(False)
-                arcs[state][byte] = len(arcs) - 1
-                spine.append((state, byte, len(arcs) - 1))
-                state = len(arcs) - 1
+                if free:
+                    new = free.pop()
+                    final[new] = False
+                else:
+                    new = len(arcs)
+                    arcs.append({})
+                    final.append(False)
+                arcs[state][byte] = new
+                spine.append((state, byte, new))
+                state = new
             final[state] = True
             before = word
         close(0)
@@ -289,7 +298,14 @@ class Encoder:
 
     def _learn(self, chunks: set) -> None:
         new = [c for c in chunks if isinstance(c, str)]
-        pieces = [[p.encode() for p in self.model.pieces(c)] for c in new]
+        pieces = []
+        for c in new:  # letters are one piece, as is a mark after them that can't begin a contraction
+            if c.isalpha():
+                pieces.append((c.encode(),))
+            elif c[-1:] in MARKS and c[:-1].isalpha():
+                pieces.append((c[:-1].encode(), c[-1].encode()))
+            else:
+                pieces.append(tuple(p.encode() for p in self.model.pieces(c)))
         distinct = list({p for ps in pieces for p in ps})
         found = self.lexicon.lookup(distinct) if self.lexicon else [None] * len(distinct)
         ids = dict(zip(distinct, found))
@@ -319,7 +335,6 @@ def _encoder(shipped) -> Encoder:
     if name not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[name] = Encoder(Model(source), Lexicon(lexicon) if lexicon else None)
-    _ENCODERS[name].cache = {}
     return _ENCODERS[name]
 
 
@@ -340,7 +355,7 @@ def _letter_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         return h, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
-    for batch in batches:
+    for batch in slices(batches, 1024):
         texts = [t.encode() for t in batch.column(0).to_pylist() if t]
         for i in range(0, len(texts), 1024):
             b = _LOWER[np.frombuffer(b"\n".join(texts[i : i + 1024]), np.uint8)]
@@ -386,9 +401,10 @@ def encoded(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(files)
-        for batch in batches:
+        for batch in slices(batches):
             ids = list(encoder.encode([t or "" for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+        encoder.cache = {}
 
     kind = dict(df.dtypes)[id_col]
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, ids array<int>")
@@ -400,7 +416,7 @@ def decoded(df: DataFrame, model_path: str, id_col: str = "id", ids_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _encoder(files).model
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     return df.select(id_col, ids_col).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, text string")
@@ -414,13 +430,14 @@ def round_trip_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", t
         encoder = _encoder(files)
         decimal, decode = encoder.model.decimal.__getitem__, encoder.model.decode
         hexed = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b = [], [], []
             for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
                 n.append(len(ids))
                 a.append(hexed(" ".join(map(decimal, ids))))
                 b.append(hexed(decode(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.cache = {}
 
     kind = dict(df.dtypes)[id_col]
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -156,3 +156,15 @@ def bit_map(df: DataFrame, column: str, bits: int) -> np.ndarray:
 def is_marked(marks: np.ndarray, values: np.ndarray) -> np.ndarray:
     slot = values.view(np.uint64) & np.uint64(len(marks) * 64 - 1)
     return (marks[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut into small ones, so that only few rows at a time become Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def row_key(id_value: Column, text: Column) -> Column:
+    """One key column, never null, for a row's id and text: joins and windows on it share a shuffle."""
+    return F.md5(F.concat_ws(":", F.coalesce(id_value.cast("string"), F.lit("none")), F.md5(F.coalesce(text.cast("string"), F.lit("")))))

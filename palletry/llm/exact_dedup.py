@@ -15,18 +15,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from palletry.llm.common import written
+from palletry.llm.common import row_key, written
 
 TOP_K, TRACKED, LANES = 1024, 4096, 32
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, digest): `row` tells apart rows that agree in everything."""
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bool = False) -> DataFrame:
+    """(id, row, digest) and, if wanted, the row's key: `row` tells apart rows that agree in everything."""
     return written(
         df.select(
             F.col(id_col).alias("id"),
             F.monotonically_increasing_id().alias("row"),
             F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest"),
+            *([row_key(F.col(id_col), F.col(text_col)).alias("key")] if key else []),
         ),
         "digests",
     )
@@ -40,9 +41,9 @@ def frequent(d: DataFrame, top_k: int = TOP_K, tracked: int = TRACKED) -> DataFr
     return merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {top_k})")).alias("t")).select(F.unhex("t.item").alias("digest"))
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, digest, keep_id, group_size, kept): one row for each input row."""
-    d = digests(df, id_col, text_col)
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bool = False) -> DataFrame:
+    """(id, row, digest, keep_id, group_size, kept) and, if wanted, the key: one row for each input row."""
+    d = digests(df, id_col, text_col, key)
     if d.isEmpty():
         heavy = d.select("digest")
     else:
@@ -59,15 +60,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         {"keep": F.max(F.struct("id", "row")).over(group), "group_size": F.count("*").over(group)}
     )
     both = d.join(winners, "digest").unionByName(rest)
-    return both.select("id", "row", "digest", F.col("keep.id").alias("keep_id"), "group_size", (F.col("keep.row") == F.col("row")).alias("kept"))
+    return both.select("id", "row", "digest", *(["key"] if key else []), F.col("keep.id").alias("keep_id"), "group_size", (F.col("keep.row") == F.col("row")).alias("kept"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows that an equal text with a larger id (or, at the same id, one equal row) replaces."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select("id", "digest")
+    groups = exact_groups(docs, id_col, text_col, key=True).where("kept").select("key")
     rows = docs.select(F.struct(*docs.columns).alias("doc"))  # so no column can clash
-    text = F.coalesce(F.col("doc")[text_col], F.lit(""))
-    tagged = rows.select("doc", F.col("doc")[id_col].alias("doc_key"), F.unhex(F.sha2(text, 256)).alias("text_key"))
-    found = tagged.join(kept, F.col("doc_key").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("digest")), "left_semi")
-    first = Window.partitionBy("doc_key", "text_key").orderBy(F.lit(0))
-    return found.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("doc.*")
+    rows = rows.withColumn("key", row_key(F.col("doc")[id_col], F.col("doc")[text_col]))
+    first = Window.partitionBy("key").orderBy(F.lit(0))
+    return rows.join(groups, "key", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("doc.*")

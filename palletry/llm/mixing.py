@@ -132,5 +132,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("doc"))  # so no column can clash
     rows = rows.withColumn("_key", F.md5(F.coalesce(F.col("doc")[id_col].cast("string"), F.lit(""))))
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
-    mix = rows.join(p, ["_key", "_nth"])
-    return mix.orderBy("_position", "_key", "_nth").select("doc.*")
+    p = p.withColumnsRenamed({"_key": "_k", "_nth": "_n"})
+    mine = (F.col("_key") == F.col("_k")) & (F.col("_nth") - F.col("_n") == 0)  # one key, so the window's shuffle serves
+    return rows.join(p, mine).orderBy("_position", "_key", "_nth").select("doc.*")

@@ -29,9 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palletry.llm.common import bit_map, is_marked, mixed, prefix_hash, span_hash, written
+from palletry.llm.common import bit_map, is_marked, mixed, prefix_hash, slices, span_hash, written
 
-LENGTH, GRAM, SHALLOW, HOT, HOT_GRAMS, MAP_BITS = 200, 64, 3, 50_000, 1024, 26
+LENGTH, GRAM, SHALLOW, HOT, HOT_GRAMS, MAP_BITS = 200, 64, 3, 100_000, 1024, 26
 SLICE_BYTES, GROUP_ROWS = 1_000_000, 20_000
 
 
@@ -206,7 +206,7 @@ def repeated_offsets(group: np.ndarray, left: np.ndarray, n_left: np.ndarray, ri
 def _anchor_batches(batches, length, gram):
     """Slices of texts, each distinct text of a partition once, with their anchors."""
     seen: set[tuple[int, int]] = set()
-    for batch in batches:
+    for batch in slices(batches):
         a, b, raw = (batch.column(i).to_pylist() for i in range(3))
         fresh = []
         for i, t in enumerate(raw):
@@ -324,7 +324,8 @@ def _compared(length, gram):
         n_left = np.minimum(pos, reach).astype(np.int64)
         n_right = offset[1:] - offset[:-1] - n_left
         home = offset[:-1] + n_left
-        _, once = np.unique(np.rec.fromarrays([g, a, b, pos]), return_index=True)
+        order = np.lexsort((pos, b, a, g))
+        once = order[np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in (g, a, b, pos)], 0)]]
         g, a, b, pos, n_left, n_right, home = (x[once] for x in (g, a, b, pos, n_left, n_right, home))
         back, on = np.arange(1, reach + 1), np.arange(length)
         left, right = np.zeros((len(g), reach), np.uint8), np.zeros((len(g), length), np.uint8)
@@ -401,7 +402,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     both = docs.join(spans, ["a", "b"], "left").select("id", "raw", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kept, counts = [], []
             for raw, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 left, gone, runs = _kept(raw, [(x["start"], x["end"]) for x in s or ()])

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from palletry.llm.common import slices
+
 RULES = ("first", "last", "largest", "split")
 _ENCODERS: dict[tuple[int, str], tuple] = {}
 
@@ -108,7 +110,7 @@ def section_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, sizes = _encoder(shipped.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             given = batch.column(2).to_pylist() if sections_col else None
             for lo in range(0, len(texts), 512):

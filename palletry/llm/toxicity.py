@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palletry.llm.common import mixed
+from palletry.llm.common import mixed, slices
 
 WINDOW, STRIDE, HIDDEN, WORD_SIZE, CHAR_SIZE, ATTENTION = 64, 48, 8, 8, 8, 8
 VOCABULARY, TRIGRAMS, TRAIN_ROWS, TRAIN_WINDOWS = 50_000, 1 << 13, 4_000, 48
@@ -281,7 +281,8 @@ def log_odds(toxic: Counter, clean: Counter, n1: int, n0: int, names: list) -> n
 def trained(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     """A network fitted to whole texts with labels 0 and 1."""
     rng = np.random.default_rng(seed)
-    tokens = [[canonical(t) for t in x.lower().split()] for x in texts]
+    pool: dict[str, str] = {}
+    tokens = [[pool.setdefault(t, t) for t in map(canonical, x.lower().split())] for x in texts]
     words, grams = (Counter(), Counter()), (Counter(), Counter())
     for t, y in zip(tokens, labels):
         own = list(set(t))
@@ -383,7 +384,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)
-        for batch in batches:
+        for batch in slices(batches):
             values = list(scorer.scores([t or "" for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc", "score"])
 

@@ -27,19 +27,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from palletry.llm.common import bit_map, is_marked, shingle_set, shingle_sets, written
+from palletry.llm.common import bit_map, is_marked, row_key, shingle_set, shingle_sets, slices, written
 from palletry.llm.components import components
 
-K, PERCENT, FREQUENT, BLOCK, CHUNK, MAP_BITS = 5, 80, 1 << 19, 500_000, 500_000, 26
+K, PERCENT, FREQUENT, BLOCK, CHUNK, MAP_BITS = 5, 80, 1 << 20, 800_000, 500_000, 26
 FEW, COMMON = 16, 20
 
 
-_CLASS = ["id", "a", "b", "d", "c", "n", "s"]
+_CLASS = ["id", "a", "b", "key", "d", "c", "n", "s"]
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("a"), F.hash(text).alias("b"), text.cast("binary").alias("raw"))
+    key = row_key(F.col(id_col), F.col(text_col))
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("a"), F.hash(text).alias("b"), text.cast("binary").alias("raw"), key.alias("key"))
 
 
 def digest(shingles: np.ndarray) -> bytes:
@@ -62,11 +63,11 @@ def _class_rows(k):
     def counted(held, kind):
         s, n = np.unique(np.concatenate(held), return_counts=True)
         s, n = s[n > 1], n[n > 1]
-        return pa.RecordBatch.from_arrays([*(pa.nulls(len(s), t) for t in (kind, pa.int64(), pa.int32(), pa.binary(), pa.int64())), pa.array(n), pa.array(s.view(np.int64))], _CLASS)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(s), t) for t in (kind, pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int64())), pa.array(n), pa.array(s.view(np.int64))], _CLASS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, total, kind = set(), [], 0, None
-        for batch in batches:
+        for batch in slices(batches):
             keys, sizes, kind = [], [], batch.schema.types[0]
             for s, d, fresh in _fresh(shingle_sets(batch.column(3).to_pylist(), k), seen):
                 keys.append(d)
@@ -78,7 +79,7 @@ def _class_rows(k):
                         yield counted(held, kind)
                         held, total = [], 0
             short = [int.from_bytes(d[:8], "little", signed=True) if d else None for d in keys]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(keys, pa.binary()), pa.array(short, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(keys), pa.int64())], _CLASS)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 4)), pa.array(keys, pa.binary()), pa.array(short, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(keys), pa.int64())], _CLASS)
         if held:
             yield counted(held, kind)
 
@@ -114,7 +115,7 @@ def _prefix_rows(k, percent, frequent):
             late[maybe[found]] = rank[at[found]]
             return s[np.argsort(late, kind="stable")]
 
-        for batch in batches:
+        for batch in slices(batches):
             for s, d, fresh in _fresh(shingle_sets(batch.column(0).to_pylist(), k), seen):
                 if fresh:
                     held.append(((ordered(s) if len(listed) else s)[: prefix_length(len(s), percent)], d, len(s)))
@@ -166,15 +167,16 @@ def linked_roots(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
     m = len(sets)
     size = np.array([len(s) for s in sets])
     _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
+    rank = np.empty(len(count), np.int32)
     rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
     paths = [np.sort(x) for x in np.split(rank[token], np.cumsum(size)[:-1])]
+    del token
     order = sorted(range(m), key=lambda i: paths[i].astype(">u4").tobytes())
     paths, length = [paths[i] for i in order], size[order]
     # Flat trie: a node is a shingle at a depth, shared by the rows from `begin` to `end`.
-    nodes, begins, depths, open_, made, before = [], [], [], np.zeros(int(length.max()), np.int64), 0, None
+    nodes, begins, depths, open_, made, before = [], [], [], np.zeros(int(length.max()), np.int32), 0, None
     total = int(length.sum())
-    end = np.full(total, m, np.int64)
+    end = np.full(total, m, np.int32)
     for i, p in enumerate(paths):
         common = 0
         if before is not None:
@@ -185,8 +187,8 @@ def linked_roots(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
         fresh = len(p) - common
         open_[common : len(p)] = np.arange(made, made + fresh)
         nodes.append(p[common:])
-        begins.append(np.full(fresh, i))
-        depths.append(np.arange(common, len(p)))
+        begins.append(np.full(fresh, i, np.int32))
+        depths.append(np.arange(common, len(p), dtype=np.int32))
         made += fresh
         before = p
     node, begin, depth, end = np.concatenate(nodes), np.concatenate(begins), np.concatenate(depths), end[:made]
@@ -250,7 +252,7 @@ def _linked_rows(k, percent):
             pairs.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for block, d, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if block != key:
                     closed()
@@ -274,13 +276,11 @@ def candidates(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFr
     marks = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "a", MAP_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             yield batch.filter(pa.array(is_marked(marks.value, batch.column(1).to_numpy())))
 
     some = docs.mapInArrow(run, docs.schema)
-    w = wanted.select("c", "d", F.col("id").alias("_id"), F.col("a").alias("_a"), F.col("b").alias("_b"))
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
-    return written(some.join(w, same).select("c", "d", "raw"), "candidates")
+    return written(some.join(wanted.select("c", "d", "key"), "key").select("c", "d", "raw"), "candidates")
 
 
 def _links(texts: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
@@ -295,7 +295,7 @@ def class_links(docs: DataFrame, classes: DataFrame, repeated: DataFrame, k: int
     raw = docs.select("raw")
     top = repeated.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(frequent).toArrow()
     listed = top.column("s").to_numpy().view(np.uint64)
-    rank = np.arange(len(listed), 0, -1)
+    rank = np.arange(len(listed), 0, -1, dtype=np.int32)
     by_hash = np.argsort(listed)
     shipped = spark.sparkContext.broadcast((listed[by_hash], rank[by_hash]))
     prefixes = raw.mapInArrow(_prefix_rows(k, percent, shipped), "s long, c long, n int").repartition("s")
@@ -333,30 +333,27 @@ def class_links(docs: DataFrame, classes: DataFrame, repeated: DataFrame, k: int
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, block: int = BLOCK, frequent: int = FREQUENT) -> DataFrame:
-    """(id, a, b, n_shingles, group, component_id): one row for each input row; `group` is null for texts without words."""
+    """(id, a, b, key, n_shingles, group, component_id): one row for each input row; `group` is null for texts without words."""
     docs = keyed(df, id_col, text_col)
     kind = dict(df.dtypes)[id_col]
-    told = written(docs.mapInArrow(_class_rows(k), f"id {kind}, a long, b int, d binary, c long, n long, s long"), "classes")
+    told = written(docs.mapInArrow(_class_rows(k), f"id {kind}, a long, b int, key string, d binary, c long, n long, s long"), "classes")
     rows, repeated = told.where("s is null").drop("s"), told.where("s is not null").select("s", "n")
-    classes = written(rows.where("n > 0").groupBy("d").agg(F.min("c").alias("c"), F.min(F.struct("id", "a", "b")).alias("rep"), F.min("id").alias("least")), "class")
+    classes = written(rows.where("n > 0").groupBy("d").agg(F.min("c").alias("c"), F.min(F.struct("id", "a", "b", "key")).alias("rep"), F.min("id").alias("least")), "class")
     labels = written(components(class_links(docs, classes, repeated, k, percent, block, frequent)), "labels")
     named = classes.join(labels.withColumnRenamed("node", "d"), "d", "left").select("d", F.coalesce("root", "d").alias("group"), "least")
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
     named = named.join(least, "group").select("d", "group", "component_id")
     out = rows.join(named, "d", "left")
-    return out.select("id", "a", "b", F.col("n").alias("n_shingles"), "group", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "a", "b", "key", F.col("n").alias("n_shingles"), "group", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with one row of each group of linked texts, that of the least id; rows without words all stay."""
     rows = written(grouped(docs, id_col, text_col, **options), "groups")
-    keep = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "a", "b")).alias("k"))
-    keep = keep.select(F.col("k.id").alias("_i"), F.col("k.a").alias("_a"), F.col("k.b").alias("_b"))
-    docs_ = docs.select(F.struct(*docs.columns).alias("doc"))  # so no column can clash
-    text = F.coalesce(F.col("doc")[text_col].cast("string"), F.lit(""))
-    tagged = docs_.select("doc", F.col("doc")[id_col].alias("_id"), F.xxhash64(text).alias("_x"), F.hash(text).alias("_y"))
-    found = tagged.join(keep, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")))
-    first = Window.partitionBy("_id", "_x", "_y").orderBy(F.lit(0))
-    found = found.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select("doc.*")
+    keep = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "a", "b", "key")).alias("k")).select("k.key")
+    cased = docs.select(F.struct(*docs.columns).alias("doc"))  # so no column can clash
+    cased = cased.withColumn("key", row_key(F.col("doc")[id_col], F.col("doc")[text_col]))
+    first = Window.partitionBy("key").orderBy(F.lit(0))
+    found = cased.join(keep, "key", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("doc.*")
     wordless = docs.where(~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return found.unionByName(wordless)
