@@ -33,7 +33,7 @@ def ratio(a: Column, b: Column, default: float | None = 0.0) -> Column:
 
 def missing(c: Column) -> Column:
     """A number from text; blank and NaN are null."""
-    number = F.expr("cast(null as double)") if c is None else F.nullif(F.trim(c.cast("string")), F.lit("")).try_cast("double")
+    number = F.nullif(F.trim(c.cast("string")), F.lit("")).try_cast("double")
     return F.when(F.isnan(number), None).otherwise(number)
 
 
