@@ -8,7 +8,7 @@ broadcast; each worker, also one that joins later, memory-maps them from an unna
 of documents walk the automaton together. Words it doesn't hold are merged exactly by rank.
 
 The lexicon changes speed, not results. It holds at most `LEXICON_WORDS` words; the counts behind it cover all texts
-(a word may be counted short by one in each partition, where it occurred once).
+(a word may be counted short by one in each chunk of a partition, where it occurred once).
 
 Defined results: null text is the empty text, which has no tokens and decodes to the empty text; special tokens'
 strings in a text are special tokens, as in the library; ids without vocabulary entry can't occur. Repeated rows are
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from palletry.llm.common import prefix_hash, slices, span_hash
 
-LEXICON_WORDS, CACHED_CHUNKS, SLICE, SHORT = 196_608, 150_000, 256, 48
+LEXICON_WORDS, CACHED_CHUNKS, SLICE, SHORT, COUNTED_WORDS = 131_072, 100_000, 256, 48, 150_000
 NONE = np.int64(1 << 40)
 MARKS = frozenset(".,;:!?")
 #: White space for `str.split`, but not for the tokenizer's pattern.
@@ -345,41 +345,43 @@ _LOWER[65:91] += 32
 
 
 def _letter_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of a partition's letter runs that occur twice or more."""
+    """(word, n) of letter runs that occur twice or more in a chunk of the partition with `COUNTED_WORDS` words."""
     words: dict[int, bytes] = {}
     parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def summed() -> tuple[np.ndarray, np.ndarray]:
-        if not parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def flushed() -> pa.RecordBatch:
         h, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return h, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
+        n = np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
+        out = pa.RecordBatch.from_arrays([pa.array([words[k] for k in h[n > 1].tolist()], pa.binary()), pa.array(n[n > 1], pa.int64())], ["word", "n"])
+        words.clear()
+        parts.clear()
+        return out
 
-    for batch in slices(batches, 1024):
+    for batch in slices(batches):
         texts = [t.encode() for t in batch.column(0).to_pylist() if t]
-        for i in range(0, len(texts), 1024):
-            b = _LOWER[np.frombuffer(b"\n".join(texts[i : i + 1024]), np.uint8)]
-            inside = np.r_[False, _LETTER[b], False]
-            edge = np.flatnonzero(inside[1:] != inside[:-1])
-            start, end = edge[::2], edge[1::2]
-            h, first, n = np.unique(span_hash(prefix_hash(b), start, end), return_index=True, return_counts=True)
-            parts.append((h, n))
-            if len(parts) == 32:
-                parts[:] = [summed()]
-            raw = b.tobytes()
-            for k, s, e in zip(h.tolist(), start[first].tolist(), end[first].tolist()):
-                if k not in words:
-                    words[k] = raw[s:e]
-    hashes, counts = summed()
-    keep = counts > 1
-    yield pa.RecordBatch.from_arrays([pa.array([words[h] for h in hashes[keep].tolist()], pa.binary()), pa.array(counts[keep], pa.int64())], ["word", "n"])
+        if not texts:
+            continue
+        b = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
+        inside = np.r_[False, _LETTER[b], False]
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        h, first, n = np.unique(span_hash(prefix_hash(b), start, end), return_index=True, return_counts=True)
+        parts.append((h, n))
+        raw = b.tobytes()
+        for k, s, e in zip(h.tolist(), start[first].tolist(), end[first].tolist()):
+            if k not in words:
+                words[k] = raw[s:e]
+        if len(words) > COUNTED_WORDS:
+            yield flushed()
+    if parts:
+        yield flushed()
 
 
 def frequent_words(df: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
     """At most `most` words, the most frequent ones first; bounded, so the driver can hold them."""
     counts = df.select(F.col(text_col).cast("string")).mapInArrow(_letter_runs, "word binary, n long")
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [bytes(r.word) for r in top.collect()]
+    return top.select("word").toArrow().column(0).to_pylist()
 
 
 def _shipped(df: DataFrame, model_path: str, text_col: str | None, most: int = LEXICON_WORDS):

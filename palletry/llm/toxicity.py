@@ -29,7 +29,7 @@ from palletry.llm.common import mixed, slices
 WINDOW, STRIDE, HIDDEN, WORD_SIZE, CHAR_SIZE, ATTENTION = 64, 48, 8, 8, 8, 8
 VOCABULARY, TRIGRAMS, TRAIN_ROWS, TRAIN_WINDOWS = 50_000, 1 << 13, 4_000, 48
 ROUNDS, STEPS, BATCH, RATE, EMBEDDING_RATE = 5, 50, 192, 0.01, 0.02
-CACHED_WORDS, SLICE_WINDOWS = 120_000, 1024
+CACHED_WORDS, SLICE_WINDOWS = 80_000, 1024
 EDGES = ".,;:!?|\"'`´()[]{}<>*&$%#@~^=+-_/\\…“”„«»¡¿"
 
 
@@ -292,15 +292,17 @@ def trained(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
     both = words[0] + words[1]
     names = sorted((w for w, n in both.items() if n > 1), key=lambda w: (-both[w], w))[:VOCABULARY]
+    del both, pool
     net = Network({w: i for i, w in enumerate(names)}, log_odds(words[1], words[0], n1, n0, names), log_odds(grams[1], grams[0], n1, n0, list(range(TRIGRAMS))), seed)
 
+    del words, grams
     spans = []
     for t in tokens:
         own = windows(len(t))
         spans.append([own[i] for i in np.sort(rng.permutation(len(own))[:TRAIN_WINDOWS])])
     odds = {w: float(net.p["word"][i, 0]) for w, i in net.vocabulary.items()}
     chosen = [max(range(len(own)), key=lambda k: max((odds.get(w, 0.0) for w in t[own[k][0] : own[k][1]]), default=0.0)) for t, own in zip(tokens, spans)]
-    logit = np.zeros(len(texts))
+    logit = np.zeros(len(tokens))
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -327,9 +329,8 @@ def trained(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
                 slow = EMBEDDING_RATE if k in ("word", "char") else 1.0  # else few texts are learned by heart
                 net.p[k] -= (slow * rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         scorer, values = Scorer(net), []
-        for i in range(0, len(tokens), 64):
-            part = tokens[i : i + 64]
-            values += _worst(scorer, part, spans[i : i + 64])
+        for i in range(0, len(tokens), 32):
+            values += _worst(scorer, tokens[i : i + 32], spans[i : i + 32])
         chosen, logit = [k for k, _ in values], np.array([v for _, v in values])
     order = np.argsort(logit, kind="stable")
     y = labels[order]
