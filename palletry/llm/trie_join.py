@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from palletry.llm.common import bit_map, is_marked, row_key, shingle_set, shingle_sets, slices, written
 from palletry.llm.components import components
 
-K, PERCENT, FREQUENT, BLOCK, CHUNK, MAP_BITS = 5, 80, 1 << 20, 800_000, 500_000, 26
+K, PERCENT, FREQUENT, BLOCK, CHUNK, MAP_BITS = 5, 80, 1 << 20, 1_250_000, 500_000, 26
 FEW, COMMON = 16, 20
 
 
