@@ -6,20 +6,33 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palletry.functions.numeric import hash_fraction
 
+CUTS = 64
+
 
 def round_robin(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """`df` with `island`: rows in order go to the islands in turn."""
-    return df.withColumn("island", ((F.row_number().over(Window.orderBy(*order)) - 1) % n).cast("int"))
+    """`df` with `island`: rows in order go to the islands in turn; the first column of the order is a number.
+
+    Ranks have two levels: `CUTS` quantiles of that column bound the ranges that are ranked apart, nulls first.
+    """
+    first = F.col(order[0])
+    cuts = sorted(set(df.approxQuantile(order[0], [i / CUTS for i in range(1, CUTS)], 0.5 / CUTS)))
+    part = F.when(first.isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= first))) if cuts else F.lit(0)
+    d = df.withColumn("_part", part)
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # of at most CUTS + 1 rows
+    base = d.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return d.withColumn("_nth", nth).join(F.broadcast(base), "_part").withColumn("island", ((F.col("_nth") + F.col("_base")) % n).cast("int")).drop("_part", "_nth", "_base")
 
 
 def top_per_island(df: DataFrame, order: list[Column | str], keep: int, island: str = "island") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(island).orderBy(*order))).where(F.col("rank") <= keep)
 
 
-def rank_weights(df: DataFrame, order: list[Column | str], offset: bool = True) -> DataFrame:
-    """`df` with rank (from 0) and probability 1/(rank + 1 + n), or 1/(rank + 1) without offset, normalised."""
-    everything = Window.partitionBy()
-    d = df.withColumns({"rank": F.row_number().over(Window.orderBy(*order)) - 1, "_n": F.count("*").over(everything)})
+def rank_weights(df: DataFrame, order: list[Column | str], offset: bool = True, by: list[str] | None = None) -> DataFrame:
+    """`df` with rank (from 0) and probability 1/(rank + 1 + n), or 1/(rank + 1) without offset, normalised in each
+    population that `by` names; without it all rows are one, which then has to be small."""
+    everything = Window.partitionBy(*(by or []))
+    d = df.withColumns({"rank": F.row_number().over(everything.orderBy(*order)) - 1, "_n": F.count("*").over(everything)})
     d = d.withColumn("_w", 1.0 / (F.col("rank") + 1 + (F.col("_n") if offset else 0)))
     return d.withColumn("probability", F.col("_w") / F.sum("_w").over(everything)).drop("_n", "_w")
 
@@ -34,11 +47,14 @@ def byte_set(code: Column) -> Column:
     return F.array_distinct(F.filter(F.split(code, ""), lambda c: c != ""))
 
 
-def pair_diversity(df: DataFrame, id_col: str, code: str) -> DataFrame:
-    """(a, b, distance) of all unordered pairs of a population: one minus the Jaccard similarity of their characters."""
-    s = df.select(F.col(id_col).alias("id"), byte_set(F.col(code)).alias("s"))
-    a, b = s.select(F.col("id").alias("a"), F.col("s").alias("sa")), s.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    pairs = a.join(b, F.col("a") < F.col("b"))  # a population has tens of members
+def pair_diversity(df: DataFrame, id_col: str, code: str, by: list[str] | None = None) -> DataFrame:
+    """(a, b, distance) of all unordered pairs of a population: one minus the Jaccard similarity of their characters.
+
+    `by` names the populations, of tens of members each; without it all rows are one.
+    """
+    s = df.select(F.struct(*(by or [F.lit(0)])).alias("p"), F.col(id_col).alias("id"), byte_set(F.col(code)).alias("s"))
+    a, b = s.select("p", F.col("id").alias("a"), F.col("s").alias("sa")), s.select("p", F.col("id").alias("b"), F.col("s").alias("sb"))
+    pairs = a.join(b, "p").where("a < b")
     both, either = F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))
     return pairs.select("a", "b", (1 - F.coalesce(F.try_divide(both, either), F.lit(0.0))).alias("distance"))
 

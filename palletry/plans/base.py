@@ -21,6 +21,8 @@ MODEL = LinearModel(
     ),
     0.125,
 )
+#: Nodes of an instance and members of a population: bounded, so work grows in proportion to the table.
+NODES, MEMBERS = 50, 40
 #: Rule texts in the supported language; the third refers to a column that no table has.
 RULES = {
     "many_items": "def apply_rule_patch(svm_prob, features):\n    if features.get('sku_counts', 0) > 5 and svm_prob < 0.5:\n        return 1\n    return -1\n",
@@ -74,9 +76,9 @@ def rule_columns() -> dict[str, Column]:
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    """(instance, node, x, y): the first two components of the embeddings, an instance for each label."""
-    e = table(spark, d, "embeddings").where("vec_id < 500")
-    return e.select(F.col("label").cast("long").alias("instance"), F.col("vec_id").alias("node"), F.round(F.col("embedding")[0].cast("double"), 6).alias("x"), F.round(F.col("embedding")[1].cast("double"), 6).alias("y"))
+    """(instance, node, x, y): the first two components of all embeddings, an instance for each `NODES` ids in a row."""
+    at = lambda i: F.round(F.get("embedding", F.lit(i)).cast("double"), 6)
+    return table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / NODES).alias("instance"), F.col("vec_id").alias("node"), at(0).alias("x"), at(1).alias("y"))
 
 
 def arrivals(spark: SparkSession, d: str) -> DataFrame:

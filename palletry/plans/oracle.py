@@ -83,10 +83,10 @@ judged AS (SELECT rea.*, reason = 'pass' AS feasible, if_loaded AS gt FROM rea J
 
 PEOPLE = "people AS (SELECT p_partkey, p_name, p_size AS size, ROUND(p_retailprice / 1000, 3) AS score FROM part)"
 ISLANDS = f"{PEOPLE}, isl AS (SELECT *, ((ROW_NUMBER() OVER (ORDER BY p_partkey) - 1) % 4)::INT AS island FROM people)"
-NODES = "nodes AS (SELECT label::BIGINT AS instance, vec_id AS node, ROUND(embedding[1]::DOUBLE, 6) AS x, ROUND(embedding[2]::DOUBLE, 6) AS y FROM embeddings WHERE vec_id < 500)"
+NODES = "nodes AS (SELECT FLOOR(vec_id / 50)::BIGINT AS instance, vec_id AS node, ROUND(embedding[1]::DOUBLE, 6) AS x, ROUND(embedding[2]::DOUBLE, 6) AS y FROM embeddings)"
 ARRIVALS = "arr AS (SELECT user_id AS instance, event_id AS seq, FLOOR(ABS(value) * 100)::BIGINT % 100 + 1 AS item FROM events WHERE value IS NOT NULL)"
 PACKED = f"{ARRIVALS}, packed AS (SELECT *, FLOOR((SUM(item) OVER (PARTITION BY instance ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1) / 150)::BIGINT AS bin FROM arr)"
-DEPOT = """stops AS (SELECT l_orderkey AS instance, l_partkey AS node, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nth FROM lineitem WHERE l_orderkey < 2000),
+DEPOT = """stops AS (SELECT l_orderkey AS instance, l_partkey + 1 AS node, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nth FROM lineitem),
 tour AS (SELECT instance, nth * 2 AS pos, node FROM stops UNION ALL SELECT instance, nth * 2 - 1, 0 FROM stops WHERE nth % 4 = 1),
 fl AS (SELECT instance, pos, node, (LAG(node) OVER (PARTITION BY instance ORDER BY pos) = 0)::INT AS from_depot FROM tour),
 flags AS (SELECT instance, ROW_NUMBER() OVER (PARTITION BY instance ORDER BY pos)::INT AS pos, node, COALESCE(from_depot, 1) AS from_depot FROM fl WHERE node <> 0)"""
@@ -142,7 +142,7 @@ SELECT row_id, error_type, ROUND(SQRT((sku_counts - a) * (sku_counts - a) + (tot
 l AS ({" UNION ALL ".join(f"SELECT '{m}' AS metric, a2.{m}::DOUBLE AS before, b2.{m}::DOUBLE AS after FROM a2, b2" for m in ("tn", "fp", "fn", "tp", "accuracy", "precision", "recall"))})
 SELECT metric, ROUND(before, 9) AS before, ROUND(after, 9) AS after, ROUND(after - before, 9) AS delta, CASE WHEN after > before THEN 'up' WHEN after < before THEN 'down' ELSE 'same' END AS direction FROM l""",
     "hard_subset_accuracy": f"WITH {RULED} SELECT COUNT(*) AS n, ROUND(AVG((hybrid = gt)::INT), 9) AS accuracy FROM hyb WHERE error_type IN ('FN', 'FP')",
-    "first_row_mask": """WITH r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nth, MAX((l_quantity > 45)::INT) OVER (PARTITION BY l_orderkey) AS big FROM lineitem WHERE l_linenumber <= 3)
+    "first_row_mask": """WITH r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nth, MAX((l_quantity > 45)::INT) OVER (PARTITION BY l_orderkey) AS big FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey FROM r WHERE nth = 1 AND big = 1""",
     "order_item_features": f"""WITH {JUDGED} SELECT dispatch_id, item_count, distinct_types, total_vol, ROUND(fill_ratio, 6) AS fill_ratio, a_sum, ROUND(a_std, 6) AS a_std, a_min, a_max, b_min, b_max, c_min, c_max, ROUND(asr_max, 6) AS asr_max, ROUND(asr_avg, 6) AS asr_avg FROM ofe""",
     "feasibility_reason": f"WITH {JUDGED} SELECT dispatch_id, reason, feasible FROM judged",
@@ -163,11 +163,11 @@ SELECT run, accuracy, recall, RANK() OVER (ORDER BY accuracy DESC, run)::INT AS
     "kfold_assignment": f"WITH {ORDERS} SELECT row_id, gt, ((ROW_NUMBER() OVER (PARTITION BY gt ORDER BY {_U}, row_id) - 1) % 5)::INT AS fold FROM ord",
     "stratified_split": f"WITH {ORDERS} SELECT row_id, gt, ROW_NUMBER() OVER (PARTITION BY gt ORDER BY {_U}, row_id) <= ROUND(COUNT(*) OVER (PARTITION BY gt) * 0.15::DOUBLE) AS is_test FROM ord",
     "population_islands_topk": f"WITH {ISLANDS} SELECT p_partkey, island, ROW_NUMBER() OVER (PARTITION BY island ORDER BY score DESC, p_partkey)::INT AS rank FROM isl QUALIFY rank <= 50",
-    "rank_selection_probs": f"""WITH {PEOPLE}, t AS (SELECT p_partkey, ROW_NUMBER() OVER (ORDER BY score, p_partkey)::INT - 1 AS rank, COUNT(*) OVER () AS n FROM (SELECT * FROM people ORDER BY score, p_partkey LIMIT 30))
-SELECT p_partkey, rank, ROUND(1::DOUBLE / (rank + 1 + n) / SUM(1::DOUBLE / (rank + 1 + n)) OVER (), 9) AS probability FROM t""",
+    "rank_selection_probs": f"""WITH {PEOPLE}, t AS (SELECT FLOOR(p_partkey / 40)::BIGINT AS population, p_partkey, ROW_NUMBER() OVER (PARTITION BY FLOOR(p_partkey / 40) ORDER BY score, p_partkey)::INT - 1 AS rank, COUNT(*) OVER (PARTITION BY FLOOR(p_partkey / 40)) AS n FROM people)
+SELECT population, p_partkey, rank, ROUND(1::DOUBLE / (rank + 1 + n) / SUM(1::DOUBLE / (rank + 1 + n)) OVER (PARTITION BY population), 9) AS probability FROM t""",
     "boltzmann_probs": f"WITH {ISLANDS} SELECT p_partkey, island, ROUND(EXP(score / 0.5) / SUM(EXP(score / 0.5)) OVER (PARTITION BY island), 9) AS probability FROM isl",
-    "rule_pair_diversity": f"""WITH {PEOPLE}, s AS (SELECT p_partkey, LIST_DISTINCT(STRING_SPLIT(p_name, '')) AS s FROM people ORDER BY p_partkey LIMIT 40)
-SELECT a.p_partkey AS a, b.p_partkey AS b, ROUND(1 - LEN(LIST_INTERSECT(a.s, b.s)) / LEN(LIST_DISTINCT(LIST_CONCAT(a.s, b.s)))::DOUBLE, 9) AS distance FROM s a JOIN s b ON a.p_partkey < b.p_partkey""",
+    "rule_pair_diversity": f"""WITH {PEOPLE}, s AS (SELECT p_partkey, LIST_DISTINCT(STRING_SPLIT(p_name, '')) AS s FROM people)
+SELECT a.p_partkey AS a, b.p_partkey AS b, ROUND(1 - LEN(LIST_INTERSECT(a.s, b.s)) / LEN(LIST_DISTINCT(LIST_CONCAT(a.s, b.s)))::DOUBLE, 9) AS distance FROM s a JOIN s b ON FLOOR(a.p_partkey / 40) = FLOOR(b.p_partkey / 40) AND a.p_partkey < b.p_partkey""",
     "unique_nsmallest": f"WITH {PEOPLE}, f AS (SELECT p_partkey, size FROM people QUALIFY ROW_NUMBER() OVER (PARTITION BY size ORDER BY p_partkey) = 1) SELECT * FROM f ORDER BY size, p_partkey LIMIT 20",
     "weighted_sample": f"WITH {PEOPLE} SELECT p_partkey, score FROM people WHERE score > 0 ORDER BY ROUND(-LN(GREATEST({uniform('p_partkey')}, 0.000000000001::DOUBLE)) / score, 9), p_partkey LIMIT 25",
     "running_best": "SELECT event_id, event_type, ROUND(value, 4) AS score, MAX(ROUND(value, 4)) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM events WHERE value IS NOT NULL",
@@ -194,7 +194,7 @@ SELECT instance, TRUE AS same_items, fits, fits AS valid FROM f""",
     "bin_fill_fitness": f"WITH {PACKED}, l AS (SELECT instance, bin, SUM(item) AS load FROM packed GROUP BY 1, 2) SELECT instance, COUNT(*) AS bins, ROUND(AVG(POWER(load / 150::DOUBLE, 2)), 9) AS fitness FROM l GROUP BY 1",
     "depot_flags": f"WITH {DEPOT} SELECT * FROM flags",
     "route_segmentation": f"""WITH {DEPOT}, r AS (SELECT *, SUM(from_depot) OVER (PARTITION BY instance ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS route FROM flags)
-SELECT instance, route, COUNT(*) AS n_nodes, SUM(p_size)::BIGINT AS load, SUM(p_size) <= 100 AS legal FROM r JOIN part ON node = p_partkey GROUP BY 1, 2""",
+SELECT instance, route, COUNT(*) AS n_nodes, SUM(p_size)::BIGINT AS load, SUM(p_size) <= 100 AS legal FROM r JOIN part ON node = p_partkey + 1 GROUP BY 1, 2""",
     "label_counts": "SELECT quality, toxic, COUNT(*) AS n FROM labels GROUP BY 1, 2",
     "code_fence_extract": f"""WITH r(id, t) AS (VALUES {values(RESPONSES)}),
 c AS (SELECT id, t, LIST_FILTER(LIST_TRANSFORM(REGEXP_EXTRACT_ALL(t, '(?s)```(?:python3?|py)\\b\\s*(.*?)\\s*```', 1), lambda x: TRIM(x)), lambda x: CONTAINS(x, 'apply_rule_patch')) AS closed,

@@ -177,7 +177,7 @@ def hard_subset_accuracy(spark, d):
 
 @query
 def first_row_mask(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber <= 3")
+    li = table(spark, d, "lineitem")
     row = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     m = R.first_row_mask(li.withColumn("row", row), "l_orderkey", "row", F.col("l_quantity") > 45)
     return m.where("hard").select("l_orderkey", "l_linenumber", "l_partkey")
@@ -255,6 +255,11 @@ def _people(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_name", F.col("p_size").alias("size"), F.round(F.col("p_retailprice") / 1000, 3).alias("score"))
 
 
+def _populations(spark, d):
+    """All parts, as populations of `MEMBERS` keys in a row."""
+    return _people(spark, d).withColumn("population", F.floor(F.col("p_partkey") / base.MEMBERS))
+
+
 @query
 def population_islands_topk(spark, d):
     return P.top_per_island(P.round_robin(_people(spark, d), ["p_partkey"], 4), [F.desc("score"), "p_partkey"], 50).select("p_partkey", "island", "rank")
@@ -262,8 +267,8 @@ def population_islands_topk(spark, d):
 
 @query
 def rank_selection_probs(spark, d):
-    top = _people(spark, d).orderBy("score", "p_partkey").limit(30)
-    return rounded(P.rank_weights(top, ["score", "p_partkey"]).select("p_partkey", "rank", "probability"), 9, "probability")
+    w = P.rank_weights(_populations(spark, d), ["score", "p_partkey"], by=["population"])
+    return rounded(w.select("population", "p_partkey", "rank", "probability"), 9, "probability")
 
 
 @query
@@ -274,8 +279,7 @@ def boltzmann_probs(spark, d):
 
 @query
 def rule_pair_diversity(spark, d):
-    top = _people(spark, d).orderBy("p_partkey").limit(40)
-    return rounded(P.pair_diversity(top, "p_partkey", "p_name"), 9, "distance")
+    return rounded(P.pair_diversity(_populations(spark, d), "p_partkey", "p_name", by=["population"]), 9, "distance")
 
 
 @query
@@ -371,10 +375,10 @@ def bin_fill_fitness(spark, d):
 
 
 def _depot_tour(spark, d):
-    """Orders' lines as stops; every fourth line returns to node 0 first."""
-    li = table(spark, d, "lineitem").where("l_orderkey < 2000")
+    """Orders' lines as stops, part k as node k + 1; every fourth line returns to the depot, node 0, first."""
+    li = table(spark, d, "lineitem")
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    t = li.select(F.col("l_orderkey").alias("instance"), (pos * 2).alias("pos"), F.col("l_partkey").alias("node"), pos.alias("nth"))
+    t = li.select(F.col("l_orderkey").alias("instance"), (pos * 2).alias("pos"), (F.col("l_partkey") + 1).alias("node"), pos.alias("nth"))
     stops = t.select("instance", "pos", "node")
     home = t.where("nth % 4 = 1").select("instance", (F.col("pos") - 1).alias("pos"), F.lit(0).cast("long").alias("node"))
     return stops.unionByName(home)
@@ -387,7 +391,7 @@ def depot_flags(spark, d):
 
 @query
 def route_segmentation(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("demand"))
+    p = table(spark, d, "part").select((F.col("p_partkey") + 1).alias("node"), F.col("p_size").alias("demand"))
     demand = _depot_tour(spark, d).where("node <> 0").select("instance", "node").distinct().join(p, "node")
     return G.routes(G.depot_flags(_depot_tour(spark, d)), demand, 100)
 
@@ -468,7 +472,7 @@ def cvrp_colony(spark, d):
         path = S.cvrp_colony(pdf[["x", "y"]].to_numpy(float), demand, 50.0, S.rng_of(pdf["instance"].iloc[0], 1234), 10, 10)
         return pd.DataFrame({"instance": pdf["instance"].iloc[0], "pos": range(len(path)), "stop": path, "demand": demand[path]})
 
-    return _grouped(base.nodes(spark, d).where("node < 300"), run, "instance long, pos long, stop long, demand double")
+    return _grouped(base.nodes(spark, d), run, "instance long, pos long, stop long, demand double")
 
 
 @query
@@ -482,7 +486,7 @@ def op_colony(spark, d):
         path = S.op_colony(pdf[["x", "y"]].to_numpy(float), pdf["prize"].to_numpy(float), 0.5, S.rng_of(pdf["instance"].iloc[0], 1234), 10, 10)
         return pd.DataFrame({"instance": pdf["instance"].iloc[0], "pos": range(len(path)), "stop": path, "prize": pdf["prize"].to_numpy()[path]})
 
-    return _grouped(G.prizes(base.nodes(spark, d).where("node < 300")), run, "instance long, pos long, stop long, prize double")
+    return _grouped(G.prizes(base.nodes(spark, d)), run, "instance long, pos long, stop long, prize double")
 
 
 @query
@@ -499,7 +503,7 @@ def mkp_colony(spark, d):
         chosen = S.mkp_colony(prize, w, S.rng_of(pdf["instance"].iloc[0], 1234), 10, 10)
         return pd.DataFrame({"instance": pdf["instance"].iloc[0], "item": pdf["node"].to_numpy()[chosen], "prize": prize[chosen], "load": w[chosen].sum(0).max()})
 
-    return _grouped(base.nodes(spark, d).where("node < 300"), run, "instance long, item long, prize double, load double")
+    return _grouped(base.nodes(spark, d), run, "instance long, item long, prize double, load double")
 
 
 @query
@@ -511,8 +515,8 @@ def bpp_colony(spark, d):
         bins = S.organised(S.bpp_colony(pdf["item"].to_numpy(float), 150.0, S.rng_of(pdf["instance"].iloc[0], 1234), 5, 4))
         return pdf.assign(bin=bins)[["instance", "seq", "item", "bin"]]
 
-    some = base.arrivals(spark, d).where("instance < 20").select("instance", "seq", F.col("item").cast("double").alias("item"))
-    return B.fill_fitness(_grouped(some, run, "instance long, seq long, item double, bin long"), 150.0)
+    items = base.arrivals(spark, d).select("instance", "seq", F.col("item").cast("double").alias("item"))
+    return B.fill_fitness(_grouped(items, run, "instance long, seq long, item double, bin long"), 150.0)
 
 
 @query
