@@ -49,7 +49,7 @@ def predicted(model, df: DataFrame, name: str, *keep: str) -> DataFrame:
     return out.select(*keep, positive(out).alias(name))
 
 
-def stacked(df: DataFrame, features: list[str], row: str, label: str, names: tuple[str, ...] = ("svm", "lr", "rf"), k: int = 3, meta: str = "logreg") -> DataFrame:
+def stacked(df: DataFrame, features: list[str], row: str, label: str, names: tuple[str, ...] = ("svm", "lr", "rf", "gbdt"), k: int = 5, meta: str = "logreg") -> DataFrame:
     """(row, label, fold, one column a base model, prob): out-of-fold base predictions and a meta model over them."""
     data = assembled(df.select(row, F.col(label).cast("double").alias("label"), *features), features, row, "label")
     data = stratified_folds(data, row, "label", k).cache()
@@ -67,7 +67,7 @@ def stacked(df: DataFrame, features: list[str], row: str, label: str, names: tup
     return predicted(estimator.fit(oof), oof, "prob", row, "label", "fold", *names)
 
 
-def leaf_tokens(df: DataFrame, features: list[str], row: str, label: str, trees: int = 8, depth: int = 4) -> DataFrame:
+def leaf_tokens(df: DataFrame, features: list[str], row: str, label: str, trees: int = 128, depth: int = 12) -> DataFrame:
     """(row, tree, leaf, token): leaves of a forest as tokens, numbered from 1 in each tree's range; 0 is unknown."""
     data = assembled(df.select(row, F.col(label).cast("double").alias("label"), *features), features, row, "label")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=42, leafCol="leaf", labelCol="label")

@@ -13,6 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: The reference's budgets, as (ants, rounds); for guided search (rounds, moves a round).
+BUDGETS = {"tsp": (30, 100), "cvrp": (30, 100), "op": (20, 50), "mkp": (10, 50), "bpp": (20, 15), "guided": (1200, 30)}
+
 
 def rng_of(instance, seed: int) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(str(instance).encode())])
@@ -50,43 +53,46 @@ def constructive(d: np.ndarray, weights: tuple[float, float, float, float] = (0.
     return np.array(tour)
 
 
-def improve(d: np.ndarray, tour: np.ndarray, rounds: int = 200) -> np.ndarray:
+def improve(d: np.ndarray, tour: np.ndarray, rounds: int = 1000) -> np.ndarray:
     """2-opt and relocation, the best move a round, until none helps."""
     n = len(tour)
+    k, behind = np.arange(n), np.arange(-1, n - 1) % max(n, 1)
+    ahead, unused = (k + 1) % max(n, 1), np.tri(n, k=1, dtype=bool)
     for _ in range(rounds if n > 3 else 0):
-        a, b = tour, np.roll(tour, -1)
-        change = d[a[:, None], a[None]] + d[b[:, None], b[None]] - d[a, b][:, None] - d[a, b][None]
-        change[np.tril_indices(n, 1)] = 0
-        i, j = np.unravel_index(change.argmin(), change.shape)
-        p, q = np.roll(tour, 1), np.roll(tour, -1)
-        out = d[p, q] - d[p, tour] - d[tour, q]
-        move = out[:, None] + d[a[None], tour[:, None]] + d[tour[:, None], b[None]] - d[a, b][None]
-        k = np.arange(n)
-        move[k, k] = move[k, (k - 1) % n] = 0
-        s, t = np.unravel_index(move.argmin(), move.shape)
+        e = d[tour][:, tour]
+        after = e[:, ahead]
+        edge = after[k, k]
+        change = e + after[ahead]
+        change -= edge[:, None]
+        change -= edge
+        change[unused] = 0
+        i, j = divmod(int(change.argmin()), n)
+        move = e + after
+        move += (e[behind, ahead] - edge[behind] - edge)[:, None]
+        move -= edge
+        move[k, k] = move[k, behind] = 0
+        s, t = divmod(int(move.argmin()), n)
         if min(change[i, j], move[s, t]) > -1e-12:
             break
         if change[i, j] <= move[s, t]:
             tour = np.concatenate([tour[: i + 1], tour[i + 1 : j + 1][::-1], tour[j + 1 :]])
         else:
-            node, after = tour[s], tour[t]
             rest = np.delete(tour, s)
-            at = int(np.flatnonzero(rest == after)[0]) + 1
-            tour = np.insert(rest, at, node)
+            tour = np.insert(rest, t + 1 if t < s else t, tour[s])
     return tour
 
 
-def guided(d: np.ndarray, guide: np.ndarray, rounds: int = 30, moves: int = 30) -> np.ndarray:
+def guided(d: np.ndarray, guide: np.ndarray, rounds: int = BUDGETS["guided"][0], moves: int = BUDGETS["guided"][1]) -> np.ndarray:
     """Guided local search: edges of a local optimum with great guide/(1 + penalty) are made longer."""
     tour = best = improve(d, nearest_neighbour(d))
     weight, penalty = 0.1 * length_of(d, tour) / len(d), np.zeros_like(d)
     for _ in range(rounds):
+        u, v = tour, np.roll(tour, -1)
+        worth, times = guide[u, v], penalty[u, v]
         for _ in range(moves):
-            u, v = tour, np.roll(tour, -1)
-            k = int((guide[u, v] / (1 + penalty[u, v])).argmax())
-            penalty[u[k], v[k]] += 1
-            penalty[v[k], u[k]] += 1
-        tour = improve(d, improve(d + weight * penalty, tour, 20), 20)
+            times[(worth / (1 + times)).argmax()] += 1
+        penalty[u, v] = penalty[v, u] = times
+        tour = improve(d, improve(d + weight * penalty, tour))
         if length_of(d, tour) < length_of(d, best):
             best = tour
     return best
@@ -122,7 +128,7 @@ def colony(n_moves: int, heuristic: np.ndarray, start: int, allow: Callable, eva
     return best, cost
 
 
-def tsp_colony(xy: np.ndarray, rng, ants: int = 30, rounds: int = 50) -> np.ndarray:
+def tsp_colony(xy: np.ndarray, rng, ants: int = BUDGETS["tsp"][0], rounds: int = BUDGETS["tsp"][1]) -> np.ndarray:
     d = distances(xy)
     n = len(d)
 
@@ -141,7 +147,7 @@ def tsp_colony(xy: np.ndarray, rng, ants: int = 30, rounds: int = 50) -> np.ndar
     return best
 
 
-def cvrp_colony(xy: np.ndarray, demand: np.ndarray, capacity: float, rng, ants: int = 30, rounds: int = 50) -> np.ndarray:
+def cvrp_colony(xy: np.ndarray, demand: np.ndarray, capacity: float, rng, ants: int = BUDGETS["cvrp"][0], rounds: int = BUDGETS["cvrp"][1]) -> np.ndarray:
     """Node 0 is the depot; it may be visited again, but not twice in a row before the end."""
     d = distances(xy)
     n = len(d)
@@ -149,15 +155,14 @@ def cvrp_colony(xy: np.ndarray, demand: np.ndarray, capacity: float, rng, ants:
     def allow(paths, state):
         mask = np.ones((len(paths), n))
         np.put_along_axis(mask, paths, 0, 1)
-        load = np.zeros(len(paths))
-        for k in range(paths.shape[1]):
-            load = np.where(paths[:, k] == 0, 0, load + demand[paths[:, k]])
+        here = paths[:, -1]
+        load = np.where(here == 0, 0, (0 if state is None else state) + demand[here])
         done = mask[:, 1:].sum(1) == 0
         mask[:, 1:] *= demand[1:] <= (capacity - load)[:, None] + 1e-9
         mask[:, 0] = (paths[:, -1] != 0) | done
         if (done & (paths[:, -1] == 0)).all():
             mask[:] = 0
-        return mask, None
+        return mask, load
 
     def deposit(p, paths, costs):
         for path, c in zip(paths, costs):
@@ -167,7 +172,7 @@ def cvrp_colony(xy: np.ndarray, demand: np.ndarray, capacity: float, rng, ants:
     return best
 
 
-def op_colony(xy: np.ndarray, prize: np.ndarray, most: float, rng, ants: int = 20, rounds: int = 50) -> np.ndarray:
+def op_colony(xy: np.ndarray, prize: np.ndarray, most: float, rng, ants: int = BUDGETS["op"][0], rounds: int = BUDGETS["op"][1]) -> np.ndarray:
     """Orienteering from node 0 and back within a length; a dummy node n ends a tour."""
     d = distances(xy)
     n = len(d)
@@ -198,7 +203,7 @@ def op_colony(xy: np.ndarray, prize: np.ndarray, most: float, rng, ants: int = 2
     return best[best < n]
 
 
-def mkp_colony(prize: np.ndarray, weight: np.ndarray, rng, ants: int = 10, rounds: int = 50) -> np.ndarray:
+def mkp_colony(prize: np.ndarray, weight: np.ndarray, rng, ants: int = BUDGETS["mkp"][0], rounds: int = BUDGETS["mkp"][1]) -> np.ndarray:
     """Items of a multi-dimensional knapsack whose limits are 1; a dummy item ends a choice."""
     n = len(prize)
     w = np.vstack([weight, np.zeros(weight.shape[1])])
@@ -223,7 +228,7 @@ def mkp_colony(prize: np.ndarray, weight: np.ndarray, rng, ants: int = 10, round
     return np.unique(best[best < n])
 
 
-def bpp_colony(demand: np.ndarray, capacity: float, rng, ants: int = 20, rounds: int = 15, decay: float = 0.95) -> np.ndarray:
+def bpp_colony(demand: np.ndarray, capacity: float, rng, ants: int = BUDGETS["bpp"][0], rounds: int = BUDGETS["bpp"][1], decay: float = 0.95) -> np.ndarray:
     """The bin of each item; pheromone lies on pairs of items that share a bin."""
     n = len(demand)
     heuristic = np.clip(np.tile(demand / demand.max(), (n, 1)), 1e-6, 1e6)
@@ -233,11 +238,12 @@ def bpp_colony(demand: np.ndarray, capacity: float, rng, ants: int = 20, rounds:
         for _ in range(ants):
             bins, b, open_ = np.full(n, -1), 0, np.ones(n, bool)
             while open_.any():
-                inside, room = [], capacity
+                inside, room, trail = [], capacity, np.zeros(n)
                 while (fits := np.flatnonzero(open_ & (demand <= room + 1e-9))).size:
-                    chance = heuristic[0, fits] * (pheromone[np.ix_(inside, fits)].mean(0) if inside else 1.0)
+                    chance = heuristic[0, fits] * (trail[fits] / len(inside) if inside else 1.0)
                     item = fits[pick(rng, chance[None])[0]]
                     inside.append(int(item))
+                    trail += pheromone[item]
                     open_[item], bins[item], room = False, b, room - demand[item]
                 if not inside:
                     break
@@ -273,7 +279,7 @@ def tours(nodes: DataFrame, method: str = "nearest", seed: int = 1234) -> DataFr
             case "guided":
                 t = guided(d, d)
             case "colony":
-                t = tsp_colony(xy, rng_of(pdf["instance"].iloc[0], seed), 20, 20)
+                t = tsp_colony(xy, rng_of(pdf["instance"].iloc[0], seed))
             case _:
                 raise ValueError(method)
         return pdf.iloc[t].assign(pos=range(len(t)))[["instance", "pos", "node", "x", "y"]]

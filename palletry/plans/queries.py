@@ -469,7 +469,7 @@ def cvrp_colony(spark, d):
         pdf = pdf.sort_values("node", ignore_index=True)
         demand = (pdf["node"].to_numpy() % 9 + 1).astype(float)
         demand[0] = 0
-        path = S.cvrp_colony(pdf[["x", "y"]].to_numpy(float), demand, 50.0, S.rng_of(pdf["instance"].iloc[0], 1234), 10, 10)
+        path = S.cvrp_colony(pdf[["x", "y"]].to_numpy(float), demand, 50.0, S.rng_of(pdf["instance"].iloc[0], 1234))
         return pd.DataFrame({"instance": pdf["instance"].iloc[0], "pos": range(len(path)), "stop": path, "demand": demand[path]})
 
     return _grouped(base.nodes(spark, d), run, "instance long, pos long, stop long, demand double")
@@ -483,10 +483,11 @@ def op_colony(spark, d):
 
     def run(pdf):
         pdf = pdf.sort_values("node", ignore_index=True)
-        path = S.op_colony(pdf[["x", "y"]].to_numpy(float), pdf["prize"].to_numpy(float), 0.5, S.rng_of(pdf["instance"].iloc[0], 1234), 10, 10)
+        path = S.op_colony(pdf[["x", "y"]].to_numpy(float), pdf["prize"].to_numpy(float), float(pdf["max_length"].iloc[0]), S.rng_of(pdf["instance"].iloc[0], 1234))
         return pd.DataFrame({"instance": pdf["instance"].iloc[0], "pos": range(len(path)), "stop": path, "prize": pdf["prize"].to_numpy()[path]})
 
-    return _grouped(G.prizes(base.nodes(spark, d)), run, "instance long, pos long, stop long, prize double")
+    nodes = G.prizes(base.nodes(spark, d)).withColumn("max_length", G.max_length(F.count("*").over(Window.partitionBy("instance"))))
+    return _grouped(nodes, run, "instance long, pos long, stop long, prize double")
 
 
 @query
@@ -500,7 +501,7 @@ def mkp_colony(spark, d):
         pdf = pdf.sort_values("node", ignore_index=True)
         w = np.stack([(pdf["node"].to_numpy() * (k + 3) % 17 + 1) / 40.0 for k in range(5)], 1)
         prize = (pdf["node"].to_numpy() % 11 + 1).astype(float)
-        chosen = S.mkp_colony(prize, w, S.rng_of(pdf["instance"].iloc[0], 1234), 10, 10)
+        chosen = S.mkp_colony(prize, w, S.rng_of(pdf["instance"].iloc[0], 1234))
         return pd.DataFrame({"instance": pdf["instance"].iloc[0], "item": pdf["node"].to_numpy()[chosen], "prize": prize[chosen], "load": w[chosen].sum(0).max()})
 
     return _grouped(base.nodes(spark, d), run, "instance long, item long, prize double, load double")
@@ -512,7 +513,7 @@ def bpp_colony(spark, d):
 
     def run(pdf):
         pdf = pdf.sort_values("seq", ignore_index=True)
-        bins = S.organised(S.bpp_colony(pdf["item"].to_numpy(float), 150.0, S.rng_of(pdf["instance"].iloc[0], 1234), 5, 4))
+        bins = S.organised(S.bpp_colony(pdf["item"].to_numpy(float), 150.0, S.rng_of(pdf["instance"].iloc[0], 1234)))
         return pdf.assign(bin=bins)[["instance", "seq", "item", "bin"]]
 
     items = base.arrivals(spark, d).select("instance", "seq", F.col("item").cast("double").alias("item"))
@@ -523,7 +524,7 @@ def bpp_colony(spark, d):
 def oof_stack(spark, d):
     from palletry.operators import ml
 
-    s = ml.stacked(base.order_table(spark, d), base.FEATURES, "row_id", "gt", ("lr", "rf"), 2)
+    s = ml.stacked(base.order_table(spark, d), base.FEATURES, "row_id", "gt", ("svm", "lr", "rf", "gbdt"), 5)
     return rounded(s.select("row_id", "label", "fold", "prob"), 6, "prob")
 
 
@@ -531,4 +532,4 @@ def oof_stack(spark, d):
 def rf_leaf_tokens(spark, d):
     from palletry.operators import ml
 
-    return rounded(ml.leaf_stats(ml.leaf_tokens(base.order_table(spark, d), base.FEATURES, "row_id", "gt", 4, 3)), 6, "pos_rate", "log_count", "impurity")
+    return rounded(ml.leaf_stats(ml.leaf_tokens(base.order_table(spark, d), base.FEATURES, "row_id", "gt")), 6, "pos_rate", "log_count", "impurity")
