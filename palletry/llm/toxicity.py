@@ -5,8 +5,9 @@ its character trigrams (hashed). Both vectors start from log odds of the trainin
 windows of `WINDOW` words, `STRIDE` apart, all of which are scored; a text's score is that of its worst window.
 
 Training happens on the driver with at most `TRAIN_ROWS` labelled rows, the first by a hash of the id among those whose
-crc32(id) mod 5 is not 0, and at most `TRAIN_WINDOWS` windows of each. In turns, all their windows are scored, the worst
-of each text is taken, and the network is fitted to these by Adam. A last step puts the best cut at score 0.5.
+crc32(id) mod 5 is not 0, with all windows of each. In turns, all their windows are scored, the worst of each text is
+taken, and the network is fitted to these by Adam. A last step puts the best cut of these texts' scores at 0.5. Only the
+number of rows is bounded: the driver holds the whole texts of these rows, and its time grows with their length.
 Scoring maps over the documents: the network, of fixed size, is broadcast, and no rows move.
 
 Defined results: null, empty and blank texts have one empty window; without training rows of both labels each score is
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palletry.llm.common import mixed, slices
 
 WINDOW, STRIDE, HIDDEN, WORD_SIZE, CHAR_SIZE, ATTENTION = 64, 48, 8, 8, 8, 8
-VOCABULARY, TRIGRAMS, TRAIN_ROWS, TRAIN_WINDOWS = 50_000, 1 << 13, 4_000, 48
+VOCABULARY, TRIGRAMS, TRAIN_ROWS = 50_000, 1 << 13, 4_000
 ROUNDS, STEPS, BATCH, RATE, EMBEDDING_RATE = 5, 50, 192, 0.01, 0.02
 CACHED_WORDS, SLICE_WINDOWS = 80_000, 1024
 EDGES = ".,;:!?|\"'`´()[]{}<>*&$%#@~^=+-_/\\…“”„«»¡¿"
@@ -257,17 +258,27 @@ class Scorer:
             out.append(self.network.logits(self.table, index, live))
         return np.concatenate(out) if out else np.zeros(0, np.float32), np.array(counts, np.int64)
 
+    def worst(self, texts: Iterable[str]) -> Iterator[tuple[int, float]]:
+        """Number and logit of each text's worst window."""
+        part, total = [], 0
+        for text in texts:
+            part.append(text)
+            total += len(text)
+            if total >= 200_000:
+                yield from self._worst(part)
+                part, total = [], 0
+        if part:
+            yield from self._worst(part)
+
+    def _worst(self, texts: list[str]) -> Iterator[tuple[int, float]]:
+        logit, counts = self.window_logits(texts)
+        for own in np.split(logit, np.cumsum(counts)[:-1]):
+            k = int(own.argmax())
+            yield k, float(own[k])
+
     def scores(self, texts: list[str]) -> Iterator[float]:
-        at = 0
-        while at < len(texts):
-            part, total = [], 0
-            while at < len(texts) and (not part or total < 200_000):
-                part.append(texts[at])
-                total += len(texts[at])
-                at += 1
-            logit, counts = self.window_logits(part)
-            worst = np.maximum.reduceat(logit, np.cumsum(counts) - counts).astype(float)
-            yield from (1 / (1 + np.exp(-np.clip(worst - self.network.shift, -60, 60)))).tolist()
+        worst = np.fromiter((v for _, v in self.worst(texts)), float, len(texts))
+        yield from (1 / (1 + np.exp(-np.clip(worst - self.network.shift, -60, 60)))).tolist()
 
 
 def log_odds(toxic: Counter, clean: Counter, n1: int, n0: int, names: list) -> np.ndarray:
@@ -296,10 +307,7 @@ def trained(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     net = Network({w: i for i, w in enumerate(names)}, log_odds(words[1], words[0], n1, n0, names), log_odds(grams[1], grams[0], n1, n0, list(range(TRIGRAMS))), seed)
 
     del words, grams
-    spans = []
-    for t in tokens:
-        own = windows(len(t))
-        spans.append([own[i] for i in np.sort(rng.permutation(len(own))[:TRAIN_WINDOWS])])
+    spans = [windows(len(t)) for t in tokens]
     odds = {w: float(net.p["word"][i, 0]) for w, i in net.vocabulary.items()}
     chosen = [max(range(len(own)), key=lambda k: max((odds.get(w, 0.0) for w in t[own[k][0] : own[k][1]]), default=0.0)) for t, own in zip(tokens, spans)]
     logit = np.zeros(len(tokens))
@@ -328,9 +336,7 @@ def trained(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
                 second[k] += 0.001 * (v * v - second[k])
                 slow = EMBEDDING_RATE if k in ("word", "char") else 1.0  # else few texts are learned by heart
                 net.p[k] -= (slow * rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        scorer, values = Scorer(net), []
-        for i in range(0, len(tokens), 32):
-            values += _worst(scorer, tokens[i : i + 32], spans[i : i + 32])
+        values = list(Scorer(net).worst(" ".join(t) for t in tokens))
         chosen, logit = [k for k, _ in values], np.array([v for _, v in values])
     order = np.argsort(logit, kind="stable")
     y = labels[order]
@@ -342,18 +348,6 @@ def trained(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     return net
 
 
-def _worst(scorer: Scorer, tokens: list[list[str]], spans: list[list[tuple[int, int]]]) -> list[tuple[int, float]]:
-    """Number and logit of the worst of the chosen windows of each text."""
-    flat = [" ".join(t[s:e]) for t, own in zip(tokens, spans) for s, e in own]
-    logit, _ = scorer.window_logits(flat)
-    out, at = [], 0
-    for own in spans:
-        part = logit[at : at + len(own)]
-        at += len(own)
-        out.append((int(part.argmax()), float(part.max())))
-    return out
-
-
 def held_out(key: Column) -> Column:
     """Whether a row is kept from training: crc32 of the id as text leaves 0 modulo 5."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -48,6 +48,29 @@ def test_both_layouts_of_the_network_agree():
     assert np.allclose(net._pooled(states, live)[3], net.logits(net.halved(table), index, live), atol=1e-5)
 
 
+def test_toxicity_cut_is_the_best_over_whole_texts():
+    """Texts of some 190 windows with one toxic passage, some wrongly labelled: no cut may make fewer errors than 0.5."""
+    rng = np.random.default_rng(8)
+    common, bad = [f"w{i}" for i in range(400)], [f"vile{i}" for i in range(12)]
+    texts, y = [], []
+    for i in range(80):
+        words = rng.choice(common, 9000 if i % 2 else 120).tolist()
+        toxic = i % 4 < 2
+        if toxic:
+            at = int(rng.integers(len(words)))
+            words[at:at] = rng.choice(bad, 3).tolist()
+        texts.append(" ".join(words))
+        y.append(int(toxic) if rng.random() > 0.15 else int(not toxic))
+    y = np.array(y)
+    net = toxicity.trained(texts, y)
+    score = np.array(list(toxicity.Scorer(net).scores(texts)))
+    errors = [int(((score >= cut) != y).sum()) for cut in [*np.unique(score), 2.0]]
+    assert int(((score >= 0.5) != y).sum()) == min(errors)
+    long = np.arange(80) % 2 == 1
+    clean = long & (np.arange(80) % 4 >= 2)
+    assert (score[long & ~clean & (y == 1)] >= 0.5).mean() > 0.9 and (score[clean & (y == 0)] < 0.5).mean() > 0.9
+
+
 def test_toxicity_held_out():
     rng = random.Random(1)
     bad = ["grumble", "snark", "vexing", "odious"]
