@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palletry.functions.numeric import hash_fraction
@@ -9,15 +13,34 @@ from palletry.functions.numeric import hash_fraction
 CUTS = 64
 
 
+def _range_of(df: DataFrame, column: str) -> Column:
+    """The number of a row's range among those that `CUTS` quantiles of a numeric column bound; -1 for null."""
+    cuts = sorted(set(df.approxQuantile(column, [i / CUTS for i in range(1, CUTS)], 0.5 / CUTS)))
+    at = F.col(column)
+    return F.when(at.isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= at))) if cuts else F.lit(0)
+
+
+def running(df: DataFrame, column: str, value: str, order: str, by: list[str], fold: Callable[[str], Column], join: Callable[[Column, Column], Column]) -> DataFrame:
+    """`df` with `column`, a fold of the values so far in each group; `order` is a number.
+
+    Folds have two levels, so that no group lies in one task: ranges of the order are folded apart, and each starts from
+    the fold of the ranges before it.
+    """
+    d = df.withColumn("_part", _range_of(df, order))
+    inner = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy(*[f"_{c}" for c in by]).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # of at most CUTS + 1 rows a group
+    base = d.groupBy(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_at")).agg(fold(value).alias("_all")).withColumn("_base", fold("_all").over(ahead))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.col("_part") == F.col("_at"))
+    d = d.withColumn("_own", fold(value).over(inner)).join(base, same)
+    return d.withColumn(column, join(F.col("_own"), F.col("_base"))).select(*df.columns, column)
+
+
 def round_robin(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """`df` with `island`: rows in order go to the islands in turn; the first column of the order is a number.
 
     Ranks have two levels: `CUTS` quantiles of that column bound the ranges that are ranked apart, nulls first.
     """
-    first = F.col(order[0])
-    cuts = sorted(set(df.approxQuantile(order[0], [i / CUTS for i in range(1, CUTS)], 0.5 / CUTS)))
-    part = F.when(first.isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= first))) if cuts else F.lit(0)
-    d = df.withColumn("_part", part)
+    d = df.withColumn("_part", _range_of(df, order[0]))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # of at most CUTS + 1 rows
     base = d.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
@@ -40,7 +63,9 @@ def rank_weights(df: DataFrame, order: list[Column | str], offset: bool = True,
 def boltzmann(df: DataFrame, score: str, temperature: float, island: str = "island") -> DataFrame:
     """`df` with probability exp(score/T) normalised in each island."""
     w = F.exp(F.col(score) / temperature)
-    return df.withColumn("probability", w / F.sum(w).over(Window.partitionBy(island)))
+    total = df.groupBy(F.col(island).alias("_island")).agg(F.sum(w).alias("_total"))
+    d = df.join(F.broadcast(total), F.col(island).eqNullSafe(F.col("_island")))
+    return d.withColumn("probability", w / F.col("_total")).drop("_island", "_total")
 
 
 def byte_set(code: Column) -> Column:
@@ -74,8 +99,12 @@ def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int = 42
 
 def running_best(df: DataFrame, iteration: str, score: str, *by: str) -> DataFrame:
     """`df` with `best`, the greatest score so far."""
-    order = Window.partitionBy(*by).orderBy(iteration).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("best", F.max(score).over(order))
+    return running(df, "best", score, iteration, list(by), F.max, F.greatest)
+
+
+def running_total(df: DataFrame, order: str, value: str, *by: str) -> DataFrame:
+    """`df` with `total`, the sum so far."""
+    return running(df, "total", value, order, list(by), F.sum, lambda a, b: F.coalesce(a + b, a, b))
 
 
 def best_and_worst(df: DataFrame, score: str, island: str = "island") -> DataFrame:

@@ -360,8 +360,8 @@ def bin_lower_bound(spark, d):
 
 def _packed(spark, d):
     """A next-fit by volume: an item's bin is the one its running total falls in."""
-    total = F.sum("item").over(Window.partitionBy("instance").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return base.arrivals(spark, d).withColumn("bin", F.floor((total - 1) / 150).cast("long"))
+    totals = P.running_total(base.arrivals(spark, d), "seq", "item", "instance")
+    return totals.withColumn("bin", F.floor((F.col("total") - 1) / 150).cast("long")).drop("total")
 
 
 @query
