@@ -1,17 +1,20 @@
 """N-gram Jaccard join by prefix trees: groups of documents linked by 100 * |A & B| >= PERCENT * |A | B|.
 
 1. Each text becomes the sorted set of its K-word shingles' hashes; equal sets form a class with one representative.
-2. Sets have one global order: shingles that a bounded list of frequent ones doesn't hold come first, by hash, then the
-   listed ones from rare to frequent. Linked sets share k shingles among the first n - ceil(PERCENT n / 100) + k; here k
-   is a `COMMON`th of n. The order steers the work only; any order gives the same links.
-3. Where up to `FEW` classes share such a shingle, those that share k of them are joined by an edge. Where more do, they
-   are chained in order of set size (a link can't skip a chain's gap, as only sizes beyond the bound break it), so no
-   group lists its pairs. The components of the edges are the blocks.
-4. The texts of a block's classes meet in one task. Their sets, common shingles first, form a trie that near copies share
-   for long. Each set walks it a few levels at a time with the overlaps so far; rows that the rest of their length
-   can't lift to the bound, and rows already in the same group, are dead, and subtrees of dead rows are skipped.
-5. Blocks of more than `BLOCK` shingles are cut along set size first and joined piece by piece; what their links leave apart
-   forms new, smaller blocks. If one of these is still too large, all pairs of its pieces are joined.
+2. Screen: of linked sets at most n - ceil(PERCENT n / 100) shingles of either are missing in the other. Each class sends
+   the `SCREEN` % of its shingles with the least hashes; a class of whose sent shingles more are found in no other class
+   goes on alone. Shingles that a chunk of texts holds twice are counted there and sent twice at most.
+3. The texts of the classes that are left meet their shingles' frequencies among each other. This gives one global order,
+   rare shingles first; linked sets share one of the first n - ceil(PERCENT n / 100) + 1. Each class keeps these (its prefix)
+   as narrow rows with their places.
+4. Rounds: every shingle that classes of different groups share names a few of them as pivots, at most one a lane of
+   groups, texts without shingles of their own first. Its other classes are held against them unless their sizes or what
+   is left of either set behind the shingle rule a link out; each pair once, whatever shingles it shares. Then groups
+   that links join are one group, pivots leave the shingle, shingles within one group are done, and there are four times
+   as many lanes. So neither all pairs of a group are listed nor does a shingle's group lie in one task.
+5. A pair is decided on whole sets: a pivot's classes, in parts of bounded size, are stored as a trie in one order of their
+   shingles, which near copies share for long. The pivot walks it a few levels at a time with the overlaps so far; rows
+   that the rest of their length can't lift to the bound are dead, and subtrees of dead rows are skipped.
 
 Defined results: null and empty texts have no shingles and are alone; a text of fewer than K words is one shingle; rows
 with equal sets, repeated rows too, share a group; null ids are ignored in `component_id`, which is null if a group has
@@ -25,16 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from palletry.llm.common import bit_map, is_marked, row_key, shingle_set, shingle_sets, slices, written
+from palletry.llm.common import bit_map, is_marked, row_key, shingle_sets, slices, written
 from palletry.llm.components import components
 
-K, PERCENT, FREQUENT, BLOCK, CHUNK, MAP_BITS = 5, 80, 1 << 20, 1_250_000, 500_000, 26
-FEW, COMMON = 16, 20
+K, PERCENT, SCREEN, CHUNK, PART, MAP_BITS, LANES = 5, 80, 30, 500_000, 1_000_000, 26, 4
 
-
-_CLASS = ["id", "a", "b", "key", "d", "c", "n", "s"]
+_CLASS = ["id", "a", "b", "key", "d", "c", "n"]
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -47,219 +48,229 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _fresh(sets: Iterator[np.ndarray], seen: set[bytes]) -> Iterator[tuple[np.ndarray, bytes | None, bool]]:
-    """Each set with its digest, and whether the partition meets it for the first time."""
-    for s in sets:
-        d = digest(s) if len(s) else None
-        yield s, d, d is not None and d not in seen
-        if d:
-            seen.add(d)
+def short(d: bytes) -> int:
+    return int.from_bytes(d[:8], "little", signed=True)
+
+
+def spare(n, percent: int = PERCENT):
+    """How many of a set's `n` shingles a linked set may lack; for numbers, arrays and columns."""
+    return F.floor(n * (100 - percent) / 100) if isinstance(n, Column) else n * (100 - percent) // 100
 
 
-def _class_rows(k):
-    """One row (id, a, b, d, c, n) for each text, and rows (s, n) of shingles that occur in two or more sets of a chunk
-    of the partition."""
+def sent(n, percent: int = PERCENT, screen: int = SCREEN):
+    """How many shingles of a set of `n` are sent to the screen: some beyond those that a linked set may lack."""
+    if isinstance(n, Column):
+        return F.least(n, F.greatest(spare(n, percent) + 1, F.floor(n * screen / 100)))
+    return min(n, max(spare(n, percent) + 1, n * screen // 100))
 
-    def counted(held, kind):
-        s, n = np.unique(np.concatenate(held), return_counts=True)
-        s, n = s[n > 1], n[n > 1]
-        return pa.RecordBatch.from_arrays([*(pa.nulls(len(s), t) for t in (kind, pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int64())), pa.array(n), pa.array(s.view(np.int64))], _CLASS)
+
+def _class_rows(k: int):
+    """One row (id, a, b, key, d, c, n) for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, total, kind = set(), [], 0, None
         for batch in slices(batches):
-            keys, sizes, kind = [], [], batch.schema.types[0]
-            for s, d, fresh in _fresh(shingle_sets(batch.column(3).to_pylist(), k), seen):
-                keys.append(d)
+            keys, sizes = [], []
+            for s in shingle_sets(batch.column(3).to_pylist(), k):
+                keys.append(digest(s) if len(s) else None)
                 sizes.append(len(s))
-                if fresh:
-                    held.append(s)
-                    total += len(s)
-                    if total > CHUNK:
-                        yield counted(held, kind)
-                        held, total = [], 0
-            short = [int.from_bytes(d[:8], "little", signed=True) if d else None for d in keys]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 4)), pa.array(keys, pa.binary()), pa.array(short, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(keys), pa.int64())], _CLASS)
-        if held:
-            yield counted(held, kind)
+            heads = [short(d) if d else None for d in keys]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 4)), pa.array(keys, pa.binary()), pa.array(heads, pa.int64()), pa.array(sizes, pa.int64())], _CLASS)
 
     return run
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n + (-percent * n) // 100 - -n // COMMON
+#: What a row (s, c, v) of the screen says; larger v are sums: v - SUM shingles of class c are known to be shared.
+ASKED, EVIDENCE, SUM = 0, 1, 2
 
 
-def _prefix_rows(k, percent, frequent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, rank = frequent.value
-        hint = np.zeros(1 << 23, bool)
-        hint[(listed >> np.uint64(41)).astype(np.int64)] = True
-        seen: set[bytes] = set()
-        held: list[tuple[np.ndarray, bytes, int]] = []
-
-        def flushed():
-            size = [len(p) for p, _, _ in held]
-            short = np.array([int.from_bytes(d[:8], "little", signed=True) for _, d, _ in held], np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([p for p, _, _ in held]).view(np.int64)), pa.array(np.repeat(short, size)), pa.array(np.repeat(np.array([n for _, _, n in held], np.int32), size))], ["s", "c", "n"]
-            )
-
-        def ordered(s: np.ndarray) -> np.ndarray:
-            maybe = np.flatnonzero(hint[(s >> np.uint64(41)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(listed, s[maybe]), len(listed) - 1)
-            found = listed[at] == s[maybe]
-            if not found.any():
-                return s
-            late = np.zeros(len(s), rank.dtype)
-            late[maybe[found]] = rank[at[found]]
-            return s[np.argsort(late, kind="stable")]
+def _screen_rows(k: int, percent: int, screen: int, chunk: int):
+    """Rows (s, c, v) of the sets that a partition meets for the first time."""
 
+    def told(held: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
+        size = np.array([len(h) for h in held])
+        s, c = np.concatenate(held), np.array(names, np.int64)
+        owner = np.repeat(np.arange(len(c)), size)
+        order = np.argsort(s, kind="stable")
+        first = np.flatnonzero(np.r_[True, s[order][1:] != s[order][:-1]])
+        count = np.diff(np.r_[first, len(s)])
+        shared = np.zeros(len(s), bool)
+        shared[order] = np.repeat(count > 1, count)
+        ends = order[np.r_[first[count > 1], (first + count - 1)[count > 1]]]
+        sums = np.bincount(owner[shared], minlength=len(c))
+        at = np.r_[np.flatnonzero(~shared), ends]
+        v = np.r_[np.full(len(at) - len(ends), ASKED), np.full(len(ends), EVIDENCE), SUM + sums].astype(np.int32)
+        # a sum has no shingle; its class's number spreads these rows
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[s[at].view(np.int64), c]), pa.array(np.r_[c[owner[at]], c]), pa.array(v)], ["s", "c", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, names, total = set(), [], [], 0
         for batch in slices(batches):
-            for s, d, fresh in _fresh(shingle_sets(batch.column(0).to_pylist(), k), seen):
-                if fresh:
-                    held.append(((ordered(s) if len(listed) else s)[: prefix_length(len(s), percent)], d, len(s)))
-                    if len(held) == 2000:
-                        yield flushed()
-                        held.clear()
+            for s in shingle_sets(batch.column(0).to_pylist(), k):
+                d = digest(s)
+                if not len(s) or d in seen:
+                    continue
+                seen.add(d)
+                held.append(s[: sent(len(s), percent, screen)].copy())
+                names.append(short(d))
+                total += len(held[-1])
+                if total > chunk:
+                    yield told(held, names)
+                    held, names, total = [], [], 0
         if held:
-            yield flushed()
+            yield told(held, names)
 
     return run
 
 
-def candidate_edges(shared: DataFrame, percent: int) -> DataFrame:
-    """Edges (x, y) whose components hold all links, from rows (s, c, n, m) of prefix shingles and their m classes.
+def screened(docs: DataFrame, classes: DataFrame, k: int, percent: int, screen: int, chunk: int) -> DataFrame:
+    """The classes that share enough of their sent shingles with any other class."""
+    rows = docs.select("raw").mapInArrow(_screen_rows(k, percent, screen, chunk), "s long, c long, v int")
+    same = Window.partitionBy("s")
+    seen = F.when(F.col("v") < SUM, F.col("c"))
+    rows = rows.withColumns({"lo": F.min(seen).over(same), "hi": F.max(seen).over(same)})
+    found = F.when(F.col("v") >= SUM, F.col("v") - SUM).when((F.col("v") == ASKED) & (F.col("lo") < F.col("hi")), 1).otherwise(0)
+    # A class that several partitions hold is counted as often.
+    sums = rows.groupBy("c").agg(F.sum(found).alias("found"), F.count(F.when(F.col("v") >= SUM, 1)).alias("copies"))
+    n = F.col("n")
+    return classes.join(sums, "c").where(F.col("found") >= (sent(n, percent, screen) - spare(n, percent)) * F.col("copies")).drop("found", "copies")
+
+
+def candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(c, raw): the representatives' texts of the classes in `wanted`, each once, as a written table.
 
-    Where at most `FEW` classes share a shingle, each is paired with the others of fitting size, and pairs that share
-    too few shingles of their prefixes go. Where more do, neighbours in order of size are chained instead.
+    A bit map of their text hashes, of fixed size, spares most other texts the shuffle of the join.
     """
-    few = shared.where(F.col("m") <= FEW)
-    a, b = few.select("s", F.col("c").alias("x"), F.col("n").alias("nx")), few.select("s", F.col("c").alias("y"), F.col("n").alias("ny"))
-    fit = (F.col("x") < F.col("y")) & (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
-    pairs = a.join(b, "s").where(fit).groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.least("nx", "ny")).alias("least"))
-    pairs = pairs.where(F.col("n") >= F.ceil(F.col("least") / COMMON)).select("x", "y")
-    order = Window.partitionBy("s").orderBy("n", "c")
-    e = shared.where(F.col("m") > FEW).select("c", "n", F.lag("c").over(order).alias("x"), F.lag("n").over(order).alias("k"))
-    chain = e.where((F.col("x") != F.col("c")) & (F.col("k") * 100 >= F.col("n") * percent)).select("x", F.col("c").alias("y")).distinct()
-    return pairs.unionByName(chain)
-
-
-class Forest:
-    """Union-find over row numbers; the least row is the root."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-
-
-def linked_roots(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
-    """For each set the least index that links connect it with; joins all sets through a trie."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets])
-    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int32)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
-    paths = [np.sort(x) for x in np.split(rank[token], np.cumsum(size)[:-1])]
-    del token
-    order = sorted(range(m), key=lambda i: paths[i].astype(">u4").tobytes())
-    paths, length = [paths[i] for i in order], size[order]
-    # Flat trie: a node is a shingle at a depth, shared by the rows from `begin` to `end`.
-    nodes, begins, depths, open_, made, before = [], [], [], np.zeros(int(length.max()), np.int32), 0, None
-    total = int(length.sum())
-    end = np.full(total, m, np.int32)
-    for i, p in enumerate(paths):
-        common = 0
-        if before is not None:
-            k = min(len(p), len(before))
-            differs = p[:k] != before[:k]
-            common = int(differs.argmax()) if differs.any() else k
-            end[open_[common : len(before)]] = i
-        fresh = len(p) - common
-        open_[common : len(p)] = np.arange(made, made + fresh)
-        nodes.append(p[common:])
-        begins.append(np.full(fresh, i, np.int32))
-        depths.append(np.arange(common, len(p), dtype=np.int32))
-        made += fresh
-        before = p
-    node, begin, depth, end = np.concatenate(nodes), np.concatenate(begins), np.concatenate(depths), end[:made]
-    by_depth = np.argsort(depth, kind="stable")
-    node, begin, depth, end = node[by_depth], begin[by_depth], depth[by_depth], end[by_depth]
-    steps = [0]
-    while steps[-1] < length.max():
-        steps.append(min(int(length.max()), max(64, steps[-1] * 2)))
-    cut = np.searchsorted(depth, steps)
-    mark, forest = np.zeros(len(count), bool), Forest(m)
-    group = np.arange(m)  # the root of each row, kept up to date
-    members = {i: [i] for i in range(m)}
-    for i in range(m - 1):
-        mark[paths[i]] = True
-        need = -(-percent * (length[i] + length) // (100 + percent))
-        alive = (np.minimum(length[i], length) >= need) & (group != group[i])
-        alive[: i + 1] = False
-        overlap = np.zeros(m, np.int64)
-        for level in range(len(steps) - 1):
+    wanted = written(wanted.select("c", "rep.a", "rep.key"), "wanted")
+    marks = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "a", MAP_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in slices(batches, 2000):
+            batch = batch.filter(pa.array(is_marked(marks.value, batch.column(0).to_numpy())))
+            fresh = []
+            for key in batch.column(2).to_pylist():
+                fresh.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    some = docs.select("a", "raw", "key").mapInArrow(run, "a long, raw binary, key string")
+    found = some.join(wanted.select("c", "key"), "key").groupBy("key").agg(F.first("c").alias("c"), F.first("raw").alias("raw"))
+    return written(found.select("c", "raw"), "candidates")
+
+
+def _token_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500):
+            sets = list(shingle_sets(batch.column(1).to_pylist(), k))
+            size = np.array([len(s) for s in sets], np.int32)
+            if len(size):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.repeat(size, size))], ["s", "c", "n"])
+
+    return run
+
+
+def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(s, c, n, at, own, label): the shingles of each class's prefix, from rare to frequent, that other classes hold too.
+
+    `at`: the shingle's place in the order of its class; `own`: the share of shingles that no other class holds;
+    `label`: the group, at first the class itself.
+    """
+    rows = texts.mapInArrow(_token_rows(k), "s long, c long, n int")
+    rows = rows.join(rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "s")
+    own = F.col("n") - F.count("*").over(Window.partitionBy("c"))
+    place = F.row_number().over(Window.partitionBy("c").orderBy("df", "s")) - 1
+    rows = rows.select("s", "c", "n", own.alias("own"), place.alias("place")).where(F.col("own") + F.col("place") <= spare(F.col("n"), percent))
+    return rows.select("s", "c", "n", (F.col("own") + F.col("place")).cast("int").alias("at"), (F.col("own") / F.col("n")).alias("own"), F.col("c").alias("label"))
+
+
+class Trie:
+    """Sets in one order of their shingles, frequent ones first, as a flat trie: a node is a shingle at a depth, shared by
+    the rows from `begin` to `end`; nodes stand by depth."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        size = np.array([len(s) for s in sets])
+        self.shingles, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(count), np.int32)
+        self.rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+        paths = [np.sort(x) for x in np.split(self.rank[token], np.cumsum(size)[:-1])]
+        self.order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes())
+        self.length = size[self.order]
+        m, longest = len(sets), int(size.max())
+        nodes, begins, depths, open_, made, before = [], [], [], np.zeros(longest, np.int32), 0, None
+        end = np.full(int(size.sum()), m, np.int32)
+        for i, p in enumerate(paths[j] for j in self.order):
+            common = 0
+            if before is not None:
+                k = min(len(p), len(before))
+                differs = p[:k] != before[:k]
+                common = int(differs.argmax()) if differs.any() else k
+                end[open_[common : len(before)]] = i
+            fresh = len(p) - common
+            open_[common : len(p)] = np.arange(made, made + fresh)
+            nodes.append(p[common:])
+            begins.append(np.full(fresh, i, np.int32))
+            depths.append(np.arange(common, len(p), dtype=np.int32))
+            made += fresh
+            before = p
+        depth = np.concatenate(depths)
+        by_depth = np.argsort(depth, kind="stable")
+        self.node, self.begin, self.end = np.concatenate(nodes)[by_depth], np.concatenate(begins)[by_depth], end[:made][by_depth]
+        self.steps = [0]
+        while self.steps[-1] < longest:
+            self.steps.append(min(longest, max(64, self.steps[-1] * 2)))
+        self.cut = np.searchsorted(depth[by_depth], self.steps)
+
+    def linked(self, probe: np.ndarray, percent: int) -> list[int]:
+        """The numbers of the sets that are linked with `probe`, a sorted set."""
+        mark = np.zeros(len(self.rank), bool)
+        mark[self.rank[np.isin(self.shingles, probe, assume_unique=True)]] = True
+        m = len(self.length)
+        need = -(-percent * (len(probe) + self.length) // (100 + percent))
+        alive, overlap = np.minimum(len(probe), self.length) >= need, np.zeros(m, np.int64)
+        for level in range(len(self.steps) - 1):
             if not alive.any():
                 break
-            lo, hi = cut[level], cut[level + 1]
-            here = mark[node[lo:hi]]
-            b, e = begin[lo:hi][here], end[lo:hi][here]
-            if m > 64:
-                living = np.r_[0, np.cumsum(alive)]
-                wanted = living[e] > living[b]
-                b, e = b[wanted], e[wanted]
+            part = slice(self.cut[level], self.cut[level + 1])
+            here = mark[self.node[part]]
+            b, e = self.begin[part][here], self.end[part][here]
+            living = np.r_[0, np.cumsum(alive)]
+            wanted = living[e] > living[b]
+            b, e = b[wanted], e[wanted]
             overlap += np.cumsum(np.bincount(b, minlength=m + 1) - np.bincount(e, minlength=m + 1))[:m]
-            alive &= overlap + np.maximum(length - steps[level + 1], 0) >= need
-        mark[paths[i]] = False
-        for j in np.flatnonzero(alive & (overlap >= need)).tolist():
-            a, z = int(group[i]), int(group[j])
-            if a != z:
-                forest.join(a, z)
-                members[a] += members.pop(z)
-                group[members[a]] = a
-    roots: dict[int, int] = {}
-    out = [0] * m
-    for row, i in enumerate(order):
-        roots[group[row]] = min(roots.get(group[row], m), i)
-    for row, i in enumerate(order):
-        out[i] = roots[group[row]]
-    return out
-
-
-def _linked_rows(k, percent):
-    """(x, y): a class and the class that its block's links connect it with; rows come sorted by block."""
+            alive &= overlap + np.maximum(self.length - self.steps[level + 1], 0) >= need
+        return [self.order[i] for i in np.flatnonzero(alive & (overlap >= need)).tolist()]
+
+
+def _linked_rows(k: int, percent: int, chunk: int):
+    """(x, y): the links among rows (x, part, y, raw), sorted by these; the pivot's own row, with y null, comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets = None, {}
-        pairs: list[tuple[bytes, bytes]] = []
+        key, probe, sets, names, total = None, None, [], [], 0
+        found: list[tuple[int, int, int, int]] = []
 
         def closed():
-            if len(sets) > 1:
-                names = list(sets)
-                pairs.extend((names[i], names[r]) for i, r in enumerate(linked_roots(list(sets.values()), percent)) if i != r)
+            nonlocal sets, names, total
+            if sets:
+                found.extend((*key[:2], *names[i]) for i in Trie(sets).linked(probe, percent))
+            sets, names, total = [], [], 0
 
         def told():
-            out = pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["x", "y"])
-            pairs.clear()
+            out = pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], ["x", "lx", "y", "ly"])
+            found.clear()
             return out
 
-        for batch in slices(batches):
-            for block, d, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if block != key:
+        for batch in slices(batches, 200):
+            x, lx, part, y, ly, raw = (batch.column(i).to_pylist() for i in range(6))
+            for at, s in enumerate(shingle_sets(raw, k)):
+                if y[at] is None:
+                    closed()
+                    key, probe = (x[at], lx[at], part[at]), s.copy()
+                    continue
+                sets.append(s.copy())
+                names.append((y[at], ly[at]))
+                total += len(s)
+                if total > chunk:
                     closed()
-                    key, sets = block, {}
-                s = shingle_set(raw, k)
-                if digest(s) == d:
-                    sets[d] = s
             yield told()
         closed()
         yield told()
@@ -267,80 +278,58 @@ def _linked_rows(k, percent):
     return run
 
 
-def candidates(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(c, d, raw): the representatives' texts of the classes in `blocks`, as a written table.
-
-    A bit map of their text hashes, of fixed size, spares most other texts the shuffle of the join.
-    """
-    wanted = written(blocks.select("c").distinct().join(classes, "c").select("c", "d", "rep.*"), "wanted")
-    marks = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "a", MAP_BITS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2000):
-            yield batch.filter(pa.array(is_marked(marks.value, batch.column(1).to_numpy())))
-
-    some = docs.mapInArrow(run, docs.schema)
-    return written(some.join(wanted.select("c", "d", "key"), "key").select("c", "d", "raw"), "candidates")
-
-
-def _links(texts: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (x, y) of class digests inside blocks (c, block), to whose tasks the texts are sent."""
-    rows = texts.join(blocks, "c").select("block", "d", "raw")
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_linked_rows(k, percent), "x binary, y binary")
-
-
-def class_links(docs: DataFrame, classes: DataFrame, repeated: DataFrame, k: int, percent: int, block: int, frequent: int) -> DataFrame:
-    """Links (x, y) whose components are the groups of linked classes."""
-    spark = docs.sparkSession
-    raw = docs.select("raw")
-    top = repeated.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(frequent).toArrow()
-    listed = top.column("s").to_numpy().view(np.uint64)
-    rank = np.arange(len(listed), 0, -1, dtype=np.int32)
-    by_hash = np.argsort(listed)
-    shipped = spark.sparkContext.broadcast((listed[by_hash], rank[by_hash]))
-    prefixes = raw.mapInArrow(_prefix_rows(k, percent, shipped), "s long, c long, n int").repartition("s")
-    same = Window.partitionBy("s")
-    shared = prefixes.withColumns({"lo": F.min("c").over(same), "hi": F.max("c").over(same)}).where("lo <> hi").select("s", "c", "n").distinct()
-    shared = written(shared.withColumn("m", F.count("*").over(same)), "prefixes")
-
-    def blocks_of(part: DataFrame) -> DataFrame:
-        found = components(candidate_edges(part, percent)).withColumnRenamed("node", "c").join(first, "c")
-        sizes = found.groupBy("root").agg(F.sum("n").alias("total"))
-        return written(found.join(sizes, "root").select("c", "root", "n", "s", "total"), "blocks")
-
-    first = shared.groupBy("c").agg(F.min("s").alias("s"), F.first("n").alias("n"))
-    blocks = blocks_of(shared)
-    texts = candidates(docs, classes, blocks)
-    fits = blocks.where(F.col("total") <= block).select("c", F.concat_ws(":", F.lit("0"), "root").alias("block"))
-    links = _links(texts, fits, k, percent)
-    large = blocks.where(F.col("total") > block)
-    if large.isEmpty():
-        return links
-    ahead = F.sum("n").over(Window.partitionBy("root").orderBy("n", "s", "c").rowsBetween(Window.unboundedPreceding, -1))
-    piece = F.floor(F.coalesce(ahead, F.lit(0)) / block)
-    pieces = large.select("c", F.concat_ws(":", F.lit("1"), "root", piece).alias("block"))
-    links = written(links.unionByName(_links(texts, pieces, k, percent)), "links")
-    labels = components(links)
-    label = classes.join(labels, F.col("d") == F.col("node"), "left").select("c", F.coalesce("root", "d").alias("label"))
-    apart = shared.join(large.select("c"), "c", "left_semi").join(label, "c")
-    apart = apart.withColumns({"lo": F.min("label").over(same), "hi": F.max("label").over(same)}).where("lo <> hi").select("s", "c", "n", "m").distinct()
-    rest = blocks_of(written(apart, "apart"))
-    parts = F.when(F.col("total") <= block, 1).otherwise(F.ceil(F.col("total") * 2 / block)).cast("int")
-    rest = rest.withColumns({"parts": parts, "part": F.pmod(F.hash("c"), parts)})
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    name = F.concat_ws(":", F.lit("2"), "root", F.least("part", "other"), F.greatest("part", "other"))
-    return links.unionByName(_links(texts, rest.select("c", name.alias("block")), k, percent))
-
-
-def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, block: int = BLOCK, frequent: int = FREQUENT) -> DataFrame:
+def links(pairs: DataFrame, texts: DataFrame, k: int, percent: int, chunk: int, part: int) -> DataFrame:
+    """The linked ones of `pairs` (x, lx, y, ly, n), n being the size of y; a pivot's pairs are split into parts of bounded size."""
+    sizes = pairs.groupBy("x").agg(F.ceil(F.sum("n") / part).alias("parts"))
+    dealt = pairs.join(sizes, "x").withColumn("part", F.pmod(F.hash("y"), F.col("parts"))).select("x", "lx", "part", "y", "ly")
+    pivots = dealt.groupBy("x", "part").agg(F.first("lx").alias("lx")).select("x", "lx", "part", F.lit(None).cast("long").alias("y"), F.lit(None).cast("long").alias("ly"))
+    rows = dealt.join(texts.withColumnRenamed("c", "y"), "y").select("x", "lx", "part", "y", "ly", "raw")
+    rows = rows.unionByName(pivots.join(texts.withColumnRenamed("c", "x"), "x").select("x", "lx", "part", "y", "ly", "raw"))
+    rows = rows.repartition("x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
+    return rows.mapInArrow(_linked_rows(k, percent, chunk), "x long, lx long, y long, ly long")
+
+
+def pivoted(rows: DataFrame, lanes: int) -> DataFrame:
+    """(s, pivots): for each shingle of several groups the first class of each lane of groups."""
+    lane = F.pmod(F.hash("label", F.lit(lanes)), F.lit(lanes))
+    firsts = rows.groupBy("s", lane.alias("lane")).agg(F.min(F.struct("own", "c", "n", "at", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    both = firsts.groupBy("s").agg(F.collect_list("p").alias("pivots"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return both.where("lo < hi").select("s", "pivots")
+
+
+def groups(rows: DataFrame, texts: DataFrame, k: int, percent: int, chunk: int, part: int, lanes: int) -> DataFrame:
+    """(c, root): the group of each class that has a link, by rounds over the prefix rows."""
+    label = written(rows.select("c", "label").distinct(), "labels")
+    while True:
+        rows = written(rows.join(pivoted(rows, lanes), "s"), "rows")
+        if rows.isEmpty():
+            return label.withColumnRenamed("label", "root")
+        n, p = F.col("n"), F.col("p.n")
+        fit = (n * 100 >= p * percent) & (p * 100 >= n * percent) & (F.least(n - F.col("at"), p - F.col("p.at")) * (100 + percent) >= (n + p) * percent)
+        is_pivot = F.array_contains(F.col("pivots.c"), F.col("c"))
+        once = ~is_pivot | (F.struct("p.own", "p.c") < F.struct("own", "c"))
+        pairs = rows.withColumn("p", F.explode("pivots")).where(F.col("label") != F.col("p.label")).where(once & fit)
+        pairs = pairs.groupBy(F.col("p.c").alias("x"), F.col("c").alias("y")).agg(F.first("p.label").alias("lx"), F.first("label").alias("ly"), F.first("n").alias("n"))
+        found = written(links(written(pairs, "pairs"), texts, k, percent, chunk, part), "links")
+        rest = rows.where(~is_pivot).drop("pivots")
+        if not found.isEmpty():
+            joined = written(components(found.select(F.col("lx").alias("x"), F.col("ly").alias("y"))), "joined")
+            root = F.coalesce("root", "label").alias("label")
+            named = joined.withColumnRenamed("node", "label")
+            rest = rest.join(named, "label", "left").select("s", "c", "n", "at", "own", root)
+            label = written(label.join(named, "label", "left").select("c", root), "labels")
+        rows, lanes = rest, lanes * 4
+
+
+def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, screen: int = SCREEN, chunk: int = CHUNK, part: int = PART, lanes: int = LANES) -> DataFrame:
     """(id, a, b, key, n_shingles, group, component_id): one row for each input row; `group` is null for texts without words."""
     docs = keyed(df, id_col, text_col)
     kind = dict(df.dtypes)[id_col]
-    told = written(docs.mapInArrow(_class_rows(k), f"id {kind}, a long, b int, key string, d binary, c long, n long, s long"), "classes")
-    rows, repeated = told.where("s is null").drop("s"), told.where("s is not null").select("s", "n")
-    classes = written(rows.where("n > 0").groupBy("d").agg(F.min("c").alias("c"), F.min(F.struct("id", "a", "b", "key")).alias("rep"), F.min("id").alias("least")), "class")
-    labels = written(components(class_links(docs, classes, repeated, k, percent, block, frequent)), "labels")
-    named = classes.join(labels.withColumnRenamed("node", "d"), "d", "left").select("d", F.coalesce("root", "d").alias("group"), "least")
+    rows = written(docs.mapInArrow(_class_rows(k), f"id {kind}, a long, b int, key string, d binary, c long, n long"), "classes")
+    classes = written(rows.where("n > 0").groupBy("d").agg(F.min("c").alias("c"), F.min("n").alias("n"), F.min(F.struct("id", "a", "b", "key")).alias("rep"), F.min("id").alias("least")), "class")
+    texts = candidates(docs, screened(docs, classes, k, percent, screen, chunk))
+    labels = groups(written(prefixes(texts, k, percent), "prefixes"), texts, k, percent, chunk, part, lanes)
+    named = classes.join(labels, "c", "left").select("d", F.coalesce("root", "c").alias("group"), "least")
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
     named = named.join(least, "group").select("d", "group", "component_id")
     out = rows.join(named, "d", "left")

@@ -57,7 +57,7 @@ def test_trie_join_groups(docs, empty):
         if d is not None:
             least[r] = min(d, least.get(r, d))
     want = Counter((d, len(s), least.get(r) if s else d) for (d, _, _), s, r in zip(ROWS, sets, roots))
-    for options in ({}, {"block": 400, "frequent": 3}):
+    for options in ({}, {"lanes": 1, "chunk": 300, "part": 200}, {"screen": 100}):
         got = Counter((r.id, r.n_shingles, r.component_id) for r in trie_join.grouped(docs, **options).collect())
         assert got == want
     assert trie_join.grouped(empty).count() == 0

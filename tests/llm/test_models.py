@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from tests.llm.data import linked
 
 from palletry.llm import bpe_lexicon, common, hnsw, suffix_dedup, token_counts, toxicity, trie_join
 
@@ -124,7 +123,7 @@ def test_nearest(spark):
     assert hnsw.nearest(df.where("false")).count() == 0
 
 
-def test_trie_roots():
+def test_trie_links():
     rng = np.random.default_rng(1)
     for _ in range(60):
         m = int(rng.integers(2, 25))
@@ -134,7 +133,11 @@ def test_trie_roots():
             b = base[rng.integers(0, 3)]
             b = np.r_[b[rng.random(len(b)) > rng.choice([0, 0.05, 0.1, 0.2])], rng.integers(0, 900, int(rng.integers(0, 10))), 1]
             sets.append(np.unique(b).astype(np.uint64))
-        assert trie_join.linked_roots(sets) == linked([set(s.tolist()) for s in sets])
+        trie = trie_join.Trie(sets[1:])
+        for probe in sets:
+            both = [len(set(probe.tolist()) & set(s.tolist())) for s in sets[1:]]
+            want = [i for i, (b, s) in enumerate(zip(both, sets[1:])) if 100 * b >= 80 * (len(s) + len(probe) - b)]
+            assert sorted(trie.linked(probe, 80)) == want
 
 
 def test_shingle_sets_agree():
