@@ -6,12 +6,12 @@
    goes on alone. Shingles that a chunk of texts holds twice are counted there and sent twice at most.
 3. The texts of the classes that are left meet their shingles' frequencies among each other. This gives one global order,
    rare shingles first; linked sets share one of the first n - ceil(PERCENT n / 100) + 1. Each class keeps these (its prefix)
-   as narrow rows with their places.
+   as narrow rows, with the size up to which what is left of the set behind the shingle allows a link.
 4. Rounds: every shingle that classes of different groups share names a few of them as pivots, at most one a lane of
-   groups, texts without shingles of their own first. Its other classes are held against them unless their sizes or what
-   is left of either set behind the shingle rule a link out; each pair once, whatever shingles it shares. Then groups
-   that links join are one group, pivots leave the shingle, shingles within one group are done, and there are four times
-   as many lanes. So neither all pairs of a group are listed nor does a shingle's group lie in one task.
+   groups, texts without shingles of their own first. Its other classes are held against them unless their sizes rule a
+   link out; each pair once, whatever shingles it shares. Then groups that links join are one group, pivots leave the
+   shingle, rows without a possible partner go, and there are four times as many lanes, so that rounds grow with the
+   logarithm of a group. So neither all pairs of a group are listed nor does a shingle's group lie in one task.
 5. A pair is decided on whole sets: a pivot's classes, in parts of bounded size, are stored as a trie in one order of their
    shingles, which near copies share for long. The pivot walks it a few levels at a time with the overlaps so far; rows
    that the rest of their length can't lift to the bound are dead, and subtrees of dead rows are skipped.
@@ -170,17 +170,18 @@ def _token_rows(k: int):
 
 
 def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(s, c, n, at, own, label): the shingles of each class's prefix, from rare to frequent, that other classes hold too.
+    """(s, c, n, far, own, label): the shingles of each class's prefix, from rare to frequent, that other classes hold too.
 
-    `at`: the shingle's place in the order of its class; `own`: the share of shingles that no other class holds;
-    `label`: the group, at first the class itself.
+    `far`: the size of the largest set that this shingle, if it is the first common one, and what is left of the set behind
+    it can link with; `own`: the share of shingles that no other class holds; `label`: the group, at first the class itself.
     """
     rows = texts.mapInArrow(_token_rows(k), "s long, c long, n int")
     rows = rows.join(rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "s")
     own = F.col("n") - F.count("*").over(Window.partitionBy("c"))
     place = F.row_number().over(Window.partitionBy("c").orderBy("df", "s")) - 1
     rows = rows.select("s", "c", "n", own.alias("own"), place.alias("place")).where(F.col("own") + F.col("place") <= spare(F.col("n"), percent))
-    return rows.select("s", "c", "n", (F.col("own") + F.col("place")).cast("int").alias("at"), (F.col("own") / F.col("n")).alias("own"), F.col("c").alias("label"))
+    far = F.floor((F.col("n") - F.col("own") - F.col("place")) * (100 + percent) / percent) - F.col("n")
+    return rows.select("s", "c", "n", far.cast("int").alias("far"), (F.col("own") / F.col("n")).alias("own"), F.col("c").alias("label"))
 
 
 class Trie:
@@ -289,34 +290,53 @@ def links(pairs: DataFrame, texts: DataFrame, k: int, percent: int, chunk: int,
     return rows.mapInArrow(_linked_rows(k, percent, chunk), "x long, lx long, y long, ly long")
 
 
+def pairable(rows: DataFrame) -> DataFrame:
+    """The rows whose shingle may be the first that they have in common with a class of another group.
+
+    Sizes must reach each other: n <= far on either side. Of two such rows one has n <= far for its own size. The sizes of
+    a shingle's classes are summed up by bands, of which there are as many as the logarithm of the largest size.
+    """
+    able, band = F.col("far") >= F.col("n"), F.floor(F.log(F.col("n")) / F.log(F.lit(1.05)))
+    bands = rows.groupBy("s", able.alias("able"), band.alias("band")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("far").alias("far"), F.min("n").alias("least"))
+    bands = bands.groupBy("s").agg(F.collect_list(F.struct("able", "lo", "hi", "far", "least")).alias("bands"))
+
+    def reached(b: Column) -> Column:
+        other = (b["lo"] != F.col("label")) | (b["hi"] != F.col("label"))
+        return other & (b["able"] | able) & (b["far"] >= F.col("n")) & (b["least"] <= F.col("far"))
+
+    return rows.join(bands, "s").where(F.exists("bands", reached)).drop("bands")
+
+
 def pivoted(rows: DataFrame, lanes: int) -> DataFrame:
-    """(s, pivots): for each shingle of several groups the first class of each lane of groups."""
-    lane = F.pmod(F.hash("label", F.lit(lanes)), F.lit(lanes))
-    firsts = rows.groupBy("s", lane.alias("lane")).agg(F.min(F.struct("own", "c", "n", "at", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    both = firsts.groupBy("s").agg(F.collect_list("p").alias("pivots"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return both.where("lo < hi").select("s", "pivots")
+    """(s, pivots): for each shingle the first class of each lane of groups, and of lanes inside of groups when there are many."""
+    lane = [F.pmod(F.hash(c, F.lit(lanes)), F.lit(m)).alias(a) for c, m, a in (("label", lanes, "lane"), ("c", max(1, lanes // 16), "inner"))]
+    firsts = rows.groupBy("s", *lane).agg(F.min(F.struct("own", "c", "n", "far", "label")).alias("p"))
+    return firsts.groupBy("s").agg(F.collect_list("p").alias("pivots"))
 
 
 def groups(rows: DataFrame, texts: DataFrame, k: int, percent: int, chunk: int, part: int, lanes: int) -> DataFrame:
     """(c, root): the group of each class that has a link, by rounds over the prefix rows."""
     label = written(rows.select("c", "label").distinct(), "labels")
     while True:
-        rows = written(rows.join(pivoted(rows, lanes), "s"), "rows")
+        rows = written(pairable(rows), "rows")
         if rows.isEmpty():
             return label.withColumnRenamed("label", "root")
-        n, p = F.col("n"), F.col("p.n")
-        fit = (n * 100 >= p * percent) & (p * 100 >= n * percent) & (F.least(n - F.col("at"), p - F.col("p.at")) * (100 + percent) >= (n + p) * percent)
+        met = rows.join(pivoted(rows, lanes), "s")
         is_pivot = F.array_contains(F.col("pivots.c"), F.col("c"))
-        once = ~is_pivot | (F.struct("p.own", "p.c") < F.struct("own", "c"))
-        pairs = rows.withColumn("p", F.explode("pivots")).where(F.col("label") != F.col("p.label")).where(once & fit)
+
+        def fits(p: Column) -> Column:
+            once = ~is_pivot | (F.struct(p["own"], p["c"]) < F.struct("own", "c"))
+            return (p["label"] != F.col("label")) & (p["n"] <= F.col("far")) & (F.col("n") <= p["far"]) & once
+
+        pairs = met.withColumn("p", F.explode(F.filter("pivots", fits)))
         pairs = pairs.groupBy(F.col("p.c").alias("x"), F.col("c").alias("y")).agg(F.first("p.label").alias("lx"), F.first("label").alias("ly"), F.first("n").alias("n"))
         found = written(links(written(pairs, "pairs"), texts, k, percent, chunk, part), "links")
-        rest = rows.where(~is_pivot).drop("pivots")
+        rest = met.where(~is_pivot).drop("pivots")
         if not found.isEmpty():
             joined = written(components(found.select(F.col("lx").alias("x"), F.col("ly").alias("y"))), "joined")
             root = F.coalesce("root", "label").alias("label")
             named = joined.withColumnRenamed("node", "label")
-            rest = rest.join(named, "label", "left").select("s", "c", "n", "at", "own", root)
+            rest = rest.join(named, "label", "left").select("s", "c", "n", "far", "own", root)
             label = written(label.join(named, "label", "left").select("c", root), "labels")
         rows, lanes = rest, lanes * 4
 

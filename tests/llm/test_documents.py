@@ -1,8 +1,10 @@
 """The operators over documents against brute force, with nulls, empties, ties, repeats, long texts and clashing names."""
 
+import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.data import WORD, awkward, frame, linked, sha, shingles, without_repeats
 
 from palletry.llm import bpe_lexicon, exact_dedup, mixing, sharding, suffix_dedup, toxicity, trie_join
@@ -57,7 +59,7 @@ def test_trie_join_groups(docs, empty):
         if d is not None:
             least[r] = min(d, least.get(r, d))
     want = Counter((d, len(s), least.get(r) if s else d) for (d, _, _), s, r in zip(ROWS, sets, roots))
-    for options in ({}, {"lanes": 1, "chunk": 300, "part": 200}, {"screen": 100}):
+    for options in ({}, {"lanes": 1, "chunk": 300, "part": 200}):
         got = Counter((r.id, r.n_shingles, r.component_id) for r in trie_join.grouped(docs, **options).collect())
         assert got == want
     assert trie_join.grouped(empty).count() == 0
@@ -119,7 +121,13 @@ def test_mix_targets_and_rows(docs, empty):
     assert all(abs(taken[s] - target[s]) <= 1 for s in names)
     assert sorted(map(tuple, plan.select("id", "taken", "position").fillna(-1).collect())) == sorted(map(tuple, mixing.mix_plan(docs).select("id", "taken", "position").fillna(-1).collect()))
     mix = mixing.mixed_documents(docs)
-    assert mix.columns == docs.columns and 0 < mix.count() <= 2 * len(ROWS)
+    assert mix.columns == docs.columns
+    uses = Counter()
+    for r in rows:
+        n = [e for e in (0, 1) if r.before + e * r.source_size + r.size / 2 <= r.target] if r["size"] else [0]
+        uses[r.id, names[r.nth], r["size"]] += len(n)
+    got = Counter((r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in mix.select("doc_id", "source", "text").collect())
+    assert got == +uses
     assert mixing.mix_plan(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
@@ -130,6 +138,26 @@ def test_curriculum_moves_sources_over_time(spark):
     assert early[0] < early[1] < early[2]
 
 
+def test_mix_of_repeated_and_null_ids(spark):
+    """Ids that sources share, with other texts, don't swap places, and each source's words come near its target."""
+    rows = [(i % 7 if i % 3 else None, " ".join(["w"] * (i % 11)), f"s{i % 4}") for i in range(400)]
+    df = frame(spark, rows).repartition(7)
+    target = {names: t for names, t in mixing.mix_plan(df).select(F.concat(F.lit("s"), "nth"), "target").distinct().collect()}
+    words = Counter()
+    for r in mixing.mixed_documents(df, slots=9).select("source", "text").collect():
+        words[r.source] += len(WORD.findall(r.text))
+    assert all(abs(words[s] - t) <= 11 for s, t in target.items())
+
+
+def test_mix_is_one_shuffle_of_texts_in_order_of_time(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "'a b c d' as text", "concat('s', id % 3) as source")
+    mix = mixing.mixed_documents(df, slots=600)
+    seen = [r.source for r in mix.select("source").collect()]
+    early, late = Counter(seen[: len(seen) // 4]), Counter(seen[-len(seen) // 4 :])
+    assert early["s0"] > late["s0"] and early["s2"] < late["s2"]
+    assert len(re.findall(r"Exchange (hash|range)partitioning", mix._jdf.queryExecution().executedPlan().toString())) == 1
+
+
 def test_sharding(docs, empty):
     shards = [f"s{i}" for i in range(7)]
     table = sharding.filled_table(shards, 251)
