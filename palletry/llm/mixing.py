@@ -9,15 +9,20 @@ Prefix sums of a source use two levels, about sqrt(rows) buckets of about sqrt(r
 of all rows is not one task. The last document of a source is taken in part, hence the taken words equal the target
 but for rounding. Sources without words have target 0.
 
-Defined results: null text has no words; sources go by code point and null last; repeated rows each count; a null id
-orders like the empty string; an empty table gives an empty plan; other columns are not looked at.
+The mix itself moves whole texts once: a source is cut into slots of documents that follow each other in its order, and
+the first word of a document's slot tells, before any shuffle, the time to which its uses are dealt. Rows of the plan go to
+the same places and say how often a document is used.
+
+Defined results: null text has no words; sources go by code point and null last; repeated rows each count, and if the mix
+takes only some of the rows that agree in id, text and source, it doesn't matter which; a null id orders like the empty
+string; an empty table gives an empty plan and an empty mix; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from palletry.llm.common import written
+from palletry.llm.common import row_key, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weight and schedule knots (time, rate) of the first source, the second and so on, repeating.
@@ -26,23 +31,36 @@ CURRICULUM = (
     (2.0, ((0.0, 1.0), (1.0, 1.0))),
     (1.0, ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))),
 )
-BROADCAST_SOURCES = 100_000
+#: Slots of all sources together; a source has its share of them, rounded up.
+SLOTS = 1 << 12
+
 
+def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", same: bool = False) -> DataFrame:
+    """(id, row, source, size, key) as a written table and, if wanted, `same`, which tells other ids and texts apart.
 
-def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(id, row, source, size, key) as a written table; `key` is the pseudo-random order of documents."""
+    `key` is the pseudo-random order of documents."""
     return written(
         docs.select(
             F.col(id_col).alias("id"),
             F.monotonically_increasing_id().alias("row"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"),
+            order_key(F.col(id_col)).alias("key"),
+            *([row_key(F.col(id_col), F.col(text_col)).alias("same")] if same else []),
         ),
         "sizes",
     )
 
 
+def order_key(id_value: Column) -> Column:
+    return F.md5(F.coalesce(id_value.cast("string"), F.lit("")))
+
+
+def part_of(key: Column, parts: Column) -> Column:
+    """Which of `parts` equal parts of a source's order a document's key falls into."""
+    return F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * parts / F.lit(float(2**32)))
+
+
 def targets(sizes: DataFrame, curriculum=CURRICULUM, share: float = 1.5, max_epochs: int = 2) -> DataFrame:
     """(source, nth, n_rows, source_size, target) by source.
 
@@ -88,25 +106,25 @@ def time_of(part: Column, nth: Column, curriculum=CURRICULUM) -> Column:
     return out
 
 
+def placed(sizes: DataFrame, by_source: DataFrame) -> DataFrame:
+    """`sizes` with the columns of its source in `by_source` and `before`, the words ahead in one pass over the source."""
+    d = sizes.join(by_source.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    d = d.withColumn("bucket", part_of(F.col("key"), F.ceil(F.sqrt("n_rows"))))
+    sums = d.groupBy("nth", "bucket").agg(F.sum("size").alias("words"))
+    ahead = Window.partitionBy("nth").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("nth", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("nth", "bucket").orderBy("key", "id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    return d.join(sums, ["nth", "bucket"]).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+
+
 def mix_plan(docs: DataFrame, curriculum=CURRICULUM, share: float = 1.5, max_epochs: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(id, row, key, size, source_size, target, before, taken, position): one row for each input row.
+    """(id, row, key, size, source_size, target, before, taken, position, nth): one row for each input row.
 
     `before`: words ahead of the document in one pass over its source. `taken`: words the mix takes of it, repeats
     counted. `position`: the time of its first use, null if it isn't used.
     """
     sizes = sized(docs, id_col, source_col, text_col)
-    by_source = written(targets(sizes, curriculum, share, max_epochs), "targets")
-    if by_source.count() <= BROADCAST_SOURCES:
-        by_source = F.broadcast(by_source)
-    d = sizes.join(by_source.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
-    buckets = F.ceil(F.sqrt("n_rows"))
-    high = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    d = d.withColumn("bucket", F.floor(high * buckets / F.lit(float(2**32))))
-    sums = d.groupBy("nth", "bucket").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("nth").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("nth", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("nth", "bucket").orderBy("key", "id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(sums, ["nth", "bucket"]).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    d = placed(sizes, written(targets(sizes, curriculum, share, max_epochs), "targets"))
     whole = F.round("target").cast("long")
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("before") - F.col("source_size") * e)) for e in range(max_epochs)), F.lit(0))
     d = d.withColumn("taken", taken.cast("long"))
@@ -114,24 +132,50 @@ def mix_plan(docs: DataFrame, curriculum=CURRICULUM, share: float = 1.5, max_epo
     return d.select("id", "row", "key", "size", "source_size", "target", "before", "taken", position.alias("position"), "nth")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def slotted(sizes: DataFrame, by_source: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """`by_source` with the number of a source's slots and, as an array, the words of the source ahead of each.
+
+    All arrays together hold `slots` numbers and one a source at most.
+    """
+    everything = Window.partitionBy()
+    s = by_source.withColumn("slots", F.ceil(F.col("n_rows") * slots / F.sum("n_rows").over(everything)))
+    d = sizes.join(s.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    words = d.groupBy("nth", part_of(F.col("key"), F.col("slots")).alias("slot")).agg(F.sum("size").alias("words"))
+    ahead = Window.partitionBy("nth").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    words = words.select("nth", F.struct("slot", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base")).alias("b"))
+    bases = words.groupBy("nth").agg(F.map_from_entries(F.collect_list("b")).alias("bases"))
+    return s.join(bases, "nth")
+
+
+def mixed_documents(docs: DataFrame, curriculum=CURRICULUM, share: float = 1.5, max_epochs: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """The mix itself: whole documents, as often as the mix takes them, range-sorted by training position.
 
-    A document that the mix takes in part comes once more if at least half of that copy is taken; one without words
-    comes once, at the time its place in the source is reached.
+    Positions are those of a document's slot, and inside a slot documents stand in their source's order. A document that
+    the mix takes in part comes once more if at least half of that copy is taken; one without words comes once.
     """
-    id_col, curriculum, epochs = options.get("id_col", "doc_id"), options.get("curriculum", CURRICULUM), options.get("max_epochs", 2)
-    p = mix_plan(docs, **options)
-    uses = F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.col("before") + e * F.col("source_size"))
-    enough = lambda at: at + F.col("size") / 2 <= F.col("target")
-    uses = F.when(F.col("size") == 0, F.slice(uses, 1, 1)).otherwise(F.filter(uses, enough))
-    p = p.withColumn("_nth", F.row_number().over(Window.partitionBy("key").orderBy("row")))
-    p = p.select(F.col("key").alias("_key"), "_nth", "target", "nth", F.explode(uses).alias("_at"))
-    when = F.coalesce(time_of(F.least(F.col("_at") / F.nullif(F.col("target"), F.lit(0.0)), F.lit(1.0)), F.col("nth"), curriculum), F.lit(1.0))
-    p = p.select("_key", "_nth", when.alias("_position"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"))  # so no column can clash
-    rows = rows.withColumn("_key", F.md5(F.coalesce(F.col("doc")[id_col].cast("string"), F.lit(""))))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
-    p = p.withColumnsRenamed({"_key": "_k", "_nth": "_n"})
-    mine = (F.col("_key") == F.col("_k")) & (F.col("_nth") - F.col("_n") == 0)  # one key, so the window's shuffle serves
-    return rows.join(p, mine).orderBy("_position", "_key", "_nth").select("doc.*")
+    sizes = sized(docs, id_col, source_col, text_col, same=True)
+    by_source = written(slotted(sizes, written(targets(sizes, curriculum, share, max_epochs), "targets"), slots), "slots")
+
+    def dealt(rows: DataFrame, key: Column) -> DataFrame:
+        """The rows once for each epoch that may use them, with the time of their slot's first word then."""
+        base = F.element_at("bases", part_of(key, F.col("slots")))
+        use = F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))
+        rows = rows.withColumns({"base": base, "key": key}).withColumn("use", use)
+        target = F.nullif(F.col("target"), F.lit(0.0))
+        first = F.col("base") + F.col("use") * F.col("source_size")
+        rows = rows.where((F.col("use") == 0) | (first <= F.col("target")))
+        time = F.coalesce(time_of(F.least(first / target, F.lit(1.0)), F.col("nth"), curriculum), F.lit(1.0))
+        return rows.withColumn("time", F.round(time * 1e12).cast("long"))  # a whole number, so the range's order serves the window
+
+    plan = dealt(placed(sizes, by_source), F.col("key"))
+    enough = F.col("before") + F.col("use") * F.col("source_size") + F.col("size") / 2 <= F.col("target")
+    plan = plan.where(F.when(F.col("size") == 0, F.col("use") == 0).otherwise(enough))
+    plan = written(plan.groupBy("time", "nth", "key", "same", "use").agg(F.count("*").alias("used")), "uses")
+    doc = F.struct(*docs.columns).alias("doc")  # so no column can clash
+    rows = docs.select(doc).join(by_source, F.col("doc")[source_col].eqNullSafe(F.col("source")))
+    same = row_key(F.col("doc")[id_col], F.col("doc")[text_col])
+    rows = dealt(rows, order_key(F.col("doc")[id_col])).select("time", "nth", "key", same.alias("same"), "use", F.lit(None).cast("long").alias("used"), "doc")
+    both = rows.unionByName(plan, allowMissingColumns=True).repartitionByRange("time", "nth", "key", "same", "use")
+    alike = Window.partitionBy("time", "nth", "key", "same", "use").orderBy(F.col("used").desc_nulls_last())
+    both = both.withColumns({"most": F.first("used").over(alike), "copy": F.row_number().over(alike) - 1})
+    return both.where((F.col("copy") > 0) & (F.col("copy") <= F.col("most"))).select("doc.*")

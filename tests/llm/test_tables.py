@@ -1,10 +1,12 @@
 """Chat formatting, token counts over tables, components and the pipeline."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
-from tests.llm.data import awkward, frame, linked, sha, shingles
+from tests.llm.data import WORD, awkward, frame, linked, sha, shingles
 
-from palletry.llm import chat_format, components, token_counts
+from palletry.llm import chat_format, components, mixing, token_counts, toxicity
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -57,20 +59,53 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
+def _pipeline_folder(spark, folder, docs, labels):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
 def test_pipeline_stages(spark, tmp_path):
+    """Null and repeated ids, empty and long texts and clashing names through all stages, each against brute force."""
     import corpus_pipeline
 
-    rows = [(d, t, s) for d, t, s in awkward(3) if d is not None]
-    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
-    folder = str(tmp_path)
-    docs.write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(0, 0)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
-    out = corpus_pipeline.run(spark, folder)
-    kept = list({t or "": d for d, t, _ in sorted(rows, key=lambda r: r[0])}.items())  # largest id of equal texts
-    kept.sort(key=lambda x: x[1])
-    sets = [shingles(t) for t, _ in kept]
-    roots = linked(sets)
-    left = {d for (t, d), r, s, i in zip(kept, roots, sets, range(len(kept))) if not s or r == i}
-    ids = {r.doc_id for r in out.collect()}
-    assert ids <= left and len(ids) > len(left) / 2
-    assert len(corpus_pipeline.STAGES) == 5
+    rows = awkward(3)
+    docs = frame(spark, rows)
+    _pipeline_folder(spark, str(tmp_path), docs, [(i, int(i % 5 == 0)) for i in range(40)])
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, corpus_pipeline.written(stage(spark, docs, str(tmp_path)), "test")
+        seen.append((name, [(r.doc_id, r.text, r.source) for r in before.collect()]))
+        if name != "BPE encoding":
+            assert docs.columns == before.columns and docs.where("score <> 0.5 or key <> 'k'").count() == 0
+    assert [n for n, _ in seen] == ["toxicity", "exact dedup", "n-gram Jaccard join", "mixing", "BPE encoding"]
+    at = dict(seen)
+    scores = toxicity.scored(spark.read.parquet(f"{tmp_path}/documents.parquet").drop("score"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert Counter(at["exact dedup"]) == Counter((r.doc_id, r.text, r.source) for r in scores.where("score < 0.5").collect())
+
+    least = lambda d: (d is None, d or 0)
+    kept = {}
+    for d, t, s in at["exact dedup"]:
+        if (t or "") not in kept or (d is not None and (kept[t or ""][0] is None or d > kept[t or ""][0])):
+            kept[t or ""] = (d, t or "")
+    assert Counter((d, t or "") for d, t, _ in at["n-gram Jaccard join"]) == Counter(kept.values())
+
+    sets = [shingles(t) for _, t, _ in at["n-gram Jaccard join"]]
+    best = {}
+    for (d, t, _), root, s in zip(at["n-gram Jaccard join"], linked(sets), sets):
+        key = root if s else ("alone", d, t)
+        best[key] = min(best.get(key, (d, t)), (d, t), key=lambda x: least(x[0]))
+    assert Counter((d, t) for d, t, _ in at["mixing"]) == Counter(best.values())
+
+    plan = mixing.mix_plan(spark.createDataFrame(at["mixing"], "doc_id long, text string, source string")).collect()
+    uses = Counter()
+    for r in plan:
+        uses[r.id, r.size] += sum(r.before + e * r.source_size + r.size / 2 <= r.target for e in (0, 1)) if r["size"] else 1
+    assert Counter((d, len(WORD.findall(t or ""))) for d, t, _ in at["BPE encoding"]) == +uses
+    assert Counter(r.doc_id for r in docs.collect()) == Counter(d for d, _, _ in at["BPE encoding"])
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    _pipeline_folder(spark, str(tmp_path), frame(spark, awkward()[:1]).where("false"), [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
