@@ -2,13 +2,19 @@
 their weights, and what is left is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes as Parquet into the shared folder
-and reads again for the next one. All but the last return the columns of `documents`.
+and reads again for the next one. All but the last return the columns of `documents`, whatever these are called.
+
+Defined results: a null or empty text counts as an empty text, which is scored like any other, is one group of copies, has
+no near copies, and is used once by the mix, at the time its place comes; its encoding has no tokens. Null ids stay apart
+from each other unless their texts agree; in a group, a row with an id stays before one without. Rows that agree in id and
+text are copies. Texts of any length are processed whole. Ties of scores decide nothing (only the bound does), ties of ids
+leave one row. An empty table stays empty.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palletry.llm import bpe_lexicon, exact_dedup, mixing, toxicity, trie_join
 from palletry.llm.common import written
@@ -17,7 +23,8 @@ from palletry.llm.common import written
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.5; the network learns from the labelled ones among `docs`."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return toxicity.scored(docs, labels).where("score < 0.5").drop("score")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")  # so no column can clash
+    return toxicity.scored(rows, labels).where("score < 0.5").select("doc.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
