@@ -154,27 +154,30 @@ def mixed_documents(docs: DataFrame, curriculum=CURRICULUM, share: float = 1.5,
     the mix takes in part comes once more if at least half of that copy is taken; one without words comes once.
     """
     sizes = sized(docs, id_col, source_col, text_col, same=True)
-    by_source = written(slotted(sizes, written(targets(sizes, curriculum, share, max_epochs), "targets"), slots), "slots")
+    goals = written(targets(sizes, curriculum, share, max_epochs), "targets")
+    by_source = written(slotted(sizes, goals, slots), "slots")
 
-    def dealt(rows: DataFrame, key: Column) -> DataFrame:
+    def dealt(rows: DataFrame, key: Column, wordless: Column) -> DataFrame:
         """The rows once for each epoch that may use them, with the time of their slot's first word then."""
         base = F.element_at("bases", part_of(key, F.col("slots")))
         use = F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))
         rows = rows.withColumns({"base": base, "key": key}).withColumn("use", use)
         target = F.nullif(F.col("target"), F.lit(0.0))
         first = F.col("base") + F.col("use") * F.col("source_size")
-        rows = rows.where((F.col("use") == 0) | (first <= F.col("target")))
+        rows = rows.where((first <= F.col("target")) | (wordless & (F.col("use") == 0)))
         time = F.coalesce(time_of(F.least(first / target, F.lit(1.0)), F.col("nth"), curriculum), F.lit(1.0))
         return rows.withColumn("time", F.round(time * 1e12).cast("long"))  # a whole number, so the range's order serves the window
 
-    plan = dealt(placed(sizes, by_source), F.col("key"))
+    plan = placed(sizes, goals).join(by_source.select("nth", "slots", "bases"), "nth")  # arrays come after the shuffles
+    plan = dealt(plan, F.col("key"), F.col("size") == 0)
     enough = F.col("before") + F.col("use") * F.col("source_size") + F.col("size") / 2 <= F.col("target")
     plan = plan.where(F.when(F.col("size") == 0, F.col("use") == 0).otherwise(enough))
     plan = written(plan.groupBy("time", "nth", "key", "same", "use").agg(F.count("*").alias("used")), "uses")
     doc = F.struct(*docs.columns).alias("doc")  # so no column can clash
     rows = docs.select(doc).join(by_source, F.col("doc")[source_col].eqNullSafe(F.col("source")))
     same = row_key(F.col("doc")[id_col], F.col("doc")[text_col])
-    rows = dealt(rows, order_key(F.col("doc")[id_col])).select("time", "nth", "key", same.alias("same"), "use", F.lit(None).cast("long").alias("used"), "doc")
+    wordless = ~F.coalesce(F.col("doc")[text_col].rlike(WORD), F.lit(False))
+    rows = dealt(rows, order_key(F.col("doc")[id_col]), wordless).select("time", "nth", "key", same.alias("same"), "use", F.lit(None).cast("long").alias("used"), "doc")
     both = rows.unionByName(plan, allowMissingColumns=True).repartitionByRange("time", "nth", "key", "same", "use")
     alike = Window.partitionBy("time", "nth", "key", "same", "use").orderBy(F.col("used").desc_nulls_last())
     both = both.withColumns({"most": F.first("used").over(alike), "copy": F.row_number().over(alike) - 1})
