@@ -12,6 +12,13 @@ TAGGED_HEADER = r"(?i)^\s*(?:python3?|py)\b"
 ENTRY_POINT = "apply_rule_patch"
 TRACEBACK_END = "Set the environment variable HYDRA_FULL_ERROR=1"
 TRUNCATED = "\n\n… [truncated]"
+# White space at either end of a text, control characters that count as separators included.
+EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+
+
+def stripped(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(text, EDGES, "")
 
 
 def rule_code(response: Column, entry: str = ENTRY_POINT) -> Column:
@@ -41,13 +48,18 @@ def failure_detail(response: Column, entry: str = ENTRY_POINT) -> Column:
 
 
 def truncated(text: Column, most: int) -> Column:
-    s = F.trim(text)
+    """The first `most` characters of a stripped text, marked where more follow; empty for no text and for `most` below 1."""
+    if most <= 0:
+        return F.lit("")
+    s = stripped(text)
     return F.when(F.coalesce(s, F.lit("")) == "", "").when(F.length(s) <= most, s).otherwise(F.concat(F.substring(s, 1, most), F.lit(TRUNCATED)))
 
 
 def generated_code(content: Column) -> Column:
-    """The first tagged block, else the lines from the last `def` before the first `return` to it; imports in front."""
-    block = F.nullif(F.regexp_extract(content, r"(?s)```python\s*(.*?)\s*```", 1), F.lit(""))
+    """The first tagged block, even an empty one, else the lines from the last `def` before the first `return` to it;
+    imports in front."""
+    fence = r"(?s)```python(.*?)```"
+    block = F.when(content.rlike(fence), stripped(F.regexp_extract(content, fence, 1)))
     lines = F.split(content, "\n")
     end = F.array_position(F.transform(lines, lambda x: x.contains("return")), F.lit(True)).cast("int")
     head = F.slice(lines, F.lit(1), F.greatest(end, F.lit(1)))
@@ -78,7 +90,7 @@ def traceback(log: Column) -> Column:
 
 def description(response: Column) -> Column:
     """Text between <start> and the code block, else between <start> and <end>."""
-    found = lambda pattern: F.when(response.rlike(pattern), F.trim(F.regexp_extract(response, pattern, 1)))
+    found = lambda pattern: F.when(response.rlike(pattern), stripped(F.regexp_extract(response, pattern, 1)))
     return F.coalesce(found(r"(?s)<start>(.*?)```python"), found(r"(?s)<start>(.*?)<end>"))
 
 
@@ -90,8 +102,8 @@ def objective(stdout: Column, maximise: bool = False) -> Column:
 
 
 def slug(name: Column) -> Column:
-    """A model name as a path part."""
-    s = F.regexp_replace(F.trim(name), r"[^\w.\-]+", "_")
+    """A model name as one path part: path separators and colons become underscores one by one, white space in runs."""
+    s = F.regexp_replace(F.regexp_replace(stripped(name), r"[\\/:]", "_"), r"(?U)[\s\x1c-\x1f]+", "_")
     return F.coalesce(F.nullif(s, F.lit("")), F.lit("unknown_model"))
 
 

@@ -54,7 +54,7 @@ def prizes(nodes: DataFrame) -> DataFrame:
 
 def max_length(n: Column) -> Column:
     """The tour length allowed for an orienteering instance of n nodes."""
-    return F.when(n <= 50, 3.0).when(n <= 100, 4.0).otherwise(5.0)
+    return F.when(n <= 50, 3.0).when(n <= 100, 4.0).when(n <= 200, 5.0).when(n <= 300, 6.0).otherwise(7.0)
 
 
 def depot_flags(tour: DataFrame) -> DataFrame:

@@ -67,19 +67,31 @@ def stacked(df: DataFrame, features: list[str], row: str, label: str, names: tup
     return predicted(estimator.fit(oof), oof, "prob", row, "label", "fold", *names)
 
 
-def leaf_tokens(df: DataFrame, features: list[str], row: str, label: str, trees: int = 128, depth: int = 12) -> DataFrame:
-    """(row, tree, leaf, token): leaves of a forest as tokens, numbered from 1 in each tree's range; 0 is unknown."""
-    data = assembled(df.select(row, F.col(label).cast("double").alias("label"), *features), features, row, "label")
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=42, leafCol="leaf", labelCol="label")
-    leaves = forest.fit(data).transform(data).select(row, "label", F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
-    vocabulary = leaves.select("tree", "leaf").distinct().withColumn("token", F.row_number().over(Window.orderBy("tree", "leaf")))
-    return leaves.join(F.broadcast(vocabulary), ["tree", "leaf"], "left").select(row, "label", "tree", "leaf", F.coalesce("token", F.lit(0)).alias("token"))
+def leaf_tokens(df: DataFrame, features: list[str], row: str, label: str, trees: int = 128, depth: int = 12, of: DataFrame | None = None) -> DataFrame:
+    """(row, label, tree, leaf, token, unknown): leaves of a forest over `df` as tokens, for the rows of `of` or else of `df`.
+
+    A tree's range of tokens starts with its unknown token, for leaves that no row of `df` has, and goes on with its leaves
+    in order. The vocabulary has 2**depth leaves a tree at most, whatever the number of rows.
+    """
+    data, rows = (assembled(d.select(row, F.col(label).cast("double").alias("label"), *features), features, row, "label") for d in (df, df if of is None else of))
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=42, leafCol="leaf", labelCol="label").fit(data)
+    leaves = lambda d: forest.transform(d).select(row, "label", F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
+    known = leaves(data).select("tree", "leaf").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("tree").orderBy("leaf")))
+    before = F.sum("size").over(Window.orderBy("tree").rowsBetween(Window.unboundedPreceding, -1))
+    starts = known.groupBy("tree").agg((F.count("*") + 1).alias("size")).select("tree", F.coalesce(before, F.lit(0)).alias("unknown"))
+    out = leaves(rows).join(F.broadcast(known), ["tree", "leaf"], "left").join(F.broadcast(starts), "tree")
+    return out.select(row, "label", "tree", "leaf", (F.col("unknown") + F.coalesce("nth", F.lit(0))).alias("token"), "unknown")
 
 
 def leaf_stats(tokens: DataFrame) -> DataFrame:
-    """(token, pos_rate, log_count): the share of positive rows, kept off 0 and 1, and log1p of the count."""
+    """(tree, leaf, token, pos_rate, log_count, impurity): the share of positive rows, kept off 0 and 1, and log1p of the
+    count; a tree's unknown token, with leaf null, has the share of all rows and no count."""
+    kept = lambda p: F.greatest(F.least(p, F.lit(1 - 1e-4)), F.lit(1e-4))
     g = tokens.groupBy("tree", "leaf", "token").agg(F.avg("label").alias("p"), F.count("*").alias("n"))
-    return g.select("tree", "leaf", "token", F.greatest(F.least("p", F.lit(1 - 1e-6)), F.lit(1e-6)).alias("pos_rate"), F.log1p("n").alias("log_count"), (2 * F.col("p") * (1 - F.col("p"))).alias("impurity"))
+    g = g.select("tree", "leaf", "token", kept(F.col("p")).alias("pos_rate"), F.log1p("n").alias("log_count"), (2 * F.col("p") * (1 - F.col("p"))).alias("impurity"))
+    unknown = tokens.groupBy("tree", F.col("unknown").alias("token")).agg(F.avg("label").alias("p"))
+    none = unknown.select("tree", F.lit(None).cast("double").alias("leaf"), "token", kept(F.col("p")).alias("pos_rate"), F.lit(0.0).alias("log_count"), F.lit(0.0).alias("impurity"))
+    return g.unionByName(none)
 
 
 def trial_table(trials: DataFrame) -> DataFrame:

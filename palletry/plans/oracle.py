@@ -183,7 +183,7 @@ SELECT instance, ROUND(SUM(SQRT((x - x2) * (x - x2) + (y - y2) * (y - y2))), 6)
 SELECT instance, node, turn, ROUND(x, 6) AS x, ROUND(y, 6) AS y FROM a""",
     "op_prizes": f"""WITH {NODES}, d AS (SELECT *, SQRT((x - FIRST_VALUE(x) OVER o) * (x - FIRST_VALUE(x) OVER o) + (y - FIRST_VALUE(y) OVER o) * (y - FIRST_VALUE(y) OVER o)) AS d, COUNT(*) OVER (PARTITION BY instance) AS n FROM nodes WINDOW o AS (PARTITION BY instance ORDER BY node)),
 r AS (SELECT *, 1 + FLOOR(ROUND(99 * d / MAX(d) OVER (PARTITION BY instance), 9)) AS raw FROM d)
-SELECT instance, node, ROUND(raw / MAX(raw) OVER (PARTITION BY instance), 6) AS prize, CASE WHEN n <= 50 THEN 3.0::DOUBLE WHEN n <= 100 THEN 4.0::DOUBLE ELSE 5.0::DOUBLE END AS max_length FROM r""",
+SELECT instance, node, ROUND(raw / MAX(raw) OVER (PARTITION BY instance), 6) AS prize, CASE WHEN n <= 50 THEN 3.0::DOUBLE WHEN n <= 100 THEN 4.0::DOUBLE WHEN n <= 200 THEN 5.0::DOUBLE WHEN n <= 300 THEN 6.0::DOUBLE ELSE 7.0::DOUBLE END AS max_length FROM r""",
     "multi_start_best": "WITH b AS (SELECT user_id, MAX(ROUND(value, 4)) AS best FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT ROUND(AVG(best), 4) AS mean_best, COUNT(*) AS n FROM b",
     "gap_to_optimum": """WITH m AS (SELECT l_suppkey AS instance, AVG(l_quantity) AS mean, STDDEV_POP(l_quantity) AS std FROM lineitem GROUP BY 1)
 SELECT instance, ROUND(mean, 6) AS mean, ROUND(std, 6) AS std, ROUND(100 * (mean / (s_nationkey + 10) - 1), 6) AS gap_pct FROM m JOIN supplier ON instance = s_suppkey""",
@@ -205,5 +205,5 @@ SELECT id, CASE WHEN LEN(closed) > 0 THEN LEN(closed) WHEN CONTAINS(t, 'apply_ru
     "traceback_filter": f"""WITH r(id, t) AS (VALUES {values(LOGS)})
 SELECT id, REGEXP_REPLACE(REGEXP_EXTRACT(t, '(?s)(?:^|\\n)(Traceback.*)$', 1), '(?s)\\n[^\\n]*Set the environment variable HYDRA_FULL_ERROR=1.*$', '') AS traceback FROM r""",
     "objective_parse": f"WITH r(id, t) AS (VALUES {values(LOGS)}), o AS (SELECT id, TRY_CAST(STRING_SPLIT(t, chr(10))[-2] AS DOUBLE) AS o FROM r) SELECT id, o AS objective, o IS NOT NULL AS ok FROM o",
-    "document_slugs": "SELECT p_partkey, COALESCE(NULLIF(REGEXP_REPLACE(TRIM(p_name), '[^\\w.\\-]+', '_', 'g'), ''), 'unknown_model') AS slug, SUBSTR(MD5(p_name), 1, 6) AS short_id FROM part",
+    "document_slugs": "SELECT p_partkey, COALESCE(NULLIF(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(p_name, '^\\s+|\\s+$', '', 'g'), '[\\\\/:]', '_', 'g'), '\\s+', '_', 'g'), ''), 'unknown_model') AS slug, SUBSTR(MD5(p_name), 1, 6) AS short_id FROM part",
 }

@@ -40,8 +40,16 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, kind: T.StructType) -> DataFrame:
-    """A CSV with a header line, by an explicit schema; a byte order mark in front is no part of the first name."""
-    return spark.read.schema(kind).option("header", True).option("enforceSchema", True).option("encoding", "UTF-8").csv(path)
+    """The columns of `kind` of CSV files with a header line, by name, in whatever order they stand; others are left out.
+
+    A missing name is an error, and so is a file whose header differs from that of the first one. A byte order mark in front
+    is no part of the first name.
+    """
+    header = [c.removeprefix("\ufeff") for c in spark.read.option("header", True).option("encoding", "UTF-8").csv(path).columns]
+    known = {f.name: f for f in kind}
+    found = T.StructType([known.get(c, T.StructField(c, S)) for c in header])
+    rows = spark.read.schema(found).option("header", True).option("enforceSchema", False).option("encoding", "UTF-8").csv(path)
+    return require_columns(rows, kind.names).select(*kind.names)
 
 
 def read_linear_model(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palletry.functions import text as T
-from palletry.operators import features as E, feasibility as Z, packing as B, population as P, splits as X
+from palletry.operators import features as E, feasibility as Z, geometry as G, packing as B, population as P, splits as X
 from palletry.sources import io
 
 
@@ -106,6 +106,48 @@ def test_code_texts(spark):
     assert body == "  a\nreturn b"
     one = spark.createDataFrame([("<start> hello <end>", " My model/v1 ")], "t string, m string").select(T.description(F.col("t")).alias("d"), T.slug(F.col("m")).alias("s"), T.truncated(F.col("m"), 3).alias("u")).first()
     assert one.d == "hello" and one.s == "My_model_v1" and one.u.startswith("My ") and "truncated" in one.u
+    # Expected values are those of stripping all white space, replacing separators one by one and keeping an empty block.
+    cases = [("<start>\n hello\n<end>", "hello"), ("<start>\t a b \r\n```python\nx```", "a b"), ("none", None)]
+    assert [r.d for r in spark.createDataFrame([(c,) for c, _ in cases], "t string").select(T.description(F.col("t")).alias("d")).collect()] == [w for _, w in cases]
+    names = [("\n a::b//c d\t\n e+f(1) ", "a__b__c_d_e+f(1)"), (" \u00a0\n", "unknown_model"), ("x\\y", "x_y"), (None, "unknown_model")]
+    assert [r.s for r in spark.createDataFrame([(n,) for n, _ in names], "n string").select(T.slug(F.col("n")).alias("s")).collect()] == [w for _, w in names]
+    cut = spark.createDataFrame([("\n abc \n",), ("\t",), (None,)], "t string").select(T.truncated(F.col("t"), 3).alias("a"), T.truncated(F.col("t"), 2).alias("b"), T.truncated(F.col("t"), 0).alias("c")).collect()
+    assert [tuple(r) for r in cut] == [("abc", "ab\n\n… [truncated]", ""), ("", "", ""), ("", "", "")]
+    empty = spark.createDataFrame([("```python\n```\ndef a():\n  return 1",)], "t string").select(T.generated_code(F.col("t")).alias("c")).first()
+    assert empty.c == ""
+
+
+def test_tour_limits(spark):
+    n = [50, 51, 100, 101, 200, 201, 300, 301]
+    got = spark.createDataFrame([(i,) for i in n], "n int").select(G.max_length(F.col("n")).alias("m")).collect()
+    assert [r.m for r in got] == [3.0, 4.0, 4.0, 5.0, 5.0, 6.0, 6.0, 7.0]
+
+
+def test_csv_by_name(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.csv").write_text("length,extra,dispatch_id,height,width\n5,x,900,7,6\n", encoding="utf-8")
+    assert io.read_csv(spark, str(tmp_path / "a"), io.ITEM_ROWS).collect() == [(900, 5, 6, 7)]
+    (tmp_path / "b.csv").write_text("length,dispatch_id\n5,900\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="height"):
+        io.read_csv(spark, str(tmp_path / "b.csv"), io.ITEM_ROWS)
+    (tmp_path / "a" / "2.csv").write_text("dispatch_id,extra,length,height,width\n900,x,5,7,6\n", encoding="utf-8")
+    with pytest.raises(Exception, match="header"):
+        io.read_csv(spark, str(tmp_path / "a"), io.ITEM_ROWS).collect()
+
+
+def test_leaf_tokens(spark):
+    from palletry.operators import ml
+
+    df = spark.range(200).selectExpr("id", "cast(id % 20 as double) as a", "cast(id % 20 > 12 as int) as y")
+    known = ml.leaf_tokens(df.where("a < 10 or a > 14"), ["a"], "id", "y", trees=3, depth=3)
+    stats = ml.leaf_stats(known).collect()
+    for tree in range(3):
+        own = sorted((r.token, r.leaf) for r in stats if r.tree == tree)
+        assert own[0][1] is None and [x for _, x in own[1:]] == sorted(x for _, x in own[1:])
+    assert sorted(r.token for r in stats) == list(range(len(stats)))
+    assert all(1e-4 <= r.pos_rate <= 1 - 1e-4 for r in stats) and all(r.log_count == 0 for r in stats if r.leaf is None)
+    few = ml.leaf_tokens(df.where("a = 3"), ["a"], "id", "y", trees=2, depth=2, of=df)
+    assert few.where("token < unknown").count() == 0 and few.count() == 400
 
 
 def test_sources(spark, tmp_path):
