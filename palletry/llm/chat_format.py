@@ -38,16 +38,32 @@ def unescaped(c: Column) -> Column:
 
 
 def log_of_turns(turns: DataFrame) -> DataFrame:
-    """A plain table (conv_id, turn, role, text) as an event log: a start and one delta for each row."""
+    """A plain table (conv_id, turn, role, text) as the event log of a live conversation whose outcome it is.
+
+    Each turn starts with a draft, the first characters of its text. An assistant's turn is regenerated and streamed in three
+    deltas. Any other turn is edited and continued in two deltas, all while the next turn is already under way.
+    """
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     t = t.withColumn("turn", nth)
-    none = F.lit(None).cast("string")
-    pair = F.array(
-        F.struct((F.col("turn") * 2).alias("seq"), F.lit("start").alias("op"), F.col("role").alias("role"), none.alias("text")),
-        F.struct((F.col("turn") * 2 + 1).alias("seq"), F.lit("delta").alias("op"), none.alias("role"), F.col("text").alias("text")),
-    )
-    return t.select("conv_id", "turn", F.explode(pair).alias("e")).select("conv_id", "e.seq", "e.op", "turn", "e.role", "e.text")
+    third = F.floor(F.length("text") / 3).cast("int")
+    piece = [F.substring(F.col("text"), third * i + 1, third if i < 2 else F.length("text")) for i in range(3)]
+    none, answered = F.lit(None).cast("string"), F.col("role") == "assistant"
+
+    def event(at: int, op: Column, text: Column, role: Column = none) -> Column:
+        late = F.when(~answered & F.lit(at > 1), 8).otherwise(0)
+        return F.struct((F.col("turn") * 8 + late + at).alias("seq"), op.alias("op"), role.alias("role"), text.alias("text"))
+
+    delta = F.lit("delta")
+    events = [
+        event(0, F.lit("start"), none, F.col("role")),
+        event(1, delta, F.concat(F.lit("draft "), F.substring("text", 1, 8))),
+        event(2, F.when(answered, "regenerate").otherwise("edit"), F.when(~answered, piece[0])),
+        event(3, delta, F.when(answered, piece[0]).otherwise("")),
+        event(4, delta, piece[1]),
+        event(5, delta, piece[2]),
+    ]
+    return t.select("conv_id", "turn", F.explode(F.array(*events)).alias("e")).select("conv_id", "e.seq", "e.op", "turn", "e.role", "e.text")
 
 
 def folded(log: DataFrame) -> DataFrame:

@@ -38,6 +38,18 @@ def test_round_trip_of_control_strings(spark):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss))
 
 
+def test_log_of_turns_holds_drafts_edits_and_regenerations(spark):
+    long = "é[</s>" * 60_000
+    rows = [(1, 0, "user", "hello world"), (1, 1, "assistant", "one two three"), (1, 2, "user", ""), (1, 3, "assistant", "é"), (2, 0, "user", long), (2, 1, "assistant", long)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    log = chat_format.log_of_turns(df)
+    assert {r.op: r.n for r in log.groupBy("op").agg(F.count("*").alias("n")).collect()} == {"start": 6, "delta": 24, "edit": 3, "regenerate": 3}
+    assert sorted((r.conv_id, r.turn - 1, r.role, r.text) for r in chat_format.folded(log).collect()) == rows
+    out = {r.conv_id: r for r in chat_format.chat_digests(df).collect()}
+    assert out[2].loss_chars == len(long) and out[2].loss_sha256 == sha(long)
+    assert chat_format.chat_digests(df.where("false")).count() == 0
+
+
 def test_section_tokens(spark):
     df = frame(spark, awkward()).withColumn("sections", F.expr("array(named_struct('name', 'head', 'start', 0, 'end', 7), named_struct('name', 'rest', 'start', 7, 'end', cast(null as int)))"))
     args = (tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
