@@ -1,24 +1,13 @@
-"""Heuristic search on small instances: one instance a task, in numpy; instances run in parallel.
-
-Colonies share one loop: ants extend solutions by sampling among the allowed moves with chance pheromone * heuristic,
-pheromone fades, and solutions add to the pheromone of what they used.
-"""
+"""Tours of small instances by named methods: one instance a task, in numpy; instances run in parallel."""
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: The reference's budgets, as (ants, rounds); for guided search (rounds, moves a round).
-BUDGETS = {"tsp": (30, 100), "cvrp": (30, 100), "op": (20, 50), "mkp": (10, 50), "bpp": (20, 15), "guided": (1200, 30)}
-
-
-def rng_of(instance, seed: int) -> np.random.Generator:
-    return np.random.default_rng([seed, zlib.crc32(str(instance).encode())])
+#: The surveyed budget of guided search: (rounds, moves a round).
+BUDGETS = {"guided": (1200, 30)}
 
 
 def distances(xy: np.ndarray) -> np.ndarray:
@@ -98,173 +87,7 @@ def guided(d: np.ndarray, guide: np.ndarray, rounds: int = BUDGETS["guided"][0],
     return best
 
 
-def pick(rng: np.random.Generator, chance: np.ndarray) -> np.ndarray:
-    """One column for each row, with chances in proportion; rows without any give column 0."""
-    upto = chance.cumsum(1)
-    return np.minimum((upto < (rng.random(len(chance)) * upto[:, -1])[:, None]).sum(1), chance.shape[1] - 1)
-
-
-def colony(n_moves: int, heuristic: np.ndarray, start: int, allow: Callable, evaluate: Callable, rng, ants: int, rounds: int, decay: float, deposit: Callable, steps: int) -> tuple[np.ndarray, float]:
-    """The best path and its cost. allow(paths, state) gives (allowed moves, state); evaluate gives a cost for each ant."""
-    pheromone = np.ones_like(heuristic)
-    best, cost = np.zeros(0, np.int64), np.inf
-    for _ in range(rounds):
-        paths, state = np.full((ants, 1), start), None
-        for _ in range(steps):
-            mask, state = allow(paths, state)
-            if not mask.any():
-                break
-            here = paths[:, -1]
-            chance = (pheromone[here] * heuristic[here] if heuristic.ndim == 2 else np.tile(pheromone * heuristic, (ants, 1))) * mask
-            stuck = chance.sum(1) <= 0
-            chance[stuck] = mask[stuck]
-            paths = np.concatenate([paths, pick(rng, chance)[:, None]], 1)
-        costs = evaluate(paths)
-        k = int(costs.argmin())
-        if costs[k] < cost:
-            best, cost = paths[k], float(costs[k])
-        pheromone = np.maximum(pheromone * decay, 1e-10)
-        deposit(pheromone, paths, costs)
-    return best, cost
-
-
-def tsp_colony(xy: np.ndarray, rng, ants: int = BUDGETS["tsp"][0], rounds: int = BUDGETS["tsp"][1]) -> np.ndarray:
-    d = distances(xy)
-    n = len(d)
-
-    def allow(paths, state):
-        mask = np.ones((len(paths), n))
-        np.put_along_axis(mask, paths, 0, 1)
-        return mask, None
-
-    def deposit(p, paths, costs):
-        for path, c in zip(paths, costs):
-            u, v = path, np.roll(path, -1)
-            np.add.at(p, (u, v), 1 / c)
-            np.add.at(p, (v, u), 1 / c)
-
-    best, _ = colony(n, 1 / (d + np.eye(n) * 1e9 + 1e-9), 0, allow, lambda ps: np.array([length_of(d, p) for p in ps]), rng, ants, rounds, 0.9, deposit, n - 1)
-    return best
-
-
-def cvrp_colony(xy: np.ndarray, demand: np.ndarray, capacity: float, rng, ants: int = BUDGETS["cvrp"][0], rounds: int = BUDGETS["cvrp"][1]) -> np.ndarray:
-    """Node 0 is the depot; it may be visited again, but not twice in a row before the end."""
-    d = distances(xy)
-    n = len(d)
-
-    def allow(paths, state):
-        mask = np.ones((len(paths), n))
-        np.put_along_axis(mask, paths, 0, 1)
-        here = paths[:, -1]
-        load = np.where(here == 0, 0, (0 if state is None else state) + demand[here])
-        done = mask[:, 1:].sum(1) == 0
-        mask[:, 1:] *= demand[1:] <= (capacity - load)[:, None] + 1e-9
-        mask[:, 0] = (paths[:, -1] != 0) | done
-        if (done & (paths[:, -1] == 0)).all():
-            mask[:] = 0
-        return mask, load
-
-    def deposit(p, paths, costs):
-        for path, c in zip(paths, costs):
-            np.add.at(p, (path[:-1], path[1:]), 1 / max(c, 1e-9))
-
-    best, _ = colony(n, 1 / (d + np.eye(n) * 1e9 + 1e-9), 0, allow, lambda ps: np.array([d[p[:-1], p[1:]].sum() + d[p[-1], 0] for p in ps]), rng, ants, rounds, 0.9, deposit, 2 * n)
-    return best
-
-
-def op_colony(xy: np.ndarray, prize: np.ndarray, most: float, rng, ants: int = BUDGETS["op"][0], rounds: int = BUDGETS["op"][1]) -> np.ndarray:
-    """Orienteering from node 0 and back within a length; a dummy node n ends a tour."""
-    d = distances(xy)
-    n = len(d)
-    heuristic = np.full((n + 1, n + 1), 1e-10)
-    heuristic[:n, :n] = prize[None] / (d + np.eye(n) * 1e9 + 1e-9)
-
-    def walked(paths):
-        q = np.minimum(paths, n - 1)
-        steps = d[q[:, :-1], q[:, 1:]] * (paths[:, 1:] < n)
-        return steps.sum(1)
-
-    def allow(paths, state):
-        mask = np.ones((len(paths), n + 1))
-        np.put_along_axis(mask, paths, 0, 1)
-        ended, here = paths[:, -1] == n, np.minimum(paths[:, -1], n - 1)
-        mask[:, :n] *= (walked(paths)[:, None] + d[here] + d[0][None] <= most + 1e-9) & ~ended[:, None]
-        mask[:, n] = mask[:, :n].sum(1) == 0
-        if ended.all():
-            mask[:] = 0
-        return mask, None
-
-    def deposit(p, paths, costs):
-        for path, c in zip(paths, costs):
-            np.add.at(p, (path[:-1], path[1:]), -c)
-
-    value = np.r_[prize, 0.0]
-    best, _ = colony(n + 1, heuristic, 0, allow, lambda ps: np.array([-value[np.unique(p)].sum() for p in ps]), rng, ants, rounds, 0.9, deposit, n + 1)
-    return best[best < n]
-
-
-def mkp_colony(prize: np.ndarray, weight: np.ndarray, rng, ants: int = BUDGETS["mkp"][0], rounds: int = BUDGETS["mkp"][1]) -> np.ndarray:
-    """Items of a multi-dimensional knapsack whose limits are 1; a dummy item ends a choice."""
-    n = len(prize)
-    w = np.vstack([weight, np.zeros(weight.shape[1])])
-    value = np.r_[prize, 0.0]
-
-    def allow(paths, state):
-        mask = np.ones((len(paths), n + 1))
-        np.put_along_axis(mask, paths, 0, 1)
-        used = w[paths].sum(1)
-        mask[:, :n] *= (used[:, None] + w[None, :n] <= 1 + 1e-9).all(2)
-        open_ = mask[:, :n].sum(1) > 0
-        mask[:, n] = ~open_
-        if not open_.any():
-            mask[:] = 0
-        return mask, None
-
-    def deposit(p, paths, costs):
-        for path, c in zip(paths, costs):
-            p[path] += -c / max(value.sum(), 1e-9)
-
-    best, _ = colony(n + 1, np.r_[prize / np.maximum(weight.sum(1), 1e-9), 1e-10], n, allow, lambda ps: np.array([-value[np.unique(p)].sum() for p in ps]), rng, ants, rounds, 0.9, deposit, n)
-    return np.unique(best[best < n])
-
-
-def bpp_colony(demand: np.ndarray, capacity: float, rng, ants: int = BUDGETS["bpp"][0], rounds: int = BUDGETS["bpp"][1], decay: float = 0.95) -> np.ndarray:
-    """The bin of each item; pheromone lies on pairs of items that share a bin."""
-    n = len(demand)
-    heuristic = np.clip(np.tile(demand / demand.max(), (n, 1)), 1e-6, 1e6)
-    pheromone, best, most = np.ones((n, n)), np.arange(n), -1.0
-    for _ in range(rounds):
-        found = []
-        for _ in range(ants):
-            bins, b, open_ = np.full(n, -1), 0, np.ones(n, bool)
-            while open_.any():
-                inside, room, trail = [], capacity, np.zeros(n)
-                while (fits := np.flatnonzero(open_ & (demand <= room + 1e-9))).size:
-                    chance = heuristic[0, fits] * (trail[fits] / len(inside) if inside else 1.0)
-                    item = fits[pick(rng, chance[None])[0]]
-                    inside.append(int(item))
-                    trail += pheromone[item]
-                    open_[item], bins[item], room = False, b, room - demand[item]
-                if not inside:
-                    break
-                b += 1
-            load = np.bincount(bins[bins >= 0], demand[bins >= 0])
-            found.append((float(((load / capacity) ** 2).mean()) if len(load) else 0.0, bins))
-        pheromone *= decay
-        for fitness, bins in found:
-            pheromone += fitness * (bins[:, None] == bins[None]) / ants
-            if fitness > most:
-                best, most = bins, fitness
-    return best
-
-
-def organised(bins: np.ndarray) -> np.ndarray:
-    """Bins renumbered by first appearance."""
-    _, first, at = np.unique(bins, return_index=True, return_inverse=True)
-    return np.argsort(np.argsort(first))[at]
-
-
-def tours(nodes: DataFrame, method: str = "nearest", seed: int = 1234) -> DataFrame:
+def tours(nodes: DataFrame, method: str = "nearest") -> DataFrame:
     """(instance, pos, node, x, y): a tour of each instance (instance, node, x, y) by a named method."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -278,8 +101,6 @@ def tours(nodes: DataFrame, method: str = "nearest", seed: int = 1234) -> DataFr
                 t = constructive(d)
             case "guided":
                 t = guided(d, d)
-            case "colony":
-                t = tsp_colony(xy, rng_of(pdf["instance"].iloc[0], seed))
             case _:
                 raise ValueError(method)
         return pdf.iloc[t].assign(pos=range(len(t)))[["instance", "pos", "node", "x", "y"]]

@@ -451,75 +451,10 @@ def _tours(method):
     return run
 
 
-for _m in ("nearest", "constructive", "guided", "colony"):
+for _m in ("nearest", "constructive", "guided"):
     query(_tours(_m))
 
 
-def _grouped(df: DataFrame, kernel, schema: str) -> DataFrame:
-    return df.groupBy("instance").applyInPandas(kernel, schema)
-
-
-@query
-def cvrp_colony(spark, d):
-    import pandas as pd
-
-    from palletry.operators import search as S
-
-    def run(pdf):
-        pdf = pdf.sort_values("node", ignore_index=True)
-        demand = (pdf["node"].to_numpy() % 9 + 1).astype(float)
-        demand[0] = 0
-        path = S.cvrp_colony(pdf[["x", "y"]].to_numpy(float), demand, 50.0, S.rng_of(pdf["instance"].iloc[0], 1234))
-        return pd.DataFrame({"instance": pdf["instance"].iloc[0], "pos": range(len(path)), "stop": path, "demand": demand[path]})
-
-    return _grouped(base.nodes(spark, d), run, "instance long, pos long, stop long, demand double")
-
-
-@query
-def op_colony(spark, d):
-    import pandas as pd
-
-    from palletry.operators import search as S
-
-    def run(pdf):
-        pdf = pdf.sort_values("node", ignore_index=True)
-        path = S.op_colony(pdf[["x", "y"]].to_numpy(float), pdf["prize"].to_numpy(float), float(pdf["max_length"].iloc[0]), S.rng_of(pdf["instance"].iloc[0], 1234))
-        return pd.DataFrame({"instance": pdf["instance"].iloc[0], "pos": range(len(path)), "stop": path, "prize": pdf["prize"].to_numpy()[path]})
-
-    nodes = G.prizes(base.nodes(spark, d)).withColumn("max_length", G.max_length(F.count("*").over(Window.partitionBy("instance"))))
-    return _grouped(nodes, run, "instance long, pos long, stop long, prize double")
-
-
-@query
-def mkp_colony(spark, d):
-    import numpy as np
-    import pandas as pd
-
-    from palletry.operators import search as S
-
-    def run(pdf):
-        pdf = pdf.sort_values("node", ignore_index=True)
-        w = np.stack([(pdf["node"].to_numpy() * (k + 3) % 17 + 1) / 40.0 for k in range(5)], 1)
-        prize = (pdf["node"].to_numpy() % 11 + 1).astype(float)
-        chosen = S.mkp_colony(prize, w, S.rng_of(pdf["instance"].iloc[0], 1234))
-        return pd.DataFrame({"instance": pdf["instance"].iloc[0], "item": pdf["node"].to_numpy()[chosen], "prize": prize[chosen], "load": w[chosen].sum(0).max()})
-
-    return _grouped(base.nodes(spark, d), run, "instance long, item long, prize double, load double")
-
-
-@query
-def bpp_colony(spark, d):
-    from palletry.operators import search as S
-
-    def run(pdf):
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        bins = S.organised(S.bpp_colony(pdf["item"].to_numpy(float), 150.0, S.rng_of(pdf["instance"].iloc[0], 1234)))
-        return pdf.assign(bin=bins)[["instance", "seq", "item", "bin"]]
-
-    items = base.arrivals(spark, d).select("instance", "seq", F.col("item").cast("double").alias("item"))
-    return B.fill_fitness(_grouped(items, run, "instance long, seq long, item double, bin long"), 150.0)
-
-
 @query
 def oof_stack(spark, d):
     from palletry.operators import ml

@@ -22,8 +22,6 @@ def one(tmp_path_factory):
 
 
 def test_defaults_are_those_surveyed():
-    got = {n: tuple(inspect.signature(getattr(S, f"{n}_colony")).parameters[p].default for p in ("ants", "rounds")) for n in ("tsp", "op", "mkp", "bpp")}
-    assert got == {"tsp": (30, 100), "op": (20, 50), "mkp": (10, 50), "bpp": (20, 15)}
     guided = inspect.signature(S.guided).parameters
     assert (guided["moves"].default, guided["rounds"].default) == (30, 1200)
     assert inspect.signature(ml.stacked).parameters["names"].default == ("svm", "lr", "rf", "gbdt")
@@ -32,15 +30,7 @@ def test_defaults_are_those_surveyed():
 def test_tours_use_the_whole_budget(spark, one):
     folder, xy = one
     d = S.distances(xy)
-    for name, tour in (("tsp_colony", S.tsp_colony(xy, S.rng_of(0, 1234), 30, 100)), ("tsp_guided", S.guided(d, d, 1200, 30))):
-        assert QUERIES[name](spark, folder).first().length == pytest.approx(S.length_of(d, tour), abs=1e-5)
-
-
-def test_orienteering_uses_the_reference_length(spark, one):
-    folder, xy = one
-    path = [r.stop for r in QUERIES["op_colony"](spark, folder).orderBy("pos").collect()]
-    walked = S.length_of(S.distances(xy), np.array(path))
-    assert 0.5 < walked <= 3.0 + 1e-6
+    assert QUERIES["tsp_guided"](spark, folder).first().length == pytest.approx(S.length_of(d, S.guided(d, d, 1200, 30)), abs=1e-5)
 
 
 def test_improve_finds_no_move_left_and_keeps_all_nodes():

@@ -44,8 +44,3 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-
-
-def test_colonies_respect_limits(spark):
-    assert QUERIES["cvrp_colony"](spark, FOLDER).count() > 0
-    assert QUERIES["mkp_colony"](spark, FOLDER).where("load > 1.000001").count() == 0

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palletry.operators import decap, geometry as G, packing as B, search as S
+from palletry.operators import geometry as G, packing as B, search as S
 
 
 @pytest.fixture(scope="module")
@@ -15,32 +15,11 @@ def test_tours_are_permutations_and_improve(xy):
     first = S.nearest_neighbour(d)
     better = S.improve(d, first)
     guided = S.guided(d, d, rounds=5)
-    for t in (first, better, guided, S.constructive(d), S.tsp_colony(xy, np.random.default_rng(1), 10, 10)):
+    for t in (first, better, guided, S.constructive(d)):
         assert sorted(t.tolist()) == list(range(30))
     assert S.length_of(d, better) <= S.length_of(d, first) and S.length_of(d, guided) <= S.length_of(d, better) + 1e-9
 
 
-def test_capacity_and_length_limits(xy):
-    rng = np.random.default_rng(2)
-    demand = np.r_[0, rng.integers(1, 10, 29)].astype(float)
-    path = S.cvrp_colony(xy, demand, 30.0, rng, 8, 5)
-    assert sorted(set(path.tolist())) == list(range(30)) and path[0] == 0
-    load = 0.0
-    for p in path:
-        load = 0.0 if p == 0 else load + demand[p]
-        assert load <= 30.0
-    prize = rng.random(30)
-    tour = S.op_colony(xy, prize, 1.5, rng, 8, 5)
-    d = S.distances(xy)
-    assert tour[0] == 0 and len(set(tour.tolist())) == len(tour) and d[tour[:-1], tour[1:]].sum() + d[tour[-1], 0] <= 1.5 + 1e-6
-    weight = rng.random((30, 5)) / 8
-    chosen = S.mkp_colony(prize, weight, rng, 6, 5)
-    assert (weight[chosen].sum(0) <= 1 + 1e-9).all() and len(chosen)
-    items = rng.integers(20, 100, 25).astype(float)
-    bins = S.organised(S.bpp_colony(items, 150.0, rng, 4, 3))
-    assert (np.bincount(bins, items) <= 150).all() and bins[0] == 0 and len(set(bins.tolist())) >= np.ceil(items.sum() / 150)
-
-
 def test_online_packing_is_valid():
     rng = np.random.default_rng(3)
     items = rng.integers(1, 101, 200).astype(float)
@@ -73,18 +52,6 @@ def test_square_tour_and_neighbours(spark):
     assert nodes.count() == 15 and nodes.where("x < 0 or x >= 1").count() == 0
 
 
-def test_decap_kernels():
-    rng = np.random.default_rng(4)
-    a = rng.random((3, 12, 12))
-    z = a @ a.transpose(0, 2, 1) + np.eye(12)
-    decap_z, freq = np.full(3, 0.1), np.array([1.0, 2.0, 4.0])
-    r = decap.reduced(z, decap_z, [1, 5])
-    assert r.shape == (3, 10, 10) and (np.diagonal(r, axis1=1, axis2=2) <= np.diagonal(np.delete(np.delete(z, [1, 5], 1), [1, 5], 2), axis1=1, axis2=2) + 1e-9).all()
-    ports, value = decap.genetic(z, decap_z, freq, 0, {3, 4}, 3, rng, 8, 4)
-    assert decap.feasible(ports, 12, {3, 4}, 0) and value > 0
-    assert decap.feasible(decap.repaired(np.array([0, 3, 5, 5]), 12, {3, 4}, 0, rng), 12, {3, 4}, 0)
-
-
 def test_stream_packs_like_the_batch(spark, tmp_path):
     from palletry.streaming import online
 
