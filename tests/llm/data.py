@@ -60,6 +60,7 @@ def linked(sets, percent=80):
 
 
 def without_repeats(texts, length):
+    """What is left of each text, and the number of runs that go."""
     count: dict[bytes, int] = {}
     raw = [(t or "").encode() for t in texts]
     for t in raw:
@@ -71,5 +72,5 @@ def without_repeats(texts, length):
         for i in range(len(t) - length + 1):
             if count[t[i : i + length]] > 1:
                 gone[i : i + length] = [True] * length
-        out.append(bytes(c for c, g in zip(t, gone) if not g))
+        out.append((bytes(c for c, g in zip(t, gone) if not g), sum(g and not before for g, before in zip(gone, [False, *gone]))))
     return out
