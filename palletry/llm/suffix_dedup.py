@@ -11,9 +11,9 @@ Every byte that a `LENGTH`-byte string covers which also starts anywhere else (a
    multikey quicksort on 8-byte symbols to a shallow depth, then a blind trie for each class that still agrees.
    With both orders and their common prefix lengths, windows at offset o are equal if they agree in o bytes to the
    left and LENGTH-o to the right; the least and largest such o bound the bytes to remove.
-5. Grams that occur more often than `HOT` have their equal contexts combined first, in the mappers and then by an
-   aggregation. Windows of the distinct ones are counted by hash, and each occurrence looks its context's offsets up:
-   no task holds a hot group.
+5. All grams that occur more often than `HOT` (a second bit map; what it lets through is treated alike) have their
+   equal contexts combined first, in the mappers and then by an aggregation. Windows of the distinct ones are counted
+   by the SHA-256 of their bytes, and each occurrence looks its context's offsets up: no task holds a hot group.
 
 Equal texts are found by their hashes beforehand; a mapper sends each text once. Defined results: null is the empty
 text; texts shorter than LENGTH lose nothing; equal texts of LENGTH bytes or more, repeated rows too, lose everything;
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from palletry.llm.common import bit_map, is_marked, mixed, prefix_hash, slices, span_hash, written
 
-LENGTH, GRAM, SHALLOW, HOT, HOT_GRAMS, MAP_BITS = 200, 64, 3, 100_000, 1024, 26
+LENGTH, GRAM, SHALLOW, HOT, MAP_BITS = 200, 64, 3, 100_000, 26
 SLICE_BYTES, GROUP_ROWS = 1_000_000, 20_000
 
 
@@ -130,23 +130,31 @@ def suffix_order(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
     symbols[:, :width] = rows
     symbols = symbols.view(">u8").astype(np.uint64)
     order = np.argsort(group, kind="stable")
-    new = np.r_[True, group[order][1:] != group[order][:-1]]
-    edge = new.copy()
+    edge = np.r_[True, group[order][1:] != group[order][:-1]]
+    depth, split = np.zeros(m, np.int64), np.full(m, -1, np.int64)
     common = np.full(m, -1, np.int64)
-    for depth in range(min(SHALLOW, symbols.shape[1])):  # multikey quicksort, a symbol a round, all open classes at once
-        cls = np.cumsum(edge) - 1
-        size = np.bincount(cls)
-        open_ = np.flatnonzero(size[cls] > 1)
-        if not len(open_):
+    shallow = min(SHALLOW, symbols.shape[1])
+    at, cls = np.arange(m), np.cumsum(edge) - 1
+    while True:  # one three-way partition of every open class a round
+        size = np.bincount(cls, minlength=1)
+        open_ = (size[cls] > 1) & (depth[at] < shallow)
+        at, cls = at[open_], cls[open_]
+        if not len(at):
             break
-        word = symbols[order[open_], depth]
-        order[open_] = order[open_][np.lexsort((word, cls[open_]))]
-        word = symbols[order, depth]
-        differs = ~edge & np.r_[False, word[1:] != word[:-1]]
-        at = np.flatnonzero(differs)
-        byte = (rows[order[at], depth * 8 : depth * 8 + 8] != rows[order[at - 1], depth * 8 : depth * 8 + 8]).argmax(1)
-        common[at] = depth * 8 + byte
-        edge |= differs
+        first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
+        size = np.diff(np.r_[first, len(at)])
+        word = symbols[order[at], depth[at]]
+        three = np.sort(np.stack([word[first], word[first + size // 2], word[first + size - 1]]), 0)
+        pivot = np.repeat(three[1], size)
+        side = (word > pivot) * 2 + (word == pivot)  # 0 below, 1 equal, 2 above
+        key = np.repeat(np.arange(len(first)), size) * 3 + side
+        moved = np.argsort(key, kind="stable")
+        order[at], key = order[at][moved], key[moved]
+        new = np.r_[True, key[1:] != key[:-1]]
+        cut = at[new & ~np.r_[True, key[1:] // 3 != key[:-1] // 3]]
+        edge[cut], split[cut] = True, depth[cut]
+        depth[at] += key % 3 == 1  # only the equal ones go on to the next symbol
+        cls = np.cumsum(new) - 1
     starts = np.flatnonzero(edge)
     ends = np.r_[starts[1:], m]
     deep = np.flatnonzero(ends - starts > 1)
@@ -172,6 +180,9 @@ def suffix_order(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
                 if at > starts[k]:
                     common[at] = width if j else c
                 at += 1
+    at = np.flatnonzero(split >= 0)
+    differ = symbols[order[at], split[at]] ^ symbols[order[at - 1], split[at]]
+    common[at] = split[at] * 8 + (differ.astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(1)
     return order, common
 
 
@@ -237,7 +248,7 @@ def _gram_rows(length, gram):
 def _marked(batches, length, gram, marks, often, hot):
     """Slices of texts with the anchors whose gram is marked, either the hot ones or the others."""
     for a, b, texts, doc, pos, h, _ in _anchor_batches(batches, length, gram):
-        keep = is_marked(marks, h) & (np.isin(h, often) == hot)
+        keep = is_marked(marks, h) & (is_marked(often, h) == hot)
         doc, pos, h = doc[keep], pos[keep], h[keep]
         around = [texts[d][max(0, p - length + gram) : p + length] for d, p in zip(doc.tolist(), pos.tolist())]
         yield a[doc], b[doc], pos, h, around
@@ -252,7 +263,7 @@ def _context_rows(length, gram, bits, often):
 
 
 def _context_key(context: bytes, left: int) -> bytes:
-    return hashlib.blake2b(context, digest_size=16, salt=left.to_bytes(4, "little")).digest()
+    return hashlib.blake2b(context, digest_size=32, salt=left.to_bytes(4, "little")).digest()
 
 
 def _hot_occurrences(length, gram, bits, often):
@@ -282,7 +293,7 @@ def _hot_contexts(length, gram, bits, often):
 
 
 def _hot_windows(length, gram):
-    """(w, k, o, n): hashes of the windows of each distinct context by their offset."""
+    """(w, k, o, n): digests of the windows of each distinct context by their offset."""
     reach = np.arange(length - gram + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,12 +302,10 @@ def _hot_windows(length, gram):
                 k, left, context, n = (batch.column(j).slice(i, 500) for j in range(4))
                 raw = context.to_pylist()
                 size = np.fromiter(map(len, raw), np.int64, len(raw))
-                base = np.cumsum(size) - size
                 start = left.to_numpy()[:, None] - reach
                 row, o = np.nonzero((start >= 0) & (start + length <= size[:, None]))
-                at = base[row] + start[row, o]
-                w = span_hash(prefix_hash(np.frombuffer(b"".join(raw), np.uint8)), at, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), k.take(pa.array(row)), pa.array(o.astype(np.int32)), pa.array(n.to_numpy()[row])], ["w", "k", "o", "n"])
+                w = [hashlib.sha256(raw[i][j : j + length]).digest() for i, j in zip(row.tolist(), start[row, o].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), k.take(pa.array(row)), pa.array(o.astype(np.int32)), pa.array(n.to_numpy()[row])], ["w", "k", "o", "n"])
 
     return run
 
@@ -304,7 +313,7 @@ def _hot_windows(length, gram):
 def _hot_spans(texts: DataFrame, length: int, gram: int, marks, often) -> DataFrame:
     contexts = texts.mapInArrow(_hot_contexts(length, gram, marks, often), "k binary, left int, context binary, n long")
     contexts = written(contexts.groupBy("k", "left", "context").agg(F.sum("n").alias("n")), "contexts")
-    windows = contexts.mapInArrow(_hot_windows(length, gram), "w long, k binary, o int, n long")
+    windows = contexts.mapInArrow(_hot_windows(length, gram), "w binary, k binary, o int, n long")
     twice = windows.groupBy("w", "o").agg(F.sum("n").alias("n")).where("n > 1").select("w", "o")  # o: a place counts once for each gram
     offsets = written(windows.join(twice, ["w", "o"]).groupBy("k").agg(F.min("o").alias("low"), F.max("o").alias("high")), "offsets")
     here = texts.mapInArrow(_hot_occurrences(length, gram, marks, often), "k binary, a long, b int, pos int").join(offsets, "k")
@@ -383,12 +392,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     grams = grams.groupBy("g").agg(F.min("occurrence").alias("x"), F.max("occurrence").alias("y"), F.count("*").alias("n")).where("x <> y")
     grams = written(grams.select("g", "n"), "grams")
     marks = bit_map(grams, "g", map_bits)
-    often = grams.where(F.col("n") > hot).orderBy(F.desc("n"), "g").limit(HOT_GRAMS).select("g").toArrow().column(0).to_numpy().view(np.uint64)
+    often = bit_map(grams.where(F.col("n") > hot), "g", map_bits)
+    any_hot = bool(often.any())
     marks, often = spark.sparkContext.broadcast(marks), spark.sparkContext.broadcast(often)
 
     contexts = texts.mapInArrow(_context_rows(length, gram, marks, often), "g long, a long, b int, pos int, context binary")
     compared = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(length, gram), "a long, b int, start int, end int")
-    if len(often.value):
+    if any_hot:
         compared = compared.unionByName(_hot_spans(texts, length, gram, marks, often))
     copies = docs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.octet_length("raw")).alias("end")).where((F.col("n") > 1) & (F.col("end") >= length))
     return compared.unionByName(copies.select("a", "b", F.lit(0).alias("start"), F.col("end").cast("int").alias("end")))

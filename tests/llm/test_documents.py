@@ -71,7 +71,7 @@ def test_trie_join_groups(docs, empty):
 def test_suffix_dedup(docs, empty):
     short = docs.where("length(text) < 5000 or text is null")
     rows = [r for r in ROWS if len(r[1] or "") < 5000]
-    for options in ({}, {"hot": 3}):
+    for options in ({}, {"hot": 3}, {"hot": 3, "map_bits": 8}):
         got = Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(short, length=50, gram=16, **options).collect())
         kept = without_repeats([t for _, t, _ in rows], 50)
         assert got == Counter((d, len((t or "").encode()), len((t or "").encode()) - len(k), n, sha(k)) for (d, t, _), (k, n) in zip(rows, kept))
