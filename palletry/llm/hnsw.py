@@ -2,8 +2,10 @@
 
 Equal vectors are one point of a graph, with the smallest ids that carry it (k+1 of them: ties go to smaller ids, so
 no others can appear among k). Points are dealt to shards of about `SHARD_POINTS` by a hash. Each shard's graph is
-built by one task and stored as a row of flat arrays; blocks of query vectors are joined with every shard, searched
-there together, and the shards' best are merged. Scores are inner products of the original vectors in double precision.
+built by one task and stored as a row of flat arrays. Up to `GROUP` graphs form a group: a task reads its group's graphs
+once, then query vectors stream past them, and of each query only the best of the group leave the task. So a query is
+sent once a group, not once a shard, and a graph is sent to as many tasks as small tables need to use a few cores
+(`COPIES` at most). Scores are inner products of the original vectors in double precision.
 
 Inside a shard the inner product becomes a distance: one more component gives all points the same length. Points enter
 in batches, upper levels first; a batch finds its candidates in the graph so far and among itself.
@@ -20,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from palletry.llm.common import mixed, written
 
-SHARD_POINTS, QUERY_BLOCK = 8192, 1024
+SHARD_POINTS, GROUP, COPIES = 8192, 16, 8
 DEGREE, BUILD_WIDTH, SEARCH_WIDTH, EXPAND = 24, 96, 200, 4
 
 
@@ -189,36 +192,62 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _block(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "block": pdf["block"].iloc[:1], "keys": [pdf["key"].tolist()], "queries": [np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()]})
+def _read(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    """A stored graph with its vectors, ids and the offsets of each point's ids."""
+    vectors = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
+    flat, at, layers = np.frombuffer(row["layers"], np.uint8), 0, []
+    while at < len(flat):
+        size = int(flat[at : at + 8].view(np.int64)[0])
+        layers.append(flat[at + 8 : at + 8 + 4 * size].view(np.int32).reshape(len(vectors) + 1, -1))
+        at += 8 + 4 * size
+    return Graph(vectors, layers), vectors, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["offsets"], np.int64)
+
+
+def _best(q: np.ndarray, own: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, ties to smaller ids."""
+    order = np.lexsort((own, -score, q))
+    q, own, score = q[order], own[order], score[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], own[keep], score[keep]
+
+
+def _found(stored: tuple, queries: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, score) of the k nearest found in one graph for each query."""
+    graph, vectors, ids, offsets = stored
+    found = graph.search(queries, k, width)
+    hit = found < len(vectors)
+    q, p = np.nonzero(hit)[0], found[hit]
+    score = (queries[q] * vectors[p]).sum(1)
+    count = offsets[p + 1] - offsets[p]
+    each = np.repeat(np.arange(len(p)), count)
+    own = ids[offsets[p][each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)]
+    return _best(q[each], own, score[each], k)
 
 
 def _search(k: int, width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                vectors = np.frombuffer(row.vectors).reshape(-1, row.dim)
-                queries = np.frombuffer(row.queries).reshape(-1, row.dim)
-                flat, at, layers = np.frombuffer(row.layers, np.uint8), 0, []
-                while at < len(flat):
-                    size = int(flat[at : at + 8].view(np.int64)[0])
-                    layers.append(flat[at + 8 : at + 8 + 4 * size].view(np.int32).reshape(len(vectors) + 1, -1))
-                    at += 8 + 4 * size
-                found = Graph(vectors, layers).search(queries, k + 1, width)
-                ids, offsets = np.frombuffer(row.ids, np.int64), np.frombuffer(row.offsets, np.int64)
-                hit = found < len(vectors)
-                q, p = np.nonzero(hit)[0], found[hit]
-                score = (queries[q] * vectors[p]).sum(1)
-                count = offsets[p + 1] - offsets[p]
-                each = np.repeat(np.arange(len(p)), count)
-                own = ids[offsets[p][each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)]
-                q, score = q[each], score[each]
-                order = np.lexsort((own, -score, q))
-                q, score, own = q[order], score[order], own[order]
-                first = np.searchsorted(q, q)
-                keep = np.arange(len(q)) - first <= k
-                keys = np.array(list(row.keys), object)
-                yield pd.DataFrame({"key": keys[q[keep]], "vec_id": own[keep], "score": score[keep]})
+    """Rows sorted by (dim, group, copy, nth): a group's graphs (nth 0), then the queries that pass them (nth 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, graphs = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+            edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1), True]) if len(keys) else []
+            for start, end in zip(edge[:-1], edge[1:]):
+                part = batch.slice(start, end - start)
+                here = tuple(keys[start, :3])
+                if here != place:
+                    place, graphs = here, []
+                if keys[start, 3] == 0:
+                    graphs += [_read(row) for row in part.to_pylist()]
+                    continue
+                if not graphs:
+                    continue
+                for i in range(0, part.num_rows, 1024):
+                    some = part.slice(i, 1024)
+                    queries = some.column("v").flatten().to_numpy().reshape(some.num_rows, -1)
+                    each = [_found(g, queries, k + 1, width) for g in graphs]
+                    q, own, score = _best(*(np.concatenate(x) for x in zip(*each)), k + 1)
+                    yield pa.RecordBatch.from_arrays([some.column("key").take(pa.array(q)), pa.array(own), pa.array(score)], ["key", "vec_id", "score"])
 
     return run
 
@@ -237,12 +266,14 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
 
     asked = written(rows.where(F.col("vec_id") % every == 0).select("vec_id", "key", "v"), "asked")
     distinct = asked.groupBy("key").agg(F.first("v").alias("v")).withColumn("dim", F.size("v"))
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    distinct = distinct.withColumn("block", F.pmod(F.hash("key"), F.lit(n_blocks)))
-    blocks = distinct.groupBy("dim", "block").applyInPandas(_block, "dim int, block int, keys array<string>, queries binary")
-    pairs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, ["dim", "block"])
-    pairs = pairs.repartition(max(2, min(n_shards * n_blocks, 4096)), "shard", "block")
-    found = pairs.mapInPandas(_search(k, width), "key string, vec_id long, score double")
+    n_groups = -(-n_shards // min(GROUP, max(1, n_shards // COPIES)))
+    copies = max(1, COPIES // n_groups)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = graphs.select("dim", (F.col("shard") % n_groups).alias("group"), each(copies).alias("copy"), F.lit(0).alias("nth"), "vectors", "ids", "offsets", "layers")
+    passing = distinct.select("dim", each(n_groups).alias("group"), F.pmod(F.hash("key"), F.lit(copies)).alias("copy"), F.lit(1).alias("nth"), "key", "v")
+    rows = held.unionByName(passing, allowMissingColumns=True).repartition(n_groups * copies, "dim", "group", "copy")
+    rows = rows.sortWithinPartitions("dim", "group", "copy", "nth")
+    found = rows.mapInArrow(_search(k, width), "key string, vec_id long, score double")
 
     best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
