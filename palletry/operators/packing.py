@@ -47,18 +47,27 @@ def first_fit(item: float, room: np.ndarray) -> np.ndarray:
     return -np.arange(len(room), dtype=float)
 
 
-PRIORITIES = {"best_fit": best_fit, "first_fit": first_fit}
+def score_step(item: float, room: np.ndarray) -> np.ndarray:
+    """A score of each fitting bin, negative unless the item fills it, less the score of the fitting bin before it."""
+    score = (room - room.max()) ** 2 / item + room**2 / item**2 + room**2 / item**3
+    return np.diff(np.where(room > item, -score, score), prepend=0.0)
+
+
+PRIORITIES = {"best_fit": best_fit, "first_fit": first_fit, "score_step": score_step}
+#: Unused bins at the end that can win: alike in themselves, but `score_step` tells the first from those behind another.
+SPARE = 2
 
 
 def pack_online(items: np.ndarray, capacity: float, priority: str = "best_fit") -> np.ndarray:
     """The bin of each item, in order of arrival: the first of highest priority among the bins with room.
 
-    Only the used bins and one empty bin can win, as unused ones are alike; items over the capacity get bin -1.
+    There are as many bins as items. Only those up to the last used one and `SPARE` after it can win, as any further one
+    has the priority of the one before it; items over the capacity get bin -1.
     """
     score = PRIORITIES[priority]
-    room, used, out = np.full(len(items) + 1, float(capacity)), 0, np.full(len(items), -1, np.int64)
+    room, used, out = np.full(len(items), float(capacity)), 0, np.full(len(items), -1, np.int64)
     for i, item in enumerate(items):
-        fits = np.flatnonzero(room[: used + 1] >= item)
+        fits = np.flatnonzero(room[: used + SPARE] >= item)
         if len(fits):
             b = fits[int(np.argmax(score(item, room[fits])))]
             room[b] -= item

@@ -103,6 +103,27 @@ def values(rows) -> str:
 _U = uniform("row_id")
 _D = "SQRT((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 
+def _online(start: str, place: str) -> str:
+    """Bins used by each instance, an item a step: `start` makes the rooms, `place` takes an item to one of them."""
+    return f"""WITH RECURSIVE {ARRIVALS}, nth AS (SELECT instance, item::DOUBLE AS item, ROW_NUMBER() OVER (PARTITION BY instance ORDER BY seq) AS n FROM arr),
+step AS (SELECT instance, 0::BIGINT AS n, {start} AS rooms FROM nth GROUP BY instance UNION ALL
+  SELECT instance, n, LIST_CONCAT(LIST_CONCAT(rooms[1:b - 1], [rooms[b] - item]), rooms[b + 1:]) FROM ({place})),
+done AS (SELECT instance, LEN(LIST_FILTER(ARG_MAX(rooms, n), LAMBDA r: r < 100)) AS bins FROM step GROUP BY instance)
+SELECT instance, bins, COUNT(*) AS n_items, SUM(item)::BIGINT AS total, CEIL(SUM(item) / 100)::BIGINT AS bound FROM arr JOIN done USING (instance) GROUP BY instance, bins"""
+
+
+_NEXT = "SELECT s.instance, s.n + 1 AS n, i.item, s.rooms FROM step s JOIN nth i ON i.instance = s.instance AND i.n = s.n + 1"
+_ROOMS = "LIST_TRANSFORM(RANGE(COUNT(*)), LAMBDA i: 100::DOUBLE)"
+BEST_FIT = _online(_ROOMS, f"SELECT *, LIST_POSITION(rooms, LIST_MIN(LIST_FILTER(rooms, LAMBDA r: r >= item))) AS b FROM ({_NEXT})")
+SCORE_STEP = _online(
+    _ROOMS,
+    f"""SELECT *, fits[LIST_POSITION(steps, LIST_MAX(steps))] AS b FROM (
+    SELECT *, LIST_TRANSFORM(RANGE(1, LEN(score) + 1), LAMBDA i: score[i] - CASE WHEN i = 1 THEN 0 ELSE score[i - 1] END) AS steps FROM (
+    SELECT *, LIST_TRANSFORM(fits, LAMBDA i: CASE WHEN rooms[i] > item THEN -1 ELSE 1 END
+      * ((rooms[i] - top) * (rooms[i] - top) / item + rooms[i] * rooms[i] / (item * item) + rooms[i] * rooms[i] / (item * item * item))) AS score FROM (
+    SELECT *, LIST_FILTER(RANGE(1, LEN(rooms) + 1), LAMBDA i: rooms[i] >= item) AS fits, LIST_MAX(rooms) AS top FROM ({_NEXT}))))""",
+)
+
 ORACLE = {
     "hard_case_summary": f"""WITH {SCORED}, s AS (SELECT error_type, gt, COUNT(*) AS n, AVG(prob) AS m, STDDEV_POP(prob) AS sd FROM cases GROUP BY 1, 2)
 SELECT error_type, gt, n, ROUND(m, 6) AS mean_prob, ROUND(sd, 6) AS std_prob, ROUND(n * 100.0::DOUBLE / SUM(n) OVER (PARTITION BY gt), 6) AS pct FROM s""",
@@ -188,6 +209,8 @@ SELECT instance, node, ROUND(raw / MAX(raw) OVER (PARTITION BY instance), 6) AS
     "gap_to_optimum": """WITH m AS (SELECT l_suppkey AS instance, AVG(l_quantity) AS mean, STDDEV_POP(l_quantity) AS std FROM lineitem GROUP BY 1)
 SELECT instance, ROUND(mean, 6) AS mean, ROUND(std, 6) AS std, ROUND(100 * (mean / (s_nationkey + 10) - 1), 6) AS gap_pct FROM m JOIN supplier ON instance = s_suppkey""",
     "weighted_averages": "SELECT l_returnflag, ROUND(SUM(l_discount * l_quantity) / SUM(l_quantity), 9) AS average FROM lineitem GROUP BY 1",
+    "online_binpack_best_fit": BEST_FIT,
+    "online_binpack_score_step": SCORE_STEP,
     "bin_lower_bound": f"WITH {ARRIVALS} SELECT instance, COUNT(*) AS n_items, SUM(item)::BIGINT AS total, CEIL(SUM(item) / 150)::BIGINT AS bound FROM arr GROUP BY 1",
     "packing_validity": f"""WITH {PACKED}, l AS (SELECT instance, bin, SUM(item) AS load FROM packed GROUP BY 1, 2), f AS (SELECT instance, MAX(load) <= 150 AS fits FROM l GROUP BY 1)
 SELECT instance, TRUE AS same_items, fits, fits AS valid FROM f""",

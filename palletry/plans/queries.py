@@ -436,9 +436,19 @@ def document_slugs(spark, d):
     return table(spark, d, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"), text.short_id(F.col("p_name")).alias("short_id"))
 
 
+def _online(spark, d, priority):
+    packed = B.online(base.arrivals(spark, d), 100.0, priority)
+    return B.used_bins(packed).join(B.lower_bound(base.arrivals(spark, d), 100.0), "instance")
+
+
 @query
 def online_binpack_best_fit(spark, d):
-    return B.used_bins(B.online(base.arrivals(spark, d), 100.0)).join(B.lower_bound(base.arrivals(spark, d), 100.0), "instance")
+    return _online(spark, d, "best_fit")
+
+
+@query
+def online_binpack_score_step(spark, d):
+    return _online(spark, d, "score_step")
 
 
 def _tours(method):

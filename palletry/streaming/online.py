@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palletry.operators.packing import PRIORITIES
+from palletry.operators.packing import PRIORITIES, SPARE
 
 
 def packed_stream(items: DataFrame, capacity: float, priority: str = "best_fit") -> DataFrame:
@@ -20,14 +20,13 @@ def packed_stream(items: DataFrame, capacity: float, priority: str = "best_fit")
         rows = pd.concat(batches).sort_values("seq", ignore_index=True)
         bins = []
         for item in rows["item"]:
-            have = np.array([*room, capacity])
+            have = np.array([*room, *[capacity] * SPARE])
             fits = np.flatnonzero(have >= item)
             if not len(fits):
                 bins.append(-1)
                 continue
             b = int(fits[int(np.argmax(PRIORITIES[priority](item, have[fits])))])
-            if b == len(room):
-                room.append(float(capacity))
+            room += [float(capacity)] * (b + 1 - len(room))
             room[b] -= float(item)
             bins.append(b)
         state.update((room,))

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +32,25 @@ def test_online_packing_is_valid():
     assert B.pack_online(np.array([101.0, 5.0]), 100.0).tolist() == [-1, 0]
 
 
+def test_score_step_by_hand():
+    """Rooms 100, 100, 100 and an item of 40: the scores are equal, so the steps are one negative and two zeros: the second bin wins."""
+    assert math.isclose(B.score_step(40.0, np.array([100.0, 100.0, 100.0]))[0], -(100**2 / 40**2 + 100**2 / 40**3))
+    assert B.pack_online(np.array([40.0, 40.0, 60.0]), 100.0, "score_step").tolist()[0] == 1
+
+
+def test_spare_bins_are_enough():
+    """With all bins in view from the start, every item goes to the same bin."""
+    rng = np.random.default_rng(5)
+    for name, score in B.PRIORITIES.items():
+        items = rng.integers(1, 101, 120).astype(float)
+        room, want = np.full(len(items), 100.0), []
+        for item in items:
+            fits = np.flatnonzero(room >= item)
+            want.append(int(fits[np.argmax(score(item, room[fits]))]))
+            room[want[-1]] -= item
+        assert B.pack_online(items, 100.0, name).tolist() == want
+
+
 def test_depot_flags_of_the_documented_example(spark):
     tour = [0, 1, 2, 3, 0, 4, 5, 6, 0, 7, 8, 9, 10, 0]
     df = spark.createDataFrame([(1, i, n) for i, n in enumerate(tour)], "instance long, pos long, node long")
