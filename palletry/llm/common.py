@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
 
-    Only where the setting is absent (tests on one machine) a local folder stands in.
+    Only where the setting is absent and the master is local (tests) a local folder stands in.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="palletry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
