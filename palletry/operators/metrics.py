@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palletry.functions.numeric import ratio
+from palletry.operators.population import range_of
 
 
 def count_if(condition: Column) -> Column:
@@ -32,39 +33,53 @@ def classification(df: DataFrame, *by: str, gt: str = "gt", pred: str = "pred")
     )
 
 
-def roc_points(df: DataFrame, gt: str = "gt", score: str = "prob", digits: int | None = 6, drop: bool = True) -> DataFrame:
+def roc_points(df: DataFrame, gt: str = "gt", score: str = "prob", drop: bool = True) -> DataFrame:
     """(place, threshold, fp, tp, fpr, tpr): one point a distinct score, from (0, 0) on; collinear ones are dropped.
 
-    Scores are rounded to `digits`, so the ordered window behind the curve sees at most 10**digits + 1 rows, whatever
-    the number of cases: these only meet the aggregation before it, which combines map-side.
+    Scores are exact; null ones come last. Counts are summed in two levels, ranges of the score first, so the curve of any
+    number of distinct scores is no single task; only one row a range meets in an unpartitioned window.
     """
-    s = F.col(score) if digits is None else F.round(score, digits)
-    by_score = df.groupBy(s.alias("threshold")).agg(F.sum(F.col(gt).cast("long")).alias("pos"), F.sum(1 - F.col(gt).cast("long")).alias("neg"))
-    order = Window.orderBy(F.desc("threshold"))
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    points = by_score.select("threshold", F.sum("neg").over(upto).alias("fp"), F.sum("pos").over(upto).alias("tp"))
-    if drop:
-        bend = lambda k: F.lag(k).over(order) + F.lead(k).over(order) - 2 * F.col(k)
-        points = points.withColumns({"b1": bend("fp"), "b2": bend("tp")})
-        points = points.where("b1 is null or b1 <> 0 or b2 <> 0").drop("b1", "b2")
-    start = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("tp"))
-    points = start.unionByName(points)
-    everything = Window.partitionBy()
-    return points.select(
-        F.row_number().over(order).alias("place"),
-        "threshold",
-        "fp",
-        "tp",
-        ratio(F.col("fp"), F.max("fp").over(everything)).alias("fpr"),
-        ratio(F.col("tp"), F.max("tp").over(everything)).alias("tpr"),
+    label = F.col(gt).cast("long")
+    by_score = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("pos"), F.sum(1 - label).alias("neg"))
+    d = by_score.withColumn("_down", F.coalesce(-F.col("threshold"), F.lit(float("inf"))))
+    d = d.withColumn("part", range_of(d, "_down"))
+    parts = Window.orderBy("part")
+    before, everything = parts.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    ends = d.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.min_by(F.struct("pos", "neg"), "_down").alias("first"))
+    ends = ends.select(
+        "part",
+        F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("fp0"),
+        F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("tp0"),
+        F.lead("first").over(parts).alias("beyond"),
+        F.sum("neg").over(everything).alias("all_neg"),
+        F.sum("pos").over(everything).alias("all_pos"),
     )
+    inside = Window.partitionBy("part").orderBy("_down")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    points = d.select("part", "_down", "threshold", "pos", "neg", F.sum("neg").over(upto).alias("fp1"), F.sum("pos").over(upto).alias("tp1"), F.lead(F.struct("pos", "neg")).over(inside).alias("next"))
+    points = points.join(ends, "part").withColumns({"fp": F.col("fp0") + F.col("fp1"), "tp": F.col("tp0") + F.col("tp1"), "next": F.coalesce("next", "beyond")})
+    if drop:  # between equal steps a point is collinear; the first and the last stay
+        first = (F.col("fp") == F.col("neg")) & (F.col("tp") == F.col("pos"))
+        points = points.where(first | F.col("next").isNull() | (F.col("next.pos") != F.col("pos")) | (F.col("next.neg") != F.col("neg")))
+    points = points.select("part", "_down", "threshold", "fp", "tp", ratio(F.col("fp"), F.col("all_neg")).alias("fpr"), ratio(F.col("tp"), F.col("all_pos")).alias("tpr"))
+    count = points.groupBy("part").agg(F.count("*").alias("n"))
+    count = count.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    place = F.col("ahead") + F.row_number().over(inside) + 1
+    points = points.join(count, "part").select(place.alias("place"), "threshold", "fp", "tp", "fpr", "tpr")
+    none = F.lit(0).cast("long")
+    start = df.sparkSession.range(1).select(F.lit(1).cast("long").alias("place"), F.lit(float("inf")).alias("threshold"), none.alias("fp"), none.alias("tp"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return start.unionByName(points)
+
+
+def _after(points: DataFrame) -> DataFrame:
+    """`points` with fpr2 and tpr2 of the next place, null at the end."""
+    return points.join(points.select((F.col("place") - 1).alias("place"), F.col("fpr").alias("fpr2"), F.col("tpr").alias("tpr2")), "place", "left")
 
 
 def auc(points: DataFrame) -> DataFrame:
     """Area under ROC points by trapezoids."""
-    order = Window.orderBy("place")
-    step = (F.col("fpr") - F.lag("fpr").over(order)) * (F.col("tpr") + F.lag("tpr").over(order)) / 2
-    return points.select(step.alias("step")).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("auc"))
+    step = (F.col("fpr2") - F.col("fpr")) * (F.col("tpr2") + F.col("tpr")) / 2
+    return _after(points).agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("auc"))
 
 
 def tpr_nearest(points: DataFrame, at: float = 0.01) -> DataFrame:
@@ -74,8 +89,7 @@ def tpr_nearest(points: DataFrame, at: float = 0.01) -> DataFrame:
 
 def tpr_interpolated(points: DataFrame, at: float = 0.01) -> DataFrame:
     """TPR at an FPR by linear interpolation between the curve's points, clamped at its ends."""
-    order = Window.orderBy("place")
-    p = points.select("place", "fpr", "tpr", F.lead("fpr").over(order).alias("fpr2"), F.lead("tpr").over(order).alias("tpr2"))
+    p = _after(points.select("place", "fpr", "tpr"))
     slope = F.when(F.col("fpr2") > F.col("fpr"), F.col("tpr") + (F.col("tpr2") - F.col("tpr")) * (at - F.col("fpr")) / (F.col("fpr2") - F.col("fpr"))).otherwise(F.col("tpr"))
     last = p.where((F.col("fpr") <= at)).orderBy(F.desc("place")).limit(1)
     return last.select(F.lit(at).alias("fpr"), F.when(F.col("fpr2").isNull(), F.col("tpr")).otherwise(slope).alias("tpr"))

@@ -13,7 +13,7 @@ from palletry.functions.numeric import hash_fraction
 CUTS = 64
 
 
-def _range_of(df: DataFrame, column: str) -> Column:
+def range_of(df: DataFrame, column: str) -> Column:
     """The number of a row's range among those that `CUTS` quantiles of a numeric column bound; -1 for null."""
     cuts = sorted(set(df.approxQuantile(column, [i / CUTS for i in range(1, CUTS)], 0.5 / CUTS)))
     at = F.col(column)
@@ -26,7 +26,7 @@ def running(df: DataFrame, column: str, value: str, order: str, by: list[str], f
     Folds have two levels, so that no group lies in one task: ranges of the order are folded apart, and each starts from
     the fold of the ranges before it.
     """
-    d = df.withColumn("_part", _range_of(df, order))
+    d = df.withColumn("_part", range_of(df, order))
     inner = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = Window.partitionBy(*[f"_{c}" for c in by]).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # of at most CUTS + 1 rows a group
     base = d.groupBy(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_at")).agg(fold(value).alias("_all")).withColumn("_base", fold("_all").over(ahead))
@@ -40,7 +40,7 @@ def round_robin(df: DataFrame, order: list[str], n: int) -> DataFrame:
 
     Ranks have two levels: `CUTS` quantiles of that column bound the ranges that are ranked apart, nulls first.
     """
-    d = df.withColumn("_part", _range_of(df, order[0]))
+    d = df.withColumn("_part", range_of(df, order[0]))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # of at most CUTS + 1 rows
     base = d.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1

@@ -26,11 +26,12 @@ class LinearModel:
     def decision(self) -> Column:
         return weighted_sum(((w, scaled(F.col(f).cast("double"), F.lit(float(lo)), F.lit(float(hi)))) for f, lo, hi, w in self.features), self.intercept)
 
-    def scored(self, df: DataFrame, digits: int = 6) -> DataFrame:
-        """`df` with decision, prob (rounded) and pred (prob >= 0.5)."""
+    def scored(self, df: DataFrame, digits: int | None = None) -> DataFrame:
+        """`df` with decision, prob (rounded where `digits` are given) and pred (prob >= 0.5)."""
         require_columns(df, [f for f, *_ in self.features])
         d = df.withColumn("decision", self.decision())
-        return d.withColumn("prob", F.round(sigmoid(F.col("decision")), digits)).withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
+        prob = sigmoid(F.col("decision"))
+        return d.withColumn("prob", prob if digits is None else F.round(prob, digits)).withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
 
     def ranked_coefficients(self, df: DataFrame, k: int) -> DataFrame:
         """(rank, feature, weight) of the k largest absolute weights, ties in model order."""

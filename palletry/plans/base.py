@@ -61,8 +61,8 @@ def order_table(spark: SparkSession, d: str) -> DataFrame:
     return f.join(o, "row_id")
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    return MODEL.scored(order_table(spark, d))
+def scored(spark: SparkSession, d: str, digits: int | None = 6) -> DataFrame:
+    return MODEL.scored(order_table(spark, d), digits)
 
 
 def cases(spark: SparkSession, d: str) -> DataFrame:

@@ -32,7 +32,9 @@ def counts(pred: str = "pred") -> str:
     return _COUNTS.format(p=pred)
 
 
-ROC = f"""{SCORED},
+_SIGMOID = "1 / (1 + EXP(-GREATEST(LEAST(decision, 500), -500)))"
+EXACT = SCORED.replace(f"ROUND({_SIGMOID}, 6)", _SIGMOID)
+ROC = f"""{EXACT},
 g AS (SELECT prob AS threshold, SUM(gt) AS pos, SUM(1 - gt) AS neg FROM scored GROUP BY 1),
 cum AS (SELECT threshold, SUM(neg) OVER w AS fp, SUM(pos) OVER w AS tp FROM g WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 bent AS (SELECT *, LAG(fp) OVER o + LEAD(fp) OVER o - 2 * fp AS b1, LAG(tp) OVER o + LEAD(tp) OVER o - 2 * tp AS b2 FROM cum WINDOW o AS (ORDER BY threshold DESC)),
@@ -145,9 +147,9 @@ SELECT row_id, ROUND((sku_counts - a0) / (a1 - a0)::DOUBLE, 9) AS sku_counts, RO
     "linear_score_sigmoid": f"WITH {SCORED} SELECT row_id, ROUND(decision, 9) AS decision, prob, pred FROM scored",
     "confusion_by_segment": f"WITH {SCORED} SELECT o_orderpriority, {counts()} FROM scored GROUP BY 1",
     "classification_metrics": f"WITH {SCORED}, c AS (SELECT {counts()} FROM scored), r AS (SELECT *, {_RATES} FROM c) SELECT tn, fp, fn, tp, {_RATES_9} FROM r",
-    "roc_curve_points": f"WITH {ROC} SELECT place, threshold, fp, tp, ROUND(fpr, 9) AS fpr, ROUND(tpr, 9) AS tpr FROM roc WHERE place > 1",
-    "roc_auc": f"WITH {SCORED}, r AS (SELECT gt, RANK() OVER (ORDER BY prob) + (COUNT(*) OVER (PARTITION BY prob) - 1) / 2.0::DOUBLE AS r FROM scored) SELECT ROUND((SUM(r) FILTER (gt = 1) - SUM(gt)::DOUBLE * (SUM(gt) + 1) / 2) / (SUM(gt)::DOUBLE * SUM(1 - gt)), 9) AS auc FROM r",
-    "tpr_at_fpr_nearest": f"WITH {ROC} SELECT threshold, ROUND(fpr, 9) AS fpr, ROUND(tpr, 9) AS tpr FROM roc ORDER BY ABS(fpr - 0.01::DOUBLE), place LIMIT 1",
+    "roc_curve_points": f"WITH {ROC} SELECT place, ROUND(threshold, 9) AS threshold, fp, tp, ROUND(fpr, 9) AS fpr, ROUND(tpr, 9) AS tpr FROM roc WHERE place > 1",
+    "roc_auc": f"WITH {EXACT}, r AS (SELECT gt, RANK() OVER (ORDER BY prob) + (COUNT(*) OVER (PARTITION BY prob) - 1) / 2.0::DOUBLE AS r FROM scored) SELECT ROUND((SUM(r) FILTER (gt = 1) - SUM(gt)::DOUBLE * (SUM(gt) + 1) / 2) / (SUM(gt)::DOUBLE * SUM(1 - gt)), 9) AS auc FROM r",
+    "tpr_at_fpr_nearest": f"WITH {ROC} SELECT ROUND(threshold, 9) AS threshold, ROUND(fpr, 9) AS fpr, ROUND(tpr, 9) AS tpr FROM roc ORDER BY ABS(fpr - 0.01::DOUBLE), place LIMIT 1",
     "tpr_at_fpr_interp": f"""WITH {ROC}, p AS (SELECT *, LEAD(fpr) OVER (ORDER BY place) AS f2, LEAD(tpr) OVER (ORDER BY place) AS t2 FROM roc)
 SELECT 0.01::DOUBLE AS fpr, ROUND(CASE WHEN f2 > fpr THEN tpr + (t2 - tpr) * (0.01::DOUBLE - fpr) / (f2 - fpr) ELSE tpr END, 9) AS tpr FROM p WHERE fpr <= 0.01::DOUBLE ORDER BY place DESC LIMIT 1""",
     "top_variance_features": f"""WITH {SCORED}, l AS ({_LONG}), v AS (SELECT error_type, feature, nth, AVG(value) AS m, VAR_POP(value) AS v FROM l GROUP BY 1, 2, 3),

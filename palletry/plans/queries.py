@@ -99,12 +99,12 @@ def classification_metrics(spark, d):
 
 
 def _roc(spark, d):
-    return M.roc_points(base.scored(spark, d))
+    return M.roc_points(base.scored(spark, d, None))
 
 
 @query
 def roc_curve_points(spark, d):
-    return rounded(_roc(spark, d).where("place > 1"), 9, "fpr", "tpr")
+    return rounded(_roc(spark, d).where("place > 1"), 9, "threshold", "fpr", "tpr")
 
 
 @query
@@ -114,7 +114,7 @@ def roc_auc(spark, d):
 
 @query
 def tpr_at_fpr_nearest(spark, d):
-    return rounded(M.tpr_nearest(_roc(spark, d)), 9, "fpr", "tpr")
+    return rounded(M.tpr_nearest(_roc(spark, d)), 9, "threshold", "fpr", "tpr")
 
 
 @query

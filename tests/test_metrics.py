@@ -126,3 +126,17 @@ def test_rules_apply_in_order(ten):
 def test_first_row_mask(spark):
     df = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 3, False)], "k long, r long, bad boolean")
     assert [r.r for r in R.first_row_mask(df, "k", "r", F.col("bad")).where("hard").collect()] == [1]
+
+
+def test_roc_over_many_distinct_scores(spark):
+    """Distinct scores that rounding would merge, dealt over several ranges; the area is that of ranks, the last scores null."""
+    rows = [(i * 37 % 2, 0.5 + (i * 7919 % 500) * 1e-9) for i in range(1000)] + [(1, None)]
+    points = M.roc_points(spark.createDataFrame(rows, "gt int, prob double"), drop=False)
+    got = [(r.place, r.fp, r.tp) for r in points.orderBy("place").collect()]
+    want, fp, tp = [(1, 0, 0)], 0, 0
+    for s in [*sorted({s for _, s in rows[:-1]}, reverse=True), None]:
+        fp, tp = fp + sum(g == 0 and x == s for g, x in rows), tp + sum(g == 1 and x == s for g, x in rows)
+        want.append((len(want) + 1, fp, tp))
+    assert got == want
+    none = M.roc_points(spark.createDataFrame([], "gt int, prob double"))
+    assert [(r.place, r.fp, r.tp) for r in none.collect()] == [(1, 0, 0)] and M.auc(none).first().auc == 0
