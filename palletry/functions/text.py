@@ -111,6 +111,69 @@ def short_id(code: Column) -> Column:
     return F.substring(F.md5(code), 1, 6)
 
 
+def fixed(x: Column, digits: int = 4, sign: bool = False) -> Column:
+    """A number with so many digits after the point, with a plus sign if wanted; null stays null. Halves go up."""
+    return F.when(x.isNotNull(), F.format_string(f"%{'+' * sign}.{digits}f", x.cast("double")))
+
+
+def general(x: Column, digits: int = 6) -> Column:
+    """A number with so many significant digits, without trailing zeros, in powers of ten outside 1e-4 to 10**digits."""
+    x = x.cast("double")
+    parts = F.split(F.format_string(f"%.{digits - 1}e", x), "e")
+    bare = lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    power = parts[1].cast("int")
+    out = F.concat(bare(parts[0]), F.lit("e"), parts[1])
+    for k in range(-4, digits):
+        out = F.when(power == k, bare(F.format_string(f"%.{digits - 1 - k}f", x))).otherwise(out)
+    plain = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.when(x.isNotNull(), F.coalesce(plain, out))
+
+
+def names(listed: Column) -> Column:
+    """The names of a comma-separated list: lower case, trimmed, without empty ones, each at its first place."""
+    return F.array_distinct(F.filter(F.transform(F.split(listed, ","), lambda n: F.lower(stripped(n))), lambda n: n != ""))
+
+
+def run_id(at: Column) -> Column:
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
+def model_file(run: Column, folder: str = "models") -> Column:
+    """The model file that belongs to a run's folder name `exp_...`; null for other names."""
+    return F.when(run.startswith("exp_"), F.concat(F.lit(f"{folder}/linear_svm_"), F.substring(run, 5, 2**30), F.lit(".json")))
+
+
+def route_line(line: Column) -> Column:
+    """A struct of a route file's line: (depot, customers, capacity, demand, cost, node_flag).
+
+    The fields follow their names, comma-separated. Coordinates come as structs (x, y); demand is that of the depot, 0, first,
+    whether the line has it or not; node_flag pairs each visited node with 1 where a route starts. Lacking fields are null.
+    """
+    parts = F.split(F.trim(line), r"\s*,\s*")
+
+    def after(name: str, until: str | None) -> Column:
+        start = F.array_position(parts, name).cast("int")
+        end = F.array_position(parts, until).cast("int") if until else F.size(parts) + 1
+        return F.when((start > 0) & (end > start), F.slice(parts, start + 1, end - start - 1))
+
+    def paired(values: Column) -> Column:
+        at = F.sequence(F.lit(1), F.floor(F.size(values) / 2).cast("int"))
+        pair = lambda i: F.struct(F.get(values, i * 2 - 2).try_cast("double").alias("x"), F.get(values, i * 2 - 1).try_cast("double").alias("y"))
+        return F.when(F.size(values) >= 2, F.transform(at, pair))
+
+    demand, flags = after("demand", "cost").try_cast("array<int>"), after("node_flag", None).try_cast("array<int>")
+    half = F.floor(F.size(flags) / 2).cast("int")
+    visit = lambda i: F.struct(F.get(flags, i).alias("node"), F.get(flags, i + half).alias("from_depot"))
+    return F.struct(
+        F.get(paired(after("depot", "customer")), F.lit(0)).alias("depot"),
+        paired(after("customer", "capacity")).alias("customers"),
+        F.get(after("capacity", "demand"), F.lit(0)).try_cast("double").cast("int").alias("capacity"),
+        F.when(F.get(demand, F.lit(0)) == 0, demand).otherwise(F.concat(F.array(F.lit(0)), demand)).alias("demand"),
+        F.get(after("cost", "node_flag"), F.lit(0)).try_cast("double").alias("cost"),
+        F.when(half > 0, F.transform(F.sequence(F.lit(0), half - 1), visit)).alias("node_flag"),
+    )
+
+
 def case_line(dispatch: Column, prob: Column, gt: Column, features: dict[str, Column]) -> Column:
     """One readable line for a case; missing features read N/A."""
     parts = [F.format_string("dispatch=%s prob=%.4f gt=%s", dispatch.cast("string"), prob, gt.cast("string"))]

@@ -6,18 +6,33 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palletry.functions.numeric import scaled, sorted_dims
 from palletry.operators.cases import long_features
+from palletry.operators.population import running_total
 
 
 def item_types(items: DataFrame, labels: DataFrame, order: str = "dispatch_id") -> DataFrame:
     """(order, if_loaded, n_types, dim_s, dim_m, dim_l, n_items): counts of equal boxes, turned to sorted sides.
 
-    Orders without label are left out. Items are shuffled once, by order, which serves the aggregation, the window and
+    An order without label is an error. Items are shuffled once, by order, which serves the aggregation, the window and
     the join; boxes of one size are too rare in an order for combining by size first to pay.
     """
     s, m, l = sorted_dims(F.col("length"), F.col("width"), F.col("height"))
     typed = items.select(order, s.alias("dim_s"), m.alias("dim_m"), l.alias("dim_l")).repartition(order).groupBy(order, "dim_s", "dim_m", "dim_l").agg(F.count("*").alias("n_items"))
     typed = typed.withColumn("n_types", F.count("*").over(Window.partitionBy(order)))
-    return typed.join(labels.select(order, "if_loaded"), order).select(order, "if_loaded", "n_types", "dim_s", "dim_m", "dim_l", "n_items")
+    return required(typed, labels, order, "if_loaded").select(order, "if_loaded", "n_types", "dim_s", "dim_m", "dim_l", "n_items")
+
+
+def required(df: DataFrame, lookup: DataFrame, key: str, value: str) -> DataFrame:
+    """`df` with a looked-up value; a row whose key has none fails the job with the key in its message."""
+    lacking = F.raise_error(F.concat(F.lit(f"Missing {value} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return df.join(lookup.select(key, value), key, "left").withColumn(value, F.when(F.col(value).isNull(), lacking.cast(lookup.schema[value].dataType)).otherwise(F.col(value)))
+
+
+def same_orders(df: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """One row (n, expected): distinct keys of both; an error if their numbers differ."""
+    count = lambda d, name: d.agg(F.count_distinct(key).alias(name))
+    both = count(df, "n").crossJoin(F.broadcast(count(expected, "expected")))  # one row each
+    differ = F.raise_error(F.format_string("%d of %d keys", "n", "expected")).cast("long")
+    return both.select(F.when(F.col("n") != F.col("expected"), differ).otherwise(F.col("n")).alias("n"), "expected")
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
@@ -43,10 +58,23 @@ def select_numeric(df: DataFrame, drop: tuple[str, ...] = (), first: tuple[str,
 
 
 def quantiles(df: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, n, min, p25, median, p75, max), exact with linear interpolation, nulls and NaN left out."""
-    q = lambda p: F.expr(f"percentile(value, {p})")
-    long = long_features(df, features).where("value is not null").groupBy("feature")
-    return long.agg(F.count("*").alias("n"), F.min("value").alias("min"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), F.max("value").alias("max"))
+    """(feature, n, min, p25, median, p75, max), exact with linear interpolation, nulls and NaN left out.
+
+    Equal values are counted first; their counts are summed up in two levels, and the values at the wanted places read off.
+    """
+    counts = long_features(df, features).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("m"))
+    all_rows = counts.groupBy("feature").agg(F.sum("m").alias("n"))  # one row a feature
+    d = running_total(counts, "value", "m", "feature").join(F.broadcast(all_rows), "feature")
+    first, last = F.col("total") - F.col("m"), F.col("total") - 1  # places of a value, from 0
+
+    def at(p: float) -> Column:
+        place = (F.col("n") - 1) * p
+        value = lambda i: F.max(F.when((first <= i) & (i <= last), F.col("value")))
+        low, high = value(F.floor(place)), value(F.ceil(place))
+        return low + (high - low) * F.first(place - F.floor(place))
+
+    named = zip(("min", "p25", "median", "p75", "max"), (0.0, 0.25, 0.5, 0.75, 1.0))
+    return d.groupBy("feature").agg(F.first("n").alias("n"), *[at(p).alias(name) for name, p in named])
 
 
 def describe(df: DataFrame, features: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palletry.functions.numeric import ratio
+from palletry.functions.text import fixed
 from palletry.operators.population import range_of
 
 
@@ -103,5 +104,33 @@ def deltas(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
     return both.withColumns({"delta": d, "direction": F.when(d > 0, "up").when(d < 0, "down").otherwise("same")})
 
 
+def ratio_summary(df: DataFrame, part: str, whole: str, label: str) -> DataFrame:
+    """One row: the mean label, and mean, greatest and least of `part` against the mean of `whole`."""
+    over = lambda f: ratio(f(part), F.avg(whole), None)
+    return df.agg(F.avg(label).alias("mean_label"), over(F.avg).alias("mean_ratio"), over(F.max).alias("max_ratio"), over(F.min).alias("min_ratio"))
+
+
+def run_overview(runs: DataFrame) -> DataFrame:
+    """Runs as a report's texts, one row each: model, run, timestamp, resumed, accuracies, their difference, best rule score.
+
+    `runs` has the columns of `sources.io.read_runs`. A model without name takes that of its folder below `by_model`.
+    """
+    dash = lambda c: F.coalesce(c, F.lit("\u2014"))
+    folder = F.nullif(F.regexp_extract("path", r"/by_model/([^/]+)/", 1), F.lit(""))
+    model = F.coalesce(F.nullif(F.col("llm_model"), F.lit("")), folder)
+    before, after = F.col("svm.accuracy"), F.col("hybrid.accuracy")
+    since = F.concat(F.lit("yes (from "), F.coalesce(F.col("resume_start_iteration").cast("string"), F.lit("?")), F.lit(")"))
+    return runs.select(
+        dash(model).alias("model"),
+        "run",
+        dash(F.col("timestamp")).alias("timestamp"),
+        F.when(F.col("resumed"), since).otherwise("no").alias("resumed"),
+        dash(fixed(before)).alias("svm_accuracy"),
+        dash(fixed(after)).alias("hybrid_accuracy"),
+        dash(fixed(after - before, 4, sign=True)).alias("delta"),
+        dash(fixed(F.col("hybrid.best_rule_score"), 6)).alias("best_rule_score"),
+    )
+
+
 def weighted_average(df: DataFrame, key: str, value: str, weight: str) -> DataFrame:
     return df.groupBy(key).agg(ratio(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("average"))

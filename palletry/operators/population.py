@@ -124,6 +124,68 @@ def repeated_genes(df: DataFrame, individual: str, gene: str, position: str) ->
     return df.withColumn("repeated", nth > 1)
 
 
+def best_rules_first(order: str) -> list[Column]:
+    """Score, then corrections, then few overrides, then order of entry."""
+    return [F.desc("score"), F.desc(F.col("fn_corr") + F.col("fp_corr")), F.asc("easy_overrides"), F.asc(order)]
+
+
+def rebuilt(rules: DataFrame, order: str, islands: int = 4, size: int = 50) -> DataFrame:
+    """Stored rules back on their islands, invalid island ids on the first, each island with its best `size` rules."""
+    at = F.col("island_id")
+    r = rules.withColumn("island_id", F.when(at.between(0, islands - 1), at).otherwise(0).cast("int"))
+    return top_per_island(r, best_rules_first(order), size, "island_id").drop("rank")
+
+
+def reset_worst(rules: DataFrame, id_col: str, order: str, islands: int = 4, keep: int = 3, clear: bool = False) -> DataFrame:
+    """`rules` after the island of the least best score is cut to its top `keep` rules (none if `clear`) and given a copy of
+    the best rule of the best island, whose id gets `_reset_` and four digits. An island without rules scores 0; the first
+    among equals is taken; fewer than two islands stay as they are."""
+    if islands < 2:
+        return rules
+    score = F.greatest(F.max("score"), F.lit(0.0)).alias("score")  # a best score starts from 0
+    tops = rules.sparkSession.range(islands).select(F.col("id").cast("int").alias("island_id"), F.lit(0.0).alias("score"))
+    tops = tops.unionByName(rules.select("island_id", "score")).groupBy("island_id").agg(score)
+    ends = best_and_worst(tops.withColumnRenamed("island_id", "island"), "score")
+    r = rules.withColumn("_rank", F.row_number().over(Window.partitionBy("island_id").orderBy(*best_rules_first(order))))
+    r = r.crossJoin(F.broadcast(ends))  # one row
+    here, donor = F.col("island_id") == F.col("worst"), (F.col("island_id") == F.col("best")) & (F.col("_rank") == 1)
+    digits = F.format_string("%04d", F.floor(hash_fraction(F.col(id_col)) * 9000 + 1000).cast("int"))
+    copy = r.where(donor).withColumns({id_col: F.concat(F.col(id_col).cast("string"), F.lit("_reset_"), digits), "island_id": F.col("worst").cast("int")})
+    left = r.where(~here | (F.lit(not clear) & (F.col("_rank") <= keep))).withColumn(id_col, F.col(id_col).cast("string"))
+    return left.unionByName(copy).select(*rules.columns)
+
+
+def valid(df: DataFrame, objective: str, ok: str = "exec_success", below: float | None = None) -> DataFrame:
+    """Individuals that ran and, for a black box, are better than the seed's objective `below`."""
+    good = F.coalesce(F.col(ok), F.lit(False))
+    return df.where(good if below is None else good & (F.col(objective) < below))
+
+
+def joined_by(population: DataFrame, offspring: DataFrame, code: str, objective: str, order: str, digits: int = 5) -> DataFrame:
+    """A population and its new members: offspring whose code and rounded objective it doesn't have, the first of each
+    objective; objectives are rounded to `digits`."""
+    p, o = (d.withColumn(objective, F.round(objective, digits)) for d in (population, offspring))
+    o = o.join(p.select(code).distinct(), code, "left_anti").join(p.select(objective).distinct(), objective, "left_anti")
+    first = F.row_number().over(Window.partitionBy(objective).orderBy(order))
+    return p.unionByName(o.withColumn("_nth", first).where("_nth = 1").drop("_nth"))
+
+
+def setting_conflicts(before: DataFrame, now: DataFrame, hard: list[str], soft: list[str] | None = None) -> DataFrame:
+    """(key, before, now, severity) of stored settings that a resumed run changes: `hard` ones are errors, `soft` ones (all
+    others if None) warnings. A setting that wasn't stored, or a hard one that isn't given now, is no conflict."""
+    d = changed_settings(before, now).where("before is not null")
+    is_hard = F.col("key").isin(*hard)
+    d = d.where(~is_hard | F.col("now").isNotNull())
+    d = d if soft is None else d.where(is_hard | F.col("key").isin(*soft))
+    return d.withColumn("severity", F.when(is_hard, "error").otherwise("warning"))
+
+
+def accepted_settings(conflicts: DataFrame) -> DataFrame:
+    """The warnings among conflicts; an error fails the job."""
+    text = F.concat_ws(" ", F.col("key"), F.lit("does not match checkpoint"), F.col("before"))
+    return conflicts.withColumn("key", F.when(F.col("severity") == "error", F.raise_error(text).cast("string")).otherwise(F.col("key")))
+
+
 def changed_settings(before: DataFrame, now: DataFrame) -> DataFrame:
     """(key, before, now) of settings (key, value) that differ, absent ones null."""
     a, b = before.select("key", F.col("value").alias("before")), now.select("key", F.col("value").alias("now"))

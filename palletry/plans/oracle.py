@@ -98,6 +98,11 @@ def uniform(key: str, seed: int = 42) -> str:
     return f"(('0x' || SUBSTR(MD5('{seed}:' || {key}::VARCHAR), 1, 12))::BIGINT / 281474976710656::DOUBLE)"
 
 
+REBUILT = """rul AS (SELECT p_partkey AS rule, ROUND(p_retailprice, 0) AS score, p_partkey % 7 + p_partkey % 5 AS corrected, p_partkey % 3 AS easy_overrides,
+  (CASE WHEN p_size % 6 - 1 BETWEEN 0 AND 3 THEN p_size % 6 - 1 ELSE 0 END)::INT AS island_id FROM part),
+placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY island_id ORDER BY score DESC, corrected DESC, easy_overrides, rule) AS place FROM rul), kept AS (SELECT * FROM placed WHERE place <= 50)"""
+
+
 def values(rows) -> str:
     return ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in rows)
 
@@ -231,4 +236,37 @@ SELECT id, CASE WHEN LEN(closed) > 0 THEN LEN(closed) WHEN CONTAINS(t, 'apply_ru
 SELECT id, REGEXP_REPLACE(REGEXP_EXTRACT(t, '(?s)(?:^|\\n)(Traceback.*)$', 1), '(?s)\\n[^\\n]*Set the environment variable HYDRA_FULL_ERROR=1.*$', '') AS traceback FROM r""",
     "objective_parse": f"WITH r(id, t) AS (VALUES {values(LOGS)}), o AS (SELECT id, TRY_CAST(STRING_SPLIT(t, chr(10))[-2] AS DOUBLE) AS o FROM r) SELECT id, o AS objective, o IS NOT NULL AS ok FROM o",
     "document_slugs": "SELECT p_partkey, COALESCE(NULLIF(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(p_name, '^\\s+|\\s+$', '', 'g'), '[\\\\/:]', '_', 'g'), '\\s+', '_', 'g'), ''), 'unknown_model') AS slug, SUBSTR(MD5(p_name), 1, 6) AS short_id FROM part",
+    "order_count_check": "SELECT COUNT(DISTINCT l_orderkey) AS n, COUNT(DISTINCT l_orderkey) AS expected FROM lineitem",
+    "vehicle_ratio_summary": f"""WITH {ORDERS}, c AS (SELECT *, 45000 - o_orderpriority[1]::INT * 1000 AS capacity FROM ord)
+SELECT ROUND(AVG(gt), 9) AS mean_label, ROUND(AVG(total_volume) / AVG(capacity), 9) AS mean_ratio, ROUND(MAX(total_volume) / AVG(capacity), 9) AS max_ratio, ROUND(MIN(total_volume) / AVG(capacity), 9) AS min_ratio FROM c""",
+    "run_overview": f"""WITH {RULED}, m AS (SELECT o_orderpriority, o_orderpriority[1]::INT AS nth, AVG((pred = gt)::INT) AS a, AVG((hybrid = gt)::INT) AS b,
+  COUNT(*) FILTER (hybrid = 1 AND gt = 1) / (COUNT(*) FILTER (hybrid = 0 AND gt = 0) + 1)::DOUBLE AS s FROM hyb GROUP BY 1)
+SELECT CASE WHEN nth > 3 THEN o_orderpriority WHEN nth > 1 THEN 'm' || nth ELSE '\u2014' END AS model, 'exp_' || nth AS run, CASE WHEN nth = 2 THEN '\u2014' ELSE '20240101' END AS timestamp,
+  CASE WHEN nth % 2 = 1 THEN 'no' WHEN nth < 4 THEN 'yes (from ' || nth || ')' ELSE 'yes (from ?)' END AS resumed,
+  PRINTF('%.4f', a) AS svm_accuracy, PRINTF('%.4f', b) AS hybrid_accuracy, PRINTF('%+.4f', b - a) AS delta, PRINTF('%.6f', s) AS best_rule_score FROM m""",
+    "setting_severity": """WITH b AS (SELECT c_nationkey AS k, COUNT(*)::VARCHAR AS before FROM customer GROUP BY 1), n AS (SELECT s_nationkey AS k, COUNT(*)::VARCHAR AS now FROM supplier GROUP BY 1)
+SELECT n_name AS key, before, now, CASE WHEN n_regionkey = 0 THEN 'error' ELSE 'warning' END AS severity FROM b JOIN nation ON k = n_nationkey LEFT JOIN n USING (k)
+WHERE before IS DISTINCT FROM now AND (n_regionkey <> 0 OR now IS NOT NULL)""",
+    "rebuilt_islands": f"WITH {REBUILT} SELECT rule, island_id FROM kept",
+    "island_reset": f"""WITH {REBUILT}, t AS (SELECT i.k AS island_id, GREATEST(COALESCE(MAX(score), 0), 0) AS top FROM (SELECT UNNEST([0, 1, 2, 3]) AS k) i LEFT JOIN kept ON island_id = i.k GROUP BY 1),
+e AS (SELECT (SELECT island_id FROM t ORDER BY top DESC, island_id LIMIT 1) AS best, (SELECT island_id FROM t ORDER BY top, island_id LIMIT 1) AS worst)
+SELECT rule::VARCHAR AS rule, island_id, score FROM kept, e WHERE island_id <> worst OR place <= 3
+UNION ALL SELECT rule || '_reset_' || FLOOR({uniform("rule")} * 9000 + 1000)::INT, worst, score FROM kept, e WHERE island_id = best AND place = 1""",
+    "population_step": f"""WITH {PEOPLE}, old AS (SELECT * FROM people WHERE p_partkey % 4 = 0),
+new AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ROUND(score, 5) ORDER BY p_partkey) AS place FROM people WHERE p_partkey % 4 <> 0 AND size > 3 AND score < 1.5
+  AND p_name NOT IN (SELECT p_name FROM old) AND ROUND(score, 5) NOT IN (SELECT ROUND(score, 5) FROM old))
+SELECT p_partkey, ROUND(score, 5) AS score FROM old UNION ALL SELECT p_partkey, ROUND(score, 5) FROM new WHERE place = 1""",
+    "distinct_names": """WITH l AS (SELECT p_partkey, LIST_FILTER(LIST_TRANSFORM(STRING_SPLIT(REPLACE(p_name || ' ' || p_type, ' ', ','), ','), lambda x: LOWER(TRIM(x))), lambda x: x <> '') AS l FROM part)
+SELECT p_partkey, ARRAY_TO_STRING(LIST_FILTER(l, lambda x, i: LIST_POSITION(l, x) = i), '|') AS names FROM l""",
+    "run_labels": """SELECT event_id, 'exp_' || STRFTIME(ts, '%Y%m%d_%H%M%S') AS run, 'models/linear_svm_' || STRFTIME(ts, '%Y%m%d_%H%M%S') || '.json' AS model_file,
+  PRINTF('%.2f', value) AS fixed, PRINTF('%.6g', FLOOR(value)) AS general FROM events""",
+    "route_files": """WITH i AS (SELECT l_orderkey AS instance, l_quantity::INT AS demand, COUNT(*) OVER (PARTITION BY l_orderkey)::INT AS n_customers,
+  ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount, l_tax, l_quantity) AS nth FROM lineitem)
+SELECT instance, CEIL(nth / 2)::BIGINT AS route, n_customers, SUM(demand)::BIGINT AS load, SUM(demand) <= 60 AS legal FROM i GROUP BY 1, 2, 3""",
+    "tsplib_gaps": f"""WITH {NODES}, s AS (SELECT instance, MIN(x) AS x0, MIN(y) AS y0, GREATEST(MAX(x) - MIN(x), MAX(y) - MIN(y)) AS size FROM nodes GROUP BY 1),
+p AS (SELECT instance, node, (x - x0) / size AS x, (y - y0) / size AS y FROM nodes JOIN s USING (instance)),
+nx AS (SELECT *, COALESCE(LEAD(x) OVER w, FIRST(x) OVER w) AS x2, COALESCE(LEAD(y) OVER w, FIRST(y) OVER w) AS y2 FROM p WINDOW w AS (PARTITION BY instance ORDER BY node)),
+l AS (SELECT instance, SUM(SQRT((x - x2) * (x - x2) + (y - y2) * (y - y2))) AS length FROM nx GROUP BY 1),
+n1 AS (SELECT a.instance, a.node, MIN({_D}) AS d FROM p a JOIN p b ON a.instance = b.instance AND a.node <> b.node GROUP BY 1, 2), o AS (SELECT instance, SUM(d) AS optimum FROM n1 GROUP BY 1)
+SELECT instance, ROUND(length, 4) AS mean, 0.0::DOUBLE AS std, ROUND(optimum, 4) AS optimum, ROUND(100 * (length / optimum - 1), 4) AS gap_pct FROM l JOIN o USING (instance)""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from palletry.functions import numeric, text
 from palletry.operators import cases as C, feasibility as Z, features as E, geometry as G, metrics as M, packing as B, population as P, rules as R, splits as X
 from palletry.plans import base
-from palletry.sources.io import table
+from palletry.sources.io import table, tsplib_points
 
 QUERIES = {}
 
@@ -28,7 +28,13 @@ def hard_case_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def item_type_counts(spark, d):
-    return E.item_types(base.item_rows(spark, d), base.order_labels(spark, d))
+    return E.item_types(base.item_rows(spark, d), base.order_labels(spark, d)).orderBy("dispatch_id", "dim_s", "dim_m", "dim_l")
+
+
+@query
+def order_count_check(spark, d):
+    ids = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("dispatch_id"))
+    return E.same_orders(E.item_types(base.item_rows(spark, d), base.order_labels(spark, d)), ids, "dispatch_id")
 
 
 @query
@@ -478,3 +484,99 @@ def rf_leaf_tokens(spark, d):
     from palletry.operators import ml
 
     return rounded(ml.leaf_stats(ml.leaf_tokens(base.order_table(spark, d), base.FEATURES, "row_id", "gt")), 6, "pos_rate", "log_count", "impurity")
+
+
+@query
+def vehicle_ratio_summary(spark, d):
+    """Labels and volumes of all orders against the capacity of a vehicle, which depends on the priority."""
+    room = F.lit(45000.0) - F.substring("o_orderpriority", 1, 1).cast("int") * 1000
+    return rounded(M.ratio_summary(base.order_table(spark, d).withColumn("capacity", room), "total_volume", "capacity", "gt"), 9, "mean_label", "mean_ratio", "max_ratio", "min_ratio")
+
+
+@query
+def run_overview(spark, d):
+    """Each priority class as a stored run: the model's accuracy and that after the rules, in the texts of a report."""
+    h = _hybrid(spark, d)
+    one = lambda pred, name: M.classification(h, "o_orderpriority", pred=pred).select("o_orderpriority", F.struct("accuracy", (F.col("tp") / (F.col("tn") + 1)).alias("best_rule_score")).alias(name))
+    nth = F.substring("o_orderpriority", 1, 1).cast("long")
+    runs = one("pred", "svm").join(one("hybrid", "hybrid"), "o_orderpriority").select(
+        "svm", "hybrid", F.concat(F.lit("exp_"), nth).alias("run"), F.when(nth > 3, F.col("o_orderpriority")).alias("llm_model"),
+        F.concat(F.lit("/runs"), F.when(nth > 1, F.concat(F.lit("/by_model/m"), nth)).otherwise(""), F.lit("/exp/results.json")).alias("path"),
+        F.when(nth != 2, F.lit("20240101")).alias("timestamp"), (nth % 2 == 0).alias("resumed"), F.when(nth < 4, nth).alias("resume_start_iteration"),
+    )
+    return M.run_overview(runs)
+
+
+@query
+def setting_severity(spark, d):
+    """Nations as settings: customers are what was stored, suppliers what is given now; those of region 0 must not change."""
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("key"))
+    count = lambda t, c: table(spark, d, t).groupBy(F.col(c).alias("n_nationkey")).agg(F.count("*").cast("string").alias("value")).join(n, "n_nationkey").select("key", "value")
+    hard = F.col("n_regionkey") == 0
+    keys = [r.n_name for r in table(spark, d, "nation").where(hard).select("n_name").collect()]  # five of 25 nations
+    return P.setting_conflicts(count("customer", "c_nationkey"), count("supplier", "s_nationkey"), keys)
+
+
+def _rules(spark, d):
+    """All parts as stored rules; some island ids are invalid."""
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("rule"), F.round("p_retailprice", 0).alias("score"), "p_size", (F.col("p_partkey") % 7).alias("fn_corr"), (F.col("p_partkey") % 5).alias("fp_corr"), (F.col("p_partkey") % 3).alias("easy_overrides"), (F.col("p_size") % 6 - 1).alias("island_id"))
+
+
+@query
+def rebuilt_islands(spark, d):
+    return P.rebuilt(_rules(spark, d), "rule").select("rule", "island_id")
+
+
+@query
+def island_reset(spark, d):
+    r = P.reset_worst(P.rebuilt(_rules(spark, d), "rule"), "rule", "rule")
+    return r.select("rule", "island_id", "score")
+
+
+@query
+def population_step(spark, d):
+    """Every fourth part is the population; the others are offspring, of which those that ran and beat the seed may join."""
+    p = _people(spark, d).withColumn("exec_success", F.col("size") > 3)
+    old, new = p.where("p_partkey % 4 = 0"), p.where("p_partkey % 4 <> 0")
+    return P.joined_by(old, P.valid(new, "score", below=1.5), "p_name", "score", "p_partkey").select("p_partkey", "score")
+
+
+@query
+def distinct_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.concat_ws("|", text.names(F.concat(F.translate("p_name", " ", ","), F.lit(", ,"), F.translate("p_type", " ", ",")))).alias("names"))
+
+
+@query
+def run_labels(spark, d):
+    run = F.concat(F.lit("exp_"), text.run_id(F.col("ts")))
+    return table(spark, d, "events").select("event_id", run.alias("run"), text.model_file(run).alias("model_file"), text.fixed(F.col("value"), 2).alias("fixed"), text.general(F.floor("value")).alias("general"))
+
+
+@query
+def route_files(spark, d):
+    """Orders written as lines of a route file, a customer for each item, and read back: sizes, loads and routes."""
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax", F.col("l_quantity").cast("int").alias("l_quantity"))
+    o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("i"))
+    joined = lambda f: F.array_join(F.transform("i", f), ",")
+    n = F.size("i")
+    nodes = F.array_join(F.sequence(F.lit(1), n), ",")
+    flags = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: (k % 2 == 1).cast("int")), ",")
+    line = F.concat_ws(",", F.lit("depot,0.5,0.25,customer"), joined(lambda x: F.concat_ws(",", x["l_discount"], x["l_tax"])), F.lit("capacity,60.0,demand"), joined(lambda x: x["l_quantity"]), F.lit("cost,0.0,node_flag"), nodes, flags)
+    r = o.select("l_orderkey", text.route_line(line).alias("r")).select("l_orderkey", "r.*")
+    r = r.select("l_orderkey", "capacity", F.size("customers").alias("n_customers"), "demand", F.posexplode("node_flag").alias("pos", "v"))
+    t = r.select(F.col("l_orderkey").alias("instance"), "pos", "v.node", "v.from_depot", "capacity", "n_customers", F.get("demand", F.col("v.node")).alias("demand"))
+    order = Window.partitionBy("instance").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("route", F.sum("from_depot").over(order)).groupBy("instance", "route", "n_customers", "capacity").agg(F.sum("demand").alias("load"))
+    return t.select("instance", "route", "n_customers", "load", (F.col("load") <= F.col("capacity")).alias("legal"))
+
+
+@query
+def tsplib_gaps(spark, d):
+    """Instances as lines of TSPLIB files, read and scaled; tours in order of nodes against the sum of nearest distances."""
+    n = base.nodes(spark, d)
+    head = n.select("instance").distinct().select("instance", F.explode(F.array(*map(F.lit, ("NAME: t", "NODE_COORD_SECTION", "EOF")))).alias("value"))
+    lines = n.select("instance", F.format_string(" %d %s %s", "node", F.col("x").cast("string"), F.col("y").cast("string")).alias("value")).unionByName(head)
+    p = tsplib_points(lines)
+    near = G.nearest_nodes(p, 1).groupBy("instance").agg(F.sum("d").alias("optimum"))
+    return rounded(G.gaps(G.tour_length(p.withColumnRenamed("node", "pos")), near), 4, "mean", "std", "gap_pct", "optimum")

@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from palletry.functions.text import route_line
+
 L, D, S, I = T.LongType(), T.DoubleType(), T.StringType(), T.IntegerType()
 
 
@@ -24,7 +26,9 @@ LINEAR_MODEL = schema(
 RULES = schema(id=S, code=S, fn_corr=L, fp_corr=L, fn_miss=L, fp_over=L, score=D, fitness_history=T.ArrayType(D), island_id=L, easy_overrides=L)
 PROGRESS = schema(iteration=L, step_ok=T.BooleanType(), best_score=D, n_rules=L, failure_kind=S, failure_message=S, failure_detail=S, response_preview=S)
 _METRICS = schema(name=S, accuracy=D, precision=D, recall=D, auc=D, tn=L, fp=L, fn=L, tp=L, fpr=D, fnr=D, tpr_at_fpr1pct=D, best_rule_score=D)
-RESULTS = schema(baseline=_METRICS, svm=_METRICS, hybrid=_METRICS, llm_model=S, n_hard_cases=schema(fn=L, fp=L, easy_tn=L, easy_tp=L))
+RESULTS = schema(
+    baseline=_METRICS, svm=_METRICS, hybrid=_METRICS, llm_model=S, timestamp=S, resumed=T.BooleanType(), resume_start_iteration=L, n_hard_cases=schema(fn=L, fp=L, easy_tn=L, easy_tp=L)
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,7 +85,11 @@ def last_snapshot(spark: SparkSession, root: str, pattern: str = r"iter_(\d+)")
 
 def read_tsplib(spark: SparkSession, path: str) -> DataFrame:
     """(instance, node, x, y) of TSPLIB coordinate files, scaled by the larger range; headers and EOF are no points."""
-    lines = spark.read.text(path).withColumn("instance", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.tsp$", 1))
+    return tsplib_points(spark.read.text(path).withColumn("instance", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.tsp$", 1)))
+
+
+def tsplib_points(lines: DataFrame) -> DataFrame:
+    """`read_tsplib` for lines (instance, value) already read."""
     parts = F.split(F.trim("value"), r"\s+")
     points = lines.select("instance", F.try_element_at(parts, F.lit(1)).try_cast("int").alias("node"), F.try_element_at(parts, F.lit(2)).try_cast("double").alias("x"), F.try_element_at(parts, F.lit(3)).try_cast("double").alias("y"))
     points = points.where("node is not null and x is not null and y is not null")
@@ -100,6 +108,12 @@ def read_tours(spark: SparkSession, path: str) -> DataFrame:
     return t.select("file", "line", "pos", "node", F.try_element_at("xy", F.col("node") * 2 - 1).alias("x"), F.try_element_at("xy", F.col("node") * 2).alias("y"))
 
 
+def read_routes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, depot, customers, capacity, demand, cost, node_flag) of route files, a line an instance."""
+    t = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"), route_line(F.col("value")).alias("r"))
+    return t.select("file", "line", "r.*").where("customers is not null")
+
+
 def append_progress(df: DataFrame, path: str) -> None:
     """Adds rows to a JSON lines log."""
     df.write.mode("append").json(path)
@@ -111,5 +125,5 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 def report_json(row: DataFrame) -> str:
     """A one-row frame as a JSON document."""
-    first = row.limit(1).toJSON().first()
-    return json.dumps(json.loads(first), ensure_ascii=False, indent=2) if first else "{}"
+    first = row.select(F.to_json(F.struct("*")).alias("text")).first()
+    return json.dumps(json.loads(first.text), ensure_ascii=False, indent=2) if first else "{}"
