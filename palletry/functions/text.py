@@ -143,34 +143,46 @@ def model_file(run: Column, folder: str = "models") -> Column:
     return F.when(run.startswith("exp_"), F.concat(F.lit(f"{folder}/linear_svm_"), F.substring(run, 5, 2**30), F.lit(".json")))
 
 
+def once(value: Column, then) -> Column:
+    """`then(value)`, where `value` is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def route_line(line: Column) -> Column:
     """A struct of a route file's line: (depot, customers, capacity, demand, cost, node_flag).
 
     The fields follow their names, comma-separated. Coordinates come as structs (x, y); demand is that of the depot, 0, first,
     whether the line has it or not; node_flag pairs each visited node with 1 where a route starts. Lacking fields are null.
     """
-    parts = F.split(F.trim(line), r"\s*,\s*")
+    return once(F.split(F.trim(line), r"\s*,\s*"), _route)
+
 
+def _route(parts: Column) -> Column:
     def after(name: str, until: str | None) -> Column:
         start = F.array_position(parts, name).cast("int")
         end = F.array_position(parts, until).cast("int") if until else F.size(parts) + 1
         return F.when((start > 0) & (end > start), F.slice(parts, start + 1, end - start - 1))
 
-    def paired(values: Column) -> Column:
-        at = F.sequence(F.lit(1), F.floor(F.size(values) / 2).cast("int"))
-        pair = lambda i: F.struct(F.get(values, i * 2 - 2).try_cast("double").alias("x"), F.get(values, i * 2 - 1).try_cast("double").alias("y"))
-        return F.when(F.size(values) >= 2, F.transform(at, pair))
+    def places(n: Column) -> Column:
+        return F.sequence(F.lit(0), F.floor(n / 2).cast("int") - 1)
+
+    def points(v: Column) -> Column:
+        point = lambda i: F.struct(F.get(v, i * 2).alias("x"), F.get(v, i * 2 + 1).alias("y"))
+        return F.when(F.size(v) >= 2, F.transform(places(F.size(v)), point))
+
+    def visits(v: Column) -> Column:
+        half = F.floor(F.size(v) / 2).cast("int")
+        visit = lambda i: F.struct(F.get(v, i).alias("node"), F.get(v, i + half).alias("from_depot"))
+        return F.when(half > 0, F.transform(places(F.size(v)), visit))
 
-    demand, flags = after("demand", "cost").try_cast("array<int>"), after("node_flag", None).try_cast("array<int>")
-    half = F.floor(F.size(flags) / 2).cast("int")
-    visit = lambda i: F.struct(F.get(flags, i).alias("node"), F.get(flags, i + half).alias("from_depot"))
+    numbers = lambda name, until, kind: after(name, until).try_cast(f"array<{kind}>")
     return F.struct(
-        F.get(paired(after("depot", "customer")), F.lit(0)).alias("depot"),
-        paired(after("customer", "capacity")).alias("customers"),
-        F.get(after("capacity", "demand"), F.lit(0)).try_cast("double").cast("int").alias("capacity"),
-        F.when(F.get(demand, F.lit(0)) == 0, demand).otherwise(F.concat(F.array(F.lit(0)), demand)).alias("demand"),
-        F.get(after("cost", "node_flag"), F.lit(0)).try_cast("double").alias("cost"),
-        F.when(half > 0, F.transform(F.sequence(F.lit(0), half - 1), visit)).alias("node_flag"),
+        F.get(once(numbers("depot", "customer", "double"), points), F.lit(0)).alias("depot"),
+        once(numbers("customer", "capacity", "double"), points).alias("customers"),
+        F.get(numbers("capacity", "demand", "double"), F.lit(0)).cast("int").alias("capacity"),
+        once(numbers("demand", "cost", "int"), lambda v: F.when(F.get(v, F.lit(0)) == 0, v).otherwise(F.concat(F.array(F.lit(0)), v))).alias("demand"),
+        F.get(numbers("cost", "node_flag", "double"), F.lit(0)).alias("cost"),
+        once(numbers("node_flag", None, "int"), visits).alias("node_flag"),
     )
 
 

@@ -563,8 +563,8 @@ def route_files(spark, d):
     nodes = F.array_join(F.sequence(F.lit(1), n), ",")
     flags = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: (k % 2 == 1).cast("int")), ",")
     line = F.concat_ws(",", F.lit("depot,0.5,0.25,customer"), joined(lambda x: F.concat_ws(",", x["l_discount"], x["l_tax"])), F.lit("capacity,60.0,demand"), joined(lambda x: x["l_quantity"]), F.lit("cost,0.0,node_flag"), nodes, flags)
-    r = o.select("l_orderkey", text.route_line(line).alias("r")).select("l_orderkey", "r.*")
-    r = r.select("l_orderkey", "capacity", F.size("customers").alias("n_customers"), "demand", F.posexplode("node_flag").alias("pos", "v"))
+    r = o.select("l_orderkey", F.explode(F.array(text.route_line(line))).alias("r"))  # generated, so each line is parsed once
+    r = r.select("l_orderkey", "r.capacity", F.size("r.customers").alias("n_customers"), "r.demand", F.posexplode("r.node_flag").alias("pos", "v"))
     t = r.select(F.col("l_orderkey").alias("instance"), "pos", "v.node", "v.from_depot", "capacity", "n_customers", F.get("demand", F.col("v.node")).alias("demand"))
     order = Window.partitionBy("instance").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = t.withColumn("route", F.sum("from_depot").over(order)).groupBy("instance", "route", "n_customers", "capacity").agg(F.sum("demand").alias("load"))
