@@ -28,13 +28,13 @@ def hard_case_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def item_type_counts(spark, d):
-    return E.item_types(base.item_rows(spark, d), base.order_labels(spark, d)).orderBy("dispatch_id", "dim_s", "dim_m", "dim_l")
+    return E.item_types(base.item_rows(spark, d), base.order_labels(spark, d), strict=True).orderBy("dispatch_id", "dim_s", "dim_m", "dim_l")
 
 
 @query
 def order_count_check(spark, d):
     ids = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("dispatch_id"))
-    return E.same_orders(E.item_types(base.item_rows(spark, d), base.order_labels(spark, d)), ids, "dispatch_id")
+    return E.same_orders(E.item_types(base.item_rows(spark, d), base.order_labels(spark, d), strict=True), ids, "dispatch_id")
 
 
 @query

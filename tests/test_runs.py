@@ -16,8 +16,8 @@ def test_labels_are_required(spark):
     items = spark.createDataFrame([(1, 3, 2, 1), (1, 1, 2, 3), (2, 5, 5, 5)], "dispatch_id long, length int, width int, height int")
     labels = spark.createDataFrame([(1, 1)], "dispatch_id long, if_loaded int")
     with pytest.raises(Exception, match="Missing if_loaded for dispatch_id 2"):
-        E.item_types(items, labels).collect()
-    types = E.item_types(items.where("dispatch_id = 1"), labels)
+        E.item_types(items, labels, strict=True).collect()
+    types = E.item_types(items.where("dispatch_id = 1"), labels, strict=True)
     assert [tuple(r) for r in types.collect()] == [(1, 1, 1, 1, 2, 3, 2)]
     assert tuple(E.same_orders(types, labels, "dispatch_id").first()) == (1, 1)
     with pytest.raises(Exception, match="1 of 2 keys"):
