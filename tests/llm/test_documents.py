@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.data import WORD, awkward, frame, linked, sha, shingles, without_repeats
@@ -187,3 +188,20 @@ def test_toxicity_edges(spark, docs, empty):
     assert len({r.score for r in rows if not (r.text or "").strip()}) == 1
     assert toxicity.scored(docs, labels.where("false")).where("score <> 0").count() == 0
     assert toxicity.scored(empty, labels).count() == 0
+
+
+def test_held_out_labels_cannot_reach_training(spark):
+    rng = np.random.default_rng(3)
+    text = lambda bad: " ".join([*rng.choice([f"w{i}" for i in range(60)], 12), *(["vile"] if bad else [])])
+    rows = [(i, text(i % 3 == 0)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {r.doc_id for r in docs.where(toxicity.held_out(F.col("doc_id"))).collect()}
+    assert 0 < len(held) < 60
+    scores = []
+    for flip in (False, True):
+        labels = spark.createDataFrame([(i, int((i % 3 == 0) != (flip and i in held))) for i in range(120)], "doc_id long, toxic int")
+        got = toxicity.scored(docs, labels).select("doc_id", "score").collect()
+        scores.append({r.doc_id: r.score for r in got})
+    assert scores[0] == scores[1] and len(scores[0]) == 120
+    assert np.mean([(scores[0][i] >= 0.5) == (i % 3 == 0) for i in held]) > 0.9
+    assert len({s for i, s in scores[0].items()}) > 1
