@@ -28,13 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @atexit.register
 def _tidy() -> None:
     """At the end of the process the tables it wrote go, if the session still lives; results read from them must not."""
     for spark, path in _TABLES:
         with contextlib.suppress(Exception):
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def replaced(df: DataFrame, name: str, before: DataFrame | None) -> DataFrame:
+    """`written`, for rounds: the round's own table, `before`, goes once the new one is complete."""
+    out = written(df, name)
+    out._round_path = _TABLES[-1][1]
+    if before is not None:
+        _delete(df.sparkSession, before._round_path)
+        _TABLES.remove((df.sparkSession, before._round_path))
+    return out
+
+
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

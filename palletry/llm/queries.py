@@ -82,6 +82,26 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palletry.llm import whitening
+
+    return whitening.whitened(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from palletry.llm import length_packing
+
+    return length_packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+def op13_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palletry.llm import drake_clusters
+
+    return drake_clusters.cluster_report(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +109,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [op1_token_counts, op2_sharding, op3_mixing, op4_toxicity, op5_trie_join, op6_exact_dedup, op7_bpe_lexicon, op8_chat_format, op9_suffix_dedup, op10_hnsw]
+    names = [op1_token_counts, op2_sharding, op3_mixing, op4_toxicity, op5_trie_join, op6_exact_dedup, op7_bpe_lexicon, op8_chat_format, op9_suffix_dedup, op10_hnsw,
+             op11_whitening, op12_best_fit_packing, op13_drake_clusters]
     return {f.__name__: f for f in names} | {"pipeline": pipeline}
 
 
@@ -147,5 +168,28 @@ FROM e GROUP BY conv_id
 """
 
 
+def _op13_sql(k: int = 40, rounds: int = 5) -> str:
+    """Plain rounds over all vectors and centroids; `AS MATERIALIZED` keeps each from being computed again."""
+    far = "LIST_SUM(LIST_TRANSFORM(LIST_ZIP({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    ctes = [
+        """v AS MATERIALIZED (SELECT ROW_NUMBER() OVER () AS r, vec_id, LIST_TRANSFORM(embedding, lambda c: FLOOR(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE LEN(embedding) = 64 AND LEN(LIST_FILTER(embedding, lambda c: c IS NOT NULL AND ISFINITE(c))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY SHA256('2:' || vec_id), x) - 1 AS j, x AS c FROM v QUALIFY j < {k})",
+    ]
+    for i in range(rounds + 1):
+        d = far.format(a="v.x", b=f"c{i}.c")
+        ctes.append(f"a{i} AS MATERIALIZED (SELECT r, ANY_VALUE(vec_id) AS vec_id, ANY_VALUE(x) AS x, ARG_MIN(j, (d, j)) AS j, MIN(d) AS d FROM (SELECT v.*, c{i}.j, {d} AS d FROM v, c{i}) GROUP BY r)")
+        if i < rounds:
+            ctes.append(
+                f"""m{i} AS (SELECT j, LIST(m ORDER BY p) AS c FROM (SELECT j, p, FLOOR_DIV(SUM(e), COUNT(*)) AS m FROM (SELECT j, UNNEST(x) AS e, UNNEST(RANGE(64)) AS p FROM a{i}) GROUP BY j, p) GROUP BY j),
+c{i + 1} AS MATERIALIZED (SELECT j, COALESCE(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (j))"""
+            )
+    ctes = [c.replace("FLOOR_DIV(SUM(e), COUNT(*))", "((SUM(e) - ((SUM(e) % COUNT(*)) + COUNT(*)) % COUNT(*)) // COUNT(*))::BIGINT") for c in ctes]
+    n = rounds
+    return f"""WITH {", ".join(ctes)}
+SELECT vec_id, j::INT AS cluster, d AS distance, SUM(d) OVER (PARTITION BY j)::BIGINT AS cluster_inertia, SUM(d) OVER ()::BIGINT AS inertia,
+  SHA256(ARRAY_TO_STRING(c{n}.c, ',')) AS centroid_sha256 FROM a{n} JOIN c{n} USING (j)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": OP2_SQL, "op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL}
+    return {"op2_sharding": OP2_SQL, "op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL, "op13_drake_clusters": _op13_sql()}
