@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from palletry.llm.bpe_lexicon import SLICE, Encoder, Model
 from palletry.llm.common import slices, written
 
-CAPACITY, END, CACHED = 4096, 1, 400_000
+CAPACITY, END, CACHED, CACHED_CHARS = 4096, 1, 1_000_000, 64
 
 
 class ByteEncoder(Encoder):
@@ -49,6 +49,9 @@ class ByteEncoder(Encoder):
             self._learn(new)
             for chunks in split:
                 yield b"".join(map(self.cache.__getitem__, chunks))
+            for c in new:
+                if isinstance(c, str) and len(c) > CACHED_CHARS:
+                    del self.cache[c]
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
