@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from palletry.functions.numeric import scaled, sorted_dims
 from palletry.operators.cases import long_features
 from palletry.operators.population import running_total
+from palletry.sources.snapshots import stored
 
 
 def item_types(items: DataFrame, labels: DataFrame, order: str = "dispatch_id", strict: bool = False) -> DataFrame:
@@ -58,12 +59,12 @@ def select_numeric(df: DataFrame, drop: tuple[str, ...] = (), first: tuple[str,
     return ([c for c in first if c in numeric] + [c for c in numeric if c not in first])[:most]
 
 
-def quantiles(df: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, n, min, p25, median, p75, max), exact with linear interpolation, nulls and NaN left out.
+def _value_counts(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, value, m): how often each value occurs, stored once; nulls and NaN are left out."""
+    return stored(long_features(df, features).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("m")), "values")
 
-    Equal values are counted first; their counts are summed up in two levels, and the values at the wanted places read off.
-    """
-    counts = long_features(df, features).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("m"))
+
+def _quantiles(counts: DataFrame) -> DataFrame:
     all_rows = counts.groupBy("feature").agg(F.sum("m").alias("n"))  # one row a feature
     d = running_total(counts, "value", "m", "feature").join(F.broadcast(all_rows), "feature")
     first, last = F.col("total") - F.col("m"), F.col("total") - 1  # places of a value, from 0
@@ -78,10 +79,22 @@ def quantiles(df: DataFrame, features: list[str]) -> DataFrame:
     return d.groupBy("feature").agg(F.first("n").alias("n"), *[at(p).alias(name) for name, p in named])
 
 
+def quantiles(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, n, min, p25, median, p75, max), exact with linear interpolation, nulls and NaN left out.
+
+    Equal values are counted first, in one pass over `df`; their counts are summed up in two levels, and the values at the
+    wanted places read off.
+    """
+    return _quantiles(_value_counts(df, features))
+
+
 def describe(df: DataFrame, features: list[str]) -> DataFrame:
-    """Quantiles with mean and sample standard deviation."""
-    extra = long_features(df, features).where("value is not null").groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    return quantiles(df, features).join(extra, "feature")
+    """Quantiles with mean and sample standard deviation, from the same counts."""
+    counts = _value_counts(df, features)
+    sums = counts.groupBy("feature").agg(F.sum("m").alias("_n"), (F.sum(F.col("value") * F.col("m")) / F.sum("m")).alias("mean"))
+    gap = F.col("value") - F.col("mean")
+    spread = counts.join(F.broadcast(sums), "feature").groupBy("feature").agg(F.first("mean").alias("mean"), F.sqrt(F.try_divide(F.sum(gap * gap * F.col("m")), F.first("_n") - 1)).alias("std"))
+    return _quantiles(counts).join(spread, "feature")
 
 
 def equal_width_bins(df: DataFrame, value: str, label: str, bins: int = 10) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palletry.functions.numeric import ratio
 from palletry.functions.text import fixed
 from palletry.operators.population import range_of
+from palletry.sources.snapshots import stored
 
 
 def count_if(condition: Column) -> Column:
@@ -34,44 +38,89 @@ def classification(df: DataFrame, *by: str, gt: str = "gt", pred: str = "pred")
     )
 
 
-def roc_points(df: DataFrame, gt: str = "gt", score: str = "prob", drop: bool = True) -> DataFrame:
-    """(place, threshold, fp, tp, fpr, tpr): one point a distinct score, from (0, 0) on; collinear ones are dropped.
+def score_steps(df: DataFrame, *by: str, gt: str = "gt", score: str = "prob") -> DataFrame:
+    """(by, part, threshold, pos, neg, fp, tp, all_pos, all_neg, next): one row a distinct score of each group, the greatest
+    first, with counts up to it and those of the step after it.
 
-    Scores are exact; null ones come last. Counts are summed in two levels, ranges of the score first, so the curve of any
-    number of distinct scores is no single task; only one row a range meets in an unpartitioned window.
+    Counts by score are stored once, and only they are read from then on. They are summed in two levels, ranges of the score
+    first, so that a curve of any number of scores is no single task. Null scores come last.
     """
     label = F.col(gt).cast("long")
-    by_score = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("pos"), F.sum(1 - label).alias("neg"))
+    by_score = stored(df.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(label).alias("pos"), F.sum(1 - label).alias("neg")), "scores")
     d = by_score.withColumn("_down", F.coalesce(-F.col("threshold"), F.lit(float("inf"))))
     d = d.withColumn("part", range_of(d, "_down"))
-    parts = Window.orderBy("part")
-    before, everything = parts.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    ends = d.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.min_by(F.struct("pos", "neg"), "_down").alias("first"))
+    parts = Window.partitionBy(*by).orderBy("part")  # of a row a range
+    before, everything = parts.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    ends = d.groupBy(*by, "part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.min_by(F.struct("pos", "neg"), "_down").alias("first"))
     ends = ends.select(
-        "part",
+        *[F.col(c).alias(f"_{c}") for c in by],
+        F.col("part").alias("_part"),
         F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("fp0"),
         F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("tp0"),
         F.lead("first").over(parts).alias("beyond"),
         F.sum("neg").over(everything).alias("all_neg"),
         F.sum("pos").over(everything).alias("all_pos"),
     )
-    inside = Window.partitionBy("part").orderBy("_down")
+    inside = Window.partitionBy(*by, "part").orderBy("_down")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    points = d.select("part", "_down", "threshold", "pos", "neg", F.sum("neg").over(upto).alias("fp1"), F.sum("pos").over(upto).alias("tp1"), F.lead(F.struct("pos", "neg")).over(inside).alias("next"))
-    points = points.join(ends, "part").withColumns({"fp": F.col("fp0") + F.col("fp1"), "tp": F.col("tp0") + F.col("tp1"), "next": F.coalesce("next", "beyond")})
-    if drop:  # between equal steps a point is collinear; the first and the last stay
-        first = (F.col("fp") == F.col("neg")) & (F.col("tp") == F.col("pos"))
-        points = points.where(first | F.col("next").isNull() | (F.col("next.pos") != F.col("pos")) | (F.col("next.neg") != F.col("neg")))
+    d = d.withColumns({"fp1": F.sum("neg").over(upto), "tp1": F.sum("pos").over(upto), "next": F.lead(F.struct("pos", "neg")).over(inside)})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.col("part") == F.col("_part"))
+    return d.join(ends, same).select(
+        *by, "part", "_down", "threshold", "pos", "neg", (F.col("fp0") + F.col("fp1")).alias("fp"), (F.col("tp0") + F.col("tp1")).alias("tp"), "all_pos", "all_neg", F.coalesce("next", "beyond").alias("next")
+    )
+
+
+def _bent() -> Column:
+    """Whether a step ends a straight piece of the curve: between equal steps it doesn't; the first and the last do."""
+    first = (F.col("fp") == F.col("neg")) & (F.col("tp") == F.col("pos"))
+    return first | F.col("next").isNull() | (F.col("next.pos") != F.col("pos")) | (F.col("next.neg") != F.col("neg"))
+
+
+def roc_points(df: DataFrame, gt: str = "gt", score: str = "prob", drop: bool = True) -> DataFrame:
+    """(place, threshold, fp, tp, fpr, tpr): one point a distinct score, from (0, 0) on; collinear ones are dropped.
+
+    Scores are exact; null ones come last. Only one row a range of the score meets in an unpartitioned window.
+    """
+    steps = score_steps(df, gt=gt, score=score)
+    points = steps.where(_bent()) if drop else steps
     points = points.select("part", "_down", "threshold", "fp", "tp", ratio(F.col("fp"), F.col("all_neg")).alias("fpr"), ratio(F.col("tp"), F.col("all_pos")).alias("tpr"))
     count = points.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     count = count.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    place = F.col("ahead") + F.row_number().over(inside) + 1
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy("part").orderBy("_down")) + 1
     points = points.join(count, "part").select(place.alias("place"), "threshold", "fp", "tp", "fpr", "tpr")
     none = F.lit(0).cast("long")
     start = df.sparkSession.range(1).select(F.lit(1).cast("long").alias("place"), F.lit(float("inf")).alias("threshold"), none.alias("fp"), none.alias("tp"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(points)
 
 
+def curve_metrics(steps: DataFrame, *by: str, at: float = 0.01) -> DataFrame:
+    """(by, auc, nearest, tpr_interp, accuracy) of the groups of `score_steps`, in one aggregation.
+
+    `nearest` is the curve's point (threshold, fpr, tpr) of the FPR nearest to `at`, the first among equals, and
+    `tpr_interp` the TPR there by linear interpolation. `accuracy` is that of scores from 0.5 on as positive. The curve
+    starts at (0, 0). Rates of a class without rows are 0, and so is the area then.
+    """
+    fpr, tpr = ratio(F.col("fp"), F.col("all_neg")), ratio(F.col("tp"), F.col("all_pos"))
+    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
+    point = F.when(_bent(), F.struct("threshold", fpr.alias("fpr"), tpr.alias("tpr")))
+    place = F.when(_bent(), F.struct(F.abs(fpr - at), "fp", "tp"))
+    right = F.when(F.col("threshold") >= 0.5, F.col("pos")).otherwise(F.col("neg"))
+    steps_to = F.struct("fp", "tp", "next")
+    g = steps.groupBy(*by).agg(
+        area.alias("area"), F.min_by(point, place).alias("point"), F.sum(right).alias("right"), F.first("all_pos").alias("p"), F.first("all_neg").alias("n"),
+        F.max_by(steps_to, F.when(fpr <= at, F.struct("fp", "tp"))).alias("last"), F.min_by(steps_to, F.struct("fp", "tp")).alias("first"),
+    )
+    origin = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    nearest = F.when(F.abs(F.col("point.fpr") - at) < at, F.col("point")).otherwise(origin)
+    whole = lambda c, t: ratio(c, F.col(t))
+    x1, y1 = (F.when(F.col("last").isNull(), 0.0).otherwise(whole(F.col(f"last.{a}"), b)) for a, b in (("fp", "n"), ("tp", "p")))
+    after = lambda a, b, t: F.when(F.col("last").isNull(), whole(F.col(f"first.{a}"), t)).otherwise(whole(F.col(f"last.{a}") + F.col(f"last.next.{b}"), t))
+    x2, y2 = after("fp", "neg", "n"), after("tp", "pos", "p")
+    between = F.when(x2.isNull() | (x2 <= x1), y1).otherwise(y1 + (y2 - y1) * (at - x1) / (x2 - x1))
+    return g.select(*by, F.coalesce(F.try_divide(F.col("area"), (F.col("p") * F.col("n")).cast("double")), F.lit(0.0)).alias("auc"), nearest.alias("nearest"), F.coalesce(between, F.lit(0.0)).alias("tpr_interp"), ratio(F.col("right"), F.col("p") + F.col("n")).alias("accuracy"))
+
+
 def _after(points: DataFrame) -> DataFrame:
     """`points` with fpr2 and tpr2 of the next place, null at the end."""
     return points.join(points.select((F.col("place") - 1).alias("place"), F.col("fpr").alias("fpr2"), F.col("tpr").alias("tpr2")), "place", "left")

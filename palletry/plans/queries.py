@@ -113,19 +113,23 @@ def roc_curve_points(spark, d):
     return rounded(_roc(spark, d).where("place > 1"), 9, "threshold", "fpr", "tpr")
 
 
+def _curve(spark, d):
+    return M.curve_metrics(M.score_steps(base.scored(spark, d, None)))
+
+
 @query
 def roc_auc(spark, d):
-    return rounded(M.auc(_roc(spark, d)), 9, "auc")
+    return rounded(_curve(spark, d).select("auc"), 9, "auc")
 
 
 @query
 def tpr_at_fpr_nearest(spark, d):
-    return rounded(M.tpr_nearest(_roc(spark, d)), 9, "threshold", "fpr", "tpr")
+    return rounded(_curve(spark, d).select("nearest.*"), 9, "threshold", "fpr", "tpr")
 
 
 @query
 def tpr_at_fpr_interp(spark, d):
-    return rounded(M.tpr_interpolated(_roc(spark, d)), 9, "tpr")
+    return rounded(_curve(spark, d).select(F.lit(0.01).alias("fpr"), F.col("tpr_interp").alias("tpr")), 9, "tpr")
 
 
 @query

@@ -140,3 +140,29 @@ def test_roc_over_many_distinct_scores(spark):
     assert got == want
     none = M.roc_points(spark.createDataFrame([], "gt int, prob double"))
     assert [(r.place, r.fp, r.tp) for r in none.collect()] == [(1, 0, 0)] and M.auc(none).first().auc == 0
+
+
+def test_curve_metrics_of_groups_equal_plain_ones(spark):
+    """Ties, a group with one class only, null scores; each group as if it were alone."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(g, int(rng.random() < s), s) for g in ("a", "b", None) for s in [round(rng.random(), 1 if g == "a" else 2) for _ in range(120)]]
+    rows += [("b", 1, None), ("c", 1, 0.5), ("c", 1, 0.25)]
+    df = spark.createDataFrame(rows, "trial string, gt int, prob double")
+    got = {r.trial: r for r in M.curve_metrics(M.score_steps(df, "trial"), "trial", at=0.1).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, r in got.items():
+        own = df.where(F.col("trial").eqNullSafe(F.lit(g)))
+        points = M.roc_points(own)
+        near, inter = M.tpr_nearest(points, 0.1).first(), M.tpr_interpolated(points, 0.1).first()
+        assert math.isclose(r.auc, M.auc(points).first().auc) and r.nearest.asDict() == near.asDict() and math.isclose(r.tpr_interp, inter.tpr)
+        mine = [(y, s) for t, y, s in rows if t == g]
+        assert math.isclose(r.accuracy, sum((s is not None and s >= 0.5) == (y == 1) for y, s in mine) / len(mine))
+    assert M.curve_metrics(M.score_steps(df.where("false"), "trial"), "trial").count() == 0
+
+
+def test_curve_plan_reads_the_scores_alone(spark, ten):
+    plan = M.curve_metrics(M.score_steps(ten))._jdf.queryExecution().optimizedPlan().toString()
+    assert "scores" in plan or "parquet" in plan
+    assert "row_id" not in plan  # the input was read once, before
