@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+import numpy as np
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from palletry.functions.numeric import sigmoid
+from palletry.functions.numeric import scaled, sigmoid
 from palletry.operators.features import min_max
+from palletry.operators.metrics import curve_metrics, score_steps
+from palletry.operators.newton import Linear, fitted, scored
 from palletry.operators.splits import stratified_folds
+from palletry.sources.snapshots import stored
 
 
 def assembled(df: DataFrame, features: list[str], *keep: str) -> DataFrame:
@@ -20,21 +27,37 @@ def assembled(df: DataFrame, features: list[str], *keep: str) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(scaled.fillna(0.0, features)).select(*keep, "features")
 
 
-def base_model(name: str, n: int, seed: int = 42):
-    """A base estimator by name; C of n rows becomes 1 / (C n) in regularisation."""
-    common = {"labelCol": "label", "featuresCol": "features"}
-    match name:
-        case "svm":
-            return LinearSVC(regParam=1 / (10.0 * n), maxIter=50, standardization=False, **common)
-        case "lr":
-            return LogisticRegression(regParam=1 / (4.736 * n), maxIter=100, standardization=False, **common)
-        case "rf":
-            return RandomForestClassifier(numTrees=30, maxDepth=8, minInstancesPerNode=2, seed=seed, **common)
-        case "gbdt":
-            return GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.1, seed=seed, **common)
-        case "mlp":
-            raise ValueError("mlp is a meta model")
-    raise ValueError(name)
+#: Surveyed sizes: trees, depth and least rows of a leaf of the forest; rounds, depth and step of the boosted trees.
+FOREST, BOOSTED = (200, 20, 2), (400, 6, 0.1)
+#: Surveyed losses' weights.
+C = {"svm": 1.9124740037393821, "lr": 4.736286181285866, "logreg": 1.5688869685092588}
+
+
+@dataclass(frozen=True)
+class Base:
+    """A base model of a stack: its column, its kind (svm, lr, rf, gbdt) and its sizes."""
+
+    name: str
+    kind: str
+    c: float = 1.0
+    sizes: tuple = ()
+
+    @classmethod
+    def surveyed(cls, kind: str, sizes: tuple | None = None) -> Base:
+        return cls(kind, kind, C.get(kind, 1.0), sizes or {"rf": FOREST, "gbdt": BOOSTED}.get(kind, ()))
+
+    def linear(self, without: int | None) -> Linear:
+        return Linear(self.name, {"lr": "logistic", "svm": "hinge"}[self.kind], self.c, None, without)
+
+    def trees(self, seed: int = 42):
+        common = {"labelCol": "label", "featuresCol": "features", "seed": seed}
+        if self.kind == "rf":
+            n, depth, least = self.sizes
+            return RandomForestClassifier(numTrees=n, maxDepth=depth, minInstancesPerNode=least, maxMemoryInMB=1024, **common)
+        if self.kind == "gbdt":
+            n, depth, step = self.sizes
+            return GBTClassifier(maxIter=n, maxDepth=depth, stepSize=step, **common)
+        raise ValueError(self.kind)
 
 
 def positive(predicted: DataFrame) -> Column:
@@ -49,22 +72,137 @@ def predicted(model, df: DataFrame, name: str, *keep: str) -> DataFrame:
     return out.select(*keep, positive(out).alias(name))
 
 
-def stacked(df: DataFrame, features: list[str], row: str, label: str, names: tuple[str, ...] = ("svm", "lr", "rf", "gbdt"), k: int = 5, meta: str = "logreg") -> DataFrame:
-    """(row, label, fold, one column a base model, prob): out-of-fold base predictions and a meta model over them."""
-    data = assembled(df.select(row, F.col(label).cast("double").alias("label"), *features), features, row, "label")
-    data = stratified_folds(data, row, "label", k).cache()
-    n = data.count()
-    parts = []
-    for fold in range(k):
-        train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        columns = [predicted(base_model(m, n).fit(train), test, m, row, "label", "fold") for m in names]
-        parts.append(reduce(lambda a, b: a.join(b.drop("label", "fold"), row), columns))
-    oof = VectorAssembler(inputCols=list(names), outputCol="features").transform(reduce(DataFrame.unionByName, parts))
+def out_of_fold(df: DataFrame, features: list[str], row: str, label: str, bases: list[Base], k: int = 5, test: str | None = None, parallel: int = 5) -> DataFrame:
+    """(row, label, fold, a column a base model): each row scored by models that didn't see its fold, as a stored table.
+
+    Rows of which `test` is true have fold -1 and are seen by no model; those fitted on all other rows score them. Features are
+    scaled by the ranges of the rows that models see. Linear models of all folds share their passes (`newton`), trees
+    of several folds grow at a time. A row's label reaches only models that don't score it.
+    """
+    is_test = F.coalesce(F.col(test), F.lit(False)) if test else F.lit(False)
+    rows = df.select(row, F.col(label).cast("double").alias("label"), is_test.alias("_test"), *[F.col(f).cast("double").alias(f) for f in features])
+    seen = rows.where("not _test")
+    ends = F.broadcast(seen.agg(*[F.min(f).alias(f"_lo_{f}") for f in features], *[F.max(f).alias(f"_hi_{f}") for f in features]))  # one row
+    x = F.array(*[F.coalesce(scaled(F.col(f), F.col(f"_lo_{f}"), F.col(f"_hi_{f}")), F.lit(0.0)) for f in features]).alias("x")
+    folds = stratified_folds(seen.select(row, "label"), row, "label", k).select(row, "fold")
+    data = rows.join(ends).select(row, "label", "_test", x).join(folds, row, "left").withColumn("fold", F.when(F.col("_test"), -1).otherwise(F.col("fold")))
+    data = stored(data.drop("_test"), "folds")
+    outside = [*range(k), *([None] if test else [])]
+    models = [b.linear(f) for b in bases if b.kind in ("svm", "lr") for f in outside]
+    weights = fitted(data.where("fold >= 0"), models, fold="fold") if models else []
+    out = scored(data, models, weights, [row, "label", "fold"], fold="fold") if models else data.drop("x")
+    vectors = data.withColumn("features", array_to_vector("x"))
+
+    def grown(job: tuple[Base, int | None]) -> DataFrame:
+        b, f = job
+        train = vectors.where("fold >= 0") if f is None else vectors.where((F.col("fold") >= 0) & (F.col("fold") != f))
+        return predicted(b.trees().fit(train), vectors.where(F.col("fold") == (-1 if f is None else f)), b.name, row)
+
+    trees = [b for b in bases if b.kind not in ("svm", "lr")]
+    jobs = [(b, f) for b in trees for f in outside]
+    with ThreadPoolExecutor(parallel) as pool:
+        found = list(pool.map(inheritable_thread_target(df.sparkSession)(grown), jobs))
+    for b in trees:
+        parts = [d for (own, _), d in zip(jobs, found) if own is b]
+        out = out.join(reduce(DataFrame.unionByName, parts), row)
+    return stored(out.select(row, "label", "fold", *[b.name for b in bases]), "out-of-fold")
+
+
+def stacked(df: DataFrame, features: list[str], row: str, label: str, bases: list[Base] | None = None, k: int = 5, meta: str = "logreg") -> DataFrame:
+    """(row, label, fold, a column a base model, prob): out-of-fold base predictions and a meta model over them."""
+    bases = [Base.surveyed(b) for b in ("svm", "lr", "rf", "gbdt")] if bases is None else bases
+    names = [b.name for b in bases]
+    oof = out_of_fold(df, features, row, label, bases, k)
     if meta == "mlp":
+        vectors = VectorAssembler(inputCols=names, outputCol="features").transform(oof)
         estimator = MultilayerPerceptronClassifier(layers=[len(names), 16, 8, 2], maxIter=100, seed=42, labelCol="label")
-    else:
-        estimator = LogisticRegression(regParam=1 / (1.5689 * n), standardization=False, labelCol="label")
-    return predicted(estimator.fit(oof), oof, "prob", row, "label", "fold", *names)
+        return predicted(estimator.fit(vectors), vectors, "prob", row, "label", "fold", *names)
+    oof = oof.withColumn("x", F.array(*names))
+    models = [Linear("prob", c=C["logreg"])]
+    return scored(oof, models, fitted(oof, models), [row, "label", "fold", *names])
+
+
+def logreg_scores(df: DataFrame, features: list[str], row: str, label: str, test: str, c: float = C["lr"]) -> DataFrame:
+    """(row, label, is_test, prob): a logistic regression fitted on the rows of which `test` is false, scores of all rows."""
+    base = Base("prob", "lr", c)
+    rows = df.select(row, F.col(label).cast("double").alias("label"), F.coalesce(F.col(test), F.lit(False)).alias("is_test"), *[F.col(f).cast("double").alias(f) for f in features])
+    ends = F.broadcast(rows.where("not is_test").agg(*[F.min(f).alias(f"_lo_{f}") for f in features], *[F.max(f).alias(f"_hi_{f}") for f in features]))  # one row
+    x = F.array(*[F.coalesce(scaled(F.col(f), F.col(f"_lo_{f}"), F.col(f"_hi_{f}")), F.lit(0.0)) for f in features]).alias("x")
+    data = stored(rows.join(ends).select(row, "label", "is_test", x), "scaled")
+    models = [base.linear(None)]
+    return scored(data, models, fitted(data.where("not is_test"), models), [row, "label", "is_test"])
+
+
+def random_features(x: Column, width: int, n: int, gamma: Column, seed: int = 42) -> Column:
+    """An array of n random Fourier features of a vector column: their inner products approach exp(-gamma * |a - b|**2).
+
+    Directions and phases are constants drawn from a seed; only the scale, which may come from the data, is a column.
+    """
+    rng = np.random.default_rng(seed)
+    directions, phases = rng.normal(size=(n, width)), rng.uniform(0, 2 * np.pi, n)
+    matrix = F.lit(directions.tolist())
+    angle = lambda w: F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v) * F.sqrt(2 * gamma)
+    return F.zip_with(F.transform(matrix, angle), F.lit(phases.tolist()), lambda a, b: F.cos(a + b) * float(np.sqrt(2 / n)))
+
+
+def rbf_svm(df: DataFrame, features: list[str], row: str, label: str, test: str, c: float = 10.0, n: int = 200, seed: int = 42) -> DataFrame:
+    """(row, label, is_test, prob): a support vector machine with a Gaussian kernel, by `n` random Fourier features.
+
+    Features are scaled to the ranges of the rows of which `test` is false, on which it is fitted. gamma is 1 / (features * variance of
+    all scaled values of these rows). `prob` is the sigmoid of the decision, 0.5 at the boundary.
+    """
+    rows = df.select(row, F.col(label).cast("double").alias("label"), F.coalesce(F.col(test), F.lit(False)).alias("is_test"), *[F.col(f).cast("double").alias(f) for f in features])
+    ends = F.broadcast(rows.where("not is_test").agg(*[F.min(f).alias(f"_lo_{f}") for f in features], *[F.max(f).alias(f"_hi_{f}") for f in features]))  # one row
+    x = F.array(*[F.coalesce(scaled(F.col(f), F.col(f"_lo_{f}"), F.col(f"_hi_{f}")), F.lit(0.0)) for f in features]).alias("v")
+    data = rows.join(ends).select(row, "label", "is_test", x)
+    variance = data.where("not is_test").select(F.explode("v").alias("c")).agg(F.var_pop("c").alias("v")).first().v
+    gamma = 1.0 / (len(features) * variance) if variance else 1.0
+    data = stored(data.select(row, "label", "is_test", random_features(F.col("v"), len(features), n, F.lit(gamma), seed).alias("x")), "fourier")
+    models = [Linear("prob", "hinge", c)]
+    return scored(data, models, fitted(data.where("not is_test"), models, tolerance=1e-5), [row, "label", "is_test"])
+
+
+#: Surveyed ranges of the search, as powers of ten.
+TRIALS = {"svm_c": (-0.5, 1.7), "lr_c": (-1.0, 1.5), "meta_c": (-1.3, 1.5)}
+
+
+def drawn_trials(n: int, seed: int = 42) -> list[dict]:
+    """`n` trials with log-uniform weights of the losses, the same for each seed."""
+    rng = np.random.default_rng(seed)
+    return [{"trial": i + 1, **{k: float(10 ** rng.uniform(*ends)) for k, ends in TRIALS.items()}} for i in range(n)]
+
+
+def trial_scores(oof: DataFrame, row: str, trials: list[dict], columns: list[list[str]]) -> DataFrame:
+    """(trial, row, label, prob): each trial's meta model, fitted on rows with a fold, over its columns, for the rows without."""
+    names = list(dict.fromkeys(c for own in columns for c in own))
+    data = oof.select(row, "label", "fold", F.array(*names).alias("x"))
+    models = [Linear(f"t{t['trial']}", "logistic", t["meta_c"], tuple(names.index(c) for c in own)) for t, own in zip(trials, columns)]
+    wide = scored(data.where("fold < 0"), models, fitted(data.where("fold >= 0"), models), [row, "label"])
+    each = F.explode(F.array(*[F.struct(F.lit(t["trial"]).alias("trial"), F.col(m.name).alias("prob")) for t, m in zip(trials, models)]))
+    return wide.select(row, "label", each.alias("t")).select("t.trial", row, "label", "t.prob")
+
+
+def trial_report(scores: DataFrame, trial: str = "trial", label: str = "label") -> DataFrame:
+    """(trial, auc, tpr1, accuracy, best): metrics of every trial from one pass over (trial, label, prob), and which trial
+    is the best by (auc, tpr1, accuracy), the first among equals."""
+    m = curve_metrics(score_steps(scores, trial, gt=label), trial).select(trial, "auc", F.col("nearest.tpr").alias("tpr1"), "accuracy")
+    m = stored(m, "trials")  # a row a trial
+    return m.join(F.broadcast(m.agg(F.max_by(trial, F.struct("auc", "tpr1", "accuracy", -F.col(trial))).alias("_best")))).withColumn("best", F.col(trial) == F.col("_best")).drop("_best")
+
+
+def ensemble_search(df: DataFrame, features: list[str], row: str, label: str, test: str, n: int = 12, k: int = 5, others: list[Base] | None = None, seed: int = 42) -> DataFrame:
+    """(trial, svm_c, lr_c, meta_c, auc, tpr1, accuracy, best): random search over the stack.
+
+    The out-of-fold scores of all trials' linear models and of `others`, base models that all trials share, are one stored
+    table; meta models are fitted together and measured on the test rows in one pass.
+    """
+    trials = drawn_trials(n, seed)
+    others = [Base.surveyed(b) for b in ("rf", "gbdt")] if others is None else others
+    own = [[Base(f"svm{t['trial']}", "svm", t["svm_c"]), Base(f"lr{t['trial']}", "lr", t["lr_c"])] for t in trials]
+    oof = out_of_fold(df, features, row, label, [b for bs in own for b in bs] + others, k, test)
+    report = trial_report(trial_scores(oof, row, trials, [[b.name for b in [*bs, *others]] for bs in own]))
+    configs = df.sparkSession.createDataFrame([(t["trial"], t["svm_c"], t["lr_c"], t["meta_c"]) for t in trials], "trial int, svm_c double, lr_c double, meta_c double")
+    return configs.join(report, "trial")
 
 
 def leaf_tokens(df: DataFrame, features: list[str], row: str, label: str, trees: int = 128, depth: int = 12, of: DataFrame | None = None) -> DataFrame:

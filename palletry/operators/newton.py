@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palletry.functions.numeric import sigmoid
 
-#: Half the width of the parabola that rounds off the hinge.
-ROUND = 0.1
-RIDGE = 1e-9
+#: Half the width of the parabola that rounds off the hinge, at first and at last.
+WIDTHS = (1.0, 0.1)
+RIDGE, DAMPING = 1e-9, 1e-6
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ class Linear:
     without: int | None = None
 
 
-def _loss(kind: str, margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _loss(kind: str, margin: np.ndarray, y: np.ndarray, width: float = WIDTHS[-1]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Loss and its first two derivatives by the margin, row by row; labels are 0 to 1, for the hinge 0 or 1."""
     if kind == "logistic":
         p = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
@@ -42,10 +42,10 @@ def _loss(kind: str, margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.
         raise ValueError(kind)
     sign = 2 * y - 1
     short = 1 - sign * margin
-    bent, straight = np.abs(short) <= ROUND, short > ROUND
-    loss = np.where(straight, short, np.where(bent, (short + ROUND) ** 2 / (4 * ROUND), 0))
-    slope = np.where(straight, 1, np.where(bent, (short + ROUND) / (2 * ROUND), 0))
-    return loss, -sign * slope, np.where(bent, 1 / (2 * ROUND), 0)
+    bent, straight = np.abs(short) <= width, short > width
+    loss = np.where(straight, short, np.where(bent, (short + width) ** 2 / (4 * width), 0))
+    slope = np.where(straight, 1, np.where(bent, (short + width) / (2 * width), 0))
+    return loss, -sign * slope, np.where(bent, 1 / (2 * width), 0)
 
 
 def _with_one(x: np.ndarray, m: Linear) -> np.ndarray:
@@ -53,7 +53,7 @@ def _with_one(x: np.ndarray, m: Linear) -> np.ndarray:
     return np.c_[x, np.ones(len(x))]
 
 
-def _sums(models: dict[int, Linear], at: dict[int, np.ndarray]):
+def _sums(models: dict[int, Linear], at: dict[int, np.ndarray], width: dict[int, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
@@ -64,7 +64,7 @@ def _sums(models: dict[int, Linear], at: dict[int, np.ndarray]):
             for i, m in models.items():
                 rows = fold != m.without if m.without is not None else slice(None)
                 z, t = _with_one(x[rows], m), y[rows]
-                value, slope, bend = _loss(m.loss, z @ at[i], t)
+                value, slope, bend = _loss(m.loss, z @ at[i], t, width[i])
                 total[i] = total.get(i, 0) + np.r_[value.sum(), z.T @ slope, ((z * bend[:, None]).T @ z).reshape(-1)]
         for i, s in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([s], pa.list_(pa.float64()))], ["model", "sums"])
@@ -72,39 +72,55 @@ def _sums(models: dict[int, Linear], at: dict[int, np.ndarray]):
     return run
 
 
-def fitted(df: DataFrame, models: list[Linear], x: str = "x", label: str = "label", fold: Column | str | None = None, steps: int = 60, tolerance: float = 1e-9) -> list[np.ndarray]:
+class _Steps:
+    """Damped Newton steps of one model; a step that raises the objective is taken back and damped more."""
+
+    def __init__(self, model: Linear, size: int):
+        self.model, self.size = model, size
+        self.widths = [*WIDTHS] if model.loss == "hinge" else [0.0]
+        self.best, self.value, self.move, self.damping, self.live = np.zeros(size), np.inf, np.zeros(size), DAMPING, True
+
+    def take(self, sums: np.ndarray, tolerance: float) -> None:
+        n, c, at = self.size, self.model.c, self.best + self.move
+        free = np.r_[np.ones(n - 1), 0]  # the intercept isn't regularised
+        value = float(at @ (free * at) / 2 + c * sums[0])
+        if value > self.value + 1e-12 * abs(self.value):
+            self.damping = max(10 * self.damping, 1e-3)
+        else:
+            self.best, self.value, self.damping = at, value, self.damping / 10
+            self.gradient = free * at + c * sums[1 : n + 1]
+            self.hessian = np.diag(free) + c * sums[n + 1 :].reshape(n, n)
+        scale = max(float(np.diag(self.hessian).max()), 1.0)
+        self.move = -np.linalg.solve(self.hessian + (self.damping + RIDGE) * scale * np.eye(n), self.gradient)
+        if np.abs(self.move).max() <= (tolerance if len(self.widths) == 1 else 1e-2) * (1 + np.abs(self.best).max()):
+            if len(self.widths) == 1:
+                self.live = False
+            else:  # on with a sharper hinge from here
+                self.widths = self.widths[1:]
+                self.value, self.move, self.damping = np.inf, np.zeros(n), DAMPING
+
+
+def fitted(df: DataFrame, models: list[Linear], x: str = "x", label: str = "label", fold: Column | str | None = None, steps: int = 120, tolerance: float = 1e-9) -> list[np.ndarray]:
     """Weights and, last, the intercept of each model over rows with a vector and a label; nulls are errors.
 
-    Steps that raise the objective are halved. `df` is read once a step, so it should be a stored table.
+    The hinge is rounded off by a parabola, a wide one at first. `df` is read once a step, so it should be a stored table.
     """
     rows = df.select(F.col(x).cast("array<double>"), F.col(label).cast("double"), F.coalesce(F.col(fold) if isinstance(fold, str) else fold, F.lit(-1)).cast("int") if fold is not None else F.lit(-1))
     width = df.select(F.max(F.size(x)).alias("n")).first().n or 0
-    sizes = [1 + (width if m.columns is None else len(m.columns)) for m in models]
-    best = [np.zeros(n) for n in sizes]
-    value, move, live = [np.inf] * len(models), [np.zeros(n) for n in sizes], set(range(len(models)))
+    state = [_Steps(m, 1 + (width if m.columns is None else len(m.columns))) for m in models]
     for _ in range(steps):
+        live = {i: s for i, s in enumerate(state) if s.live}
         if not live:
             break
-        sums = rows.mapInArrow(_sums({i: models[i] for i in live}, {i: best[i] + move[i] for i in live}), "model int, sums array<double>")
+        run = _sums({i: s.model for i, s in live.items()}, {i: s.best + s.move for i, s in live.items()}, {i: s.widths[0] for i, s in live.items()})
+        sums = rows.mapInArrow(run, "model int, sums array<double>")
         parts: dict[int, dict[int, float]] = {}
         for r in sums.select("model", F.posexplode("sums").alias("at", "s")).groupBy("model", "at").agg(F.sum("s").alias("s")).collect():
             parts.setdefault(r.model, {})[r["at"]] = r.s
-        for i in sorted(live):
-            n, c, at = sizes[i], models[i].c, best[i] + move[i]
-            own = np.array([parts[i][j] for j in range(1 + n + n * n)]) if i in parts else np.zeros(1 + n + n * n)
-            free = np.r_[np.ones(n - 1), 0]  # the intercept isn't regularised
-            now = float(at @ (free * at) / 2 + c * own[0])
-            if now > value[i] + 1e-12 * abs(value[i]):
-                move[i] = move[i] / 2
-            else:
-                value[i], best[i] = now, at
-                gradient = free * at + c * own[1 : n + 1]
-                hessian = np.diag(free) + c * own[n + 1 :].reshape(n, n)
-                hessian[-1, -1] += RIDGE * max(1.0, abs(hessian).max())
-                move[i] = -np.linalg.lstsq(hessian, gradient, rcond=None)[0]
-            if np.abs(move[i]).max() <= tolerance * (1 + np.abs(best[i]).max()):
-                live.discard(i)
-    return best
+        for i, s in live.items():
+            n = 1 + s.size + s.size**2
+            s.take(np.array([parts[i][j] for j in range(n)]) if i in parts else np.zeros(n), tolerance)
+    return [s.best for s in state]
 
 
 def scored(df: DataFrame, models: list[Linear], weights: list[np.ndarray], keep: list[str], x: str = "x", fold: str | None = None) -> DataFrame:

@@ -270,3 +270,46 @@ l AS (SELECT instance, SUM(SQRT((x - x2) * (x - x2) + (y - y2) * (y - y2))) AS l
 n1 AS (SELECT a.instance, a.node, MIN({_D}) AS d FROM p a JOIN p b ON a.instance = b.instance AND a.node <> b.node GROUP BY 1, 2), o AS (SELECT instance, SUM(d) AS optimum FROM n1 GROUP BY 1)
 SELECT instance, ROUND(length, 4) AS mean, 0.0::DOUBLE AS std, ROUND(optimum, 4) AS optimum, ROUND(100 * (length / optimum - 1), 4) AS gap_pct FROM l JOIN o USING (instance)""",
 }
+
+
+def _newton(rounds: int = 12) -> str:
+    """Newton steps for a slope and an intercept, one after another; a sum of products each."""
+    out = [
+        f"WITH {SCORED}",
+        "n AS (SELECT SUM(gt)::DOUBLE AS n1, SUM(1 - gt)::DOUBLE AS n0 FROM scored)",
+        "z AS MATERIALIZED (SELECT decision AS d, CASE gt WHEN 1 THEN (n1 + 1) / (n1 + 2) ELSE 1 / (n0 + 2) END AS t FROM scored, n)",
+        "s0 AS (SELECT 0::DOUBLE AS a, LN((n1 + 1) / (n0 + 1)) AS b FROM n)",
+    ]
+    for i in range(rounds):
+        out.append(f"g{i} AS MATERIALIZED (SELECT a, b, SUM((p - t) * d) AS ga, SUM(p - t) AS gb, SUM(p * (1 - p) * d * d) AS aa, SUM(p * (1 - p) * d) AS ab, SUM(p * (1 - p)) AS bb FROM (SELECT s{i}.a, s{i}.b, d, t, 1 / (1 + EXP(-(s{i}.a * d + s{i}.b))) AS p FROM z, s{i}) GROUP BY a, b)")
+        out.append(f"s{i + 1} AS MATERIALIZED (SELECT a - (bb * ga - ab * gb) / (aa * bb - ab * ab) AS a, b - (aa * gb - ab * ga) / (aa * bb - ab * ab) AS b FROM g{i})")
+    return ", ".join(out) + f" SELECT ROUND(a, 6) AS slope, ROUND(b, 6) AS intercept FROM s{rounds}"
+
+
+ORACLE |= {
+    "calibration": _newton(),
+    "trial_metrics": f"""WITH {EXACT},
+t AS (SELECT trial, gt, ROUND(1 / (1 + EXP(-GREATEST(LEAST(decision * (trial / 4.0::DOUBLE) + SIN(total_quantity::DOUBLE * trial) * (trial % 3), 500), -500))), 3) AS s FROM scored, (SELECT UNNEST(RANGE(1, 13))::INT AS trial)),
+g AS (SELECT trial, s, SUM(gt) AS pos, SUM(1 - gt) AS neg FROM t GROUP BY ALL),
+cum AS (SELECT *, SUM(neg) OVER w AS fp, SUM(pos) OVER w AS tp, SUM(neg) OVER (PARTITION BY trial) AS n, SUM(pos) OVER (PARTITION BY trial) AS p FROM g WINDOW w AS (PARTITION BY trial ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+bent AS (SELECT *, LEAD(pos) OVER w AS np, LEAD(neg) OVER w AS nn, ROW_NUMBER() OVER w AS k FROM cum WINDOW w AS (PARTITION BY trial ORDER BY s DESC)),
+pts AS (SELECT trial, fp::DOUBLE / n AS fpr, tp::DOUBLE / p AS tpr, k FROM bent WHERE k = 1 OR np IS NULL OR np <> pos OR nn <> neg UNION ALL SELECT DISTINCT trial, 0::DOUBLE, 0::DOUBLE, 0 FROM g),
+m AS (SELECT trial, SUM(neg * (tp - pos / 2.0::DOUBLE)) / (MAX(n)::DOUBLE * MAX(p)) AS auc, SUM(CASE WHEN s >= 0.5::DOUBLE THEN pos ELSE neg END)::DOUBLE / (MAX(n) + MAX(p)) AS accuracy FROM cum GROUP BY trial),
+r AS (SELECT trial, auc, accuracy, (SELECT ARG_MIN(tpr, (ABS(fpr - 0.01::DOUBLE), k)) FROM pts WHERE pts.trial = m.trial) AS tpr1 FROM m)
+SELECT trial, ROUND(auc, 9) AS auc, ROUND(tpr1, 9) AS tpr1, ROUND(accuracy, 9) AS accuracy, ROW_NUMBER() OVER (ORDER BY auc DESC, tpr1 DESC, accuracy DESC, trial) = 1 AS best FROM r""",
+}
+
+_X = ", ".join(f"({f}::DOUBLE - {lo}::DOUBLE) / {hi - lo}::DOUBLE" for f, lo, hi, _ in base.MODEL.features)
+ORACLE["stored_leaf_stats"] = f"""WITH RECURSIVE {ORDERS},
+x AS (SELECT row_id, gt, row_id % 4 = 0 AS new, [{_X}] AS x FROM ord),
+n AS (SELECT tree, node, node < 15 AND node % 5 <> 4 AS inner_, (tree * 3 + node) % 6 AS f, ((node * 7 + tree * 5) % 11 + 1) / 13.0::DOUBLE AS th, FLOOR(LOG2(node + 1))::INT AS depth
+  FROM (SELECT UNNEST(RANGE(8))::INT AS tree), (SELECT UNNEST(RANGE(31))::INT AS node) WHERE node NOT IN (9, 10, 19, 20, 21, 22)),
+w AS (SELECT row_id, gt, new, x, tree, 0 AS node FROM x, (SELECT DISTINCT tree FROM n)
+  UNION ALL SELECT row_id, gt, new, x, w.tree, CASE WHEN x[f + 1] <= th THEN 2 * w.node + 1 ELSE 2 * w.node + 2 END FROM w JOIN n ON n.tree = w.tree AND n.node = w.node AND inner_),
+l AS (SELECT w.* EXCLUDE x FROM w JOIN n ON n.tree = w.tree AND n.node = w.node AND NOT inner_),
+k AS (SELECT tree, node, AVG(gt) AS p, COUNT(*) AS c FROM l WHERE NOT new AND row_id % 7 <> 1 GROUP BY ALL),
+v AS (SELECT tree, NULL::INT AS node, SUM(p * c) / SUM(c) AS p, 0 AS c FROM k GROUP BY tree UNION ALL SELECT * FROM k),
+t AS (SELECT *, ROW_NUMBER() OVER (ORDER BY tree, node NULLS FIRST) - 1 AS token FROM v)
+SELECT row_id, l.tree, COALESCE(t.token, u.token) AS token, ROUND(GREATEST(LEAST(COALESCE(t.p, u.p), 0.9999), 0.0001), 6) AS pos_rate, ROUND(LN(1 + COALESCE(t.c, 0)), 6) AS log_count,
+  ROUND(CASE WHEN t.node IS NULL THEN 0 ELSE n.depth / (SELECT MAX(depth) FROM n m WHERE m.tree = l.tree)::DOUBLE END, 6) AS depth_norm, ROUND(CASE WHEN t.node IS NULL THEN 0 ELSE 1 / (t.node + 1.0::DOUBLE) END, 6) AS impurity
+FROM l JOIN n USING (tree, node) LEFT JOIN t ON t.tree = l.tree AND t.node = l.node JOIN t u ON u.tree = l.tree AND u.node IS NULL WHERE new"""

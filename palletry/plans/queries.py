@@ -8,6 +8,7 @@ from palletry.functions import numeric, text
 from palletry.operators import cases as C, feasibility as Z, features as E, geometry as G, metrics as M, packing as B, population as P, rules as R, splits as X
 from palletry.plans import base
 from palletry.sources.io import table, tsplib_points
+from palletry.sources.snapshots import stored
 
 QUERIES = {}
 
@@ -475,14 +476,65 @@ for _m in ("nearest", "constructive", "guided"):
     query(_tours(_m))
 
 
+#: Sizes of the trees in the registered stacks; the surveyed ones are the operators' defaults (README).
+SMALL_TREES = {"rf": (60, 10, 2), "gbdt": (20, 4, 0.1)}
+
+
 @query
 def oof_stack(spark, d):
     from palletry.operators import ml
 
-    s = ml.stacked(base.order_table(spark, d), base.FEATURES, "row_id", "gt", ("svm", "lr", "rf", "gbdt"), 5)
+    bases = [ml.Base.surveyed(b, SMALL_TREES.get(b)) for b in ("svm", "lr", "rf", "gbdt")]
+    s = ml.stacked(base.order_table(spark, d), base.FEATURES, "row_id", "gt", bases)
     return rounded(s.select("row_id", "label", "fold", "prob"), 6, "prob")
 
 
+@query
+def logreg_scores(spark, d):
+    from palletry.operators import ml
+
+    t = X.stratified_split(base.order_table(spark, d), "row_id", "gt", 0.25)
+    return rounded(ml.logreg_scores(t, base.FEATURES, "row_id", "gt", "is_test"), 5, "prob")
+
+
+@query
+def rbf_svm(spark, d):
+    from palletry.operators import ml
+
+    t = X.stratified_split(base.order_table(spark, d), "row_id", "gt", 0.25)
+    return rounded(ml.rbf_svm(t, base.FEATURES, "row_id", "gt", "is_test", n=64), 4, "prob")
+
+
+@query
+def ensemble_search(spark, d):
+    from palletry.operators import ml
+
+    t = X.stratified_split(base.order_table(spark, d), "row_id", "gt", 0.25)
+    s = ml.ensemble_search(t, base.FEATURES, "row_id", "gt", "is_test", others=[ml.Base.surveyed("rf", SMALL_TREES["rf"])])
+    return rounded(s, 6, "svm_c", "lr_c", "meta_c", "auc", "tpr1", "accuracy")
+
+
+@query
+def trial_metrics(spark, d):
+    """Twelve given models over the same stored scores: AUC, TPR at 1 % FPR and accuracy of each, and the best one."""
+    from palletry.operators import ml
+
+    s = base.scored(spark, d, None).select("row_id", F.col("gt").alias("label"), "decision", F.col("total_quantity").cast("double").alias("q"))
+    trial = F.explode(F.sequence(F.lit(1), F.lit(12))).alias("trial")
+    s = s.select("row_id", "label", "decision", "q", trial)
+    prob = F.round(numeric.sigmoid(F.col("decision") * (F.col("trial") / 4) + F.sin(F.col("q") * F.col("trial")) * (F.col("trial") % 3)), 3)
+    return rounded(ml.trial_report(s.select("trial", "row_id", "label", prob.alias("prob"))), 9, "auc", "tpr1", "accuracy")
+
+
+@query
+def calibration(spark, d):
+    """Slope and intercept of a logistic curve over the stored model's decisions."""
+    from palletry.operators import newton
+
+    slope, intercept = newton.calibrated(base.scored(spark, d), "decision", "gt")
+    return spark.createDataFrame([(round(slope, 6), round(intercept, 6))], "slope double, intercept double")
+
+
 @query
 def rf_leaf_tokens(spark, d):
     from palletry.operators import ml
@@ -490,6 +542,49 @@ def rf_leaf_tokens(spark, d):
     return rounded(ml.leaf_stats(ml.leaf_tokens(base.order_table(spark, d), base.FEATURES, "row_id", "gt")), 6, "pos_rate", "log_count", "impurity")
 
 
+def _leaf_rows(spark, d):
+    """Orders with the stored model's scaled features as a vector; every fourth order is new, the others are known."""
+    x = [(F.col(f).cast("double") - lo) / (hi - lo) for f, lo, hi, _ in base.MODEL.features]
+    return base.order_table(spark, d).select("row_id", F.col("gt").alias("label"), F.array(*x).alias("x"), (F.col("row_id") % 4 == 0).alias("new"))
+
+
+@query
+def stored_leaf_stats(spark, d):
+    """Eight given trees as a node table: known orders make the vocabulary, new ones look their leaves' statistics up."""
+    from palletry.operators import forest
+
+    n = spark.range(8 * 31).select((F.col("id") / 31).cast("int").alias("tree"), (F.col("id") % 31).cast("int").alias("node"))
+    inner = lambda c: F.when((F.col("node") < 15) & (F.col("node") % 5 != 4), c)
+    n = n.select(
+        "tree", "node", inner(F.col("node") * 2 + 1).alias("left"), inner(F.col("node") * 2 + 2).alias("right"), inner((F.col("tree") * 3 + F.col("node")) % 6).alias("feature"),
+        inner(((F.col("node") * 7 + F.col("tree") * 5) % 11 + 1) / 13.0).alias("threshold"), (1 / (F.col("node") + 1.0)).alias("impurity"),
+    )
+    unreachable = F.col("node").isin(9, 10, 19, 20, 21, 22)  # below a leaf
+    nodes = forest.with_depth(n.where(~unreachable))
+    reached = stored(forest.leaves(_leaf_rows(spark, d), nodes, "row_id", "x", "label", "new"), "reached")
+    words = forest.vocabulary(reached.where("not new and row_id % 7 <> 1"), nodes)
+    out = forest.looked_up(forest.tokens(reached.where("new"), words), words)
+    return rounded(out.select("row_id", "tree", "token", "pos_rate", "log_count", "depth_norm", "impurity"), 6, "pos_rate", "log_count", "depth_norm", "impurity")
+
+
+@query
+def forest_leaf_stats(spark, d):
+    """The same with a forest fitted on the known orders."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    from palletry.operators import forest
+
+    rows = _leaf_rows(spark, d)
+    train = rows.where("not new").select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
+    model = RandomForestClassifier(numTrees=32, maxDepth=8, minInstancesPerNode=2, seed=42).fit(train)
+    nodes = forest.with_depth(forest.node_table(model, spark))
+    reached = forest.leaves(rows, nodes, "row_id", "x", "label", "new")
+    words = forest.vocabulary(reached.where("not new"), nodes)
+    out = forest.looked_up(forest.tokens(reached.where("new"), words), words)
+    return rounded(out.select("row_id", "tree", "token", "pos_rate", "log_count", "depth_norm", "impurity"), 6, "pos_rate", "log_count", "depth_norm", "impurity")
+
+
 @query
 def vehicle_ratio_summary(spark, d):
     """Labels and volumes of all orders against the capacity of a vehicle, which depends on the priority."""

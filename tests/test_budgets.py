@@ -24,7 +24,7 @@ def one(tmp_path_factory):
 def test_defaults_are_those_surveyed():
     guided = inspect.signature(S.guided).parameters
     assert (guided["moves"].default, guided["rounds"].default) == (30, 1200)
-    assert inspect.signature(ml.stacked).parameters["names"].default == ("svm", "lr", "rf", "gbdt")
+    assert (ml.FOREST, ml.BOOSTED) == ((200, 20, 2), (400, 6, 0.1)) and inspect.signature(ml.stacked).parameters["k"].default == 5
 
 
 def test_tours_use_the_whole_budget(spark, one):
