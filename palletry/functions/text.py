@@ -12,6 +12,15 @@ TAGGED_HEADER = r"(?i)^\s*(?:python3?|py)\b"
 ENTRY_POINT = "apply_rule_patch"
 TRACEBACK_END = "Set the environment variable HYDRA_FULL_ERROR=1"
 TRUNCATED = "\n\n… [truncated]"
+# What is said of a response without code, by its detail.
+NO_CODE = "no_extractable_code"
+FAILURES = {
+    "python_blocks_without_apply_rule_patch": "Found %d closed ```python``` block(s) but none define apply_rule_patch.",
+    "unknown": "Could not extract valid apply_rule_patch code (unexpected).",
+    "has_open_python_fence_no_close": "Found a Python-tagged code fence (```python / ```py / …) but no closed block (unclosed fence or truncated response); could not extract apply_rule_patch.",
+    "no_python_fence": "No Python-tagged fenced code block (```python, ```py, …) in LLM response.",
+}
+PREVIEW = 8000
 # White space at either end of a text, control characters that count as separators included.
 EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
@@ -47,6 +56,18 @@ def failure_detail(response: Column, entry: str = ENTRY_POINT) -> Column:
     )
 
 
+def failure_info(response: Column, entry: str = ENTRY_POINT, most: int = PREVIEW) -> Column:
+    """A struct (kind, message, detail, preview) for a response that gave no code; null for one that gave some."""
+    text = F.coalesce(response, F.lit(""))
+    blocks = F.size(F.regexp_extract_all(text, F.lit(CLOSED_FENCE), F.lit(1)))
+    detail = failure_detail(response, entry)
+    message = F.lit(None).cast("string")
+    for d, m in FAILURES.items():
+        message = F.when(detail == d, F.format_string(m, blocks) if "%d" in m else F.lit(m)).otherwise(message)
+    info = F.struct(F.lit(NO_CODE).alias("kind"), message.alias("message"), detail.alias("detail"), truncated(response, most).alias("preview"))
+    return F.when(F.size(rule_code(response, entry)) == 0, info)
+
+
 def truncated(text: Column, most: int) -> Column:
     """The first `most` characters of a stripped text, marked where more follow; empty for no text and for `most` below 1."""
     if most <= 0:

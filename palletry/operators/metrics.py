@@ -145,6 +145,15 @@ def tpr_interpolated(points: DataFrame, at: float = 0.01) -> DataFrame:
     return last.select(F.lit(at).alias("fpr"), F.when(F.col("fpr2").isNull(), F.col("tpr")).otherwise(slope).alias("tpr"))
 
 
+def hard_rows(df: DataFrame, fn: Column | None = None, fp: Column | None = None) -> DataFrame:
+    """The rows that a comparison is restricted to: those of either mask; of `fp` where there is no `fn`; all without masks."""
+    if fn is None:
+        return df if fp is None else df.where(fp)
+    if fp is None:
+        raise ValueError("a mask of missed rows needs one of false alarms")
+    return df.where(fn | fp)
+
+
 def deltas(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
     """(metric, before, after, delta, direction) of two one-row frames."""
     long = lambda df, n: df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(n)) for m in names])).alias("x")).select("x.*")
@@ -159,6 +168,16 @@ def ratio_summary(df: DataFrame, part: str, whole: str, label: str) -> DataFrame
     return df.agg(F.avg(label).alias("mean_label"), over(F.avg).alias("mean_ratio"), over(F.max).alias("max_ratio"), over(F.min).alias("min_ratio"))
 
 
+def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A summary table as a markdown document; one of more than `most` rows is an error, as it is no summary."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    cell = lambda v: "—" if v is None else (f"{v:.6g}" if isinstance(v, float) else str(v)).replace("|", "\\|").replace("\n", " ")
+    lines = [df.columns, ["-"] * len(df.columns), *[[cell(v) for v in r] for r in rows]]
+    return f"# {title}\n\n" + "\n".join("|" + "|".join(line) + "|" for line in lines) + "\n"
+
+
 def run_overview(runs: DataFrame) -> DataFrame:
     """Runs as a report's texts, one row each: model, run, timestamp, resumed, accuracies, their difference, best rule score.
 
@@ -178,6 +197,7 @@ def run_overview(runs: DataFrame) -> DataFrame:
         dash(fixed(after)).alias("hybrid_accuracy"),
         dash(fixed(after - before, 4, sign=True)).alias("delta"),
         dash(fixed(F.col("hybrid.best_rule_score"), 6)).alias("best_rule_score"),
+        *([F.col("n_rules")] if "n_rules" in runs.columns else []),
     )
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from palletry.operators.population import ranked_within
+
 
 def lower_bound(items: DataFrame, capacity: float) -> DataFrame:
     """(instance, n_items, total, bound): the least number of bins by volume."""
@@ -38,6 +43,17 @@ def validity(items: DataFrame, packed: DataFrame, capacity: float) -> DataFrame:
     return both.select("instance", (F.col("same") == 1).alias("same_items"), (F.coalesce("fits", F.lit(1)) == 1).alias("fits"), ((F.col("same") == 1) & (F.coalesce("fits", F.lit(1)) == 1)).alias("valid"))
 
 
+def renumbered(df: DataFrame, label: str, position: str, *by: str) -> DataFrame:
+    """`df` with `number`, from 0 in the order in which labels first appear in each group, and `n_labels`.
+
+    The first positions, a row a label, are ranked in two levels; rows themselves only meet their label's number.
+    """
+    firsts = df.groupBy(*by, F.col(label).alias("_label")).agg((-F.min(position)).alias("_first"))
+    ranks = ranked_within(firsts, list(by), "_first", "_label").select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], "_label", (F.col("rank") - 1).alias("number"), F.col("group_size").alias("n_labels"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)], F.col(label).eqNullSafe(F.col("_label")))
+    return df.join(ranks, same).select(*df.columns, "number", "n_labels")
+
+
 def best_fit(item: float, room: np.ndarray) -> np.ndarray:
     """Priorities of bins for an item: least room first."""
     return -(room - item)

@@ -47,6 +47,61 @@ def round_robin(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return d.withColumn("_nth", nth).join(F.broadcast(base), "_part").withColumn("island", ((F.col("_nth") + F.col("_base")) % n).cast("int")).drop("_part", "_nth", "_base")
 
 
+def ranked_within(df: DataFrame, by: list[str], order: str, *ties: str) -> DataFrame:
+    """`df` with `rank` (from 1, the greatest `order` first, then `ties` rising, nulls last) and `group_size`.
+
+    Two levels, so that no group is one task: ranges of the order are ranked apart after their counts are summed up.
+    """
+    d = df.withColumn("_down", F.coalesce(-F.col(order).cast("double"), F.lit(float("inf"))))
+    d = d.withColumn("_part", range_of(d, "_down"))
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    names = [f"_k{i}" for i in range(len(by))]
+    base = d.groupBy(*keys, F.col("_part").alias("_at")).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(*names)  # of at most CUTS + 1 rows
+    base = base.select(*names, "_at", F.coalesce(F.sum("_n").over(own.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"), F.sum("_n").over(own).alias("group_size"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)], F.col("_part") == F.col("_at"))
+    nth = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_down", *ties))
+    return d.withColumn("_nth", nth).join(base, same).withColumn("rank", F.col("_ahead") + F.col("_nth")).select(*df.columns, "rank", "group_size")
+
+
+def survivors(df: DataFrame, reward: str, order: str, by: list[str], elite_rate: float = 0.2) -> DataFrame:
+    """The better half of each population, of rewards and ties as ranked, with `rank` and `elite`.
+
+    Of p members the floor(p / 2) last ones go. The floor(p * elite_rate) first ones are elites, which the next population takes
+    over as they are; those beyond the better half are kept too.
+    """
+    d = ranked_within(df, by, reward, order)
+    elite = F.col("rank") <= F.floor(F.col("group_size") * elite_rate + 1e-9)
+    return d.withColumn("elite", elite).where(F.col("elite") | (F.col("rank") <= F.col("group_size") - F.floor(F.col("group_size") / 2))).drop("group_size")
+
+
+def next_population(kept: DataFrame, children: DataFrame, order: str, by: list[str], size: int) -> DataFrame:
+    """Each population's elites, then its children in order until there are `size` members; `origin` tells which."""
+    elites = kept.where("elite").select(*children.columns, F.lit("elite").alias("origin"))
+    room = kept.groupBy(*by).agg(F.sum(F.col("elite").cast("int")).alias("_elites"))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    born = children.withColumn("_nth", nth).join(room, by, "left").where(F.col("_nth") <= size - F.coalesce("_elites", F.lit(0)))
+    return elites.unionByName(born.select(*children.columns, F.lit("child").alias("origin")))
+
+
+def drawn_parents(df: DataFrame, order: list[Column | str], key: str, by: list[str], draws: int, m: int, seed: int = 2024) -> DataFrame:
+    """(by, draw, nth, key): m parents with replacement for each of so many draws in every population.
+
+    Chances are 1 / (rank + 1 + p) among p members ranked by `order`. Members own intervals of their cumulated chances; seeded
+    uniform numbers, one a draw and parent, meet the interval they fall into. Populations have tens of members.
+    """
+    w = rank_weights(df, order, by=by)
+    upto = Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = w.withColumns({"_high": F.sum("probability").over(upto), "_last": F.max("rank").over(Window.partitionBy(*by)) == F.col("rank")})
+    w = w.withColumn("_low", F.col("_high") - F.col("probability"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(draws * m - 1)))
+    u = df.select(*by).distinct().select(*by, each.alias("_i"))
+    u = u.select(*[F.col(c).alias(f"_{c}") for c in by], "_i", hash_fraction(*[F.col(c) for c in by], F.col("_i"), seed=seed).alias("_u"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    hit = (F.col("_u") >= F.col("_low")) & ((F.col("_u") < F.col("_high")) | F.col("_last"))
+    return w.join(u, same & hit).select(*by, F.floor(F.col("_i") / m).alias("draw"), (F.col("_i") % m).alias("nth"), key)
+
+
 def top_per_island(df: DataFrame, order: list[Column | str], keep: int, island: str = "island") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(island).orderBy(*order))).where(F.col("rank") <= keep)
 
@@ -137,7 +192,7 @@ def rebuilt(rules: DataFrame, order: str, islands: int = 4, size: int = 50) -> D
 
 
 def reset_worst(rules: DataFrame, id_col: str, order: str, islands: int = 4, keep: int = 3, clear: bool = False) -> DataFrame:
-    """`rules` after the island of the least best score is cut to its top `keep` rules (none if `clear`) and given a copy of
+    """`rules` after the island of the least best score is cut to its top `keep` rules (one at least; none if `clear`) and given a copy of
     the best rule of the best island, whose id gets `_reset_` and four digits. An island without rules scores 0; the first
     among equals is taken; fewer than two islands stay as they are."""
     if islands < 2:
@@ -151,7 +206,7 @@ def reset_worst(rules: DataFrame, id_col: str, order: str, islands: int = 4, kee
     here, donor = F.col("island_id") == F.col("worst"), (F.col("island_id") == F.col("best")) & (F.col("_rank") == 1)
     digits = F.format_string("%04d", F.floor(hash_fraction(F.col(id_col)) * 9000 + 1000).cast("int"))
     copy = r.where(donor).withColumns({id_col: F.concat(F.col(id_col).cast("string"), F.lit("_reset_"), digits), "island_id": F.col("worst").cast("int")})
-    left = r.where(~here | (F.lit(not clear) & (F.col("_rank") <= keep))).withColumn(id_col, F.col(id_col).cast("string"))
+    left = r.where(~here | (F.lit(not clear) & (F.col("_rank") <= max(1, keep)))).withColumn(id_col, F.col(id_col).cast("string"))
     return left.unionByName(copy).select(*rules.columns)
 
 
@@ -161,10 +216,17 @@ def valid(df: DataFrame, objective: str, ok: str = "exec_success", below: float
     return df.where(good if below is None else good & (F.col(objective) < below))
 
 
-def joined_by(population: DataFrame, offspring: DataFrame, code: str, objective: str, order: str, digits: int = 5) -> DataFrame:
+def joined_by(population: DataFrame, offspring: DataFrame, code: str, objective: str, order: str, digits: int = 5, repeats: bool = False) -> DataFrame:
     """A population and its new members: offspring whose code and rounded objective it doesn't have, the first of each
-    objective; objectives are rounded to `digits`."""
+    objective; objectives are rounded to `digits`. With `repeats` all offspring join, also those of an objective that is
+    there already, which `repeated` then marks."""
     p, o = (d.withColumn(objective, F.round(objective, digits)) for d in (population, offspring))
+    if repeats:
+        there = p.select(objective).distinct().withColumn("_there", F.lit(True))
+        first = F.row_number().over(Window.partitionBy(objective).orderBy(order))
+        o = o.withColumn("_nth", first).join(there, objective, "left")
+        o = o.withColumn("repeated", F.coalesce("_there", F.lit(False)) | (F.col("_nth") > 1) & F.col(objective).isNotNull())
+        return p.withColumn("repeated", F.lit(False)).unionByName(o.select(*p.columns, "repeated"))
     o = o.join(p.select(code).distinct(), code, "left_anti").join(p.select(objective).distinct(), objective, "left_anti")
     first = F.row_number().over(Window.partitionBy(objective).orderBy(order))
     return p.unionByName(o.withColumn("_nth", first).where("_nth = 1").drop("_nth"))
@@ -187,6 +249,8 @@ def accepted_settings(conflicts: DataFrame) -> DataFrame:
 
 
 def changed_settings(before: DataFrame, now: DataFrame) -> DataFrame:
-    """(key, before, now) of settings (key, value) that differ, absent ones null."""
+    """(key, before, now) of settings (key, value) that differ, absent ones null; two numbers are compared as numbers."""
     a, b = before.select("key", F.col("value").alias("before")), now.select("key", F.col("value").alias("now"))
-    return a.join(b, "key", "full").where(~F.col("before").eqNullSafe(F.col("now")))
+    x, y = (F.col(c).cast("string").try_cast("double") for c in ("before", "now"))
+    same = F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(F.col("before").eqNullSafe(F.col("now")))
+    return a.join(b, "key", "full").where(~same)

@@ -145,10 +145,16 @@ def ranked(rules: DataFrame) -> DataFrame:
     return rules.withColumn("rank", F.row_number().over(order))
 
 
+def best_rules(ranks: DataFrame, rules: Mapping[str, Column], k: int = 3) -> list[Column]:
+    """The k best rules of a table with rank, best first; k names come to the driver. A rule that isn't compiled is left out."""
+    top = ranks.where(F.col("rank") <= k).orderBy("rank").select("rule").collect()
+    return [rules[r.rule] for r in top if rules.get(r.rule) is not None]
+
+
 def applied(cases: DataFrame, rules: Sequence[Column], pred: str = "pred") -> DataFrame:
     """`cases` with `hybrid`: the first rule's answer that isn't a pass, else the prediction."""
     minus = F.lit(-1)
-    return cases.withColumn("hybrid", F.coalesce(*[F.nullif(r, minus) for r in rules], F.col(pred)))
+    return cases.withColumn("hybrid", F.coalesce(*[F.nullif(r, minus) for r in rules], F.col(pred)))  # without rules, the prediction
 
 
 def synthetic_probability(hybrid: str = "hybrid", pred: str = "pred", prob: str = "prob") -> Column:

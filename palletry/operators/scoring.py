@@ -38,3 +38,12 @@ class LinearModel:
         rows = F.explode(F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(f).alias("feature"), F.lit(float(w)).alias("weight")) for i, (f, _, _, w) in enumerate(self.features)]))
         t = df.sparkSession.range(1).select(rows.alias("x")).select("x.*").orderBy(F.desc(F.abs("weight")), "nth").limit(k)
         return t.select(F.row_number().over(Window.orderBy(F.desc(F.abs("weight")), "nth")).alias("rank"), "feature", "weight")
+
+
+def top_coefficients(model: DataFrame, k: int = 30) -> DataFrame:
+    """(rank, feature, weight) of the k largest absolute weights of a model table (nth, feature, weight), ties in its order.
+
+    A sort with a limit picks them; only these k rows are then ranked in one window.
+    """
+    top = model.select("nth", "feature", "weight").orderBy(F.desc(F.abs("weight")), "nth").limit(k)
+    return top.select(F.row_number().over(Window.orderBy(F.desc(F.abs("weight")), "nth")).alias("rank"), "feature", "weight")

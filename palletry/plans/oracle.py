@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from palletry.plans import base
-from palletry.plans.queries import LOGS, RESPONSES
+from palletry.functions import text
+from palletry.plans.queries import SHAPES
 
 ITEMS = """items AS (SELECT l_orderkey AS dispatch_id, l_linenumber::BIGINT * 1000000000 + l_partkey * 100 + l_quantity::BIGINT AS seq,
   p_size AS length, l_quantity::INT AS width, l_linenumber + 4 AS height FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -103,10 +104,6 @@ REBUILT = """rul AS (SELECT p_partkey AS rule, ROUND(p_retailprice, 0) AS score,
 placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY island_id ORDER BY score DESC, corrected DESC, easy_overrides, rule) AS place FROM rul), kept AS (SELECT * FROM placed WHERE place <= 50)"""
 
 
-def values(rows) -> str:
-    return ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in rows)
-
-
 _U = uniform("row_id")
 _D = "SQRT((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 
@@ -131,6 +128,20 @@ SCORE_STEP = _online(
     SELECT *, LIST_FILTER(RANGE(1, LEN(rooms) + 1), LAMBDA i: rooms[i] >= item) AS fits, LIST_MAX(rooms) AS top FROM ({_NEXT}))))""",
 )
 
+_TAG = "(?i:(?:python3?|py))\\\\b".replace("\\\\\\\\", "\\\\")
+_quoted = lambda t: "'" + t.replace("'", "''") + "'"
+_WRAP = " ".join(f"WHEN {i} THEN {_quoted(a)} || t || {_quoted(b)}" for i, (a, b) in enumerate(SHAPES))
+_CODES = f"""r AS (SELECT conv_id, turn, COALESCE(text, '') AS t FROM conversations), w AS (SELECT conv_id, turn, CASE (conv_id + turn) % {len(SHAPES)} {_WRAP} END AS t FROM r),
+f AS (SELECT *, LIST_TRANSFORM(REGEXP_EXTRACT_ALL(t, '{text.CLOSED_FENCE}', 1), lambda x: TRIM(x)) AS blocks, REGEXP_EXTRACT(t, '{text.OPEN_FENCE.replace(chr(92) + "z", "$")}', 1) AS opened,
+  LIST_ZIP(REGEXP_EXTRACT_ALL(t, '{text.ANY_FENCE}', 1), REGEXP_EXTRACT_ALL(t, '{text.ANY_FENCE}', 2)) AS fences FROM w),
+c AS (SELECT *, LIST_FILTER(blocks, lambda x: CONTAINS(x, 'apply_rule_patch')) AS closed,
+  LIST_FILTER(fences, lambda z: NOT REGEXP_MATCHES(z[1], '{text.TAGGED_HEADER}') AND CONTAINS(z[2], 'apply_rule_patch')) AS untagged FROM f),
+codes AS (SELECT conv_id, turn, t, blocks, CASE WHEN t = '' THEN [] WHEN LEN(closed) > 0 THEN closed WHEN CONTAINS(opened, 'apply_rule_patch') THEN [opened]
+  WHEN LEN(untagged) > 0 THEN [REGEXP_REPLACE(untagged[1][2], '^\\s+|\\s+$', '', 'g')] ELSE [] END AS codes,
+  CASE WHEN LEN(blocks) > 0 AND LEN(closed) = 0 THEN 'python_blocks_without_apply_rule_patch' WHEN LEN(blocks) > 0 THEN 'unknown'
+    WHEN REGEXP_MATCHES(t, '```(?i:(?:python3?|py))\\b') THEN 'has_open_python_fence_no_close' ELSE 'no_python_fence' END AS detail FROM c)"""
+_MESSAGES = " ".join(f"WHEN '{k}' THEN " + ("PRINTF(" + _quoted(m) + ", LEN(blocks))" if "%d" in m else _quoted(m)) for k, m in text.FAILURES.items())
+
 ORACLE = {
     "hard_case_summary": f"""WITH {SCORED}, s AS (SELECT error_type, gt, COUNT(*) AS n, AVG(prob) AS m, STDDEV_POP(prob) AS sd FROM cases GROUP BY 1, 2)
 SELECT error_type, gt, n, ROUND(m, 6) AS mean_prob, ROUND(sd, 6) AS std_prob, ROUND(n * 100.0::DOUBLE / SUM(n) OVER (PARTITION BY gt), 6) AS pct FROM s""",
@@ -182,9 +193,11 @@ c AS (SELECT *, COUNT(*) OVER (PARTITION BY kind, reason) AS reason_n FROM e)
 SELECT kind, ROW_NUMBER() OVER (PARTITION BY kind ORDER BY reason_n DESC, ROUND(fill_ratio, 9) DESC, item_count DESC, distinct_types DESC, dispatch_id)::INT AS rank, dispatch_id, reason, reason_n, ROUND(fill_ratio, 6) AS fill_ratio, item_count, distinct_types FROM c QUALIFY rank <= 2""",
     "top_item_types": f"""WITH {ITEMS}, t AS (SELECT dispatch_id, a, b, c, COUNT(*) AS n, MIN(seq) AS s FROM boxes GROUP BY 1, 2, 3, 4)
 SELECT dispatch_id, a, b, c, n, ROW_NUMBER() OVER (PARTITION BY dispatch_id ORDER BY n DESC, s)::INT AS rank FROM t QUALIFY rank <= 3""",
-    "coef_ranking": "SELECT * FROM (VALUES (1, 'sku_counts', -1.25::DOUBLE), (2, 'total_quantity', 0.75::DOUBLE), (3, 'max_discount', 0.625::DOUBLE), (4, 'min_quantity', 0.5::DOUBLE)) t(rank, feature, weight)",
-    "checkpoint_diff": """WITH a(key, value) AS (VALUES ('seed', '42'), ('islands', '4'), ('mode', 'svm')), b(key, value) AS (VALUES ('seed', '42'), ('islands', '6'), ('top_k', '3'))
-SELECT COALESCE(a.key, b.key) AS key, a.value AS before, b.value AS now FROM a FULL JOIN b ON a.key = b.key WHERE a.value IS DISTINCT FROM b.value""",
+    "coef_ranking": """WITH m AS (SELECT p_partkey AS nth, p_name AS feature, ROUND((p_retailprice - 1400) / 1000, 3) AS weight FROM part)
+SELECT ROW_NUMBER() OVER (ORDER BY ABS(weight) DESC, nth)::INT AS rank, feature, weight FROM m QUALIFY rank <= 30""",
+    "checkpoint_diff": """WITH c AS (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, COUNT(*) AS n FROM supplier GROUP BY 1),
+o AS (SELECT * FROM c WHERE k % 2 = 0 UNION ALL SELECT * FROM s WHERE k % 2 = 1)
+SELECT n_name AS key, c.n || '.0' AS before, o.n::VARCHAR AS now FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN o ON o.k = n_nationkey WHERE c.n IS DISTINCT FROM o.n""",
     "run_comparison": f"""WITH {SCORED}, c AS (SELECT o_orderpriority, {counts()} FROM scored GROUP BY 1), r AS (SELECT *, {_RATES} FROM c), m AS (SELECT o_orderpriority AS run, {_RATES_9} FROM r)
 SELECT run, accuracy, recall, RANK() OVER (ORDER BY accuracy DESC, run)::INT AS place FROM m""",
     "hash_split_counts": f"WITH {ORDERS} SELECT {_U} < 0.25 AS is_test, gt, COUNT(*) AS n FROM ord GROUP BY 1, 2",
@@ -226,15 +239,14 @@ SELECT instance, TRUE AS same_items, fits, fits AS valid FROM f""",
     "route_segmentation": f"""WITH {DEPOT}, r AS (SELECT *, SUM(from_depot) OVER (PARTITION BY instance ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS route FROM flags)
 SELECT instance, route, COUNT(*) AS n_nodes, SUM(p_size)::BIGINT AS load, SUM(p_size) <= 100 AS legal FROM r JOIN part ON node = p_partkey + 1 GROUP BY 1, 2""",
     "label_counts": "SELECT quality, toxic, COUNT(*) AS n FROM labels GROUP BY 1, 2",
-    "code_fence_extract": f"""WITH r(id, t) AS (VALUES {values(RESPONSES)}),
-c AS (SELECT id, t, LIST_FILTER(LIST_TRANSFORM(REGEXP_EXTRACT_ALL(t, '(?s)```(?:python3?|py)\\b\\s*(.*?)\\s*```', 1), lambda x: TRIM(x)), lambda x: CONTAINS(x, 'apply_rule_patch')) AS closed,
-  LEN(REGEXP_EXTRACT_ALL(t, '(?s)```(?:python3?|py)\\b\\s*(.*?)\\s*```', 1)) AS n_closed, REGEXP_MATCHES(t, '```(?:python3?|py)\\b') AS tagged FROM r)
-SELECT id, CASE WHEN LEN(closed) > 0 THEN LEN(closed) WHEN CONTAINS(t, 'apply_rule_patch') THEN 1 ELSE 0 END::INT AS n,
-  CASE WHEN LEN(closed) > 0 THEN closed[1] WHEN CONTAINS(t, 'apply_rule_patch') THEN TRIM(REGEXP_REPLACE(REGEXP_REPLACE(t, '```(?:python3?|py)?\\s*', '', 'g'), '\\s+$', ''), chr(10) || ' `') ELSE '' END AS code,
-  CASE WHEN n_closed > 0 AND LEN(closed) = 0 THEN 'python_blocks_without_apply_rule_patch' WHEN n_closed > 0 THEN 'unknown' WHEN tagged THEN 'has_open_python_fence_no_close' ELSE 'no_python_fence' END AS detail FROM c""",
-    "traceback_filter": f"""WITH r(id, t) AS (VALUES {values(LOGS)})
-SELECT id, REGEXP_REPLACE(REGEXP_EXTRACT(t, '(?s)(?:^|\\n)(Traceback.*)$', 1), '(?s)\\n[^\\n]*Set the environment variable HYDRA_FULL_ERROR=1.*$', '') AS traceback FROM r""",
-    "objective_parse": f"WITH r(id, t) AS (VALUES {values(LOGS)}), o AS (SELECT id, TRY_CAST(STRING_SPLIT(t, chr(10))[-2] AS DOUBLE) AS o FROM r) SELECT id, o AS objective, o IS NOT NULL AS ok FROM o",
+    "code_fence_extract": f"WITH {_CODES} SELECT conv_id, turn, LEN(codes)::INT AS n, COALESCE(codes[1], '') AS code, detail FROM codes",
+    "response_failures": f"""WITH {_CODES} SELECT conv_id, turn, 'no_extractable_code' AS failure_kind, CASE detail {_MESSAGES} END AS failure_message, detail AS failure_detail,
+  CASE WHEN LENGTH(s) <= 200 THEN s ELSE SUBSTR(s, 1, 200) || '{text.TRUNCATED}' END AS response_preview FROM (SELECT *, REGEXP_REPLACE(t, '^\\s+|\\s+$', '', 'g') AS s FROM codes) WHERE LEN(codes) = 0""",
+    "traceback_filter": r"""WITH r AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents), l AS (SELECT doc_id, CASE doc_id % 4
+  WHEN 0 THEN t || chr(10) || 'Traceback (most recent call last):' || chr(10) || t || chr(10) || 'ValueError: x' || chr(10) || 'Set the environment variable HYDRA_FULL_ERROR=1' || chr(10) || 'end'
+  WHEN 1 THEN 'Traceback' || chr(10) || t WHEN 2 THEN t ELSE t || chr(10) || 'Traceback at last' END AS t FROM r)
+SELECT doc_id, REGEXP_REPLACE(REGEXP_EXTRACT(t, '(?s)(?:^|\n)(Traceback.*)$', 1), '(?s)\n[^\n]*Set the environment variable HYDRA_FULL_ERROR=1.*$', '') AS traceback FROM l""",
+    "objective_parse": """WITH o AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN (doc_id || '.25')::DOUBLE END AS o FROM documents) SELECT doc_id, o AS objective, o IS NOT NULL AS ok FROM o""",
     "document_slugs": "SELECT p_partkey, COALESCE(NULLIF(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(p_name, '^\\s+|\\s+$', '', 'g'), '[\\\\/:]', '_', 'g'), '\\s+', '_', 'g'), ''), 'unknown_model') AS slug, SUBSTR(MD5(p_name), 1, 6) AS short_id FROM part",
     "order_count_check": "SELECT COUNT(DISTINCT l_orderkey) AS n, COUNT(DISTINCT l_orderkey) AS expected FROM lineitem",
     "vehicle_ratio_summary": f"""WITH {ORDERS}, c AS (SELECT *, 45000 - o_orderpriority[1]::INT * 1000 AS capacity FROM ord)
@@ -313,3 +325,53 @@ t AS (SELECT *, ROW_NUMBER() OVER (ORDER BY tree, node NULLS FIRST) - 1 AS token
 SELECT row_id, l.tree, COALESCE(t.token, u.token) AS token, ROUND(GREATEST(LEAST(COALESCE(t.p, u.p), 0.9999), 0.0001), 6) AS pos_rate, ROUND(LN(1 + COALESCE(t.c, 0)), 6) AS log_count,
   ROUND(CASE WHEN t.node IS NULL THEN 0 ELSE n.depth / (SELECT MAX(depth) FROM n m WHERE m.tree = l.tree)::DOUBLE END, 6) AS depth_norm, ROUND(CASE WHEN t.node IS NULL THEN 0 ELSE 1 / (t.node + 1.0::DOUBLE) END, 6) AS impurity
 FROM l JOIN n USING (tree, node) LEFT JOIN t ON t.tree = l.tree AND t.node = l.node JOIN t u ON u.tree = l.tree AND u.node IS NULL WHERE new"""
+
+_RANKED = f"{PEOPLE}, pop AS (SELECT *, p_partkey // {base.MEMBERS} AS population FROM people)"
+ORACLE |= {
+    "parents_with_replacement": f"""WITH {_RANKED}, w AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY population ORDER BY score, p_partkey) - 1 AS rank, COUNT(*) OVER (PARTITION BY population) AS n FROM pop),
+c AS (SELECT *, 1 / (rank + 1 + n)::DOUBLE AS v FROM w), i AS (SELECT *, SUM(v) OVER (PARTITION BY population ORDER BY rank) / SUM(v) OVER (PARTITION BY population) AS high, v / SUM(v) OVER (PARTITION BY population) AS p FROM c),
+u AS (SELECT population, k, ('0x' || SUBSTR(MD5('2024:' || population || ':' || k), 1, 12))::BIGINT / 281474976710656::DOUBLE AS u FROM (SELECT DISTINCT population FROM pop), (SELECT UNNEST(RANGE(6)) AS k))
+SELECT population, k // 2 AS draw, (k % 2)::INT AS nth, p_partkey FROM i JOIN u USING (population) WHERE u >= high - p AND (u < high OR rank = n - 1)""",
+    "better_half": f"""WITH {_RANKED}, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY population ORDER BY score DESC, p_partkey) AS rank, COUNT(*) OVER (PARTITION BY population) AS n FROM pop)
+SELECT population, p_partkey, rank, rank <= n // 5 AS elite FROM r WHERE rank <= n - n // 2""",
+    "next_generation": f"""WITH {_RANKED}, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY population ORDER BY score DESC, p_partkey) AS rank, COUNT(*) OVER (PARTITION BY population) AS n FROM pop),
+e AS (SELECT population, p_partkey, score, 'elite' AS origin FROM r WHERE rank <= n // 5), k AS (SELECT population, COUNT(*) AS k FROM e GROUP BY 1),
+c AS (SELECT population - 1 AS population, p_partkey, score, ROW_NUMBER() OVER (PARTITION BY population ORDER BY p_partkey) AS nth FROM pop WHERE population > 0)
+SELECT * FROM e UNION ALL SELECT population, p_partkey, score, 'child' FROM c LEFT JOIN k USING (population) WHERE nth <= {base.MEMBERS} - COALESCE(k, 0)""",
+    "population_appended": f"""WITH {PEOPLE}, s AS (SELECT p_partkey, ROUND(score, 5) AS score, p_partkey % 4 = 0 AS old FROM people WHERE p_partkey % 4 = 0 OR size > 3)
+SELECT p_partkey, score, NOT old AND (score IN (SELECT score FROM s WHERE old) OR ROW_NUMBER() OVER (PARTITION BY old, score ORDER BY p_partkey) > 1) AS repeated FROM s""",
+    "renumbered_bins": f"""WITH {ARRIVALS}, b AS (SELECT instance, seq, item % 17 AS bin FROM arr), f AS (SELECT instance, bin, ROW_NUMBER() OVER (PARTITION BY instance ORDER BY s) - 1 AS number FROM (SELECT instance, bin, MIN(seq) AS s FROM b GROUP BY ALL))
+SELECT instance, seq, number, n_labels FROM b JOIN f USING (instance, bin) JOIN (SELECT instance, COUNT(*) AS n_labels FROM f GROUP BY 1) USING (instance)""",
+    "repaired_tours": f"""WITH {NODES}, t AS (SELECT instance, node AS pos, node FROM nodes),
+s AS (SELECT instance, pos, node, ROW_NUMBER() OVER (PARTITION BY instance ORDER BY {uniform("pos")}) - 1 AS pick, ROW_NUMBER() OVER (PARTITION BY instance ORDER BY node) - 1 AS nth FROM t WHERE pos % 50 BETWEEN 10 AND 19),
+n AS (SELECT a.instance, a.pos, b.node FROM s a JOIN s b ON a.instance = b.instance AND a.pick = b.nth),
+v AS (SELECT 0 AS k, * FROM t UNION ALL SELECT 1, instance, pos, COALESCE(n.node, t.node) FROM t LEFT JOIN n USING (instance, pos)),
+e AS (SELECT k, instance, pos, node, x, y, COALESCE(LEAD(x) OVER w, FIRST_VALUE(x) OVER w) AS x2, COALESCE(LEAD(y) OVER w, FIRST_VALUE(y) OVER w) AS y2 FROM v JOIN nodes USING (instance, node) WINDOW w AS (PARTITION BY k, instance ORDER BY pos)),
+l AS (SELECT k, instance, SUM(SQRT((x - x2) * (x - x2) + (y - y2) * (y - y2))) AS length, SUM(pos * node)::BIGINT AS mark FROM e GROUP BY ALL)
+SELECT a.instance, ROUND(a.length, 6) AS before, ROUND(b.length, 6) AS after, b.length < a.length AS taken, CASE WHEN b.length < a.length THEN b.mark ELSE a.mark END AS mark FROM l a JOIN l b ON a.instance = b.instance AND a.k = 0 AND b.k = 1""",
+    "pheromone_step": f"""WITH {NODES}, t AS (SELECT instance, 0 AS tour, node AS pos, node, x, y FROM nodes UNION ALL SELECT instance, 1, ROW_NUMBER() OVER (PARTITION BY instance ORDER BY x, node), node, x, y FROM nodes),
+e AS (SELECT instance, tour, node AS u, COALESCE(LEAD(node) OVER w, FIRST_VALUE(node) OVER w) AS v, x, y, COALESCE(LEAD(x) OVER w, FIRST_VALUE(x) OVER w) AS x2, COALESCE(LEAD(y) OVER w, FIRST_VALUE(y) OVER w) AS y2 FROM t WINDOW w AS (PARTITION BY instance, tour ORDER BY pos)),
+c AS (SELECT instance, tour, ROUND(SUM(SQRT((x - x2) * (x - x2) + (y - y2) * (y - y2))), 6) AS cost FROM e GROUP BY ALL),
+b AS (SELECT instance, tour, u, v FROM e UNION ALL SELECT instance, tour, v, u FROM e), a AS (SELECT instance, u, v, SUM(1 / cost) AS added FROM b JOIN c USING (instance, tour) GROUP BY ALL),
+s AS (SELECT instance, node AS u, node + 1 AS v, 1 + (node % 3) / 4.0::DOUBLE AS value FROM nodes)
+SELECT instance, u, v, ROUND(COALESCE(value, 1) * 0.9::DOUBLE + COALESCE(added, 0), 6) AS value FROM s FULL JOIN a USING (instance, u, v)""",
+    "route_augmentations": f"""WITH {DEPOT}, r AS (SELECT *, SUM(from_depot) OVER (PARTITION BY instance ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS route FROM flags),
+e AS (SELECT instance, route, MIN(pos) AS first, MAX(pos) AS last FROM r GROUP BY ALL), g AS (SELECT *, MAX(last) OVER (PARTITION BY instance) AS n, COUNT(*) OVER (PARTITION BY instance) AS routes FROM e),
+s AS (SELECT * FROM r JOIN g USING (instance, route)),
+i AS (SELECT instance, node, first, CASE WHEN {uniform("(instance || ':' || route)", 1)} <= 0.5 THEN first + last - pos ELSE pos END AS pos FROM s),
+h AS (SELECT instance, node, n, CASE WHEN w THEN n + 1 - pos ELSE pos END AS pos, CASE WHEN w THEN n + 1 - last ELSE first END AS first, CASE WHEN w THEN routes + 1 - route ELSE route END AS route,
+  FLOOR({uniform("instance", 2)} * routes) + 1 AS head FROM (SELECT *, {uniform("instance", 1)} >= 0.5 AS w FROM s)),
+z AS (SELECT instance, MIN(first) AS start FROM h WHERE route = head GROUP BY 1)
+SELECT 'inverted' AS form, instance, pos::BIGINT AS pos, node, (pos = first)::INT AS from_depot FROM i
+UNION ALL SELECT 'shifted', instance, ((pos - start + n) % n + 1)::BIGINT, node, (pos = first)::INT FROM h JOIN z USING (instance)""",
+}
+
+_BY_RANK = ", ".join(f"NULLIF(CASE r{i} {' '.join(f'WHEN {chr(39)}{n}{chr(39)} THEN {n}' for n in _RULE_NAMES)} END, -1)" for i in (1, 2, 3))
+ORACLE |= {
+    "best_rules_hybrid": f"""WITH {fitness_cte(_RULE_NAMES)}, k AS (SELECT rule, ROW_NUMBER() OVER (ORDER BY ROUND(raw_score * penalty, 9) DESC, fn_corr + fp_corr DESC, easy_overrides, nth) AS rank FROM sc),
+t AS (SELECT MAX(rule) FILTER (rank = 1) AS r1, MAX(rule) FILTER (rank = 2) AS r2, MAX(rule) FILTER (rank = 3) AS r3 FROM k) SELECT row_id, pred, COALESCE({_BY_RANK}, pred) AS hybrid FROM ruled, t""",
+    "false_alarm_accuracy": f"""WITH {RULED}, h AS (SELECT * FROM hyb WHERE error_type = 'FP'),
+m AS (SELECT COUNT(*) FILTER (pred = 0)::DOUBLE AS t1, COUNT(*) FILTER (pred = 1)::DOUBLE AS f1, COUNT(*) FILTER (hybrid = 0)::DOUBLE AS t2, COUNT(*) FILTER (hybrid = 1)::DOUBLE AS f2 FROM h),
+l AS (SELECT 'tn' AS metric, t1 AS before, t2 AS after FROM m UNION ALL SELECT 'fp', f1, f2 FROM m UNION ALL SELECT 'accuracy', COALESCE(t1 / NULLIF(t1 + f1, 0), 0), COALESCE(t2 / NULLIF(t1 + f1, 0), 0) FROM m)
+SELECT metric, ROUND(before, 9) AS before, ROUND(after, 9) AS after, ROUND(after - before, 9) AS delta, CASE WHEN after > before THEN 'up' WHEN after < before THEN 'down' ELSE 'same' END AS direction FROM l""",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from palletry.functions import numeric, text
-from palletry.operators import cases as C, feasibility as Z, features as E, geometry as G, metrics as M, packing as B, population as P, rules as R, splits as X
+from palletry.operators import cases as C, feasibility as Z, features as E, geometry as G, metrics as M, packing as B, population as P, rules as R, scoring as S, splits as X, tours as T
 from palletry.plans import base
 from palletry.sources.io import table, tsplib_points
 from palletry.sources.snapshots import stored
@@ -231,13 +231,21 @@ def top_item_types(spark, d):
 
 @query
 def coef_ranking(spark, d):
-    return base.MODEL.ranked_coefficients(table(spark, d, "region"), 4)
+    """A model table with a weight for each part; the 30 largest weights either way."""
+    m = table(spark, d, "part").select(F.col("p_partkey").alias("nth"), F.col("p_name").alias("feature"), F.round((F.col("p_retailprice") - 1400) / 1000, 3).alias("weight"))
+    return S.top_coefficients(m, 30)
 
 
 @query
 def checkpoint_diff(spark, d):
-    kv = lambda pairs: spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in pairs])).alias("x")).select("x.*")
-    return P.changed_settings(kv([("seed", "42"), ("islands", "4"), ("mode", "svm")]), kv([("seed", "42"), ("islands", "6"), ("top_k", "3")]))
+    """Nations as settings: customers are what was stored, as decimals; what is given now are customers again (even keys) or
+    suppliers, as whole numbers."""
+    count = lambda t, c: table(spark, d, t).groupBy(F.col(c).alias("n_nationkey")).agg(F.count("*").alias("n"))
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("key"))
+    before, suppliers = count("customer", "c_nationkey"), count("supplier", "s_nationkey").where("n_nationkey % 2 = 1")
+    now = before.where("n_nationkey % 2 = 0").unionByName(suppliers)
+    named = lambda t, text_: t.join(n, "n_nationkey").select("key", text_.alias("value"))
+    return P.changed_settings(named(before, F.concat(F.col("n").cast("string"), F.lit(".0"))), named(now, F.col("n").cast("string")))
 
 
 @query
@@ -412,34 +420,57 @@ def label_counts(spark, d):
     return table(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
-RESPONSES = (
-    (1, "text\n```python\ndef apply_rule_patch(p, f):\n    return 1\n```\nmore"), (2, "```py\ndef apply_rule_patch(p, f):\n    return 0\n```"),
-    (3, "```python\ndef apply_rule_patch(p, f):\n    return -1"), (4, "```\ndef apply_rule_patch(p, f): return 1\n```"), (5, "no code"),
-    (6, "```python\nx = 1\n```"), (7, ""),
+#: What stands before and after a turn's text to make it a response: closed, open, untagged and several fences, or none.
+SHAPES = (
+    ("text\n```python\ndef apply_rule_patch(p, f):\n    return 1\n# ", "\n```\nmore"), ("```py\ndef apply_rule_patch(p, f):\n    return 0\n```\n", ""),
+    ("```python\ndef apply_rule_patch(p, f):\n    return -1\n# ", ""), ("```\ndef apply_rule_patch(p, f): return 1\n```\n", ""), ("", ""), ("```python\nx = 1\n```", ""),
+    ("```Python3\ndef apply_rule_patch(p, f): return 0\n```\n```python\ndef apply_rule_patch(p, f): return 1\n# ", "\n```"), ("```python\nx = 2\n", ""),
 )
-LOGS = ((1, "start\n3.25\ndone"), (2, "x\nTraceback (most recent call last):\n  File a\nValueError: b\nSet the environment variable HYDRA_FULL_ERROR=1\nend"), (3, "Traceback\nlast"), (4, "one"), (5, "a\nnot\nz"))
 
 
-def _inline(spark, rows):
-    return spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("t")) for i, t in rows])).alias("x")).select("x.*")
+def _shaped(key, value):
+    """A text between the parts that its key picks; null counts as empty."""
+    part = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in SHAPES]), (F.pmod(key, F.lit(len(SHAPES))) + 1).cast("int"))
+    return F.concat(part(0), F.coalesce(value, F.lit("")), part(1))
+
+
+def _responses(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", _shaped(F.col("conv_id") + F.col("turn"), F.col("text")).alias("t"))
+
+
+def _logs(spark, d):
+    """Documents as logs: a traceback in the midst with the hint that ends it, at the start, at the end, or none; an objective in
+    the second-last line of every third."""
+    k, t, line = F.col("doc_id"), F.coalesce("text", F.lit("")), "\n"
+    made = F.when(k % 4 == 0, F.concat(t, F.lit("\nTraceback (most recent call last):\n"), t, F.lit("\nValueError: x\nSet the environment variable HYDRA_FULL_ERROR=1\nend")))
+    made = made.when(k % 4 == 1, F.concat(F.lit("Traceback\n"), t)).when(k % 4 == 2, t).otherwise(F.concat(t, F.lit("\nTraceback at last")))
+    value = F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit(".25"))).otherwise("not a number")
+    return table(spark, d, "documents").select("doc_id", made.alias("log"), F.concat_ws(line, t, value, F.lit("done")).alias("stdout"))
 
 
 @query
 def code_fence_extract(spark, d):
-    r = _inline(spark, RESPONSES)
+    """Every turn as a response: the codes in it, and why it gave none."""
     codes = text.rule_code(F.col("t"))
-    return r.select("id", F.size(codes).alias("n"), F.coalesce(F.try_element_at(codes, F.lit(1)), F.lit("")).alias("code"), text.failure_detail(F.col("t")).alias("detail"))
+    return _responses(spark, d).select("conv_id", "turn", F.size(codes).alias("n"), F.coalesce(F.try_element_at(codes, F.lit(1)), F.lit("")).alias("code"), text.failure_detail(F.col("t")).alias("detail"))
+
+
+@query
+def response_failures(spark, d):
+    """What is reported of the turns that gave no code."""
+    r = _responses(spark, d).select("conv_id", "turn", text.failure_info(F.col("t"), most=200).alias("i")).where("i is not null")
+    return r.select("conv_id", "turn", F.col("i.kind").alias("failure_kind"), F.col("i.message").alias("failure_message"), F.col("i.detail").alias("failure_detail"), F.col("i.preview").alias("response_preview"))
 
 
 @query
 def traceback_filter(spark, d):
-    return _inline(spark, LOGS).select("id", text.traceback(F.col("t")).alias("traceback"))
+    return _logs(spark, d).select("doc_id", text.traceback(F.col("log")).alias("traceback"))
 
 
 @query
 def objective_parse(spark, d):
-    o = text.objective(F.col("t"))
-    return _inline(spark, LOGS).select("id", F.when(o < float("inf"), o).alias("objective"), (o < float("inf")).alias("ok"))
+    o = text.objective(F.col("stdout"))
+    return _logs(spark, d).select("doc_id", F.when(o < float("inf"), o).alias("objective"), (o < float("inf")).alias("ok"))
 
 
 @query
@@ -679,3 +710,89 @@ def tsplib_gaps(spark, d):
     p = tsplib_points(lines)
     near = G.nearest_nodes(p, 1).groupBy("instance").agg(F.sum("d").alias("optimum"))
     return rounded(G.gaps(G.tour_length(p.withColumnRenamed("node", "pos")), near), 4, "mean", "std", "gap_pct", "optimum")
+
+
+@query
+def parents_with_replacement(spark, d):
+    """Three draws of two parents in every population of parts, by chances that fall with the rank."""
+    return P.drawn_parents(_populations(spark, d), ["score", "p_partkey"], "p_partkey", ["population"], 3, 2)
+
+
+@query
+def better_half(spark, d):
+    s = P.survivors(_populations(spark, d), "score", "p_partkey", ["population"], 0.2)
+    return s.select("population", "p_partkey", "rank", "elite")
+
+
+@query
+def next_generation(spark, d):
+    """Elites of each population of parts, and the next population's parts as children until there are as many as members."""
+    p = _populations(spark, d).select("population", "p_partkey", "score")
+    kept = P.survivors(p, "score", "p_partkey", ["population"], 0.2)
+    children = p.withColumn("population", F.col("population") - 1).where("population >= 0")
+    return P.next_population(kept, children, "p_partkey", ["population"], base.MEMBERS)
+
+
+@query
+def population_appended(spark, d):
+    """All offspring that ran join, also those of an objective that is there already."""
+    p = _people(spark, d).withColumn("exec_success", F.col("size") > 3)
+    old, new = p.where("p_partkey % 4 = 0"), p.where("p_partkey % 4 <> 0")
+    return P.joined_by(old, P.valid(new, "score"), "p_name", "score", "p_partkey", repeats=True).select("p_partkey", "score", "repeated")
+
+
+@query
+def renumbered_bins(spark, d):
+    """Items of all users in labelled bins, renumbered in the order in which the bins appear."""
+    return B.renumbered(base.arrivals(spark, d).withColumn("bin", F.col("item") % 17), "bin", "seq", "instance").select("instance", "seq", "number", "n_labels")
+
+
+def _node_tours(spark, d):
+    return base.nodes(spark, d).select("instance", F.col("node").alias("pos"), "node")
+
+
+@query
+def repaired_tours(spark, d):
+    """Ten positions of each tour filled in another order; the shorter tour stays."""
+    t = _node_tours(spark, d)
+    some = t.where(F.col("pos") % base.NODES >= 10).where(F.col("pos") % base.NODES < 20)
+    pick = F.row_number().over(Window.partitionBy("instance").orderBy(numeric.hash_fraction(F.col("pos")))) - 1  # of ten rows
+    tours, report = T.accepted(t, T.spliced(t, some.select("instance", "pos", pick.alias("pick"))), base.nodes(spark, d).select("instance", "node", "x", "y"))
+    mark = tours.groupBy("instance").agg(F.sum(F.col("pos") * F.col("node")).alias("mark"))
+    return rounded(report.join(mark, "instance"), 6, "before", "after")
+
+
+@query
+def pheromone_step(spark, d):
+    """Two tours of each instance, by node and by place, laid onto stored levels of neighbouring nodes."""
+    n = base.nodes(spark, d)
+    pos = F.row_number().over(Window.partitionBy("instance").orderBy("x", "node"))  # of 50 rows
+    tours = n.select("instance", F.lit(0).alias("tour"), F.col("node").alias("pos"), "node", "x", "y").unionByName(n.select("instance", F.lit(1).alias("tour"), pos.alias("pos"), "node", "x", "y"))
+    key = F.col("instance") * 2 + F.col("tour")
+    costs = G.tour_length(tours.select(key.alias("instance"), "pos", "x", "y")).select(F.floor(F.col("instance") / 2).alias("instance"), (F.col("instance") % 2).cast("int").alias("tour"), F.round("length", 6).alias("cost"))
+    state = n.select("instance", F.col("node").alias("u"), (F.col("node") + 1).alias("v"), (1 + (F.col("node") % 3) / 4).alias("value"))
+    return rounded(T.deposited(state, tours, costs), 6, "value")
+
+
+@query
+def route_augmentations(spark, d):
+    """Two other forms of each order's solution: routes turned round, and another route first."""
+    flags = G.depot_flags(_depot_tour(spark, d))
+    form = lambda name, t: t.select(F.lit(name).alias("form"), "instance", F.col("pos").cast("long").alias("pos"), "node", "from_depot")
+    return form("inverted", T.inverted(flags)).unionByName(form("shifted", T.shifted(flags)))
+
+
+@query
+def best_rules_hybrid(spark, d):
+    """Predictions after the three best of all rules, as ranked by their fitness."""
+    cases, rules = stored(base.cases(spark, d), "cases"), base.rule_columns()
+    best = R.best_rules(R.ranked(R.fitness(cases, rules)), rules, 3)
+    return R.applied(cases, best).select("row_id", "pred", "hybrid")
+
+
+@query
+def false_alarm_accuracy(spark, d):
+    """Metrics on false alarms alone, before and after the rules: without a mask of missed rows that of false alarms serves."""
+    h = M.hard_rows(_hybrid(spark, d), fp=F.col("error_type") == "FP")
+    names = ["tn", "fp", "accuracy"]
+    return rounded(M.deltas(M.classification(h), M.classification(h, pred="hybrid"), names), 9, "before", "after", "delta")

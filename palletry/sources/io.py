@@ -63,9 +63,9 @@ def read_linear_model(spark: SparkSession, path: str) -> DataFrame:
     return m.select(F.posexplode(parts).alias("nth", "p"), F.col("intercept")[0].alias("intercept")).select("nth", "p.*", "intercept")
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Stored rules, as data only; lacking counts are zero."""
-    r = spark.read.schema(RULES).option("multiLine", True).json(path)
+def read_rules(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Stored rules, as data only, of a JSON array or of `lines`; lacking counts are zero."""
+    r = spark.read.schema(RULES).option("multiLine", not lines).json(path)
     return r.fillna({"fn_corr": 0, "fp_corr": 0, "fn_miss": 0, "fp_over": 0, "score": 0.0, "island_id": 0, "easy_overrides": 0})
 
 
@@ -76,6 +76,35 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     return r.withColumn("run", F.regexp_extract("path", r"/([^/]+)/results\.json$", 1)).orderBy("path")
 
 
+def experiments(runs: DataFrame) -> DataFrame:
+    """Of `read_runs` those in folders `exp_...` somewhere below a folder `by_model`."""
+    return runs.where(F.col("run").startswith("exp_") & F.col("path").contains("/by_model/"))
+
+
+def with_rule_counts(runs: DataFrame, root: str) -> DataFrame:
+    """`read_runs` with `n_rules`: the length of the evolved_rules.json beside each results.json; null without one or if it is no list.
+
+    Both file trees are joined by the parent folder.
+    """
+    spark = runs.sparkSession
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "evolved_rules.json").text(root)
+    folder = lambda path: F.regexp_replace(path, r"/[^/]*$", "")
+    counts = files.select(folder(F.col("_metadata.file_path")).alias("_folder"), F.json_array_length("value").cast("long").alias("n_rules"))
+    return runs.withColumn("_folder", folder(F.col("path"))).join(counts, "_folder", "left").drop("_folder")
+
+
+def write_linear_model(spark: SparkSession, features, intercept: float, path: str, c: float = 10.0, drop: tuple[str, ...] = ()) -> None:
+    """A linear model, (name, low, high, weight) for each feature, as the JSON document that `read_linear_model` reads."""
+    names, low, high, weight = ([f[i] for f in features] for i in range(4))
+    row = ([float(v) for v in low], [float(v) for v in high], names, [*drop], [[float(v) for v in weight]], [float(intercept)], float(c), "linear")
+    spark.createDataFrame([row], LINEAR_MODEL).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_rules(rules: DataFrame, path: str) -> None:
+    """Rules as JSON lines, a rule a line, for `read_rules(..., lines=True)`; those of many islands need no single task."""
+    rules.select(*RULES.fieldNames()).write.mode("overwrite").json(path)
+
+
 def last_snapshot(spark: SparkSession, root: str, pattern: str = r"iter_(\d+)") -> DataFrame:
     """The largest iteration number found in file names below a folder (-1 if there is none)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path"))

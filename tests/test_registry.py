@@ -8,7 +8,7 @@ from palletry.plans.oracle import ORACLE
 from palletry.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "nation customer supplier part orders lineitem events embeddings labels".split()
+TABLES = "nation customer supplier part orders lineitem events documents embeddings labels conversations".split()
 
 
 @pytest.fixture(scope="module")

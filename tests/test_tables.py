@@ -96,8 +96,9 @@ def test_packing_checks(spark):
 
 
 def test_code_texts(spark):
-    from palletry.plans.queries import RESPONSES
-
+    fixed = "def apply_rule_patch(p, f):"
+    responses = [f"text\n```python\n{fixed}\n    return 1\n```\nmore", f"```py\n{fixed}\n    return 0\n```", f"```python\n{fixed}\n    return -1", f"```\n{fixed} return 1\n```", "no code", "```python\nx = 1\n```", ""]
+    RESPONSES = list(enumerate(responses, 1))
     r = {x.id: x.c for x in spark.createDataFrame(RESPONSES, "id long, t string").select("id", T.rule_code(F.col("t")).alias("c")).collect()}
     assert [len(r[i]) for i in range(1, 8)] == [1, 1, 1, 1, 0, 0, 0] and r[3][0].endswith("return -1") and r[2][0].endswith("return 0")
     df = spark.createDataFrame([("x\ndef a():\n  b\n  return np.c\nd",), ("```python\nq\n```",), ("none",)], "t string")
