@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
 from functools import reduce
+from heapq import heappop, heappush
 from operator import and_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from palletry.operators.population import ranked_within
@@ -74,32 +77,105 @@ PRIORITIES = {"best_fit": best_fit, "first_fit": first_fit, "score_step": score_
 SPARE = 2
 
 
-def pack_online(items: np.ndarray, capacity: float, priority: str = "best_fit") -> np.ndarray:
-    """The bin of each item, in order of arrival: the first of highest priority among the bins with room.
+class OnlinePacker:
+    """Packs items one after another: the first bin of highest priority among those with room; -1 if none has.
 
     There are as many bins as items. Only those up to the last used one and `SPARE` after it can win, as any further one
-    has the priority of the one before it; items over the capacity get bin -1.
+    has the priority of the one before it. The state is the rooms of the used bins, so items may come in pieces.
     """
-    score = PRIORITIES[priority]
-    room, used, out = np.full(len(items), float(capacity)), 0, np.full(len(items), -1, np.int64)
-    for i, item in enumerate(items):
-        fits = np.flatnonzero(room[: used + SPARE] >= item)
-        if len(fits):
-            b = fits[int(np.argmax(score(item, room[fits])))]
-            room[b] -= item
-            out[i] = b
-            used = max(used, b + 1)
-    return out
+
+    def __init__(self, capacity: float, priority: str = "best_fit"):
+        self.capacity, self.score, self.used = float(capacity), PRIORITIES[priority], 0
+        self.room = np.full(64, self.capacity)
+
+    def pack(self, items: np.ndarray) -> np.ndarray:
+        out = np.full(len(items), -1, np.int64)
+        for i, item in enumerate(items):
+            if self.used + SPARE > len(self.room):
+                self.room = np.r_[self.room, np.full(len(self.room), self.capacity)]
+            fits = np.flatnonzero(self.room[: self.used + SPARE] >= item)
+            if len(fits):
+                b = fits[int(np.argmax(self.score(item, self.room[fits])))]
+                self.room[b] -= item
+                out[i] = b
+                self.used = max(self.used, b + 1)
+        return out
+
+
+class BestFitPacker(OnlinePacker):
+    """The same for `best_fit`: bins by room in order, so an item costs a search, not a look at every bin."""
+
+    def __init__(self, capacity: float):
+        self.capacity, self.used = float(capacity), 0
+        self.rooms: list[float] = []
+        self.bins: dict[float, list[int]] = {}
+
+    def _put(self, bin_: int, room: float) -> None:
+        if room not in self.bins:
+            insort(self.rooms, room)
+            self.bins[room] = []
+        heappush(self.bins[room], bin_)
+
+    def pack(self, items: np.ndarray) -> np.ndarray:
+        out = np.full(len(items), -1, np.int64)
+        for i, item in enumerate(items.tolist()):
+            if item > self.capacity:
+                continue
+            at = bisect_left(self.rooms, item)
+            if at < len(self.rooms):
+                room = self.rooms[at]
+                out[i] = heappop(self.bins[room])
+                if not self.bins[room]:
+                    del self.bins[room], self.rooms[at]
+            else:
+                room, out[i] = self.capacity, self.used
+                self.used += 1
+            self._put(int(out[i]), room - item)
+        return out
+
+
+def packer(capacity: float, priority: str) -> OnlinePacker:
+    return BestFitPacker(capacity) if priority == "best_fit" else OnlinePacker(capacity, priority)
+
+
+def pack_online(items: np.ndarray, capacity: float, priority: str = "best_fit") -> np.ndarray:
+    """The bin of each item, in order of arrival."""
+    return packer(capacity, priority).pack(np.asarray(items, float))
 
 
 def online(items: DataFrame, capacity: float, priority: str = "best_fit") -> DataFrame:
-    """(instance, seq, item, bin): each instance is packed by one task, in order of `seq`."""
+    """(instance, seq, item, bin): each instance is packed in order of `seq`.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        return pdf.assign(bin=pack_online(pdf["item"].to_numpy(float), capacity, priority))[["instance", "seq", "item", "bin"]]
+    Spark sorts a task's rows, spilling if need be; they pass as a stream, of which the task holds a batch and the bins of the
+    instance at hand. So an instance of any number of items fits a task, though one task has to pack it, as each item's bin
+    depends on all before it.
+    """
 
-    return items.select("instance", "seq", F.col("item").cast("double").alias("item")).groupBy("instance").applyInPandas(run, "instance long, seq long, item double, bin long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for b in batches:
+            instance = b.column(0).to_pylist()
+            item = b.column(2).to_numpy()
+            edges = [0, *[i for i in range(1, len(instance)) if instance[i] != instance[i - 1]], len(instance)]
+            out = np.empty(len(instance), np.int64)
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if hi == lo:
+                    continue
+                if state is None or instance[lo] != current:
+                    current, state = instance[lo], packer(capacity, priority)
+                out[lo:hi] = state.pack(item[lo:hi])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], ["instance", "seq", "item", "bin"])
+
+    kinds = dict(items.dtypes)
+    rows = items.select("instance", "seq", F.col("item").cast("double").alias("item")).repartition("instance").sortWithinPartitions("instance", "seq")
+    return rows.mapInArrow(run, f"instance {kinds['instance']}, seq {kinds['seq']}, item double, bin long")
+
+
+def packing_report(packed: DataFrame, capacity: float) -> DataFrame:
+    """(instance, bins, n_items, total, bound) of packed items, in one aggregation: used bins against the least number by volume."""
+    used = F.count_distinct(F.when((F.col("bin") >= 0) & (F.col("item") > 0), F.col("bin"))).cast("long")
+    g = packed.groupBy("instance").agg(used.alias("bins"), F.count("*").alias("n_items"), F.sum("item").alias("total"))
+    return g.withColumn("bound", F.ceil(F.col("total") / capacity).cast("long"))
 
 
 def used_bins(packed: DataFrame) -> DataFrame:

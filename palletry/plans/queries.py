@@ -479,8 +479,8 @@ def document_slugs(spark, d):
 
 
 def _online(spark, d, priority):
-    packed = B.online(base.arrivals(spark, d), 100.0, priority)
-    return B.used_bins(packed).join(B.lower_bound(base.arrivals(spark, d), 100.0), "instance")
+    r = B.packing_report(B.online(base.arrivals(spark, d), 100.0, priority), 100.0)
+    return r.where("bins > 0").withColumn("total", F.col("total").cast("long"))
 
 
 @query

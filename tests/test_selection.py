@@ -162,3 +162,43 @@ def test_masks_and_best_rules(spark):
     best = R.best_rules(ranks, {"x": F.lit(-1), "y": F.lit(1), "z": None, "w": F.lit(0)}, 3)
     assert len(best) == 2 and R.applied(df.withColumn("pred", F.lit(0)), best).first().hybrid == 1
     assert R.applied(df.withColumn("pred", F.lit(0)), []).first().hybrid == 0
+
+
+@pytest.mark.parametrize("priority", ["best_fit", "first_fit", "score_step"])
+def test_online_packing_in_pieces_equals_a_plain_loop(priority):
+    """Items in pieces of any length give the bins of a loop over all bins, zero and too large items included."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(12):
+        items = np.array([rng.choice([0.0, 101.0, *range(1, 101), *range(1, 30)]) for _ in range(rng.randint(1, 90))], float)
+        if priority == "score_step":
+            items = items[items > 0]
+        room, want = np.full(len(items), 100.0), []
+        for item in items:
+            fits = np.flatnonzero(room >= item)
+            b = int(fits[np.argmax(B.PRIORITIES[priority](item, room[fits]))]) if len(fits) else -1
+            want.append(b)
+            if b >= 0:
+                room[b] -= item
+        state, got, at = B.packer(100.0, priority), [], 0
+        while at < len(items):
+            n = rng.randint(1, 9)
+            got += state.pack(items[at : at + n]).tolist()
+            at += n
+        assert got == want
+
+
+def test_one_instance_of_most_items_streams_through_its_task(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 3 < 2, 1).otherwise(F.col("id") % 50).cast("long").alias("instance"), "id", (F.col("id") * 37 % 100 + 1).cast("double").alias("item")).withColumnRenamed("id", "seq")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        got = B.online(df, 100.0).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for k in {r.instance for r in got}:
+        own = [r for r in got if r.instance == k]
+        assert [r.bin for r in own] == B.pack_online([r.item for r in own], 100.0).tolist()
