@@ -22,7 +22,8 @@ def logit(p: Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(x, F.lit(high)), F.lit(low))
+    """x kept between two bounds; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
 
 
 def ratio(a: Column, b: Column, default: float | None = 0.0) -> Column:

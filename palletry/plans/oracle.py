@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from palletry.plans import base
 from palletry.functions import text
-from palletry.plans.queries import SHAPES
+from palletry.plans.queries import CODE_SHAPES, SHAPES
 
 ITEMS = """items AS (SELECT l_orderkey AS dispatch_id, l_linenumber::BIGINT * 1000000000 + l_partkey * 100 + l_quantity::BIGINT AS seq,
   p_size AS length, l_quantity::INT AS width, l_linenumber + 4 AS height FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -375,3 +375,34 @@ m AS (SELECT COUNT(*) FILTER (pred = 0)::DOUBLE AS t1, COUNT(*) FILTER (pred = 1
 l AS (SELECT 'tn' AS metric, t1 AS before, t2 AS after FROM m UNION ALL SELECT 'fp', f1, f2 FROM m UNION ALL SELECT 'accuracy', COALESCE(t1 / NULLIF(t1 + f1, 0), 0), COALESCE(t2 / NULLIF(t1 + f1, 0), 0) FROM m)
 SELECT metric, ROUND(before, 9) AS before, ROUND(after, 9) AS after, ROUND(after - before, 9) AS delta, CASE WHEN after > before THEN 'up' WHEN after < before THEN 'down' ELSE 'same' END AS direction FROM l""",
 }
+
+_CODE_WRAP = " ".join(f"WHEN {i} THEN {_quoted(a)} || t || {_quoted(b)}" for i, (a, b) in enumerate(CODE_SHAPES))
+_STRIPPED = "REGEXP_REPLACE({}, '^\\s+|\\s+$', '', 'g')".format
+ORACLE |= {
+    "items_from_csv": f"WITH {ITEMS} SELECT dispatch_id, COUNT(*) AS n, SUM(v)::BIGINT AS volume FROM boxes GROUP BY 1",
+    "rules_from_json": """SELECT p_partkey::VARCHAR AS id, p_name AS code, CASE WHEN p_partkey % 3 <> 0 THEN p_size ELSE 0 END::BIGINT AS fn_corr, 0::BIGINT AS fn_miss,
+  CASE WHEN p_partkey % 5 <> 0 THEN ROUND(p_retailprice, 1) ELSE 0 END AS score, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 4 ELSE 0 END AS island_id FROM part""",
+    "model_from_json": f"WITH {SCORED} SELECT row_id, prob, pred FROM scored",
+    "runs_from_files": f"""WITH {SCORED}, m AS (SELECT o_orderpriority AS p, o_orderpriority[1]::INT AS nth, ROUND(AVG((pred = gt)::INT), 6) AS a FROM scored GROUP BY 1)
+SELECT CASE WHEN nth = 3 THEN p ELSE 'm' || nth END AS model, 'exp_' || nth AS run, '\u2014' AS timestamp, CASE WHEN nth = 2 THEN 'yes (from ?)' ELSE 'no' END AS resumed, PRINTF('%.4f', a) AS svm_accuracy, '0.5000' AS hybrid_accuracy,
+  PRINTF('%+.4f', 0.5 - a) AS delta, '0.250000' AS best_rule_score, CASE WHEN nth IN (2, 3) THEN nth END::BIGINT AS n_rules FROM m WHERE nth < 5""",
+    "last_iteration": "SELECT MAX(n_nationkey)::INT AS iteration FROM nation",
+    "selected_features": f"WITH {ORDERS} " + " UNION ALL ".join(f"SELECT {i} AS place, '{f}' AS feature, ROUND(SUM({f})::DOUBLE, 4) AS total FROM ord" for i, f in enumerate(("total_volume", "max_discount", "row_id", "sku_counts", "total_quantity"))),
+    "given_label_cases": f"""WITH {SCORED}, p AS (SELECT gt, CASE WHEN row_id % 3 > 0 THEN row_id % 3 - 1 ELSE pred END::INT AS pred FROM scored)
+SELECT CASE WHEN gt = 1 AND pred = 0 THEN 'FN' WHEN gt = 0 AND pred = 1 THEN 'FP' WHEN gt = 0 THEN 'TN' ELSE 'TP' END AS error_type, pred, COUNT(*) AS n FROM p GROUP BY ALL""",
+    "parsed_numbers": """WITH t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size::DOUBLE WHEN 4 THEN p_retailprice END AS x FROM part), s AS (SELECT *, GREATEST(LEAST(x / 60, 0.95::DOUBLE), 0.05::DOUBLE) AS raw FROM t),
+c AS (SELECT p_partkey, x, CASE WHEN x IS NOT NULL THEN raw END AS share FROM s) SELECT p_partkey, x, ROUND(share, 9) AS share, ROUND(LN(share / (1 - share)), 9) AS logit, ROUND(LN(1 + x), 9) AS log FROM c""",
+    "generated_codes": f"""WITH r AS (SELECT conv_id, turn, COALESCE(text, '') AS t FROM conversations), w AS (SELECT conv_id, turn, CASE (conv_id + turn) % 4 {_CODE_WRAP} END AS t FROM r),
+l AS (SELECT *, STRING_SPLIT(t, chr(10)) AS lines, REGEXP_MATCHES(t, '(?s)```python(.*?)```') AS fenced FROM w),
+e AS (SELECT *, LIST_POSITION(LIST_TRANSFORM(lines, lambda x: CONTAINS(x, 'return')), true) AS stop FROM l),
+s AS (SELECT *, LIST_MAX(LIST_FILTER(RANGE(1, stop + 1), lambda i: STARTS_WITH(lines[i], 'def'))) AS start FROM e),
+c AS (SELECT *, CASE WHEN fenced THEN {_STRIPPED("REGEXP_EXTRACT(t, '(?s)```python(.*?)```', 1)")} WHEN stop > 0 AND start IS NOT NULL THEN ARRAY_TO_STRING(lines[start:stop], chr(10)) END AS c0 FROM s),
+n AS (SELECT *, CASE WHEN CONTAINS(c0, 'np') THEN 'import numpy as np' || chr(10) || c0 ELSE c0 END AS c1 FROM c), k AS (SELECT *, CASE WHEN CONTAINS(c1, 'torch') THEN 'import torch' || chr(10) || c1 ELSE c1 END AS code FROM n),
+b AS (SELECT *, STRING_SPLIT(code, chr(10)) AS cl FROM k), f AS (SELECT *, LIST_POSITION(LIST_TRANSFORM(cl, lambda x: STARTS_WITH(x, 'return')), true) AS cs, {_STRIPPED("t")} AS st FROM b)
+SELECT conv_id, turn, code, ARRAY_TO_STRING(LIST_FILTER(CASE WHEN cs > 0 THEN cl[1:cs] ELSE cl END, lambda x: NOT REGEXP_MATCHES(x, '^(def|import|from)')), chr(10)) AS body,
+  CASE WHEN REGEXP_MATCHES(t, '(?s)<start>(.*?)```python') THEN {_STRIPPED("REGEXP_EXTRACT(t, '(?s)<start>(.*?)```python', 1)")} WHEN REGEXP_MATCHES(t, '(?s)<start>(.*?)<end>') THEN {_STRIPPED("REGEXP_EXTRACT(t, '(?s)<start>(.*?)<end>', 1)")} END AS description,
+  CASE WHEN LENGTH(st) <= 40 THEN st ELSE SUBSTR(st, 1, 40) || '{text.TRUNCATED}' END AS short FROM f""",
+    "case_lines": f"""WITH {EXACT} SELECT row_id, 'dispatch=' || row_id || PRINTF(' prob=%.4f', prob) || ' gt=' || gt || ', items=' || CASE WHEN row_id % 4 > 0 THEN sku_counts::VARCHAR ELSE 'N/A' END || ', quantity=' || total_quantity::INT AS line FROM scored""",
+    "elite_part": f"WITH {PEOPLE} SELECT p_partkey, size, score FROM people WHERE size > 1 ORDER BY size, p_partkey LIMIT 1",
+    "best_trial": "SELECT trial, auc, tpr1, accuracy FROM (" + ORACLE["trial_metrics"] + ") WHERE best",
+}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from palletry.functions import numeric, text
 from palletry.operators import cases as C, feasibility as Z, features as E, geometry as G, metrics as M, packing as B, population as P, rules as R, scoring as S, splits as X, tours as T
 from palletry.plans import base
+from palletry.sources import io
 from palletry.sources.io import table, tsplib_points
-from palletry.sources.snapshots import stored
+from palletry.sources.snapshots import put_text, scratch, stored
 
 QUERIES = {}
 
@@ -796,3 +799,120 @@ def false_alarm_accuracy(spark, d):
     h = M.hard_rows(_hybrid(spark, d), fp=F.col("error_type") == "FP")
     names = ["tn", "fp", "accuracy"]
     return rounded(M.deltas(M.classification(h), M.classification(h, pred="hybrid"), names), 9, "before", "after", "delta")
+
+
+@query
+def items_from_csv(spark, d):
+    """Item rows written as CSV files with headers and read back by name, three of their columns."""
+    path = scratch(spark, "items-csv")
+    io.write_table(base.item_rows(spark, d).select("seq", "height", "dispatch_id", "width", "length"), path, "csv")
+    r = io.read_csv(spark, path, io.ITEM_ROWS)
+    return r.groupBy("dispatch_id").agg(F.count("*").alias("n"), F.sum(F.col("length").cast("long") * F.col("width") * F.col("height")).alias("volume"))
+
+
+@query
+def rules_from_json(spark, d):
+    """Parts as stored rules, some without scores and islands, read back with what they lack."""
+    p = table(spark, d, "part")
+    some = lambda c, k: F.when(F.col("p_partkey") % k != 0, c)
+    rules = p.select(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("code"), some(F.col("p_size").cast("long"), 3).alias("fn_corr"), F.lit(1).cast("long").alias("fp_corr"), F.lit(None).cast("long").alias("fn_miss"),
+        F.lit(0).cast("long").alias("fp_over"), some(F.round("p_retailprice", 1), 5).alias("score"), F.array(F.lit(0.5)).alias("fitness_history"), some(F.col("p_partkey") % 4, 7).alias("island_id"), F.lit(2).cast("long").alias("easy_overrides"),
+    )
+    path = scratch(spark, "rules")
+    io.write_rules(rules, path)
+    return io.read_rules(spark, path, lines=True).select("id", "code", "fn_corr", "fn_miss", "score", "island_id")
+
+
+@query
+def model_from_json(spark, d):
+    """The stored linear model, written, read back and applied."""
+    path = scratch(spark, "model")
+    io.write_linear_model(spark, base.MODEL.features, base.MODEL.intercept, path)
+    model = S.LinearModel.from_table(io.read_linear_model(spark, path))
+    return model.scored(base.order_table(spark, d), 6).select("row_id", "prob", "pred")
+
+
+@query
+def runs_from_files(spark, d):
+    """Each priority class as a run's folder, with results and rules as files, and one folder that is no experiment; then as a report."""
+    root = scratch(spark, "runs")
+    m = rounded(M.classification(base.scored(spark, d), "o_orderpriority"), 6, "accuracy").select("o_orderpriority", "accuracy", "tp").collect()  # five rows
+    for r in m:
+        nth = int(r.o_orderpriority[0])
+        folder = f"{root}/by_model/m{nth}/{'exp_' if nth < 5 else 'other_'}{nth}"
+        put_text(spark, f"{folder}/results.json", json.dumps({"svm": {"accuracy": r.accuracy}, "hybrid": {"accuracy": 0.5, "best_rule_score": 0.25}, "resumed": nth == 2, **({"llm_model": r.o_orderpriority} if nth == 3 else {})}))
+        if nth != 4:
+            put_text(spark, f"{folder}/evolved_rules.json", json.dumps([{"id": str(i)} for i in range(nth)] if nth != 1 else {}))
+    return M.run_overview(io.with_rule_counts(io.experiments(io.read_runs(spark, root)), root))
+
+
+@query
+def last_iteration(spark, d):
+    """The greatest iteration among file names; a file for each nation."""
+    root = scratch(spark, "iterations")
+    for r in table(spark, d, "nation").select("n_nationkey").collect():  # 25 rows
+        put_text(spark, f"{root}/hybrid_iter_{r.n_nationkey:04d}.md", "-")
+    return io.last_snapshot(spark, root)
+
+
+@query
+def selected_features(spark, d):
+    """Numeric columns but for a drop list, some in front, at most five; with their sums."""
+    t = base.order_table(spark, d).withColumn("vehicle", F.lit(1))
+    names = E.select_numeric(t, ("gt", "vehicle", "absent"), ("total_volume", "nothing", "max_discount"), 5)
+    parts = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("feature"), F.round(F.sum(F.col(n).cast("double")), 4).alias("total")) for i, n in enumerate(names)])
+    return t.agg(parts.alias("p")).select(F.explode("p").alias("x")).select("x.*")
+
+
+@query
+def given_label_cases(spark, d):
+    """Predictions given for two thirds of the orders win over the threshold."""
+    s = base.scored(spark, d).drop("pred").withColumn("given", F.when(F.col("row_id") % 3 > 0, (F.col("row_id") % 3 - 1).cast("int")))
+    return C.classified(s, hard="given").groupBy("error_type", "pred").agg(F.count("*").alias("n"))
+
+
+@query
+def parsed_numbers(spark, d):
+    """Numbers in texts, some blank, NaN or no number at all; clipped, as logits and as logarithms."""
+    k = F.col("p_partkey") % 5
+    t = F.when(k == 0, F.concat(F.lit("  "), F.col("p_size").cast("string"), F.lit(" "))).when(k == 1, "NaN").when(k == 2, " ").when(k == 3, F.col("p_name")).otherwise(F.col("p_retailprice").cast("string"))
+    x = table(spark, d, "part").select("p_partkey", numeric.missing(t).alias("x"))
+    share = numeric.clip(F.col("x") / 60, 0.05, 0.95)
+    return rounded(x.select("p_partkey", "x", share.alias("share"), numeric.logit(share).alias("logit"), F.log1p("x").alias("log")), 9, "share", "logit", "log")
+
+
+#: What stands around a turn's text when it holds code: a tagged block, lines of a function, a described function, or no code.
+CODE_SHAPES = (
+    ("<start> what it does ```python\nimport x\ndef f(a):\n    b = np.sum(a)\n", "\nreturn b\nlast\n```"), ("def early():\n", "\ndef late(torch):\n    a\n    return 1\ndef never():\n    return 2"),
+    ("<start>  about\n", "\n<end>"), ("", ""),
+)
+
+
+@query
+def generated_codes(spark, d):
+    """Every turn as generated text: its code, the code's body, what it says of itself, and a short form."""
+    part = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in CODE_SHAPES]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)) + 1).cast("int"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.concat(part(0), F.coalesce("text", F.lit("")), part(1)).alias("t"))
+    code = text.generated_code(F.col("t"))
+    return t.select("conv_id", "turn", code.alias("code"), text.body_lines(code).alias("body"), text.description(F.col("t")).alias("description"), text.truncated(F.col("t"), 40).alias("short"))
+
+
+@query
+def case_lines(spark, d):
+    """A readable line for each order; a feature is missing for some."""
+    few = F.when(F.col("row_id") % 4 > 0, F.col("sku_counts"))
+    return base.scored(spark, d, None).select("row_id", text.case_line(F.col("row_id"), F.col("prob"), F.col("gt"), {"items": few, "quantity": F.col("total_quantity").cast("int")}).alias("line"))
+
+
+@query
+def elite_part(spark, d):
+    """The individual of least objective; those that failed have none."""
+    return P.elitist(_people(spark, d).withColumn("size", F.when(F.col("size") > 1, F.col("size"))), "size", "p_partkey").select("p_partkey", "size", "score")
+
+
+@query
+def best_trial(spark, d):
+    from palletry.operators import ml
+
+    return ml.trial_table(trial_metrics(spark, d).drop("best"))

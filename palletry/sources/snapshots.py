@@ -38,13 +38,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the process ends."""
+    path = f"{shared_dir(spark)}/palletry/{name}-{uuid.uuid4().hex}"
+    _TEMPORARY.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` computed once, as a table in the shared folder that goes when the process ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palletry/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    _TEMPORARY.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes one small file, a report or a document of settings, wherever Spark can write."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
