@@ -9,9 +9,11 @@ Prefix sums of a source use two levels, about sqrt(rows) buckets of about sqrt(r
 of all rows is not one task. The last document of a source is taken in part, hence the taken words equal the target
 but for rounding. Sources without words have target 0.
 
-The mix itself moves whole texts once: a source is cut into slots of documents that follow each other in its order, and
-the first word of a document's slot tells, before any shuffle, the time to which its uses are dealt. Rows of the plan go to
-the same places and say how often a document is used.
+The mix itself moves whole texts once: a source is cut into slots of documents that follow each other in its order. The
+times between which a slot's documents come tell, before any shuffle, the ranges of time to which a text goes: one, but
+for the few slots that a cut between ranges falls into, whose texts go to both sides. Rows of the plan go to the range of
+their exact position and say how often a document is used; each range is then sorted by position, texts without a row
+of the plan are dropped.
 
 Defined results: null text has no words; sources go by code point and null last; repeated rows each count, and if the mix
 takes only some of the rows that agree in id, text and source, it doesn't matter which; a null id orders like the empty
@@ -31,8 +33,8 @@ CURRICULUM = (
     (2.0, ((0.0, 1.0), (1.0, 1.0))),
     (1.0, ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))),
 )
-#: Slots of all sources together; a source has its share of them, rounded up.
-SLOTS = 1 << 12
+#: Slots for each range of time, shared out among the sources, and what may be broadcast.
+SLOTS_A_RANGE, BROADCAST_ROWS = 64, 2_000_000
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", same: bool = False) -> DataFrame:
@@ -132,53 +134,73 @@ def mix_plan(docs: DataFrame, curriculum=CURRICULUM, share: float = 1.5, max_epo
     return d.select("id", "row", "key", "size", "source_size", "target", "before", "taken", position.alias("position"), "nth")
 
 
-def slotted(sizes: DataFrame, by_source: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """`by_source` with the number of a source's slots and, as an array, the words of the source ahead of each.
+def _fraction(key: Column) -> Column:
+    """Where a key stands among all keys, from 0 to 1."""
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
 
-    All arrays together hold `slots` numbers and one a source at most.
+
+def slotted(sizes: DataFrame, by_source: DataFrame, max_epochs: int, curriculum) -> DataFrame:
+    """(nth, slot, use, first, start, end): a row for each slot and use, with the words ahead and the times between which the
+    slot's documents come then. `by_source` has the number of each source's slots.
     """
-    everything = Window.partitionBy()
-    s = by_source.withColumn("slots", F.ceil(F.col("n_rows") * slots / F.sum("n_rows").over(everything)))
-    d = sizes.join(s.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    d = sizes.join(by_source.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     words = d.groupBy("nth", part_of(F.col("key"), F.col("slots")).alias("slot")).agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("nth").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    words = words.select("nth", F.struct("slot", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base")).alias("b"))
-    bases = words.groupBy("nth").agg(F.map_from_entries(F.collect_list("b")).alias("bases"))
-    return s.join(bases, "nth")
+    words = words.withColumn("base", F.coalesce(F.sum("words").over(ahead), F.lit(0))).join(by_source.drop("source"), "nth")
+    words = words.withColumn("use", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn("first", F.col("base") + F.col("use") * F.col("source_size"))
+    at = lambda before, fraction: _time(before, F.col("target"), fraction, F.col("nth"), curriculum)
+    return words.select("nth", "slot", "use", "first", at(F.col("first"), F.col("slot") / F.col("slots")).alias("start"), at(F.col("first") + F.col("words"), (F.col("slot") + 1) / F.col("slots")).alias("end"))
+
+
+def _time(before: Column, target: Column, fraction: Column, nth: Column, curriculum) -> Column:
+    """When a source has demanded the words `before`; a source without target, which has no words, spreads by its keys."""
+    part = F.least(before / F.nullif(target, F.lit(0.0)), F.lit(1.0))
+    return F.when(target > 0, time_of(part, nth, curriculum)).otherwise(fraction)
 
 
-def mixed_documents(docs: DataFrame, curriculum=CURRICULUM, share: float = 1.5, max_epochs: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """The mix itself: whole documents, as often as the mix takes them, range-sorted by training position.
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most `BROADCAST_ROWS` rows of numbers."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    Positions are those of a document's slot, and inside a slot documents stand in their source's order. A document that
-    the mix takes in part comes once more if at least half of that copy is taken; one without words comes once.
+
+def mixed_documents(docs: DataFrame, curriculum=CURRICULUM, share: float = 1.5, max_epochs: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", slots: int | None = None) -> DataFrame:
+    """The mix itself: whole documents, as often as the mix takes them, in the order of their exact training positions.
+
+    A document that the mix takes in part comes once more if at least half of that copy is taken; one without words comes
+    once. Rows that agree in id, text and source stand together, where the first of them belongs. The number of `slots`
+    (`SLOTS_A_RANGE` for each range of time, unless given) changes how many texts are sent twice, not the result.
     """
+    spark = docs.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = sized(docs, id_col, source_col, text_col, same=True)
     goals = written(targets(sizes, curriculum, share, max_epochs), "targets")
-    by_source = written(slotted(sizes, goals, slots), "slots")
-
-    def dealt(rows: DataFrame, key: Column, wordless: Column) -> DataFrame:
-        """The rows once for each epoch that may use them, with the time of their slot's first word then."""
-        base = F.element_at("bases", part_of(key, F.col("slots")))
-        use = F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))
-        rows = rows.withColumns({"base": base, "key": key}).withColumn("use", use)
-        target = F.nullif(F.col("target"), F.lit(0.0))
-        first = F.col("base") + F.col("use") * F.col("source_size")
-        rows = rows.where((first <= F.col("target")) | (wordless & (F.col("use") == 0)))
-        time = F.coalesce(time_of(F.least(first / target, F.lit(1.0)), F.col("nth"), curriculum), F.lit(1.0))
-        return rows.withColumn("time", F.round(time * 1e12).cast("long"))  # a whole number, so the range's order serves the window
-
-    plan = placed(sizes, goals).join(by_source.select("nth", "slots", "bases"), "nth")  # arrays come after the shuffles
-    plan = dealt(plan, F.col("key"), F.col("size") == 0)
-    enough = F.col("before") + F.col("use") * F.col("source_size") + F.col("size") / 2 <= F.col("target")
-    plan = plan.where(F.when(F.col("size") == 0, F.col("use") == 0).otherwise(enough))
-    plan = written(plan.groupBy("time", "nth", "key", "same", "use").agg(F.count("*").alias("used")), "uses")
+    total = F.sum("n_rows").over(Window.partitionBy())
+    by_source = written(goals.withColumn("slots", F.ceil(F.col("n_rows") * (slots or SLOTS_A_RANGE * ranges) / total)), "sources")
+    times = written(slotted(sizes, by_source, max_epochs, curriculum), "slots")
+    cuts = times.agg(F.percentile_approx("start", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges).alias("c")).first().c  # a number a range
+    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>")
+    upto = lambda some, t: F.size(F.filter(some, lambda c: c <= t))
+    times = _small(written(times.withColumns({"low": upto(cuts, F.col("start")), "high": upto(cuts, F.greatest("start", "end"))}).drop("start", "end"), "ranges"))
+
+    plan = placed(sizes, goals).join(_small(by_source.select("nth", "slots")), "nth")
+    plan = plan.withColumn("slot", part_of(F.col("key"), F.col("slots"))).join(times, ["nth", "slot"])
+    before = F.col("before") + F.col("use") * F.col("source_size")
+    plan = plan.where(F.when(F.col("size") == 0, F.col("use") == 0).otherwise(before + F.col("size") / 2 <= F.col("target")))
+    plan = plan.withColumn("position", _time(before, F.col("target"), _fraction(F.col("key")), F.col("nth"), curriculum))
+    plan = plan.groupBy("nth", "key", "same", "use").agg(F.count("*").alias("used"), F.min("position").alias("position"), F.first("low").alias("low"), F.first("high").alias("high"))
+    inside = upto(F.slice(cuts, F.col("low") + 1, F.col("high") - F.col("low")), F.col("position"))
+    plan = written(plan.select((F.col("low") + inside).alias("range"), "nth", "key", "same", "use", "used", "position"), "uses")
+
     doc = F.struct(*docs.columns).alias("doc")  # so no column can clash
-    rows = docs.select(doc).join(by_source, F.col("doc")[source_col].eqNullSafe(F.col("source")))
-    same = row_key(F.col("doc")[id_col], F.col("doc")[text_col])
+    rows = docs.select(doc).join(_small(by_source.select("source", "nth", "slots", "target")), F.col("doc")[source_col].eqNullSafe(F.col("source")))
+    rows = rows.withColumn("key", order_key(F.col("doc")[id_col]))
+    rows = rows.withColumn("slot", part_of(F.col("key"), F.col("slots"))).join(times, ["nth", "slot"])
     wordless = ~F.coalesce(F.col("doc")[text_col].rlike(WORD), F.lit(False))
-    rows = dealt(rows, order_key(F.col("doc")[id_col]), wordless).select("time", "nth", "key", same.alias("same"), "use", F.lit(None).cast("long").alias("used"), "doc")
-    both = rows.unionByName(plan, allowMissingColumns=True).repartitionByRange("time", "nth", "key", "same", "use")
-    alike = Window.partitionBy("time", "nth", "key", "same", "use").orderBy(F.col("used").desc_nulls_last())
-    both = both.withColumns({"most": F.first("used").over(alike), "copy": F.row_number().over(alike) - 1})
-    return both.where((F.col("copy") > 0) & (F.col("copy") <= F.col("most"))).select("doc.*")
+    rows = rows.where((F.col("first") <= F.col("target")) | (wordless & (F.col("use") == 0)))
+    each = F.explode(F.sequence("low", "high")).alias("range")
+    rows = rows.select(each, "nth", "key", row_key(F.col("doc")[id_col], F.col("doc")[text_col]).alias("same"), "use", F.lit(None).cast("long").alias("used"), F.lit(None).cast("double").alias("position"), "doc")
+    both = rows.unionByName(plan, allowMissingColumns=True).repartitionByRange(ranges, "range")
+    alike = Window.partitionBy("range", "nth", "key", "same", "use").orderBy(F.col("used").desc_nulls_last())
+    both = both.withColumns({"most": F.first("used").over(alike), "copy": F.row_number().over(alike) - 1, "position": F.first("position").over(alike)})
+    used = both.where((F.col("copy") > 0) & (F.col("copy") <= F.col("most")))
+    return used.sortWithinPartitions("range", "position", "nth", "key", "same", "use").select("doc.*")

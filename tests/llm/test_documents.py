@@ -159,6 +159,27 @@ def test_mix_is_one_shuffle_of_texts_in_order_of_time(spark):
     assert len(re.findall(r"Exchange (hash|range)partitioning", mix._jdf.queryExecution().executedPlan().toString())) == 1
 
 
+@pytest.mark.parametrize("slots", [3, 40, None])
+def test_mix_stands_in_the_exact_order_of_positions(spark, slots):
+    """Fewer slots than documents or more: every use comes at the time its source has demanded the words before it."""
+    rows = [(i, " ".join(["w"] * (i * 7 % 23)), f"s{i % 5 % 3}") for i in range(300)] + [(1000 + i, "", "t") for i in range(20)]
+    df = frame(spark, rows).repartition(6)
+    plan = mixing.mix_plan(df).collect()
+    want = []
+    for r in plan:
+        for use in (0, 1):
+            before = r.before + use * r.source_size
+            if (use == 0 if r["size"] == 0 else before + r["size"] / 2 <= r.target):
+                part = min(before / r.target, 1.0) if r.target else None
+                want.append((part, r.nth, r.key, r.id))
+    times = spark.createDataFrame([(i, p, n) for i, (p, n, _, _) in enumerate(want)], "i long, p double, n int")
+    at = {r.i: r.t for r in times.select("i", mixing.time_of(F.col("p"), F.col("n")).alias("t")).collect()}
+    at = {i: int(want[i][2][:8], 16) / 2**32 if t is None or want[i][0] is None else t for i, t in at.items()}
+    order = [want[i][3] for i in sorted(at, key=lambda i: (at[i], want[i][1], want[i][2]))]
+    got = [r.doc_id for r in mixing.mixed_documents(df, slots=slots).select("doc_id").collect()]
+    assert got == order and len(got) > 300
+
+
 def test_sharding(docs, empty):
     shards = [f"s{i}" for i in range(7)]
     table = sharding.filled_table(shards, 251)
