@@ -6,7 +6,7 @@ table, M rows whatever the data, is broadcast: placement costs one hash and one
 differ by one slot at most, and when a shard leaves, few keys besides its own move.
 
 Defined results: a null key is placed like the empty string; repeated keys share a shard; an empty table gives an
-empty result; a column of the input named like an output column stays as it is, since output names are parameters.
+empty result; a column of the input named like an output column gives way to it (output names are parameters).
 """
 
 from __future__ import annotations
@@ -55,4 +55,5 @@ def place(df: DataFrame, key_col: str, shards: list[str], slots: int = SLOTS, sl
     table = table.select(F.col("_slot").cast("long"), F.element_at(names, F.col("_claim").cast("int") + 1).alias("_name"))
     rows = df.select(F.struct(*df.columns).alias("row"))  # so no column can clash
     placed = rows.withColumn("_at", slot_of(F.col("row")[key_col], slots)).join(F.broadcast(table), F.col("_at") == F.col("_slot"))
-    return placed.select("row.*", F.col("_at").alias(slot_name), F.col("_name").alias(shard_name))
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in (slot_name, shard_name)]
+    return placed.select(*kept, F.col("_at").alias(slot_name), F.col("_name").alias(shard_name))
