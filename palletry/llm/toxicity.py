@@ -1,18 +1,22 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input joins a vector of the word itself (if the vocabulary of the training rows has it) and the mean vector of
-its character trigrams (hashed). Both vectors start from log odds of the training rows. Texts are cut into overlapping
-windows of `WINDOW` words, `STRIDE` apart, all of which are scored; a text's score is that of its worst window.
+its character trigrams (hashed). Both vectors start at random. Texts are cut into overlapping windows of `WINDOW` words,
+`STRIDE` apart, all of which are scored; a text's score is that of its worst window.
 
 Training happens on the driver with at most `TRAIN_ROWS` labelled rows, the first by a hash of the id among those whose
-crc32(id) mod 5 is not 0, with all windows of each. In turns, all their windows are scored, the worst of each text is
-taken, and the network is fitted to these by Adam. A last step puts the best cut of these texts' scores at 0.5. Only the
-number of rows is bounded: the driver holds the whole texts of these rows, and its time grows with their length.
-Scoring maps over the documents: the network, of fixed size, is broadcast, and no rows move.
+crc32(id) mod 5 is not 0, with all windows of each. The first turn draws a window of a text anew in each step; after each
+turn all windows are scored and the next one takes the worst of each text. The recurrent part is fitted by Adam. Word and
+trigram vectors step by their gradient over the largest one of their table, so that names of few texts, which would be
+learned by heart, move little; they decay, and either half of a word's input is left out at random. A last step puts the
+best cut of these texts' scores at 0.5. Only the number of rows is bounded: the driver holds the whole texts of these
+rows, and its time grows with their length. Scoring maps over the documents: the network, of fixed size, is broadcast,
+and no rows move.
 
 Defined results: null, empty and blank texts have one empty window; without training rows of both labels each score is
-the share of toxic ones (0 without any); repeated labels count as toxic if one does; null ids are scored, never trained
-on; repeated rows get equal scores; an empty table gives an empty result; further columns are not looked at.
+the share of toxic ones (0 without any); repeated labels count as toxic if one does; of the texts of a repeated id the
+least one is trained on; null ids are scored, never trained on; texts of any length are scored whole; repeated rows get equal
+scores; an empty table gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ from palletry.llm.common import mixed, slices
 
 WINDOW, STRIDE, HIDDEN, WORD_SIZE, CHAR_SIZE, ATTENTION = 64, 48, 8, 8, 8, 8
 VOCABULARY, TRIGRAMS, TRAIN_ROWS = 50_000, 1 << 13, 4_000
-ROUNDS, STEPS, BATCH, RATE, EMBEDDING_RATE = 5, 50, 192, 0.01, 0.02
+ROUNDS, FIRST_STEPS, STEPS, BATCH, RATE, DECAY = 5, 150, 50, 192, 0.01, 0.01
+START, TABLE_RATE, TABLE_DECAY, DROPOUT = 0.1, 0.1, 0.005, 0.4
 CACHED_WORDS, SLICE_WINDOWS = 80_000, 1024
 EDGES = ".,;:!?|\"'`´()[]{}<>*&$%#@~^=+-_/\\…“”„«»¡¿"
 
@@ -48,7 +53,7 @@ def canonical(token: str) -> str:
 
 def trigram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of `^word$` for some words, flat, and how many each has."""
-    raw = [f"^{w}$".encode() for w in words]
+    raw = [f"^{w or ' '}$".encode() for w in words]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     b = np.frombuffer(b"".join(raw) + b"\0\0", np.uint8).astype(np.uint64)
     h = mixed(b[:-2] * np.uint64(65536) + b[1:-1] * np.uint64(256) + b[2:]) % np.uint64(TRIGRAMS)
@@ -66,20 +71,19 @@ def glorot(rng, *shape: int) -> np.ndarray:
 class Network:
     """Parameters, forward pass with memory for training, and gradients."""
 
-    def __init__(self, vocabulary: dict[str, int], word_odds: np.ndarray, char_odds: np.ndarray, seed: int = 7):
+    def __init__(self, vocabulary: dict[str, int], seed: int = 7):
         rng = np.random.default_rng(seed)
         size, h = WORD_SIZE + CHAR_SIZE, HIDDEN
         self.vocabulary, self.shift = vocabulary, 0.0
         self.p = {
-            "word": (rng.standard_normal((len(vocabulary) + 1, WORD_SIZE)) * 0.05).astype(np.float32),
-            "char": (rng.standard_normal((TRIGRAMS, CHAR_SIZE)) * 0.05).astype(np.float32),
+            "word": (rng.standard_normal((len(vocabulary) + 1, WORD_SIZE)) * START).astype(np.float32),
+            "char": (rng.standard_normal((TRIGRAMS, CHAR_SIZE)) * START).astype(np.float32),
             "attend": glorot(rng, 2 * h, ATTENTION),
             "attend_b": np.zeros(ATTENTION, np.float32),
             "attend_v": glorot(rng, ATTENTION, 1)[:, 0],
             "out": glorot(rng, 2 * h, 1)[:, 0],
             "out_b": np.array([-1.0], np.float32),
         }
-        self.p["word"][:-1, 0], self.p["char"][:, 0] = word_odds, char_odds
         self.p["word"][-1] = 0
         for d in "fb":
             self.p |= {f"w{d}": glorot(rng, size, 3 * h), f"u{d}": glorot(rng, h, 3 * h), f"b{d}": np.zeros(3 * h, np.float32)}
@@ -168,10 +172,12 @@ class Network:
         said = np.matmul(p["out"].astype(np.float32), states)
         return (e * said).sum(0) / np.maximum(e.sum(0), 1e-9) + p["out_b"][0]
 
-    def gradients(self, words: list[str], index: np.ndarray, live: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict:
-        """Gradients of the weighted logistic loss; `index` (time, batch) points into `words`."""
+    def gradients(self, words: list[str], index: np.ndarray, live: np.ndarray, labels: np.ndarray, weight: np.ndarray, keep: np.ndarray | None = None) -> dict:
+        """Gradients of the weighted logistic loss; `index` (time, batch) points into `words`, whose inputs `keep` multiplies."""
         p, h = self.p, HIDDEN
         x, rows, grams, count = self.inputs(words)
+        if keep is not None:
+            x = x * keep
         table = self.projected(x)
         memory = {"f": [], "b": []}
         g = table[index]
@@ -211,6 +217,8 @@ class Network:
             part = d_table[:, i * 3 * h : (i + 1) * 3 * h]
             grad[f"w{d}"], grad[f"b{d}"] = x.T @ part, part.sum(0)
             d_x += part @ p[f"w{d}"].T
+        if keep is not None:
+            d_x *= keep
         grad["word"] = np.zeros_like(p["word"])
         np.add.at(grad["word"], rows, d_x[:, :WORD_SIZE])
         grad["word"][-1] = 0
@@ -281,12 +289,35 @@ class Scorer:
         yield from (1 / (1 + np.exp(-np.clip(worst - self.network.shift, -60, 60)))).tolist()
 
 
-def log_odds(toxic: Counter, clean: Counter, n1: int, n0: int, names: list) -> np.ndarray:
-    """Log odds of occurrence, shrunk for rare names, scaled to a unit or two."""
-    a = np.array([toxic[k] for k in names], float)
-    b = np.array([clean[k] for k in names], float)
-    odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-    return (odds * (a + b) / (a + b + 3) / 3).astype(np.float32)
+class Descent:
+    """Steps of Adam for the recurrent part, and for the tables of words and trigrams by one scale for all their rows."""
+
+    def __init__(self, network: Network, steps: int):
+        self.p, self.steps, self.step = network.p, steps, 0
+        self.first = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.second = {k: np.zeros((), np.float32) if k in ("word", "char") else np.zeros_like(v) for k, v in self.p.items()}
+
+    def apply(self, grad: dict[str, np.ndarray]) -> None:
+        self.step += 1
+        rate = min(1.0, 2 * (1 - self.step / (self.steps + 1)))
+        for k, g in grad.items():
+            table = k in ("word", "char")
+            slow, size, step, decay = (0.99, np.square(g).max(), TABLE_RATE, TABLE_DECAY) if table else (0.999, g * g, RATE, RATE * DECAY)
+            self.first[k] += 0.1 * (g - self.first[k])
+            self.second[k] = self.second[k] + (1 - slow) * (size - self.second[k])
+            scale = np.sqrt(self.second[k] / (1 - slow**self.step)) + 1e-8
+            self.p[k] -= (rate * step * self.first[k] / (1 - 0.9**self.step) / scale).astype(np.float32)
+            self.p[k] *= np.float32(1 - rate * decay)
+
+
+def centred(logit: np.ndarray, labels: np.ndarray) -> float:
+    """The middle of the logits between which a cut makes the fewest errors."""
+    order = np.argsort(logit, kind="stable")
+    y, v = labels[order], logit[order]
+    errors = np.r_[0, np.cumsum(y)] + (len(y) - y.sum()) - np.r_[0, np.cumsum(1 - y)]
+    best = np.flatnonzero(errors == errors.min())
+    low, high = best[0], best[-1]
+    return float((v[low - 1] if low else v[0] - 2) + (v[high] if high < len(y) else v[-1] + 2)) / 2
 
 
 def trained(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
@@ -294,57 +325,31 @@ def trained(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
     pool: dict[str, str] = {}
     tokens = [[pool.setdefault(t, t) for t in map(canonical, x.lower().split())] for x in texts]
-    words, grams = (Counter(), Counter()), (Counter(), Counter())
-    for t, y in zip(tokens, labels):
-        own = list(set(t))
-        words[y].update(own)
-        if own:
-            grams[y].update(np.unique(trigram_rows(own)[0]).tolist())
-    n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
-    both = words[0] + words[1]
-    names = sorted((w for w, n in both.items() if n > 1), key=lambda w: (-both[w], w))[:VOCABULARY]
-    del both, pool
-    net = Network({w: i for i, w in enumerate(names)}, log_odds(words[1], words[0], n1, n0, names), log_odds(grams[1], grams[0], n1, n0, list(range(TRIGRAMS))), seed)
-
-    del words, grams
+    found = Counter(w for t in tokens for w in set(t))
+    names = sorted((w for w, n in found.items() if n > 1), key=lambda w: (-found[w], w))[:VOCABULARY]
+    del found, pool
+    net = Network({w: i for i, w in enumerate(names)}, seed)
+    descent = Descent(net, FIRST_STEPS + (ROUNDS - 1) * STEPS)
     spans = [windows(len(t)) for t in tokens]
-    odds = {w: float(net.p["word"][i, 0]) for w, i in net.vocabulary.items()}
-    chosen = [max(range(len(own)), key=lambda k: max((odds.get(w, 0.0) for w in t[own[k][0] : own[k][1]]), default=0.0)) for t, own in zip(tokens, spans)]
-    logit = np.zeros(len(tokens))
-    first = {k: np.zeros_like(v) for k, v in net.p.items()}
-    second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step = 0
+    worst, logit = None, np.zeros(len(tokens))
     positive, negative = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    for turn in range(ROUNDS):
+    for _ in range(ROUNDS):
         hard = negative[np.argsort(-logit[negative], kind="stable")[: max(BATCH, len(negative) // 10)]]
-        for _ in range(STEPS):
+        for _ in range(STEPS if worst else FIRST_STEPS):
             pick = np.r_[rng.choice(positive, BATCH // 3), rng.choice(negative, BATCH // 3), rng.choice(hard, BATCH // 3)]
-            batch = [tokens[i][spans[i][chosen[i]][0] : spans[i][chosen[i]][1]] or [""] for i in pick]
-            distinct = {w: k for k, w in enumerate(dict.fromkeys(w for x in batch for w in x))}
+            own = [spans[i][worst[i] if worst else rng.integers(len(spans[i]))] for i in pick]
+            batch = [tokens[i][a:b] for i, (a, b) in zip(pick, own)]
+            distinct = {w: k for k, w in enumerate(dict.fromkeys(w for x in batch for w in x) or [""])}
             size = np.array([len(x) for x in batch])
-            index = np.zeros((int(size.max()), len(batch)), np.int64)
+            index = np.zeros((max(1, int(size.max())), len(batch)), np.int64)
             for k, x in enumerate(batch):
                 index[: len(x), k] = [distinct[w] for w in x]
             live = np.arange(len(index))[:, None] < size
-            grad = net.gradients(list(distinct), index, live, labels[pick].astype(np.float32), np.ones(len(pick), np.float32))
-            step += 1
-            norm = math.sqrt(sum(float((v * v).sum()) for v in grad.values()))
-            rate = RATE * min(1.0, 2 * (1 - step / (ROUNDS * STEPS + 1)))
-            for k, v in grad.items():
-                v = v * min(1.0, 5.0 / (norm + 1e-9))
-                first[k] += 0.1 * (v - first[k])
-                second[k] += 0.001 * (v * v - second[k])
-                slow = EMBEDDING_RATE if k in ("word", "char") else 1.0  # else few texts are learned by heart
-                net.p[k] -= (slow * rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            keep = np.repeat((rng.random((len(distinct), 2)) >= DROPOUT).astype(np.float32), [WORD_SIZE, CHAR_SIZE], 1)
+            descent.apply(net.gradients(list(distinct), index, live, labels[pick].astype(np.float32), np.ones(len(pick), np.float32), keep))
         values = list(Scorer(net).worst(" ".join(t) for t in tokens))
-        chosen, logit = [k for k, _ in values], np.array([v for _, v in values])
-    order = np.argsort(logit, kind="stable")
-    y = labels[order]
-    errors = np.r_[0, np.cumsum(y)] + (len(y) - y.sum()) - np.r_[0, np.cumsum(1 - y)]
-    best = np.flatnonzero(errors == errors.min())
-    low, high = best[0], best[-1]
-    edge = [logit[order[low - 1]] if low else logit[order[0]] - 2, logit[order[high]] if high < len(y) else logit[order[-1]] + 2]
-    net.shift = float(sum(edge) / 2)
+        worst, logit = [k for k, _ in values], np.array([v for _, v in values])
+    net.shift = centred(logit, labels)
     return net
 
 

@@ -1,30 +1,32 @@
 """Kernels of the operators: gradients, held-out accuracy, graphs, tries, suffix order, automata."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
 
-from palletry.llm import bpe_lexicon, common, hnsw, suffix_dedup, token_counts, toxicity, trie_join
+from palletry.llm import bpe_lexicon, common, hnsw, queries, suffix_dedup, token_counts, toxicity, trie_join
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
 
 def test_gradients_match_differences():
-    net = toxicity.Network({"a": 0, "b": 1}, np.array([0.5, -0.5], np.float32), np.zeros(toxicity.TRIGRAMS, np.float32))
+    net = toxicity.Network({"a": 0, "b": 1})
     for k in net.p:
         net.p[k] = net.p[k].astype(np.float64)
     words, index, live = ["a", "b", "zzz"], np.array([[0, 1], [2, 0], [1, 1]]), np.array([[1, 1], [1, 1], [1, 0]], bool)
-    y = np.array([1.0, 0.0])
+    y, keep = np.array([1.0, 0.0]), np.ones((3, toxicity.WORD_SIZE + toxicity.CHAR_SIZE))
+    keep[0, : toxicity.WORD_SIZE] = keep[2, toxicity.WORD_SIZE :] = 0
 
     def loss():
-        g = net.projected(net.inputs(words)[0])[index]
+        g = net.projected(net.inputs(words)[0] * keep)[index]
         k = 3 * toxicity.HIDDEN
         states = np.concatenate([net._direction("f", g[:, :, :k], live, None), net._direction("b", g[:, :, k:], live, None)], 2)
         logit = net._pooled(states, live)[3]
         return float((np.log1p(np.exp(logit)) - y * logit).mean())
 
-    grad = net.gradients(words, index, live, y, np.ones(2))
+    grad = net.gradients(words, index, live, y, np.ones(2), keep)
     for k, v in net.p.items():
         flat, g = v.reshape(-1), grad[k].reshape(-1)
         for i in np.argsort(-abs(g))[:3]:
@@ -38,7 +40,7 @@ def test_gradients_match_differences():
 
 
 def test_both_layouts_of_the_network_agree():
-    net = toxicity.Network({"a": 0}, np.array([0.5], np.float32), np.zeros(toxicity.TRIGRAMS, np.float32))
+    net = toxicity.Network({"a": 0})
     rng = np.random.default_rng(0)
     table = net.projected(net.inputs(["a", "b", "cc", "d"])[0])
     index, live = rng.integers(0, 4, (9, 5)), np.arange(9)[:, None] < np.array([9, 9, 3, 1, 0])
@@ -47,6 +49,42 @@ def test_both_layouts_of_the_network_agree():
     assert np.allclose(net._pooled(states, live)[3], net.logits(net.halved(table), index, live), atol=1e-5)
 
 
+def test_toxicity_query_scores_each_text_by_its_worst_window(spark, tmp_path):
+    """The registered query against a loop over each text's windows, one at a time, in the layout of training."""
+    rng = random.Random(5)
+    common, bad = [f"w{i}" for i in range(60)], ["vile", "odious"]
+    texts = [" ".join(rng.choice(common) for _ in range(rng.choice([1, 20, 64, 65, 400]))) for _ in range(120)]
+    texts = [t + " " + rng.choice(bad) if i % 3 == 0 else t for i, t in enumerate(texts)] + ["", None, " \n ", "Vile! " * 3000]
+    texts[1] = texts[2] = ""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r.score for r in queries.queries()["op4_toxicity"](spark, str(tmp_path)).collect()}
+
+    learned = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    net = toxicity.trained([texts[i] for i in learned], np.array([int(i % 3 == 0) for i in learned]))
+    k = 3 * toxicity.HIDDEN
+
+    def logit(words):
+        live = np.ones((max(1, len(words)), 1), bool) if words else np.zeros((1, 1), bool)
+        g = net.projected(net.inputs([toxicity.canonical(w) for w in words] or [""])[0])[:, None]
+        states = np.concatenate([net._direction("f", g[:, :, :k], live, None), net._direction("b", g[:, :, k:], live, None)], 2)
+        return float(net._pooled(states, live)[3][0])
+
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        words = (text or "").lower().split()
+        starts = range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+        worst = max(logit(words[s : s + 64]) if len(words) - s >= 64 or s == 0 else logit(words[-64:]) for s in starts)
+        assert abs(got[i] - 1 / (1 + np.exp(net.shift - worst))) < 1e-4, i
+
+
+def test_toxicity_trains_on_empty_texts():
+    for texts in (["", "", "vile", "w1 w2"], ["", "", " ", ""]):
+        net = toxicity.trained(texts, np.array([0, 1, 1, 0]))
+        assert all(np.isfinite(v).all() for v in net.p.values()) and np.isfinite(net.shift)
+        assert np.isfinite(list(toxicity.Scorer(net).scores(["", "vile", "w1"]))).all()
+
+
 def test_toxicity_cut_is_the_best_over_whole_texts():
     """Texts of some 190 windows with one toxic passage, some wrongly labelled: no cut may make fewer errors than 0.5."""
     rng = np.random.default_rng(8)
