@@ -173,7 +173,7 @@ class Network:
         return (e * said).sum(0) / np.maximum(e.sum(0), 1e-9) + p["out_b"][0]
 
     def gradients(self, words: list[str], index: np.ndarray, live: np.ndarray, labels: np.ndarray, weight: np.ndarray, keep: np.ndarray | None = None) -> dict:
-        """Gradients of the weighted logistic loss; `index` (time, batch) points into `words`, whose inputs `keep` multiplies."""
+        """Gradients of the weighted logistic loss; `index` (time, batch) points into `words`, all distinct, whose inputs `keep` multiplies."""
         p, h = self.p, HIDDEN
         x, rows, grams, count = self.inputs(words)
         if keep is not None:
@@ -220,10 +220,10 @@ class Network:
         if keep is not None:
             d_x *= keep
         grad["word"] = np.zeros_like(p["word"])
-        np.add.at(grad["word"], rows, d_x[:, :WORD_SIZE])
+        grad["word"][rows] = d_x[:, :WORD_SIZE]  # words are distinct: only the last row, of unknown ones, stands for several
         grad["word"][-1] = 0
-        grad["char"] = np.zeros_like(p["char"])
-        np.add.at(grad["char"], grams, np.repeat(d_x[:, WORD_SIZE:] / count[:, None], count, 0))
+        each = np.repeat(d_x[:, WORD_SIZE:] / count[:, None], count, 0)
+        grad["char"] = np.stack([np.bincount(grams, each[:, k], TRIGRAMS) for k in range(CHAR_SIZE)], 1).astype(np.float32)
         return grad
 
 
