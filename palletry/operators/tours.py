@@ -94,3 +94,51 @@ def shifted(flagged: DataFrame, seed: int = 1, turn: bool = True) -> DataFrame:
 def route_capacity(n: Column) -> Column:
     """A vehicle's capacity for so many customers; null for other numbers."""
     return F.when(n == 10, 20.0).when(n == 20, 30.0).when(n == 50, 40.0).when(n == 100, 50.0).when(n == 200, 80.0).when(n == 500, 100.0).when(n == 1000, 250.0)
+
+
+def replayed(steps: DataFrame, stops: DataFrame, capacity: float, depot: int | None = 0, slack: float = 1e-5) -> DataFrame:
+    """Stored rollouts (instance, tour, pos, node) with the state that each step leaves: `load`, what the vehicle can still take;
+    `seen`, the stops visited so far; `finished`; and `allowed`, whether the mask before the step let it through.
+
+    `stops` has (instance, node, demand). The first step may go anywhere. Then a stop is allowed once, if its demand is at most the
+    load plus `slack`; the depot, where the load is filled up, is allowed unless the vehicle stands there. A rollout that has seen all
+    stops and stands at the depot is finished, and may only stay there. Without a depot (None) it is finished with its last stop, and
+    nothing is allowed afterwards. Steps that break the mask count like others. A node that the instance lacks is never allowed and
+    demands nothing; instances without stops are left out; rollouts may end early.
+    """
+    number = stops.groupBy("instance").agg(F.count("*").alias("_n"))
+    home = F.lit(False) if depot is None else F.col("node") == depot
+    d = steps.select("instance", "tour", "pos", "node").join(stops.select("instance", "node", "demand"), ["instance", "node"], "left").join(number, "instance")
+    known = F.col("demand").isNotNull() & ~F.col("_home")
+    order = Window.partitionBy("instance", "tour").orderBy("pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_home", home).withColumns({"_known": known, "_need": F.when(known, F.col("demand")).otherwise(0)})
+    d = d.withColumn("_fresh", F.row_number().over(Window.partitionBy("instance", "tour", "node").orderBy("pos")) == 1)
+    d = d.withColumns({"_used": F.sum("_need").over(upto), "seen": F.sum((F.col("_known") & F.col("_fresh")).cast("long")).over(upto)})
+    filled = F.coalesce(F.last(F.when(F.col("_home"), F.col("_used")), ignorenulls=True).over(upto), F.lit(0))
+    ends = (F.col("seen") == F.col("_n")) & (F.lit(depot is None) | F.col("_home"))
+    d = d.withColumns({"load": F.lit(capacity) - F.col("_used") + filled, "finished": F.max(ends).over(upto)})
+    before = lambda c: F.lag(c).over(order)
+    allowed = (
+        F.when(before("pos").isNull(), F.col("_known") | F.col("_home"))
+        .when(before("finished"), F.col("_home"))
+        .when(before("load") + slack < F.col("_need"), False)
+        .when(F.col("_home"), ~before("_home"))
+        .otherwise(F.col("_known") & F.col("_fresh"))
+    )
+    return d.withColumn("allowed", allowed).select("instance", "tour", "pos", "node", "load", "seen", "finished", "allowed")
+
+
+def choices(steps: DataFrame, stops: DataFrame, capacity: float, depot: int | None = 0, slack: float = 1e-5) -> DataFrame:
+    """(instance, tour, node, allowed): the mask over the depot and all stops after the last step of each stored rollout."""
+    last = replayed(steps, stops, capacity, depot, slack).groupBy("instance", "tour").agg(F.max_by(F.struct("node", "load", "finished"), "pos").alias("_last"))
+    visited = steps.select("instance", "tour", "node").distinct().withColumn("_visited", F.lit(True))
+    each = last.join(stops.select("instance", "node", "demand"), "instance")
+    if depot is not None:
+        each = each.where(F.col("node") != depot)
+    fits = F.col("_last.load") + slack >= F.col("demand")
+    out = each.join(visited, ["instance", "tour", "node"], "left").select("instance", "tour", "node", (F.col("_visited").isNull() & fits).alias("allowed"))
+    if depot is None:
+        return out
+    home = F.col("_last.finished") | (F.col("_last.node") != depot) & (F.col("_last.load") + slack >= 0)
+    return out.unionByName(last.select("instance", "tour", F.lit(depot).cast(stops.schema["node"].dataType).alias("node"), home.alias("allowed")))

@@ -366,6 +366,23 @@ SELECT 'inverted' AS form, instance, pos::BIGINT AS pos, node, (pos = first)::IN
 UNION ALL SELECT 'shifted', instance, ((pos - start + n) % n + 1)::BIGINT, node, (pos = first)::INT FROM h JOIN z USING (instance)""",
 }
 
+_LINES = """li AS (SELECT l_orderkey AS instance, l_partkey + 1 AS node, l_linestatus, ROW_NUMBER() OVER (PARTITION BY l_orderkey{} ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nth FROM lineitem),
+s AS (SELECT instance, node, p_size::BIGINT AS demand FROM (SELECT DISTINCT instance, node FROM li) JOIN part ON node = p_partkey + 1)"""
+ORACLE |= {
+    "rollout_replay": f"""WITH {_LINES.format("")}, n AS (SELECT instance, COUNT(*) AS n FROM s GROUP BY 1),
+t AS (SELECT instance, nth * 2 AS pos, node FROM li UNION ALL SELECT instance, nth * 2 - 1, 0 FROM li WHERE nth % 4 = 1 UNION ALL SELECT instance, MAX(nth) * 2 + 1, 0 FROM li GROUP BY 1),
+d AS (SELECT instance, pos, node, n, node = 0 AS home, demand IS NOT NULL AS known, COALESCE(demand, 0) AS need, ROW_NUMBER() OVER (PARTITION BY instance, node ORDER BY pos) = 1 AS fresh
+  FROM t LEFT JOIN s USING (instance, node) JOIN n USING (instance)),
+e AS (SELECT *, (SUM(need) OVER w)::BIGINT AS used, (SUM((known AND fresh)::INT) OVER w)::BIGINT AS seen FROM d WINDOW w AS (PARTITION BY instance ORDER BY pos)),
+f AS (SELECT *, 100 - used + COALESCE(MAX(CASE WHEN home THEN used END) OVER w, 0) AS load, MAX((home AND seen = n)::INT) OVER w = 1 AS finished FROM e WINDOW w AS (PARTITION BY instance ORDER BY pos)),
+g AS (SELECT *, LAG(pos) OVER w AS p, LAG(finished) OVER w AS done, LAG(load) OVER w AS rest, LAG(home) OVER w AS stood FROM f WINDOW w AS (PARTITION BY instance ORDER BY pos))
+SELECT instance, pos, node, load, seen, finished, CASE WHEN p IS NULL THEN known OR home WHEN done THEN home WHEN rest + 1e-5 < need THEN FALSE WHEN home THEN NOT stood ELSE known AND fresh END AS allowed FROM g""",
+    "rollout_choices": f"""WITH {_LINES.format(", l_linestatus")}, c AS (SELECT * FROM li WHERE l_linestatus = 'F'),
+l AS (SELECT instance, 100 - SUM(COALESCE(demand, 0)) AS load FROM c LEFT JOIN s USING (instance, node) WHERE instance IN (SELECT instance FROM s) GROUP BY 1)
+SELECT instance, node, load + 1e-5 >= demand AND NOT EXISTS (FROM c WHERE c.instance = s.instance AND c.node = s.node) AS allowed FROM s JOIN l USING (instance)
+UNION ALL SELECT instance, 0, load + 1e-5 >= 0 FROM l""",
+}
+
 _BY_RANK = ", ".join(f"NULLIF(CASE r{i} {' '.join(f'WHEN {chr(39)}{n}{chr(39)} THEN {n}' for n in _RULE_NAMES)} END, -1)" for i in (1, 2, 3))
 ORACLE |= {
     "best_rules_hybrid": f"""WITH {fitness_cte(_RULE_NAMES)}, k AS (SELECT rule, ROW_NUMBER() OVER (ORDER BY ROUND(raw_score * penalty, 9) DESC, fn_corr + fp_corr DESC, easy_overrides, nth) AS rank FROM sc),

@@ -785,6 +785,28 @@ def route_augmentations(spark, d):
     return form("inverted", T.inverted(flags)).unionByName(form("shifted", T.shifted(flags)))
 
 
+def _stops(spark, d):
+    p = table(spark, d, "part").select((F.col("p_partkey") + 1).alias("node"), F.col("p_size").cast("long").alias("demand"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("instance"), (F.col("l_partkey") + 1).alias("node")).distinct().join(p, "node")
+
+
+@query
+def rollout_replay(spark, d):
+    """Load, progress and mask of each step of the orders' tours, which end at the depot."""
+    tour = _depot_tour(spark, d)
+    home = tour.groupBy("instance").agg((F.max("pos") + 1).alias("pos"), F.lit(0).cast("long").alias("node"))
+    return T.replayed(tour.unionByName(home).withColumn("tour", F.lit(0)), _stops(spark, d), 100).drop("tour")
+
+
+@query
+def rollout_choices(spark, d):
+    """What may follow after the lines that are closed already, of all parts of an order."""
+    closed = table(spark, d, "lineitem").where("l_linestatus = 'F'")
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    steps = closed.select(F.col("l_orderkey").alias("instance"), F.lit(0).alias("tour"), nth.alias("pos"), (F.col("l_partkey") + 1).alias("node"))
+    return T.choices(steps, _stops(spark, d), 100).drop("tour")
+
+
 @query
 def best_rules_hybrid(spark, d):
     """Predictions after the three best of all rules, as ranked by their fitness."""

@@ -202,3 +202,49 @@ def test_one_instance_of_most_items_streams_through_its_task(spark):
     for k in {r.instance for r in got}:
         own = [r for r in got if r.instance == k]
         assert [r.bin for r in own] == B.pack_online([r.item for r in own], 100.0).tolist()
+
+
+def _masks(nodes, demand, capacity, depot):
+    """A loop over one rollout: (load, seen, finished, allowed) of each step, and what may follow."""
+    load, seen, at, done, out = capacity, set(), None, False, []
+
+    def mask(node):
+        if at is None:
+            return node in demand or node == depot
+        if done:
+            return node == depot
+        if node == depot:
+            return at != depot and load + 1e-5 >= 0
+        return node in demand and node not in seen and load + 1e-5 >= demand[node]
+
+    for node in nodes:
+        ok = mask(node)
+        load, at = capacity if node == depot else load - demand.get(node, 0), node
+        seen |= {node} & demand.keys()
+        done = done or len(seen) == len(demand) and (depot is None or at == depot)
+        out.append((load, len(seen), done, ok))
+    return out, {k: mask(k) for k in [*demand, *([] if depot is None else [depot])]}
+
+
+@pytest.mark.parametrize("depot", [0, None])
+def test_rollouts_equal_a_loop(spark, depot):
+    """Whole and broken rollouts: early ends, repeats, overloads, unknown nodes, the depot twice, steps after the end."""
+    demand = {1: {1: 4.0, 2: 5.0, 3: 7.0}, 2: {1: 10.0, 5: 0.00001}, 3: {4: 11.0}}
+    tours = {
+        (1, 0): [0, 1, 2, 0, 3, 0, 0], (1, 1): [1, 3, 0, 0, 2, 2], (1, 2): [0, 3, 2, 1, 0, 0, 1], (1, 3): [2], (1, 4): [3, 2, 1, 1], (1, 5): [0, 9, 1, 9, 0],
+        (2, 0): [0, 1, 5, 0], (2, 1): [5, 1], (3, 0): [0, 4, 0], (3, 1): [0, 0, 4], (7, 0): [0, 1],
+    }
+    steps = spark.createDataFrame([(i, t, 10 * p, n) for (i, t), nodes in tours.items() for p, n in enumerate(nodes)], "instance int, tour int, pos int, node int")
+    stops = spark.createDataFrame([(i, n, x) for i, s in demand.items() for n, x in s.items()], "instance int, node int, demand double")
+    want = {k: _masks(v, demand[k[0]], 10.0, depot) for k, v in tours.items() if k[0] in demand}
+    got = {}
+    for r in sorted(T.replayed(steps, stops, 10.0, depot).collect()):
+        got.setdefault((r.instance, r.tour), []).append((r.load, r.seen, r.finished, r.allowed))
+    assert got.keys() == want.keys()
+    for k, rows in got.items():
+        assert [(round(a, 9), *b) for a, *b in rows] == [(round(a, 9), *b) for a, *b in want[k][0]], k
+    masks = {}
+    for r in T.choices(steps, stops, 10.0, depot).collect():
+        masks.setdefault((r.instance, r.tour), {})[r.node] = r.allowed
+    assert masks == {k: v[1] for k, v in want.items()}
+    assert T.replayed(steps.limit(0), stops, 10.0, depot).isEmpty() and T.choices(steps, stops.limit(0), 10.0, depot).isEmpty()
