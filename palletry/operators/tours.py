@@ -133,12 +133,12 @@ def choices(steps: DataFrame, stops: DataFrame, capacity: float, depot: int | No
     """(instance, tour, node, allowed): the mask over the depot and all stops after the last step of each stored rollout."""
     last = replayed(steps, stops, capacity, depot, slack).groupBy("instance", "tour").agg(F.max_by(F.struct("node", "load", "finished"), "pos").alias("_last"))
     visited = steps.select("instance", "tour", "node").distinct().withColumn("_visited", F.lit(True))
-    each = last.join(stops.select("instance", "node", "demand"), "instance")
+    places = stops.select("instance", "node", "demand")
+    home = F.lit(False)
     if depot is not None:
-        each = each.where(F.col("node") != depot)
+        zero = lambda c: F.lit(depot if c == "node" else 0).cast(stops.schema[c].dataType).alias(c)
+        home = F.col("node") == depot
+        places = places.where(~home).unionByName(stops.select("instance").distinct().select("instance", zero("node"), zero("demand")))
     fits = F.col("_last.load") + slack >= F.col("demand")
-    out = each.join(visited, ["instance", "tour", "node"], "left").select("instance", "tour", "node", (F.col("_visited").isNull() & fits).alias("allowed"))
-    if depot is None:
-        return out
-    home = F.col("_last.finished") | (F.col("_last.node") != depot) & (F.col("_last.load") + slack >= 0)
-    return out.unionByName(last.select("instance", "tour", F.lit(depot).cast(stops.schema["node"].dataType).alias("node"), home.alias("allowed")))
+    allowed = F.when(home, F.col("_last.finished") | (F.col("_last.node") != F.col("node")) & fits).otherwise(F.col("_visited").isNull() & fits)
+    return last.join(places, "instance").join(visited, ["instance", "tour", "node"], "left").select("instance", "tour", "node", allowed.alias("allowed"))

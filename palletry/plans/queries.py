@@ -793,9 +793,16 @@ def _stops(spark, d):
 @query
 def rollout_replay(spark, d):
     """Load, progress and mask of each step of the orders' tours, which end at the depot."""
-    tour = _depot_tour(spark, d)
-    home = tour.groupBy("instance").agg((F.max("pos") + 1).alias("pos"), F.lit(0).cast("long").alias("node"))
-    return T.replayed(tour.unionByName(home).withColumn("tour", F.lit(0)), _stops(spark, d), 100).drop("tour")
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    nth, node = F.row_number().over(own), (F.col("l_partkey") + 1)
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("instance"), F.lit(0).alias("tour"), nth.alias("nth"), F.lead(F.lit(1)).over(own).isNull().alias("last"), node.alias("node"))
+    step = lambda pos, node: F.struct(pos.alias("pos"), node.alias("node"))
+    home = F.lit(0).cast("long")
+    each = F.array(
+        F.when(F.col("nth") % 4 == 1, step(F.col("nth") * 2 - 1, home)), step(F.col("nth") * 2, F.col("node")), F.when(F.col("last"), step(F.col("nth") * 2 + 1, home))
+    )
+    steps = li.select("instance", "tour", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("s")).select("instance", "tour", "s.pos", "s.node")
+    return T.replayed(steps, _stops(spark, d), 100).drop("tour")
 
 
 @query
