@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from palletry.operators import forest, ml, newton as N
@@ -214,3 +215,25 @@ def test_a_writer_that_dies_leaves_the_last_complete_version(spark, tmp_path, mo
     assert snapshots.read_version(spark, root).columns == ["id", "s"] and snapshots.versions(spark, root).count() == 2
     with pytest.raises(Exception):
         snapshots.read_version(spark, root, 1).count()
+
+
+def many_rows(spark, n=4000):
+    return spark.range(n).selectExpr("id", "cast(id % 7 as double) as a", "cast(id % 3 as double) as b", "cast(id % 7 + id % 3 > 4 as int) as gt")
+
+
+def test_trees_of_a_stack_grow_on_cells(spark, monkeypatch):
+    seen, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, data: (seen.append(data.agg(F.count("*"), F.sum("weight") if "weight" in data.columns else F.count("*")).first()), fit(self, data))[1])
+    out = ml.out_of_fold(many_rows(spark), ["a", "b"], "id", "gt", [ml.Base("rf", "rf", sizes=(5, 4, 2))], k=4)
+    rows = out.collect()
+    assert len(rows) == 4000 and all(r.rf == pytest.approx(r.label, abs=0.3) for r in rows)
+    assert all(count <= 21 * 3 * ml.PARTS and abs(weight - 3000) < 3 for count, weight in seen) and len(seen) == 4
+
+
+def test_bins_keep_few_values_apart_and_order_many(spark):
+    df = spark.range(1000).selectExpr("id", "array(id % 4 * 10.0D, sqrt(id), 1.0D) as x").union(spark.sql("select 1000L, array(100.0D, double('NaN'), 1.0D)"))
+    got = {r.id: (r.x, r.bins) for r in ml.binned(df, df.where("id < 1000"), 3).collect()}
+    assert {(x[0], b[0]) for x, b in got.values()} == {(0, 0), (10, 1), (20, 2), (30, 3), (100, 3)}
+    order = [got[i][1][1] for i in range(1000)]
+    assert order == sorted(order) and 30 <= len(set(order)) <= 32 and got[1000][1][1] > order[-1]
+    assert {b[2] for _, b in got.values()} == {0}
