@@ -151,6 +151,17 @@ def test_leaf_tokens(spark):
     assert few.where("token < unknown").count() == 0 and few.count() == 400
 
 
+def test_leaf_stats_of_cells_are_those_of_rows(spark):
+    from palletry.operators import ml
+
+    df = spark.range(600).selectExpr("id", "cast(id % 20 as double) as a", "cast(id % 9 as double) as b", "cast(id % 20 + id % 7 > 14 as int) as y")
+    cells = ml.cell_tokens(df, ["a", "b"], "y", trees=4, depth=4)
+    assert cells.count() <= 4 * 20 * 9 * 2 and cells.where("tree = 1").agg({"n": "sum"}).first()[0] == 600
+    a = ml.leaf_stats(cells, "n").orderBy("token").collect()
+    b = ml.leaf_stats(ml.leaf_tokens(df, ["a", "b"], "id", "y", trees=4, depth=4)).orderBy("token").collect()
+    assert a == b and len(a) > 20
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "e.csv").write_text("﻿order_id,distance_to_hyperplane,predicted_label,actual_label,prediction_probability,is_false_positive,is_false_negative,error_type\n7,-0.5,0,1,0.4,False,True,false_negative\n", encoding="utf-8")
     r = io.read_csv(spark, str(tmp_path / "e.csv"), io.ERROR_ROWS).first()
