@@ -90,3 +90,11 @@ def test_stream_packs_like_the_batch(spark, tmp_path):
     log = spark.createDataFrame([(1, True, 0.2), (2, False, 0.1), (3, True, 0.9)], "iteration long, step_ok boolean, best_score double")
     r = online.best_so_far(log).first()
     assert (r.best_score, r.iteration, r.steps, r.failures) == (0.9, 3, 3, 1)
+
+
+def test_instances_are_dealt_to_many_tasks(spark):
+    from palletry.operators import search
+
+    nodes = spark.range(400).selectExpr("floor(id / 10) as instance", "id as node", "rand(1) as x", "rand(2) as y")
+    tours = search.tours(nodes, "nearest").withColumn("task", F.spark_partition_id())
+    assert tours.select("task").distinct().count() > 15 and tours.count() == 400
