@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,16 @@ def test_curve_plan_reads_the_scores_alone(spark, ten):
     plan = M.curve_metrics(M.score_steps(ten))._jdf.queryExecution().optimizedPlan().toString()
     assert "scores" in plan or "parquet" in plan
     assert "row_id" not in plan  # the input was read once, before
+
+
+def test_exact_sigmoid_is_right_to_the_last_bit(spark):
+    import math
+
+    from palletry.functions.numeric import sigmoid
+
+    rng = np.random.default_rng(1)
+    x = [float(v) for v in rng.normal(size=20000) * 3] + [None, 1e9, -1e9, float("nan")]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", sigmoid(F.col("x"), exact=True).alias("p"), sigmoid(F.col("x")).alias("q")).collect()
+    for r in got[:20000]:
+        assert r.p == 1 / (1 + math.exp(-r.x)) and abs(r.p - r.q) < 1e-15
+    assert got[20000].p is None and [r.p for r in got[20001:]] == [r.q for r in got[20001:]]
