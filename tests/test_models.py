@@ -237,3 +237,26 @@ def test_bins_keep_few_values_apart_and_order_many(spark):
     order = [got[i][1][1] for i in range(1000)]
     assert order == sorted(order) and 30 <= len(set(order)) <= 32 and got[1000][1][1] > order[-1]
     assert {b[2] for _, b in got.values()} == {0}
+
+
+def test_a_start_on_some_rows_saves_passes_and_changes_nothing(spark, monkeypatch):
+    x, y, fold = rows(3000)
+    df, passes = frame(spark, x, y, fold), []
+    models = [N.Linear("a", "logistic", 4.0), N.Linear("b", "logistic", 0.3, (0, 2), 1), N.Linear("c", "hinge", 2.0)]
+    before = N.fitted(df, models, label="y", fold="fold")
+    take = N._Steps.take
+    monkeypatch.setattr(N._Steps, "take", lambda self, *a: (passes.append(self.model.c in (4.0, 0.3, 2.0)), take(self, *a))[1])
+    N.fitted(df, models, label="y", fold="fold")
+    cold = sum(passes)
+    monkeypatch.setattr(N, "START", 1000)
+    passes.clear()
+    for a, b in zip(before, N.fitted(df, models, label="y", fold="fold")):
+        assert np.allclose(a, b, atol=1e-7)
+    assert 0 < sum(passes) < 0.7 * cold and len(passes) > sum(passes)
+
+
+def test_features_made_in_the_task_equal_the_columns(spark):
+    x, _, _ = rows(50)
+    column = ml.random_features(F.col("x"), 3, 8, F.lit(0.7))
+    got = [r.f for r in frame(spark, x, np.zeros(50), np.zeros(50)).orderBy("id").select(column.alias("f")).collect()]
+    assert np.allclose(got, ml.fourier(3, 8, 0.7)(x), atol=1e-12)
