@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from palletry.functions.numeric import ratio, sorted_dims
+from palletry.sources.io import dealt
 
 # The default bin and the thresholds of the rules.
 BIN = (60.0, 25.0, 30.0)
@@ -12,16 +13,16 @@ VOLUME_SHARE, SPREAD, SPREAD_FILL, SPREAD_STD, HIGH_FILL, BLOCK, CONNECT = 0.98,
 EXTREME_MIDDLE, EXTREME_FILL, EXTREME_LEAST, EXTREME_ITEMS = 0.85, 0.85, 0.15, 10
 
 
-def order_features(items: DataFrame, order: str = "dispatch_id", seq: str = "seq", box: tuple[float, float, float] = BIN) -> DataFrame:
+def order_features(items: DataFrame, order: str = "dispatch_id", seq: str = "seq", box: tuple[float, float, float] = BIN, tasks: int | None = None) -> DataFrame:
     """One row for each order of item rows (order, seq, length, width, height): sides are sorted, item by item.
 
-    `first_big`, `first_over`: where an item exceeds the bin, and where the volume so far does, in order of `seq`.
+    `first_big`, `first_over`: where an item exceeds the bin, and where the volume so far does, in order of `seq`. `tasks` is their number, or else the session's.
     """
     low, middle, high = sorted(box)
     volume = box[0] * box[1] * box[2]
     a, b, c = sorted_dims(F.col("length").cast("double"), F.col("width").cast("double"), F.col("height").cast("double"))
     d = items.select(order, seq, a.alias("a"), b.alias("b"), c.alias("c"), (F.col("length").cast("double") * F.col("width") * F.col("height")).alias("v"))
-    d = d.withColumn("upto", F.sum("v").over(Window.partitionBy(order).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    d = dealt(d, tasks, order).withColumn("upto", F.sum("v").over(Window.partitionBy(order).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     big = (F.col("c") > high) | (F.col("b") > middle) | (F.col("a") > low)
     asr = F.when(F.col("a") > 0, F.col("c") / F.col("a"))
     return d.groupBy(order).agg(

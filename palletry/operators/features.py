@@ -10,14 +10,15 @@ from palletry.operators.population import running_total
 from palletry.sources.snapshots import stored
 
 
-def item_types(items: DataFrame, labels: DataFrame, order: str = "dispatch_id", strict: bool = False) -> DataFrame:
+def item_types(items: DataFrame, labels: DataFrame, order: str = "dispatch_id", strict: bool = False, tasks: int | None = None) -> DataFrame:
     """(order, if_loaded, n_types, dim_s, dim_m, dim_l, n_items): counts of equal boxes, turned to sorted sides.
 
     An order without label is left out, or an error if `strict`. Items are shuffled once, by order, which serves the aggregation, the window and
-    the join; boxes of one size are too rare in an order for combining by size first to pay.
+    the join; boxes of one size are too rare in an order for combining by size first to pay. `tasks` is their number, or else the session's.
     """
     s, m, l = sorted_dims(F.col("length"), F.col("width"), F.col("height"))
-    typed = items.select(order, s.alias("dim_s"), m.alias("dim_m"), l.alias("dim_l")).repartition(order).groupBy(order, "dim_s", "dim_m", "dim_l").agg(F.count("*").alias("n_items"))
+    sides = items.select(order, s.alias("dim_s"), m.alias("dim_m"), l.alias("dim_l"))
+    typed = (sides.repartition(order) if tasks is None else sides.repartition(tasks, order)).groupBy(order, "dim_s", "dim_m", "dim_l").agg(F.count("*").alias("n_items"))
     typed = typed.withColumn("n_types", F.count("*").over(Window.partitionBy(order)))
     labelled = required(typed, labels, order, "if_loaded") if strict else typed.join(labels.select(order, "if_loaded"), order)
     return labelled.select(order, "if_loaded", "n_types", "dim_s", "dim_m", "dim_l", "n_items")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palletry.functions.numeric import hash_fraction
 from palletry.operators.geometry import tour_length
+from palletry.sources.io import dealt
 
 
 def spliced(tours: DataFrame, paths: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def route_capacity(n: Column) -> Column:
     return F.when(n == 10, 20.0).when(n == 20, 30.0).when(n == 50, 40.0).when(n == 100, 50.0).when(n == 200, 80.0).when(n == 500, 100.0).when(n == 1000, 250.0)
 
 
-def replayed(steps: DataFrame, stops: DataFrame, capacity: float, depot: int | None = 0, slack: float = 1e-5) -> DataFrame:
+def replayed(steps: DataFrame, stops: DataFrame, capacity: float, depot: int | None = 0, slack: float = 1e-5, tasks: int | None = None) -> DataFrame:
     """Stored rollouts (instance, tour, pos, node) with the state that each step leaves: `load`, what the vehicle can still take;
     `seen`, the stops visited so far; `finished`; and `allowed`, whether the mask before the step let it through.
 
@@ -104,11 +105,13 @@ def replayed(steps: DataFrame, stops: DataFrame, capacity: float, depot: int | N
     load plus `slack`; the depot, where the load is filled up, is allowed unless the vehicle stands there. A rollout that has seen all
     stops and stands at the depot is finished, and may only stay there. Without a depot (None) it is finished with its last stop, and
     nothing is allowed afterwards. Steps that break the mask count like others. A node that the instance lacks is never allowed and
-    demands nothing; instances without stops are left out; rollouts may end early.
+    demands nothing; instances without stops are left out; rollouts may end early. `tasks` is their number, or else the session's.
     """
+    stops = dealt(stops, tasks, "instance")
     number = stops.groupBy("instance").agg(F.count("*").alias("_n"))
     home = F.lit(False) if depot is None else F.col("node") == depot
-    d = steps.select("instance", "tour", "pos", "node").join(stops.select("instance", "node", "demand"), ["instance", "node"], "left").join(number, "instance")
+    d = dealt(steps.select("instance", "tour", "pos", "node"), tasks, "instance", "node")
+    d = dealt(d.join(dealt(stops.select("instance", "node", "demand"), tasks, "instance", "node"), ["instance", "node"], "left"), tasks, "instance").join(number, "instance")
     known = F.col("demand").isNotNull() & ~F.col("_home")
     order = Window.partitionBy("instance", "tour").orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -44,3 +44,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["item_type_counts", "typical_feasibility_errors", "route_segmentation", "rollout_replay"])
+def test_tasks_grow_with_the_table_and_change_nothing(spark, con, name, monkeypatch):
+    from palletry.sources import io
+
+    monkeypatch.setattr(io, "TASK_ROWS", 500)
+    df, sql = QUERIES[name](spark, FOLDER), con.sql(ORACLE[name])
+    order = sorted(df.columns)
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    rows = df.collect()
+    assert plain(rows, [df.columns.index(c) for c in order]) == plain(sql.fetchall(), [sql.columns.index(c) for c in order])
+    if name == "item_type_counts":
+        assert rows == sorted(rows, key=lambda r: (r.dispatch_id, r.dim_s, r.dim_m, r.dim_l))
