@@ -14,7 +14,7 @@ leave one row. An empty table stays empty.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from palletry.llm import bpe_lexicon, exact_dedup, mixing, toxicity, trie_join
 from palletry.llm.common import written
@@ -23,8 +23,7 @@ from palletry.llm.common import written
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.5; the network learns from the labelled ones among `docs`."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")  # so no column can clash
-    return toxicity.scored(rows, labels).where("score < 0.5").select("doc.*")
+    return toxicity.below(docs, labels, 0.5)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

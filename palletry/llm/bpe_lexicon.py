@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from palletry.llm.common import prefix_hash, slices, span_hash
+from palletry.llm.common import parted, prefix_hash, slices, span_hash
 
 LEXICON_WORDS, CACHED_CHUNKS, SLICE, SHORT, COUNTED_WORDS = 131_072, 100_000, 256, 48, 150_000
 NONE = np.int64(1 << 40)
@@ -358,21 +358,19 @@ def _letter_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in slices(batches):
-        texts = [t.encode() for t in batch.column(0).to_pylist() if t]
-        if not texts:
-            continue
-        b = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
-        inside = np.r_[False, _LETTER[b], False]
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        start, end = edge[::2], edge[1::2]
-        h, first, n = np.unique(span_hash(prefix_hash(b), start, end), return_index=True, return_counts=True)
-        parts.append((h, n))
-        raw = b.tobytes()
-        for k, s, e in zip(h.tolist(), start[first].tolist(), end[first].tolist()):
-            if k not in words:
-                words[k] = raw[s:e]
-        if len(words) > COUNTED_WORDS:
-            yield flushed()
+        for texts in parted([t.encode() for t in batch.column(0).to_pylist() if t]):  # hashes take some 40 bytes a byte
+            b = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
+            inside = np.r_[False, _LETTER[b], False]
+            edge = np.flatnonzero(inside[1:] != inside[:-1])
+            start, end = edge[::2], edge[1::2]
+            h, first, n = np.unique(span_hash(prefix_hash(b), start, end), return_index=True, return_counts=True)
+            parts.append((h, n))
+            raw = b.tobytes()
+            for k, s, e in zip(h.tolist(), start[first].tolist(), end[first].tolist()):
+                if k not in words:
+                    words[k] = raw[s:e]
+            if len(words) > COUNTED_WORDS:
+                yield flushed()
     if parts:
         yield flushed()
 

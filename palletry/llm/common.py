@@ -181,6 +181,19 @@ def slices(batches, rows: int = 1000):
             yield batch.slice(i, rows)
 
 
+def parted(texts: list[bytes], size: int = 500_000):
+    """Lists of texts of some `size` bytes together, in order, for work whose memory is many times that of the texts; a longer text stands alone."""
+    part, total = [], 0
+    for t in texts:
+        if part and total + len(t) > size:
+            yield part
+            part, total = [], 0
+        part.append(t)
+        total += len(t)
+    if part:
+        yield part
+
+
 def row_key(id_value: Column, text: Column) -> Column:
     """One key column, never null, for a row's id and text: joins and windows on it share a shuffle."""
     return F.md5(F.concat_ws(":", F.coalesce(id_value.cast("string"), F.lit("none")), F.md5(F.coalesce(text.cast("string"), F.lit("")))))

@@ -372,20 +372,32 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return trained([t or "" for t in sample.column("_text").to_pylist()], y)
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """`docs` with a column `score`, 0 to 1, in place of any that has this name."""
-    model = fitted(docs, labels, id_col, text_col, label_col)
-    kept = [c for c in docs.columns if c != "score"]
+def _with_scores(docs: DataFrame, model: Network | float, text_col: str) -> DataFrame:
+    """(doc, score): the rows as structs. Their texts go to the tasks and back once, inside the struct, if they are strings."""
+    doc = F.struct(*docs.columns).alias("doc")
     if isinstance(model, float):
-        return docs.select(*kept, F.lit(model).alias("score"))
+        return docs.select(doc, F.lit(model).alias("score"))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    inside = docs.dtypes.index((text_col, "string")) if (text_col, "string") in docs.dtypes else None
+    rows = docs.select(doc) if inside is not None else docs.select(doc, F.col(text_col).cast("string").alias("text"))
     schema = rows.select("doc", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)
         for batch in slices(batches):
-            values = list(scorer.scores([t or "" for t in batch.column(1).to_pylist()]))
+            texts = batch.column(0).field(inside) if inside is not None else batch.column(1)
+            values = list(scorer.scores([t or "" for t in texts.to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc", "score"])
 
-    return rows.mapInArrow(run, schema).select(*[F.col("doc")[c].alias(c) for c in kept], "score")
+    return rows.mapInArrow(run, schema)
+
+
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """`docs` with a column `score`, 0 to 1, in place of any that has this name."""
+    out = _with_scores(docs, fitted(docs, labels, id_col, text_col, label_col), text_col)
+    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c != "score"], "score")
+
+
+def below(docs: DataFrame, labels: DataFrame, bound: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose score is less than `bound`."""
+    return _with_scores(docs, fitted(docs, labels, id_col, text_col, label_col), text_col).where(F.col("score") < bound).select("doc.*")

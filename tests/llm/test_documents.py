@@ -211,6 +211,41 @@ def test_toxicity_edges(spark, docs, empty):
     assert toxicity.scored(empty, labels).count() == 0
 
 
+def test_texts_go_to_the_scoring_tasks_once(spark, docs, monkeypatch):
+    """Memory of tasks and workers goes by the width of the rows sent; copies of the text made an executor of the pipeline too large."""
+    import corpus_pipeline
+
+    sent, send = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **k: (sent.append(self.schema.simpleString()), send(self, *a, **k))[1])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fitted", lambda *_: toxicity.Network({"a": 0}))
+    monkeypatch.setattr(type(spark.read), "parquet", lambda *_: labels)
+    out = corpus_pipeline.clean(spark, docs, "")
+    assert len(sent) == 1 and sent[0].count("text:string") == 1
+    scores = toxicity.scored(docs.drop("score"), labels).where("score < 0.5").drop("score")
+    assert out.columns == docs.columns and sorted(map(str, out.select(*scores.columns).collect())) == sorted(map(str, scores.collect()))
+    binary = toxicity.scored(docs.select("doc_id", F.col("text").cast("binary").alias("text")), labels).select("score").collect()
+    assert sorted(r.score for r in binary) == sorted(r.score for r in toxicity.scored(docs, labels).collect())
+
+
+def test_word_counts_take_little_memory():
+    """Texts are hashed a few at a time, however many a batch has."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{chr(97 + (i * j) % 26)}ord{chr(97 + j % 26)}" for j in range(600)) for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    found = Counter()
+    for b in bpe_lexicon._letter_runs(iter([batch])):
+        found.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == Counter(w.encode() for t in texts for w in t.split())
+    assert peak < 15 * sum(map(len, texts))  # 5.5 times now, 37 before
+
+
 def test_held_out_labels_cannot_reach_training(spark):
     rng = np.random.default_rng(3)
     text = lambda bad: " ".join([*rng.choice([f"w{i}" for i in range(60)], 12), *(["vile"] if bad else [])])
