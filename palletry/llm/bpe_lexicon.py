@@ -81,12 +81,29 @@ class Model:
 
     def merged(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of pieces: the pair of least rank merges first, leftmost among equals; all short pieces a round together."""
+        out, short, ids, ends = self._merged(words)
+        ids = ids.tolist()
+        for i, lo, hi in zip(short, [0, *ends], ends):
+            out[i] = tuple(ids[lo:hi])
+        return out
+
+    def merged_bytes(self, words: list[bytes]) -> list[bytes]:
+        """The same as little-endian 32-bit numbers."""
+        out, short, ids, ends = self._merged(words)
+        out = [w if w is None else np.array(w, "<u4").tobytes() for w in out]
+        raw, ends = ids.astype("<u4").tobytes(), [4 * e for e in ends]
+        for i, lo, hi in zip(short, [0, *ends], ends):
+            out[i] = raw[lo:hi]
+        return out
+
+    def _merged(self, words: list[bytes]) -> tuple[list, list[int], np.ndarray, list[int]]:
+        """Ids of the long pieces, with None for the others, whose numbers, ids one after the other and ends of ids follow."""
         out: list = [None] * len(words)
         short = [i for i, w in enumerate(words) if len(w) <= SHORT]
         for i in set(range(len(words))).difference(short):
             out[i] = self._merged_long(words[i])
         if not short:
-            return out
+            return out, [], np.zeros(0, np.int64), []
         size = np.array([len(words[i]) for i in short])
         raw = np.frombuffer(b"".join(words[i] for i in short), np.uint8)
         ids = self.inner[raw]
@@ -125,11 +142,7 @@ class Model:
                 rank[k[owner[k] != owner[k + 1]]] = NONE
             rank[-1] = NONE
         ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
-        ids = ids[np.argsort(owner, kind="stable")].tolist()
-        bounds = np.cumsum(np.bincount(owner, minlength=len(short))).tolist()
-        for i, lo, hi in zip(short, [0, *bounds], bounds):
-            out[i] = tuple(ids[lo:hi])
-        return out
+        return out, short, ids[np.argsort(owner, kind="stable")], np.cumsum(np.bincount(owner, minlength=len(short))).tolist()
 
     def _merged_long(self, word: bytes) -> tuple[int, ...]:
         """The same for one long piece, with a heap of pairs over a linked list."""
@@ -320,8 +333,9 @@ class Encoder:
             split = [self._chunks(t) for t in texts[i : i + SLICE]]
             if len(self.cache) > CACHED_CHUNKS:
                 self.cache = {}
-            self._learn(set().union(*split) - self.cache.keys())
-            get = self.cache.__getitem__
+            cache = self.cache
+            self._learn({c for c in set().union(*split) if c not in cache})  # a difference from the keys would walk the whole cache
+            get = cache.__getitem__
             for chunks in split:
                 yield list(chain.from_iterable(map(get, chunks)))
 

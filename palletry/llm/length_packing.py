@@ -20,13 +20,14 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from palletry.llm.bpe_lexicon import SLICE, Encoder, Model
+from palletry.llm.bpe_lexicon import MARKS, SLICE, Encoder, Model
 from palletry.llm.common import slices, written
 
 CAPACITY, END, CACHED, CACHED_CHARS = 4096, 1, 1_000_000, 64
@@ -36,16 +37,32 @@ class ByteEncoder(Encoder):
     """Encodes texts to little-endian 32-bit ids; the cache holds bytes, so that a text's ids are one join."""
 
     def _learn(self, chunks: set) -> None:
-        super()._learn(chunks)
+        """Letters are one piece, as in `Encoder`; with a mark after them they take the letters' ids if the cache has these."""
+        cache, letters, marked, others = self.cache, [], [], {}
         for c in chunks:
-            self.cache[c] = array("I", self.cache[c]).tobytes()
+            if isinstance(c, int):
+                cache[c] = array("I", (c,)).tobytes()
+            elif c.isalpha():
+                letters.append(c)
+            elif c[-1:] in MARKS and c[:-1].isalpha():
+                marked.append(c)
+            else:
+                others[c] = self.model.pieces(c)
+        bare = {c[:-1] for c in marked}.difference(letters)
+        found = {w: cache[w] for w in bare if w in cache}
+        unseen = [*letters, *dict.fromkeys([*(w for w in bare if w not in found), *(c[-1] for c in marked), *chain.from_iterable(others.values())])]
+        found.update(zip(unseen, self.model.merged_bytes([w.encode() for w in unseen])))
+        cache.update((c, found[c]) for c in letters)
+        cache.update((c, found[c[:-1]] + found[c[-1]]) for c in marked)
+        cache.update((c, b"".join(map(found.__getitem__, ps))) for c, ps in others.items())
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), SLICE):
             split = [self._chunks(t) for t in texts[i : i + SLICE]]
-            new = set().union(*split) - self.cache.keys()
-            if len(self.cache) + len(new) > CACHED:
-                self.cache, new = {}, set().union(*split)
+            seen, cache = set().union(*split), self.cache
+            new = {c for c in seen if c not in cache}  # a difference from the keys would walk the whole cache
+            if len(cache) + len(new) > CACHED:
+                self.cache, new = {}, seen
             self._learn(new)
             for chunks in split:
                 yield b"".join(map(self.cache.__getitem__, chunks))

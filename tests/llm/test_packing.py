@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from palletry.llm import length_packing as L
+from palletry.llm.bpe_lexicon import Encoder, Model
 from tests.llm.data import awkward, frame
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -102,3 +103,16 @@ def test_a_small_cache_changes_nothing(monkeypatch):
     want = list(L.ByteEncoder(model, None).encode(texts))
     monkeypatch.setattr(L, "CACHED", 10)
     assert list(L.ByteEncoder(model, None).encode(texts)) == want
+
+
+def test_a_mark_after_a_known_word_costs_no_merge(monkeypatch):
+    """Most chunks are new words, with or without a mark; what is known of them is taken from the cache."""
+    with open(PATH, "rb") as f:
+        model = Model(f.read())
+    texts = ["Wandering wandering", "wandering, wandering. it's (wandering) 12,5 ſtraße, é! <|endoftext|>, ,", "unseenword, unseenword" + "x" * 80 + ","]
+    want = [np.array(x, "<u4").tobytes() for x in Encoder(model, None).encode(texts)]
+    merged, merge = [], model.merged_bytes
+    monkeypatch.setattr(model, "merged_bytes", lambda words: merged.extend(words) or merge(words))
+    encoder = L.ByteEncoder(model, None)
+    assert [next(encoder.encode([t])) for t in texts] == want
+    assert merged.count(b"wandering") == 2 and b"unseenword" in merged  # bare, and as a piece between brackets
