@@ -1,15 +1,20 @@
-"""Forests as node tables: rows walk down by joins, leaves are tokens with stored statistics, later rows look them up."""
+"""Forests as node tables: rows walk down, by joins if the table is large, leaves are tokens with stored statistics, later rows look them up."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from palletry.sources.snapshots import shared_dir, stored
 
 #: A node is some 50 bytes; larger tables of nodes are joined by a shuffle.
 BROADCAST_NODES = 2_000_000
+#: Up to so many inner nodes go to the tasks as arrays, in which a row walks down all trees at once.
+WALKED_NODES = 200_000
 NODES = ["tree", "node", "left", "right", "feature", "threshold", "impurity"]
 
 
@@ -48,12 +53,50 @@ def _hint(nodes: DataFrame):
     return F.broadcast if nodes.count() <= BROADCAST_NODES else lambda d: d
 
 
+class _Walk:
+    """Inner nodes as flat arrays by position. A leaf, or a child that has no row, points to itself."""
+
+    def __init__(self, inner: pa.Table, trees: int):
+        tree, node, left, right, self.feature = (inner.column(c).to_numpy().astype(np.int64) for c in ("tree", "node", "left", "right", "feature"))
+        all_trees, key = np.concatenate([np.arange(trees), tree, tree, tree]), lambda t, n: t * (1 << 32) + n
+        ends = np.unique(key(all_trees, np.concatenate([np.zeros(trees, np.int64), node, left, right])))
+        at = np.searchsorted(ends, key(tree, node))
+        self.node, self.root = ends % (1 << 32), np.searchsorted(ends, key(np.arange(trees), 0))
+        feature, self.width = np.zeros(len(ends), np.int64), int(self.feature.max(initial=0)) + 1
+        self.threshold, self.left, self.right = np.full(len(ends), np.inf), np.arange(len(ends)), np.arange(len(ends))
+        feature[at], self.threshold[at] = self.feature, inner.column("threshold").to_numpy()
+        self.left[at], self.right[at] = np.searchsorted(ends, key(tree, left)), np.searchsorted(ends, key(tree, right))
+        self.feature = feature
+
+    @staticmethod
+    def fits(inner: pa.Table) -> bool:
+        """Whether ids and thresholds are plain; joins serve others."""
+        if any(inner.column(c).null_count for c in inner.column_names) or np.isnan(inner.column("threshold").to_numpy()).any():
+            return False
+        numbers = [inner.column(c).to_numpy() for c in ("tree", "node", "left", "right", "feature")]
+        once = len(np.unique(np.stack(numbers[:2], 1), axis=0)) == inner.num_rows
+        return once and all(((0 <= n) & (n < 1 << 31)).all() for n in numbers)
+
+    def leaves(self, x: np.ndarray, levels: int) -> np.ndarray:
+        """(rows, trees): the leaf of each row of a matrix; NaN goes right."""
+        at, row = np.broadcast_to(self.root, (len(x), len(self.root))), np.arange(len(x))[:, None]
+        for _ in range(levels):
+            at = np.where(x[row, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+        return self.node[at]
+
+
 def leaves(rows: DataFrame, nodes: DataFrame, row: str, x: str = "x", *keep: str) -> DataFrame:
-    """(row, keep, tree, node): the leaf of each row in each tree; `nodes` has depths. A null or NaN feature goes right."""
-    size = nodes.agg((F.max("tree") + 1).alias("trees"), F.max("depth").alias("levels")).first()
-    inner = _hint(nodes)(nodes.where("left is not null").select("tree", "node", "left", "right", "feature", "threshold"))
+    """(row, keep, tree, node): the leaf of each row in each tree; `nodes` has depths. A null or NaN feature goes right.
+
+    Spark doesn't push filters of the result to `rows`, so filter these.
+    """
+    size = nodes.agg((F.max("tree") + 1).alias("trees"), F.max("depth").alias("levels"), F.count("left").alias("inner")).first()
+    inner = nodes.where("left is not null").select("tree", "node", "left", "right", "feature", F.col("threshold").cast("double").alias("threshold"))
     if not size.trees:
         return rows.select(row, *keep, F.lit(0).alias("tree"), F.lit(0).alias("node")).where("false")
+    if size.inner <= WALKED_NODES and _Walk.fits(found := inner.toArrow()):
+        return _walked(rows, _Walk(found, size.trees), size.levels, dict(nodes.dtypes)["left"], row, x, *keep)
+    inner = _hint(nodes)(inner)
     at = rows.select(row, *keep, F.col(x).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(size.trees - 1))).alias("tree")).withColumn("node", F.lit(0))
     for _ in range(size.levels):
         value = F.get("_x", F.col("feature"))
@@ -62,6 +105,26 @@ def leaves(rows: DataFrame, nodes: DataFrame, row: str, x: str = "x", *keep: str
     return at.select(row, *keep, "tree", "node")
 
 
+def _walked(rows: DataFrame, walk: _Walk, levels: int, kind: str, row: str, x: str, *keep: str) -> DataFrame:
+    shipped, width = rows.sparkSession.sparkContext.broadcast(walk), walk.width
+    names = [row, *keep]
+    entries = F.array(*[F.coalesce(F.get(x, F.lit(i)).cast("double"), F.lit(float("nan"))) for i in range(width)])
+    rows = rows.select(*names, entries.alias("_x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                found = shipped.value.leaves(b.column(len(names)).flatten().to_numpy().reshape(b.num_rows, width), levels)
+                ends = np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(found.reshape(-1)))], [*names, "_nodes"])
+
+    kinds = dict(rows.dtypes)
+    out = rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", _nodes array<long>")
+    out = out.select(*names, F.posexplode("_nodes").alias("tree", "node"))
+    return out.withColumn("node", F.col("node").cast("long" if kind == "bigint" else "int"))
+
+
 def vocabulary(known: DataFrame, nodes: DataFrame, label: str = "label") -> DataFrame:
     """(token, tree, node, pos_rate, log_count, depth_norm, impurity) of the leaves that `known` rows reach, stored.
 

@@ -260,3 +260,17 @@ def test_features_made_in_the_task_equal_the_columns(spark):
     column = ml.random_features(F.col("x"), 3, 8, F.lit(0.7))
     got = [r.f for r in frame(spark, x, np.zeros(50), np.zeros(50)).orderBy("id").select(column.alias("f")).collect()]
     assert np.allclose(got, ml.fourier(3, 8, 0.7)(x), atol=1e-12)
+
+
+def test_leaves_are_those_of_joins(spark, monkeypatch):
+    """One walk in a task, without joins, whatever the depth; nulls, NaN, short vectors, leaves as roots and absent trees."""
+    rng = np.random.default_rng(8)
+    n = [(t, k, *((2 * k + 1, 2 * k + 2, int(rng.integers(3)), float(rng.integers(-2, 3))) if k < 7 and (t, k) not in ((0, 4), (1, 0)) else (None,) * 4), 0.5) for t in (0, 1, 3) for k in range(15) if t != 1 or not k]
+    nodes = forest.with_depth(spark.createDataFrame([r for r in n if r[:2] not in ((0, 9), (0, 10))], "tree int, node int, left int, right int, feature int, threshold double, impurity double"))
+    x = [None, [], [1.0], [math.nan, None, 2.0], *[[float(v) for v in rng.integers(-3, 4, 3)] for _ in range(60)]]
+    df = spark.createDataFrame(list(enumerate(x)), "id long, x array<double>")
+    got = forest.leaves(df, nodes, "id")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(forest, "WALKED_NODES", -1)
+    want = forest.leaves(df, nodes, "id")
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 4 * len(x)
