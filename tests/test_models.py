@@ -48,6 +48,26 @@ def test_all_folds_and_weights_are_fitted_together(spark):
     assert np.mean((z @ w[3] > 0) == (y > 0)) > 0.85
 
 
+def test_models_that_differ_in_c_share_their_way_and_equal_rows_weigh(spark, monkeypatch):
+    x, y, fold = rows(120)
+    copies = 1 + np.arange(120) % 3
+    cs = [0.5, 1.0, 2.0, 4.0, 8.0, 16.0]
+    models = [N.Linear(f"{kind}{c}", kind, c, None, f) for kind in ("logistic", "hinge") for f in (1, 2) for c in cs]
+    each = [np.repeat(a, copies, axis=0) for a in (x, y, fold)]
+    whole = N.fitted(frame(spark, *each), models, label="y", fold="fold")
+    passes, sums = [], N._sums
+    monkeypatch.setattr(N, "START", 60)
+    monkeypatch.setattr(N, "_sums", lambda own, *rest: (passes.append(len(own)), sums(own, *rest))[1])
+    df = frame(spark, x, y, fold).join(spark.createDataFrame([(i, int(n)) for i, n in enumerate(copies)], "id long, n long"), "id")
+    w = N.fitted(df, models, label="y", fold="fold", n="n")
+    for m, a, b in zip(models, w, whole):
+        assert np.allclose(a, b, atol=1e-5)
+        own = each[2] != m.without
+        assert m.loss == "hinge" or np.allclose(a, logistic(each[0][own], each[1][own], m.c), atol=1e-6)
+    assert passes[0] == 4  # one a loss and fold goes first
+    monkeypatch.undo()
+
+
 def test_calibration_equals_numpy(spark):
     rng = np.random.default_rng(3)
     d = rng.normal(size=300) * 2
@@ -109,6 +129,22 @@ def test_search_picks_the_best_by_tuple(spark):
     assert ml.drawn_trials(3) == ml.drawn_trials(3) and ml.drawn_trials(5)[:3] == ml.drawn_trials(3)
 
 
+def test_search_takes_equal_rows_as_one(spark, monkeypatch):
+    x, y, _ = rows(60, 2, 9)
+    rng = np.random.default_rng(1)
+    data = [(i, int(y[i % 60]), *map(float, x[i % 60]), bool(rng.random() < 0.25)) for i in range(1200)]
+    df = spark.createDataFrame(data, "id long, gt int, a double, b double, is_test boolean")
+    seen, fitted = [], ml.fitted
+    monkeypatch.setattr(ml, "fitted", lambda d, *rest, **kw: (seen.append(d.count()), fitted(d, *rest, **kw))[1])
+    got = ml.ensemble_search(df, ["a", "b"], "id", "gt", "is_test", n=2, k=2, others=[]).orderBy("trial").collect()
+    assert len(seen) == 2 and max(seen) <= 60 * 2
+    trials = ml.drawn_trials(2)
+    bases = [b for t in trials for b in (ml.Base(f"svm{t['trial']}", "svm", t["svm_c"]), ml.Base(f"lr{t['trial']}", "lr", t["lr_c"]))]
+    oof = ml.out_of_fold(df, ["a", "b"], "id", "gt", bases, 2, "is_test")  # row by row
+    want = ml.trial_report(ml.trial_scores(oof, "id", trials, [["svm1", "lr1"], ["svm2", "lr2"]])).orderBy("trial").collect()
+    assert all(np.allclose([a[c] for c in ("auc", "tpr1", "accuracy")], [b[c] for c in ("auc", "tpr1", "accuracy")], atol=1e-9) for a, b in zip(got, want, strict=True))
+
+
 def test_meta_models_of_trials_equal_single_fits(spark):
     x, y, fold = rows(160, 3, 2)
     fold = np.where(np.arange(160) % 5 == 0, -1, fold)
