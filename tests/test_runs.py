@@ -92,6 +92,16 @@ def test_route_files(spark, tmp_path):
     assert b.demand == [0, 5] and [tuple(x) for x in b.node_flag] == [(1, 1)]
 
 
+def test_places_of_route_fields_are_sought_once_and_lacking_ones_are_null(spark):
+    odd = [" depot , 1,2 ,customer,1,2,3,capacity,7.9,demand,1,x,cost,1e3,node_flag,1,,0,1", "capacity,5,demand,0,1,cost,2,node_flag,3", None]
+    lines = spark.createDataFrame(list(enumerate(odd)), "id int, text string").select("id", T.route_line(F.col("text")).alias("r"))
+    got = [r.r for r in lines.orderBy("id").collect()]
+    assert got[0].depot == (1.0, 2.0) and got[0].customers == [(1.0, 2.0)] and got[0].capacity == 7 and got[0].demand == [0, 1, None] and got[0].cost == 1000.0
+    assert got[0].node_flag == [(1, 0), (None, 1)] and tuple(got[1]) == (None, None, 5, [0, 1], 2.0, None)
+    assert tuple(got[2]) == (None,) * 6
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("array_position(") <= 6
+
+
 def test_reversed_routes_keep_their_nodes(spark):
     flagged = spark.createDataFrame([(i, p, p + 1, int(p % 3 == 0)) for i in range(20) for p in range(6)], "instance long, pos int, node int, from_depot int")
     got = G.reversed_routes(flagged).collect()
