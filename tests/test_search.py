@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,34 @@ def test_instances_are_dealt_to_many_tasks(spark):
     nodes = spark.range(400).selectExpr("floor(id / 10) as instance", "id as node", "rand(1) as x", "rand(2) as y")
     tours = search.tours(nodes, "nearest").withColumn("task", F.spark_partition_id())
     assert tours.select("task").distinct().count() > 15 and tours.count() == 400
+
+
+def test_guided_search_takes_many_instances_at_a_time(spark, monkeypatch):
+    """Each instance's tour is that of a search on it alone; few nodes, equal and unknown places end too."""
+    rng = np.random.default_rng(7)
+    d = np.stack([S.distances(rng.random((9, 2))) for _ in range(30)] + [np.zeros((9, 9)), np.full((9, 9), np.nan)])
+    got = S.guided_many(d, d, 20, 30)
+    assert all(got[i].tolist() == S.guided(d[i], d[i], 20, 30).tolist() and sorted(got[i].tolist()) == list(range(9)) for i in range(32))
+    assert all(S.length_of(a, t) <= S.length_of(a, S.improve(a, S.nearest_neighbour(a))) + 1e-9 for a, t in zip(d[:30], got))
+    order = S.guided_many(d[::-1], d[::-1], 20, 30)[::-1]
+    assert order.tolist() == got.tolist()
+    for n in range(1, 6):
+        a = S.distances(rng.random((n, 2)))
+        assert sorted(S.guided(a, a, 5).tolist()) == list(range(n))
+    calls, many = [], S.guided_many
+    monkeypatch.setattr(S, "guided_many", lambda d, g: (calls.append(len(d)), many(d, g, 3, 30))[1])
+    nodes = [(i, 10 * i + k, *map(float, rng.random(2))) for i in range(24) for k in range(6 + i % 2)]
+    frames = [p for _, p in pd.DataFrame(nodes, columns=["instance", "node", "x", "y"]).groupby("instance")]
+    out = pd.concat(S._guided_tours(frames))
+    assert sorted(calls) == [12, 12] and sorted(map(tuple, out[["instance", "node"]].to_numpy().tolist())) == sorted(r[:2] for r in nodes)
+
+
+def test_guided_tours_of_all_instances(spark):
+    """Instances that Arrow's batches cut in two stay whole."""
+    nodes = spark.range(600).selectExpr("floor(id / 4) as instance", "id as node", "rand(1) as x", "rand(2) as y")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = S.tours(nodes, "guided").groupBy("instance").agg(F.count_distinct("node").alias("n"), F.max("pos").alias("last")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.instance, r.n, r["last"]) for r in out} == {(i, 4, 3) for i in range(150)}
