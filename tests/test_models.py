@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
-from palletry.operators import forest, ml, newton as N
+from palletry.operators import forest, grove, ml, newton as N
 from palletry.sources import snapshots
 
 SCHEMA = "id long, y double, fold int, x array<double>"
@@ -310,3 +310,48 @@ def test_leaves_are_those_of_joins(spark, monkeypatch):
     monkeypatch.setattr(forest, "WALKED_NODES", -1)
     want = forest.leaves(df, nodes, "id")
     assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 4 * len(x)
+
+
+def test_trees_grown_together_split_best_and_score_what_they_did_not_see(spark):
+    """One boosted step by hand on places of two folds; then forests and boosted trees beside Spark ML's on the same places."""
+    w, t = np.array([[[4.0, 2, 0, 2], [1, 3, 3, 1]]]), np.array([[[0.0, 1, 0, 2], [1, 1, 0, 1]]])
+    feature, last, values = grove._best(w, t, 1.0)
+    assert (feature[0], last[0]) == (0, 0) and np.allclose(values, [[0, 3 / 4]])
+    assert grove._best(w, w / 2, 1.0)[0][0] == -1 and grove._best(w, t, 5.0)[0][0] == -1
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 8, (3000, 3))
+    y = rng.random(3000) < 1 / (1 + np.exp(-(bins[:, 0] - 3.5) * (bins[:, 1] - 3.5) / 2))
+    data = [([float(v) for v in b], float(v), i % 3 - (i % 3 == 2) * 3, 2) for i, (b, v) in enumerate(zip(bins, y))]
+    df = spark.createDataFrame(data, "bins array<double>, label double, fold int, n long")
+    trained = grove.Trained(df, 3, 2, 8, 3)
+    groves = [g for f in (0, 1, None) for g in (grove.Grove("rf", 20, 6, 2, None, f), grove.Grove("gb", 12, 3, step=0.3, without=f), grove.Grove("one", 1, 1, step=1.0, without=f))]
+    out = df.join(trained.scores(groves), ["bins", "fold"]).collect()
+    assert len(out) == 3000 and {r.fold for r in out} == {0, 1, -1}
+
+    def brier(name, rows):
+        return np.mean([(r[name] - r.label) ** 2 for r in rows])
+
+    truth = np.mean([(1 / (1 + math.exp(-(r.bins[0] - 3.5) * (r.bins[1] - 3.5) / 2)) - r.label) ** 2 for r in out])
+    assert all(brier(name, out) < truth + 0.04 for name in ("rf", "gb"))
+    seen = [(b, v) for b, v, f, _ in data if f == 1]  # fold 0 is scored by these
+    mean = np.mean([v for _, v in seen])
+    sides = {(f, at): [np.mean([v for b, v in seen if (b[f] <= at) is left]) - mean for left in (True, False)] for f in range(3) for at in range(7)}
+    best = max(sides, key=lambda s: sum(sides[s][i] ** 2 * sum((b[s[0]] <= s[1]) is left for b, _ in seen) for i, left in enumerate((True, False))))
+    margin = lambda b: math.log(mean / (1 - mean)) + sides[best][0 if b[best[0]] <= best[1] else 1] / (mean * (1 - mean))
+    assert all(abs(r.one - 1 / (1 + math.exp(-margin(r.bins)))) < 1e-5 for r in out if r.fold == 0)
+    flipped = grove.Trained(df.withColumn("label", F.when(F.col("fold") == 0, 1 - F.col("label")).otherwise(F.col("label"))), 3, 2, 8, 3).scores(groves)
+    both = flipped.where("fold = 0").join(trained.scores(groves).where("fold = 0").selectExpr("bins", "rf as a", "gb as b"), "bins").collect()
+    assert both and all(abs(r.rf - r.a) < 1e-6 and abs(r.gb - r.b) < 1e-6 for r in both)  # no row's label reaches its score
+
+
+def test_each_trial_draws_trees_of_its_own(spark, monkeypatch):
+    x, y, _ = rows(200, 2, 9)
+    df = spark.createDataFrame([(i, int(b), float(a[0]), float(a[1]), i % 4 == 0) for i, (a, b) in enumerate(zip(x, y))], "id long, gt int, a double, b double, is_test boolean")
+    sizes = {"rf_trees": (2, 4), "rf_depth": (None, 3), "rf_least": (1, 2), "gbdt_rounds": (2, 10), "gbdt_depth": (2, 3), "gbdt_step": (0.1, 0.3)}
+    seen, columns = [], ml.trial_scores
+    monkeypatch.setattr(ml, "trial_scores", lambda oof, n, trials, own, *rest: (seen.extend(own), columns(oof, n, trials, own, *rest))[1])
+    out = ml.ensemble_search(df, ["a", "b"], "id", "gt", "is_test", n=3, k=2, sizes=sizes).orderBy("trial").collect()
+    assert seen == [[f"{kind}{i}" for kind in ("svm", "lr", "rf", "gbdt")] for i in (1, 2, 3)]
+    assert [{k: r[k] for k in sizes} for r in out] == [{k: t[k] for k in sizes} for t in ml.drawn_trials(3, trees=sizes)]
+    assert [t["svm_c"] for t in ml.drawn_trials(3)] == [r.svm_c for r in out] and all(r.auc > 0.7 for r in out)
+    assert len({tuple(t.values()) for t in ml.drawn_trials(12, trees=ml.TRIAL_TREES)}) == 12 and ml.TRIAL_TREES["gbdt_rounds"] == (250, 400, 600, 800)
